@@ -1,8 +1,10 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Every document gets COORDS minima of its shingle hashes, one per coordinate. It is posted under its
-coordinate-value pairs. A pair of documents as alike as ``threshold`` agrees in at least MATCHES coordinates
-(it misses that with a chance of about 1e-8), so
+Every document gets a signature of COORDS coordinates. A coordinate's value is the joint hash of the minima
+of JOINED independent orders of the document's shingles, so two documents of similarity j agree in it with
+probability j**JOINED: common shingles alone seldom make a value, and lists stay short as the corpus grows.
+A document is posted under its coordinate-value pairs. A pair of documents of similarity 0.8 agrees in at
+least MATCHES coordinates (it misses that with a chance below 1e-7), so
 
 * a document that shares fewer than MATCHES of its postings with anyone is skipped;
 * of a document's postings, ordered by how many documents share them, only the rarest
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._tables import components, drop, table
 
-COORDS, MATCHES, ROUNDS = 64, 32, 3
-_A = W.mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
-_B = W.mix(np.arange(1001, COORDS + 1001, dtype=np.uint64))
+COORDS, JOINED, MATCHES, ROUNDS = 32, 3, 3, 3
+_A = W.mix(np.arange(1, COORDS * JOINED + 1, dtype=np.uint64)) | np.uint64(1)
+_B = W.mix(np.arange(1001, COORDS * JOINED + 1001, dtype=np.uint64))
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -55,16 +57,19 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
                 out[0].append(np.diff(at))
                 out[1].append(W.reduce_rows(np.add, h, at, np.uint64(0)))
                 out[2].append(W.reduce_rows(np.add, W.mix(h ^ W._M), at, np.uint64(0)))
-                sig = np.empty((rows, COORDS), np.uint32)
+                sig = np.empty((rows, COORDS), np.uint64)
                 for c in range(COORDS):
-                    sig[:, c] = W.reduce_rows(np.minimum, ((h * _A[c] + _B[c]) >> np.uint64(32)).astype(np.uint32), at, np.uint32(0))
+                    v = np.full(rows, c, np.uint64)
+                    for o in range(c * JOINED, (c + 1) * JOINED):
+                        v = W.mix(v * W._M + W.reduce_rows(np.minimum, h * _A[o] + _B[o], at, np.uint64(0)))
+                    sig[:, c] = v
                 out[3].append(sig)
             if out[0]:
                 n, d1, d2, sig = (np.concatenate(x) for x in out)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, COORDS, dtype=np.int32)), pa.array(sig.view(np.int32).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, COORDS, dtype=np.int32)), pa.array(sig.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -98,8 +103,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classed = table(feats.join(copies, digest, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "class")
 
     reps = feats.join(classed.where("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").where("n_shingles > 0")
-    posts = reps.select("doc_id", F.posexplode("sig").alias("c", "m")).select("doc_id", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("m").cast("long")).alias("v"))
-    posts = table(posts, "posts")
+    posts = table(reps.select("doc_id", F.explode("sig").alias("v")), "posts")
     shared = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (posts.join(shared, "v").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("p"))
               .where(F.size("p") >= MATCHES))
