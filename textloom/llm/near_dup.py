@@ -4,7 +4,7 @@ Every document gets a signature of COORDS coordinates. A coordinate's value is t
 of JOINED independent orders of the document's shingles, so two documents of similarity j agree in it with
 probability j**JOINED: common shingles alone seldom make a value, and lists stay short as the corpus grows.
 A document is posted under its coordinate-value pairs. A pair of documents of similarity 0.8 agrees in at
-least MATCHES coordinates (it misses that with a chance below 1e-7), so
+least MATCHES coordinates (it misses that with a chance of about 1e-7), so
 
 * a document that shares fewer than MATCHES of its postings with anyone is skipped;
 * of a document's postings, ordered by how many documents share them, only the rarest
@@ -14,9 +14,12 @@ least MATCHES coordinates (it misses that with a chance below 1e-7), so
   full shingle sets confirm the threshold.
 
 Documents with one and the same shingle set are one class from the start. No list of postings is expanded
-into all its pairs: in each round a list compares its members with one of them and the links found are
-contracted into components; the pairs between members that still are in different components, and only
-those, are compared at the end. Nothing is capped: every pair that could join two components is compared.
+into all its pairs. First every document is compared with that of its lists' centres (a list's centre is the
+first of its members in a random order) that it collides with most often; then the lists' documents are dealt
+into blocks, in which all are compared and only links that join are let out. What is found is contracted into
+components after each step. What then remains are lists whose members are in different components: documents
+that hang together by lists of more than LONG members are compared block by block with every block, the
+others pair by pair inside the join. Nothing is capped: every pair that could join two components is compared.
 
 Nulls and blank texts have an empty set: they are linked with nothing and kept. Rows with a null id are one
 document each in no component's way: they come out with a null component and are kept. Repeated ids are
@@ -25,19 +28,19 @@ taken as one document per row and share the id's component. Columns besides id a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
 from ._tables import components, drop, table
 
-COORDS, JOINED, MATCHES, ROUNDS = 32, 3, 3, 3
+COORDS, JOINED, MATCHES, STARS, DEALS, BLOCK, LONG = 48, 5, 2, 1, 2, 384, 64
 _A = W.mix(np.arange(1, COORDS * JOINED + 1, dtype=np.uint64)) | np.uint64(1)
-_B = W.mix(np.arange(1001, COORDS * JOINED + 1001, dtype=np.uint64))
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -61,7 +64,7 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
                 for c in range(COORDS):
                     v = np.full(rows, c, np.uint64)
                     for o in range(c * JOINED, (c + 1) * JOINED):
-                        v = W.mix(v * W._M + W.reduce_rows(np.minimum, h * _A[o] + _B[o], at, np.uint64(0)))
+                        v = W.mix(v * W._M + W.reduce_rows(np.minimum, h * _A[o], at, np.uint64(0)))
                     sig[:, c] = v
                 out[3].append(sig)
             if out[0]:
@@ -85,15 +88,74 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def _collisions(a: str, b: str) -> Column:
+    """In how many coordinates two signatures agree; a value names its coordinate, so that is a set's size."""
+    return F.size(F.array_intersect(a, b))
+
+
 def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that collide in MATCHES coordinates and whose full sets reach the threshold."""
     one = lambda s: held.select(F.col("doc_id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"))
-    hits = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda z: z))
-    met = pairs.join(one("a"), "a").join(one("b"), "b").where(hits >= MATCHES)
+    met = pairs.join(one("a"), "a").join(one("b"), "b").where(_collisions("sig_a", "sig_b") >= MATCHES)
     both = F.size(F.array_intersect("set_a", "set_b"))
     return met.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def _linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components among the rows (doc_id, v, part, component, shingles) of one v and part.
+
+    All documents there that are in different components are compared. A group is as large as two blocks,
+    whose documents were dealt by a hash; a link is let out only if it joins two components.
+    """
+
+    def joined(ids: list[int], names: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        root = {n: n for n in names}
+
+        def find(n: int) -> int:
+            while root[n] != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        most = Counter(names).most_common(1)[0][0]
+        size = np.array([len(x) for x in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.r_[0, np.cumsum(size)]
+        mark = np.zeros(int(code.max()) + 1, np.int64)
+        for i in range(len(ids)):
+            if names[i] == most:
+                continue  # those outside the largest component are compared with all
+            mark[code[at[i]:at[i + 1]]] = 1
+            both = np.add.reduceat(mark[code], at[:-1])
+            mark[code[at[i]:at[i + 1]]] = 0
+            for j in np.flatnonzero(100 * both >= percent * (size[i] + size - both)):
+                x, y = find(names[i]), find(names[int(j)])
+                if x != y:
+                    root[x] = y
+                    yield ids[i], ids[int(j)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, names, sets = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            links = list(joined(ids, names, sets)) if len(set(names)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            doc, v, part, name = (b.column(k).to_pylist() for k in range(4))
+            for i in range(b.num_rows):
+                if (v[i], part[i]) != key:
+                    if len(ids) > 1:
+                        yield out()
+                    key, ids, names, sets = (v[i], part[i]), [], [], []
+                ids.append(doc[i])
+                names.append(name[i])
+                sets.append(b.column(4)[i].values.to_numpy().copy())
+        yield out()
+
+    return rows.select("doc_id", "v", "part", "component", "shingles").repartition(F.col("v"), F.col("part")).sortWithinPartitions("v", "part").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: ``k`` words to a shingle, linked from ``percent``."""
     feats = table(signatures(docs, k, id_col, text_col), "sig")
@@ -115,18 +177,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     held = table(shingle_sets(texts.join(met, "doc_id", "left_semi"), k).join(reps.select("doc_id", "sig"), "doc_id").dropDuplicates(["doc_id"]), "sets")
 
     label = table(met.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")), "label")
-    for turn in range(ROUNDS + 1):
-        at = prefix.join(label.withColumnRenamed("node", "doc_id"), "doc_id")
+    for turn in range(STARS + DEALS + 2):
         # a list whose members are in one component has nothing more to find
-        centre = (at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("x"))
-                  .where("lo < hi").select("v", "x"))
-        if turn < ROUNDS:
-            pairs = at.join(centre, "v").where("component <> x.component").select(F.least("doc_id", "x.doc_id").alias("a"), F.greatest("doc_id", "x.doc_id").alias("b"))
+        at = prefix.join(label.withColumnRenamed("node", "doc_id"), "doc_id")
+        lists = at.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("x")).where("lo < hi")
+        if turn < STARS:
+            met = at.join(lists.select("v", "x"), "v").where("component <> x.component").groupBy("doc_id", "x.doc_id").agg(F.count("*").alias("n")).toDF("doc_id", "x", "n")
+            one = met.groupBy("doc_id").agg(F.max_by("x", F.struct("n", "x")).alias("x"))
+            links = _confirmed(one.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct(), held, percent)
+        elif turn < STARS + DEALS:
+            by = F.struct("size", "v") if turn == STARS else F.struct(F.xxhash64("v", F.lit(turn)), "v")
+            open_lists = table(at.join(lists.select("v", "size"), "v").groupBy("doc_id").agg(F.max_by("v", by).alias("v")), "open")
+            groups = open_lists.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+            dealt = open_lists.join(groups, "v").select("doc_id", "v", F.pmod(F.xxhash64("doc_id", F.lit(turn)), "parts").cast("string").alias("part"))
+            links = _linked_in_blocks(dealt.join(label.withColumnRenamed("node", "doc_id"), "doc_id").join(held.select("doc_id", "shingles"), "doc_id"), percent)
+        elif turn == STARS + DEALS:
+            # long lists: what hangs together by them is compared block by block with all of its blocks
+            long = at.join(lists.where(F.col("size") > LONG).select("v", F.col("x.doc_id").alias("x")), "v")
+            hangs = components(long.select(F.col("doc_id").alias("a"), F.col("x").alias("b")))
+            parts = hangs.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+            own = hangs.join(parts, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("v"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("p"))
+            own = own.select("doc_id", "v", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+            dealt = own.select("doc_id", "v", F.concat_ws("-", F.least("p", "q"), F.greatest("p", "q")).alias("part"))
+            links = _linked_in_blocks(dealt.join(label.withColumnRenamed("node", "doc_id"), "doc_id").join(held.select("doc_id", "shingles"), "doc_id"), percent)
         else:
-            left = table(at.join(centre.select("v"), "v", "left_semi"), "left")
-            one = lambda s: left.select("v", F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"))  # noqa: B023, E731
-            pairs = one("a").join(one("b"), "v").where("a < b and ca <> cb").select("a", "b")
-        links = table(_confirmed(pairs.distinct(), held, percent), "links")
+            # a pair is let out of the one list that is the first it shares, and only if it collides often enough
+            mine = prefix.groupBy("doc_id").agg(F.sort_array(F.collect_list("v")).alias("lists"))
+            left = table(at.join(lists.where(F.col("size") <= LONG).select("v"), "v", "left_semi").join(mine, "doc_id").join(held.select("doc_id", "sig"), "doc_id"), "left")
+            one = lambda s: left.select("v", F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), F.col("lists").alias(f"l{s}"), F.col("sig").alias(f"s{s}"))  # noqa: B023, E731
+            met_first = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.get(F.array_intersect("la", "lb"), F.lit(0)) == F.col("v"))
+            pairs = one("a").join(one("b").withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & met_first & (_collisions("sa", "sb") >= MATCHES)).select("a", "b")
+            links = _confirmed(pairs, held, percent)
+        links = table(links, "links")
         if not links.isEmpty():
             name = label.select(F.col("node"), F.col("component"))
             ends = links.join(name.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a").join(name.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b")
