@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import bpe, chat, chunks, html_text, lines, near_dup, neighbours, packing, quality
 
-_MODULES = [near_dup]
+_MODULES = [chunks, packing, quality, neighbours, bpe, chat, lines, near_dup, html_text]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in getattr(m, "ORACLES", {}).items()}
