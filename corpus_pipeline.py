@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import near_dup
+from textloom.llm import chunks, lines, near_dup, packing, quality
 from textloom.llm._tables import table
+from textloom.session import ship
+
+
+def _shipped(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    run.__doc__ = stage.__doc__
+    return run
+
 
 STAGES = [
-    ("near_dedup", near_dup.stage),
+    ("quality_rules", _shipped(quality.stage)),
+    ("line_dedup", _shipped(lines.stage)),
+    ("near_dedup", _shipped(near_dup.stage)),
+    ("substring_dedup", _shipped(chunks.stage)),
+    ("packing", _shipped(packing.stage)),
 ]
+#: Hashes of their own decide the middle stages, which SQL cannot express.
 ORACLE_SQL = None
 
 
