@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,7 +51,6 @@ class Automaton:
         self.label = [b""] * n
         for t, i in vocab.items():
             self.label[i] = t
-        self.longest = max(map(len, vocab))
         self.target = [0] * n
         self.made = [-1] * n  # the merge that made a token
         self.parts: list[tuple[int, int] | None] = [None] * n
@@ -81,6 +81,11 @@ class Automaton:
             todo.extend((c, False) for c in children[k])
         self.arcs: dict[int, bool] = {}
         self.size = n
+        #: Tokens that stand on some path, and the length of the longest that starts with two bytes.
+        self.reachable = {t: i for t, i in vocab.items() if len(t) == 1 or self.parts[i] is not None}
+        self.reach: dict[bytes, int] = defaultdict(lambda: 1)
+        for t in self.reachable:
+            self.reach[t[:2]] = max(self.reach[t[:2]], len(t))
 
     @staticmethod
     def _above(parent: list[int], s: int, t: int) -> bool:
@@ -126,23 +131,27 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens on the path that accepts ``word``."""
-        ids, n = self.ids, len(word)
+        ids, arcs, reach, n, most = self.reachable, self.arcs, self.reach, len(word), self.size
         whole = ids.get(word)
-        if whole is not None and (n == 1 or self.parts[whole] is not None):
+        if whole is not None:
             return [whole]
         out: list[int] = []
         dead = set()  # places that are reached but not left on the path
-        at, size = 0, min(self.longest, n)
+        at, size = 0, min(reach[word[:2]], n)
         while at < n:
             while size:
                 x = ids.get(word[at:at + size])
-                if x is not None and at + size not in dead and (size == 1 or self.parts[x] is not None) and (not out or self.arc(out[-1], x)):
-                    break
+                if x is not None and (not dead or at + size not in dead):
+                    if not out:
+                        break
+                    ok = arcs.get(out[-1] * most + x)
+                    if ok or (ok is None and self.arc(out[-1], x)):
+                        break
                 size -= 1
             if size:
                 out.append(x)
                 at += size
-                size = min(self.longest, n - at)
+                size = min(reach[word[at:at + 2]], n - at) if at < n else 0
             else:
                 dead.add(at)
                 size = len(self.label[out.pop()])

@@ -21,7 +21,7 @@ from ._tables import join_small, table
 
 MIN_WORDS, WINDOW, MIN_TEXTS, SUB_BITS = 10, 5, 50, 6
 #: Of each measure: the least distance between q3 and its upper fence, and whether there is a lower one.
-MEASURES = {"word_len": (200, True), "symbols": (100, False), "dup_lines": (300, False), "repeats": (150, False), "capitals": (300, False)}
+MEASURES = {"word_len": (200, True), "symbols": (40, False), "dup_lines": (500, False), "repeats": (150, False), "capitals": (300, False)}
 _NONE = "\x00"
 
 
@@ -46,7 +46,8 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_ink", ink(text)).withColumn("word_chars", F.length("_ink").cast("long"))
     d = d.withColumn("n_symbols", (F.col("word_chars") - F.length(F.translate("_ink", "#*$%&|<>", ""))).cast("long"))
     d = d.withColumn("_caps", F.col("word_chars") - F.length(F.regexp_replace("_ink", "\\p{Lu}+", ""))).drop("_ink")
-    d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    # the partition's number, always true here, keeps filters above from being copied down through all of this
+    d = d.withColumn("base_failed", ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))) & (F.spark_partition_id() >= 0))
     per = lambda a, b, k=1000: F.when(F.expr(f"{b} > 0"), F.expr(f"{k}L * {a} div {b}")).otherwise(F.lit(0).cast("long"))
     return d.withColumns({"word_len": per("word_chars", "n_words", 100), "symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "_n_lines"), "repeats": per("n_repeat_words", "n_words"), "capitals": per("_caps", "word_chars")}).drop("_n_lines", "_caps")
 
