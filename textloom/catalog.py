@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "doc_percent"
+import importlib
+
+from .plans import registry
+
+FLAGSHIP = "B12_doc_percent"
+MODULES = ("scalars", "documents")
+for _m in MODULES:
+    importlib.import_module(f".plans.{_m}", __package__)
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)

@@ -39,3 +39,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(here.name) / p.relative_to(here)))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: under ``spark.checkpoint.dir``; a temporary one if that is
+    unset, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
