@@ -7,7 +7,7 @@ import importlib
 from .plans import registry
 
 FLAGSHIP = "B12_doc_percent"
-MODULES = ("scalars", "documents")
+MODULES = ("scalars", "documents", "evaluation")
 for _m in MODULES:
     importlib.import_module(f".plans.{_m}", __package__)
 
