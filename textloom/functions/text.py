@@ -214,11 +214,25 @@ def sentences(c) -> Column:
     return F.split(_c(c), "(?<=[.!?])\\s+")
 
 
+def word_list(c) -> Column:
+    """The runs of ASCII letters, digits and underscores, in lower case."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(f"({WORD})"), 1)
+
+
+def shingles_of(w, k: int = 3) -> Column:
+    """The distinct runs of k elements of an array; its elements if there are fewer. The array is zipped with
+    itself, shifted, and so is read k times and not once for each run."""
+    w = _c(w)
+    runs = w
+    for j in range(1, k):
+        runs = F.zip_with(runs, F.slice(w, j + 1, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    runs = F.slice(runs, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))
+    return F.array_distinct(F.when(F.size(w) >= k, runs).otherwise(w))
+
+
 def shingles(c, k: int = 3) -> Column:
     """The distinct runs of k words, without punctuation; the words themselves if there are fewer."""
-    w = F.regexp_extract_all(F.lower(_c(c)), F.lit(f"({WORD})"), 1)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.array_distinct(F.when(F.size(w) >= k, runs).otherwise(w))
+    return shingles_of(word_list(c), k)
 
 
 # --- token locking: a map of placeholders, which only imperative code can number in order ---
