@@ -7,7 +7,7 @@ import importlib
 from .plans import registry
 
 FLAGSHIP = "B12_doc_percent"
-MODULES = ("scalars", "documents", "evaluation", "preparation")
+MODULES = ("scalars", "documents", "evaluation", "preparation", "citing", "rest")
 for _m in MODULES:
     importlib.import_module(f".plans.{_m}", __package__)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def topic_split(df: DataFrame, topic: str, seed: str = "42") -> DataFrame:
     """``df`` with ``split``: a fold over the topics' counts in the order of a hash of their name; rows follow by
     a join. The fold runs in one task over the table of topics only."""
 
-    import pandas as pd
-
     counts = df.groupBy(topic).agg(F.count("*").alias("n"))
 
     def fold(t: pd.DataFrame) -> pd.DataFrame:
@@ -53,7 +52,7 @@ def topic_split(df: DataFrame, topic: str, seed: str = "42") -> DataFrame:
         return pd.DataFrame(pairs, columns=[topic, "split"])
 
     kind = dict(df.dtypes)[topic]
-    m = counts.withColumn("h", F.md5(F.concat(F.col(topic), F.lit(seed)))).groupBy(F.lit(0).alias("one")).applyInPandas(lambda t: fold(t), f"{topic} {kind}, split string")
+    m = counts.withColumn("h", F.md5(F.concat(F.col(topic), F.lit(seed)))).groupBy(F.lit(0).alias("one")).applyInPandas(fold, f"{topic} {kind}, split string")
     return df.join(m, topic)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +60,6 @@ def score_with(df: DataFrame, scorer: Callable[[list[str]], list[float]] | None,
     if scorer is None:
         raise ValueError("no scorer was given, and there is none to fall back to")
 
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(scorer(s.tolist()), dtype="float64")

@@ -142,10 +142,10 @@ def b18(spark, d):
     return bins.join(F.broadcast(c), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))  # one row a bin
 
 
-@query("B19_token_buckets", "WITH d AS (SELECT n_chars // 1000 AS bucket, n_chars FROM documents) SELECT bucket, count(*) AS n, round(avg(n_chars), 6) AS mean FROM d GROUP BY GROUPING SETS ((bucket), ())")
+@query("B19_token_buckets", "WITH d AS (SELECT n_chars // 1000 AS bucket, n_chars FROM documents) SELECT coalesce(bucket, -1) AS bucket, count(*) AS n, round(avg(n_chars), 6) AS mean FROM d GROUP BY GROUPING SETS ((bucket), ())")
 def b19(spark, d):
     t = read(spark, d, "documents").select(F.expr("n_chars div 1000").alias("bucket"), "n_chars")
-    return t.groupingSets([["bucket"], []], "bucket").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    return t.groupingSets([["bucket"], []], "bucket").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean")).withColumn("bucket", F.coalesce("bucket", F.lit(-1).cast("long")))  # -1: all
 
 
 @query("F06_small_samples", f"WITH {EVAL} SELECT source, count(*) AS n, count(*) < 30 AS anecdotal FROM l GROUP BY source HAVING count(*) >= 10")

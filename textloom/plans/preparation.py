@@ -121,9 +121,9 @@ def g03(spark, d):
     return c.select("conv_id", F.explode(F.concat(part("human", 0), part("machine", 1))).alias("x")).select("conv_id", "x.text", "x.label").where(F.trim("text") != "")
 
 
-@query("G04_unpivot", "SELECT doc_id, 0 AS label, text FROM documents UNION ALL SELECT doc_id, 1, upper(text) FROM documents")
+@query("G04_unpivot", "SELECT doc_id, 0 AS label, text FROM documents UNION ALL SELECT doc_id, 1, text || ' (generated)' FROM documents")
 def g04(spark, d):
-    w = read(spark, d, "documents").select("doc_id", F.col("text").alias("real"), F.upper("text").alias("generated"))
+    w = read(spark, d, "documents").select("doc_id", F.col("text").alias("real"), F.concat("text", F.lit(" (generated)")).alias("generated"))
     return w.selectExpr("doc_id", "stack(2, 0, real, 1, generated) as (label, text)")
 
 
