@@ -15,10 +15,7 @@ no label; repeated rows count once each. Language, source, id and labels are no
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,48 +25,79 @@ from pyspark.sql import functions as F
 from . import _words as W
 from . import fingerprint as P
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, WINDOW, EPOCHS, RATE, DECAY = 1500, 3000, 15, 60, 0.5, 1e-6
-DIMS, FEATURES, NOTED, REMEMBERED = 1 << 18, 14, 0.1, 500_000
-_CORE = re.compile(r"^[\W_]+|[\W_]+$")
-
-
-def core(word: str) -> str:
-    """A word in lower case without what is no letter or digit at its ends."""
-    return _CORE.sub("", word).lower()
-
-
-def features(word: str) -> list[int]:
-    """FEATURES numbers below DIMS; 0 stands for none."""
-    w = core(word)
-    names = [f"w{w}", *(f"p{w[:k]}" for k in (3, 4, 5, 6, 7, 8) if len(w) >= k), *(f"s{w[-k:]}" for k in (3, 4, 5) if len(w) >= k),
-             f"n{min(len(w), 12)}", f"c{word[:1].isupper()}{word.isupper()}", f"x{len(word) - len(w)}"]
-    out = [1 + zlib.crc32(n.encode()) % (DIMS - 1) for n in names]
-    return out + [0] * (FEATURES - len(out))
-
-
-def _starts(word: str) -> list[str]:
-    w = core(word)
-    return [f"w{w}", *(f"p{w[:k]}" for k in (4, 5, 6, 7, 8) if len(w) > k)] if len(w) >= 3 else []
-
-
-def lexicon(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """The forms and beginnings of words that are over ten times as frequent in toxic texts, beyond chance."""
-    a, b = len(toxic), len(clean)
-    if not a or not b:
-        return set()
-    pos = Counter(f for t in toxic for f in t)
-    pos = {f: n for f, n in pos.items() if n >= 3}
-    neg = Counter(f for t in clean for f in t if f in pos)
-    out = set()
-    for f, n in pos.items():
-        m = neg.get(f, 0)
-        if n / a < 10 * (m + 0.5) / b:
-            continue
-        rate = (n + m) / (a + b)
-        g = 2 * (n * math.log(n / a / rate) + (m * math.log(m / b / rate) if m else 0))
-        if g > 28:
-            out.add(f)
-    return out
+SAMPLE_TOXIC, SAMPLE_CLEAN, WINDOW, EPOCHS, RATE, DECAY = 1000, 2000, 15, 60, 0.5, 1e-6
+DIMS, NOTED = 1 << 18, 0.1
+PREFIXES, SUFFIXES, LEXICON = (3, 4, 5, 6, 7, 8), (3, 4, 5), (4, 5, 6, 7, 8)
+FEATURES = 1 + len(PREFIXES) + len(SUFFIXES) + 3
+_INK = np.zeros(256, bool)  # letters and digits: ASCII, and all bytes of longer characters
+_INK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+class _Words:
+    """The cores of words, lower-cased and without what is no letter or digit at their ends, as byte ranges of
+    ``raw``, and hashes of any part of them."""
+
+    def __init__(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        low = raw.copy()
+        low[(raw >= 65) & (raw <= 90)] += 32
+        after = np.r_[False, raw[:-1] == 0xC3] if len(raw) else np.zeros(0, bool)
+        low[after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 32  # capital letters of Latin-1
+        n = len(raw)
+        place = np.arange(n)
+        ahead = np.minimum.accumulate(np.where(_INK[raw], place, n)[::-1])[::-1] if n else place
+        behind = np.maximum.accumulate(np.where(_INK[raw], place, -1)) if n else place
+        self.first, self.last, self.raw = first, last, raw
+        self.start = np.minimum(ahead[first], last) if n else first
+        self.stop = np.maximum(behind[last - 1] + 1, self.start) if n else last
+        self.size = self.stop - self.start
+        up, self.down = W._power(max(1, n))
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(W._BYTE[low] * up[:n], out=self.total[1:])
+
+    def hash(self, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+        h = (self.total[b] - self.total[a]) * self.down[np.minimum(a, len(self.down) - 1)]
+        return W.mix(h + np.uint64(salt) * W._M)
+
+    def features(self) -> np.ndarray:
+        """FEATURES numbers below DIMS of each word; 0 stands for none."""
+        cols = [self.hash(self.start, self.stop, 1)]
+        for k in PREFIXES:
+            cols.append(np.where(self.size >= k, self.hash(self.start, np.minimum(self.start + k, self.stop), 10 + k), 0))
+        for k in SUFFIXES:
+            cols.append(np.where(self.size >= k, self.hash(np.maximum(self.stop - k, self.start), self.stop, 30 + k), 0))
+        head = self.raw[self.first] if len(self.raw) else self.first
+        cols.append(W.mix(np.minimum(self.size, 16).astype(np.uint64) + np.uint64(100)))
+        cols.append(W.mix(((head >= 65) & (head <= 90)).astype(np.uint64) + np.uint64(200)))
+        cols.append(W.mix(np.minimum(self.last - self.first - self.size, 6).astype(np.uint64) + np.uint64(300)))
+        x = np.stack(cols, axis=1)
+        return np.where(x == 0, 0, 1 + (x % np.uint64(DIMS - 1)).astype(np.int64))
+
+    def forms(self) -> np.ndarray:
+        """Of each word the hashes of its form and its beginnings, 0 where it is too short to have one."""
+        cols = [np.where(self.size >= 3, self.hash(self.start, self.stop, 1), 0)]
+        for k in LEXICON:
+            cols.append(np.where(self.size > k, self.hash(self.start, np.minimum(self.start + k, self.stop), 10 + k), 0))
+        return np.stack(cols, axis=1)
+
+
+def lexicon(toxic: Iterable[np.ndarray], clean: Iterable[np.ndarray]) -> np.ndarray:
+    """The forms and beginnings of words that are over ten times as frequent in toxic texts, beyond chance;
+    ``toxic`` and ``clean`` give the distinct ones of each text."""
+    found = list(toxic)
+    if not found:
+        return np.zeros(0, np.uint64)
+    a, b = len(found), 0
+    f, n = np.unique(np.concatenate(found), return_counts=True)
+    f, n = f[(n >= 3) & (f > 0)], n[(n >= 3) & (f > 0)]
+    m = np.zeros(len(f), np.int64)
+    for t in clean:
+        b += 1
+        m += np.isin(f, t, assume_unique=True)
+    if not b:
+        return np.zeros(0, np.uint64)
+    rate = (n + m) / (a + b)
+    g = 2 * (n * np.log(n / a / rate) + np.where(m > 0, m * np.log(np.maximum(m, 1) / b / rate), 0.0))
+    return f[(n / a >= 10 * (m + 0.5) / b) & (g > 28)]
 
 
 class Field:
@@ -182,28 +210,35 @@ def learn(sample: list[tuple[str, int]]) -> Field:
         if not keep or ((held[: len(keep)] == b[i]).mean(axis=1) < 0.5).all():
             held[len(keep)] = b[i]
             keep.append(i)
-    texts = [(sample[i][0].split(), sample[i][1]) for i in keep]
-    marks: dict[str, list[str]] = {}
-    starts = [{f for w in set(t) for f in (marks.get(w) or marks.setdefault(w, _starts(w)))} for t, _ in texts]
-    known = lexicon([s for s, (_, y) in zip(starts, texts, strict=True) if y], [s for s, (_, y) in zip(starts, texts, strict=True) if not y])
+    forms = lambda kind: (np.unique(_read(sample[i][0]).forms()) for i in keep if bool(sample[i][1]) == kind)
+    known = lexicon(forms(True), forms(False))
     rng = np.random.default_rng(7)
     xs, ys = [], []
-    for t, y in texts:
-        like = [not known.isdisjoint(marks[w]) for w in t]
-        toxic = [int(bool(y) and v) for v in like]
-        spots = [k for k, v in enumerate(like) if v][:6]  # in a clean text the same words teach what is none
-        spots += rng.integers(0, max(1, len(t)), 2).tolist()
+    for i in keep:
+        w, y = _read(sample[i][0]), sample[i][1]
+        n = len(w.first)
+        like = np.isin(w.forms(), known).any(axis=1) if len(known) else np.zeros(n, bool)
+        # in a clean text the words that look toxic teach what is none
+        spots = [*np.flatnonzero(like)[:6].tolist(), *rng.integers(0, max(1, n), 2).tolist()]
+        if n < WINDOW:
+            continue
+        x = w.features().astype(np.int32)
         for k in spots:
-            lo = max(0, min(k - WINDOW // 2, len(t) - WINDOW))
-            if len(t) >= WINDOW:
-                xs.append([features(w) for w in t[lo:lo + WINDOW]])
-                ys.append(toxic[lo:lo + WINDOW])
+            lo = max(0, min(k - WINDOW // 2, n - WINDOW))
+            xs.append(x[lo:lo + WINDOW])
+            ys.append((like[lo:lo + WINDOW] & bool(y)).astype(np.int64))
     if xs:
         field = Field()
-        field.fit(np.array(xs), np.array(ys))
+        field.fit(np.stack(xs), np.stack(ys))
     return field
 
 
+def _read(text: str) -> _Words:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    _, _, first, last = W.words(raw, np.array([0, len(raw)]))
+    return _Words(raw, first, last)
+
+
 def tagged(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     """(doc_id, score, spans) of documents (doc_id, text): spans are characters (start, stop) with the marginal."""
     weights, kind = field.w.astype(np.float32), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())]))
@@ -211,22 +246,12 @@ def tagged(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     light.w, light.t, light.s = np.zeros(1), field.t, field.s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, float] = {}
         for b in batches:
             done = 0
             for i, j, raw, at in W.slices(b.column(1)):
                 h, row, first, last = W.words(raw, at)
-                uniq, where, code = np.unique(h, return_index=True, return_inverse=True)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                data = raw.tobytes()
-                u = np.empty(len(uniq))
-                for k, x in enumerate(uniq.tolist()):
-                    v = seen.get(x)
-                    if v is None:
-                        q = int(where[k])
-                        v = seen[x] = float(weights[features(data[first[q]:last[q]].decode("utf-8", "replace"))].sum())
-                    u[k] = v
+                _, where, code = np.unique(h, return_index=True, return_inverse=True)
+                u = weights[_Words(raw, first[where], last[where]).features()].sum(axis=1).astype(np.float64)
                 p = light.marginals(u[code], row)
                 off = np.searchsorted(row, np.arange(j - i + 1))
                 most = W.reduce_rows(np.maximum, p, off, 0.0)
