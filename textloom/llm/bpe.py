@@ -57,8 +57,8 @@ class Automaton:
         parent, self.state, self.rank = [-1], {}, {}
         for r, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            # before the tour is numbered, ancestors are found by walking up
-            if not self._arc(u, v, lambda s, t: self._above(parent, s, t)):
+            # no arc leads to what no merge could make; before the tour is numbered, ancestors are found by walking up
+            if any(len(t) > 1 and self.parts[i] is None for t, i in ((a, u), (b, v))) or not self._arc(u, v, lambda s, t: self._above(parent, s, t)):
                 continue  # no state has an arc u into a state with an arc v
             self.parts[w], self.made[w] = (u, v), r
             self.target[w] = self.target[v]

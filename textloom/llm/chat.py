@@ -85,9 +85,14 @@ def turns(df: DataFrame) -> DataFrame:
 def turns_of_json(df: DataFrame, json_col: str = "record") -> DataFrame:
     """``df`` with ``layout`` and ``turns`` of each JSON record; both null where no layout has its field paths."""
     keys = F.coalesce(F.json_object_keys(json_col), F.array().cast("array<string>"))
-    nested = lambda a: F.coalesce(F.json_object_keys(F.get_json_object(json_col, f"$.{a}[0]")), F.array().cast("array<string>"))
+
+    def inside(a: str) -> Column:
+        """The paths of the fields of an array's elements, as the first has them."""
+        names = F.coalesce(F.json_object_keys(F.get_json_object(json_col, f"$.{a}[0]")), F.array().cast("array<string>"))
+        return F.transform(names, lambda k: F.concat(F.lit(f"{a}[]."), k))
+
     arrays = sorted({p.split("[]")[0] for p in _KNOWN if "[]" in p})
-    found = F.concat(keys, *[F.transform(nested(a), lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)) for a in arrays])
+    found = F.concat(keys, *[inside(a) for a in arrays])
     known = F.array_sort(F.array_intersect(found, F.array(*map(F.lit, _KNOWN))))
     mark = F.sha2(F.array_join(known, "\n"), 256)
     layout = F.coalesce(*[F.when(mark == h, F.lit(n)) for h, n in BY_FINGERPRINT.items() if LAYOUTS[n][1]])

@@ -86,7 +86,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, places): the places of the chunks that an earlier one equals."""
-    all_chunks = chunks(docs)
+    all_chunks = chunks(docs.select("doc_id", "text"))
     at = F.struct("doc_id", "place")
     first = all_chunks.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("digest", "first")
     later = all_chunks.join(first, "digest").where(at > F.col("first"))
@@ -122,11 +122,14 @@ def removed(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
     return (out.rstrip(b" \t\n\x0b\f\r") if done == len(data) else out).decode(), went
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated passages cut out of ``text`` and ``cut_spans``, the bytes that went."""
+def substring_dedup(docs: DataFrame, out_col: str = "cut_spans") -> DataFrame:
+    """``docs`` with the repeated passages cut out of ``text`` and ``out_col``, the bytes that went; a column of
+    that name is replaced."""
+    docs = docs.drop(out_col)
     columns = docs.columns
-    joined = docs.join(repeats(docs).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    schema = docs.select("*", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))).alias("cut_spans")).schema
+    found = repeats(docs).toDF("_textloom_id", "_textloom_places")
+    joined = docs.join(found, F.col("doc_id") == F.col("_textloom_id"), "left").drop("_textloom_id")
+    schema = docs.select("*", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))).alias(out_col)).schema
     t, c = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +149,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 cols[t] = pa.array(texts, cols[t].type)
                 if chars:
                     cols[c] = pa.array(chars, cols[c].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], names=[*columns, "cut_spans"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], names=[*columns, out_col])
 
-    return joined.select(*columns, "places").mapInArrow(run, schema)
+    return joined.select(*columns, "_textloom_places").mapInArrow(run, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -160,7 +163,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; a document of which nothing is left goes."""
-    return substring_dedup(docs).where("size(cut_spans) = 0 or trim(text) <> ''").select(*docs.columns)
+    return substring_dedup(docs, "_textloom_cut").where("size(_textloom_cut) = 0 or trim(text) <> ''").select(*docs.columns)
 
 
 QUERIES = {"op1_substring_dedup": op1}

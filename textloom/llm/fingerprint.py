@@ -91,6 +91,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of ``text_col`` as column ``out_col``."""
+    docs = docs.drop(out_col)
     schema = docs.select("*", F.lit("").alias(out_col)).schema
     at = docs.columns.index(text_col)
 
@@ -103,6 +104,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
 
 def likenesses(pairs: DataFrame, a: str, b: str, out_col: str = "likeness") -> DataFrame:
     """``pairs`` with the likeness of two columns of fingerprints; null where one is null."""
+    pairs = pairs.drop(out_col)
     schema = pairs.select("*", F.lit(None).cast("double").alias(out_col)).schema
     i, j = pairs.columns.index(a), pairs.columns.index(b)
 

@@ -131,11 +131,14 @@ def deletions(docs: DataFrame) -> DataFrame:
     return rows.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "df", "first").mapInArrow(run, "doc_id long, gone array<int>")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that ``deletions`` names, which come as ``gone``; null where none go."""
+def line_dedup(docs: DataFrame, out_col: str = "gone") -> DataFrame:
+    """``docs`` without the lines that ``deletions`` names, which come as ``out_col``, null where none go; a
+    column of that name is replaced."""
+    docs = docs.drop(out_col)
     columns = docs.columns
-    joined = docs.join(deletions(docs).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    schema = docs.select("*", F.lit(None).cast("array<int>").alias("gone")).schema
+    found = deletions(docs.select("doc_id", "text")).toDF("_textloom_id", "_textloom_gone")
+    joined = docs.join(found, F.col("doc_id") == F.col("_textloom_id"), "left").drop("_textloom_id")
+    schema = docs.select("*", F.lit(None).cast("array<int>").alias(out_col)).schema
     t, c = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +156,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
                 cols[t] = pa.array(texts, cols[t].type)
                 if chars:
                     cols[c] = pa.array(chars, cols[c].type)
-            yield pa.RecordBatch.from_arrays(cols, names=[*columns, "gone"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*columns, out_col])
 
-    return joined.select(*columns, "gone").mapInArrow(run, schema)
+    return joined.select(*columns, "_textloom_gone").mapInArrow(run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -166,7 +169,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated blocks of lines; a document of which nothing is left goes."""
-    return line_dedup(docs).where("gone is null or trim(text) <> ''").select(*docs.columns)
+    return line_dedup(docs, "_textloom_out").where("_textloom_out is null or trim(text) <> ''").select(*docs.columns)
 
 
 QUERIES = {"op8_line_dedup": op8}

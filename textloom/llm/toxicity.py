@@ -56,7 +56,7 @@ class _Words:
 
     def hash(self, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         h = (self.total[b] - self.total[a]) * self.down[np.minimum(a, len(self.down) - 1)]
-        return W.mix(h + np.uint64(salt) * W._M)
+        return W.mix(h + np.uint64(salt * int(W._M) & 0xFFFFFFFFFFFFFFFF))
 
     def features(self) -> np.ndarray:
         """FEATURES numbers below DIMS of each word; 0 stands for none."""
