@@ -1,0 +1,147 @@
+"""Cases with known results, and edges."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import text as T
+from textloom.operators import citations as C
+from textloom.operators import dedupe as U
+from textloom.operators import document as D
+from textloom.operators import metrics as M
+from textloom.operators import robustness as B
+from textloom.operators import sampling as S
+from textloom.operators import segment as G
+from textloom.sources import files as A
+
+
+def one(spark, value, expr, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(expr.alias("y")).first().y
+
+
+@pytest.mark.parametrize(("x", "y"), [
+    ("<p>Hello <b>world</b></p>", "Hello world"), ("Hello\x00 world\r\n", "Hello world"), ("“q” ‘s’", "\"q\" 's'"),
+    ("## Header\n**bold** and _italic_", "Header\nbold and italic"), ("Too    much   space", "Too much space"), ("run `code` now", "run code now"), (None, ""),
+])
+def test_clean(spark, x, y):
+    assert one(spark, x, T.clean("x")).replace("  ", " ") == y
+
+
+def test_sentences_and_topics(spark):
+    assert len(one(spark, "Hello world. This is a sentence! Does it work? Yes, indeed.", T.sentences("x"))) == 4
+    assert one(spark, "Car-free Cities! (USA)", T.topic("x")) == "carfree_cities_usa"
+    assert one(spark, "  ", T.topic("x")) == one(spark, None, T.topic("x")) == "unknown_topic"
+
+
+@pytest.mark.parametrize(("x", "y"), [("see 10.1000/xyz123.", "10.1000/xyz123"), ("https://doi.org/10.1000/abc)", "10.1000/abc"), ("doi:10.1000/a.b;", "10.1000/a.b"), ("none", None)])
+def test_doi(spark, x, y):
+    assert one(spark, x, T.doi("x")) == y
+
+
+def test_locks(spark):
+    x = "The NASA study [1] found 45% of $a+b$ (Smith, 2020)."
+    text, held = T.lock_text(x)
+    assert T.restore_text(text, held) == x and "NASA" not in text
+    r = spark.createDataFrame([(x,)], "x string").select(T.locked("x").alias("l")).select("l.*").select(T.restored("text", "held").alias("r"), T.locks_intact(T.restored("text", "held"), "held").alias("ok")).first()
+    assert r.r == x and r.ok
+
+
+def test_smoothing_edges(spark):
+    d = spark.createDataFrame([(1, 0, 0.5), (2, 0, 0.0), (2, 1, 1.0), (3, 0, 0.0), (3, 1, 1.0), (3, 2, 0.0)], "doc_id int, sent_idx int, score double")
+    got = {(r.doc_id, r.sent_idx): round(r.smoothed, 6) for r in D.smoothed(d).collect()}
+    assert got == {(1, 0): 0.5, (2, 0): 0.0, (2, 1): 1.0, (3, 0): 0.3, (3, 1): 0.5, (3, 2): 0.3}
+    assert [round(r.average, 4) for r in D.moving_average(d.where("doc_id = 3"), 3).orderBy("sent_idx").collect()] == [0.5, 0.3333, 0.5]
+
+
+def test_sections_ignore_a_heading_in_the_first_row(spark):
+    d = spark.createDataFrame([(1, i, t) for i, t in enumerate(["Abstract", "x text", "1. Introduction", "y text", "Introduction", "Results"])], "doc_id int, sent_idx int, sentence string")
+    got = [(r.section_id, r.section) for r in D.sections(d, T.heading("sentence")).orderBy("sent_idx").collect()]
+    assert got == [(0, "HEADER"), (0, "HEADER"), (1, "INTRODUCTION"), (1, "INTRODUCTION"), (1, "INTRODUCTION"), (2, "RESULTS")]
+
+
+def test_dedupe_chain(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id int, text string")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
+    assert sorted(r.doc_id for r in U.greedy_keep(docs, pairs).collect()) == [1, 3]
+
+
+def test_dedupe_case(spark):
+    rows = ["this is an example sentence number one", "this is an example sentence number one", "this is an example sentence number one!!", "this is an example sentence number two", "entirely other words stand in here today"]
+    d = U.keep_first(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), "text", ["doc_id"])
+    assert U.greedy_keep(d, U.similar_pairs(d, 0.8)).count() == 3
+
+
+def test_split_is_disjoint_and_whole(spark):
+    d = spark.createDataFrame([(i, f"t{i % 5}") for i in range(100)], "doc_id int, topic string")
+    s = S.topic_split(d, "topic")
+    assert s.count() == 100 and S.leaks(s, "topic").isEmpty()
+
+
+def test_style(spark):
+    f = lambda x: C.style(spark.createDataFrame([(1, x)], "doc_id int, text string")).first()
+    r = f("Shown in [1], [2] and [3], [5]–[7].\nReferences\n[1] A. B, Title.\n[2] C. D, Title.")
+    assert r.style == "IEEE" and r.confidence >= 0.8
+    assert f("So (Smith, 2020) and (Jones, 2019) say.").style == "APA"
+    assert f("nothing here").style == "UNKNOWN" and f("nothing here").confidence == 0.0
+
+
+def test_markers_and_matching(spark):
+    d = spark.createDataFrame([(1, "See [1], [3], [4].\n[1] Smith, A title of one. 2019\n[2] Jones, A title of two. 2018\n[3] Brown, Another title. 2017")], "doc_id int, text string")
+    body = d.withColumn("text", F.lit("See [1], [3], [4]."))
+    m, un, left = C.matched(C.numbered_markers(body), C.references(d))
+    assert sorted(r.number for r in m.collect()) == [1, 3] and [r.number for r in un.collect()] == [4] and [r.number for r in left.collect()] == [2]
+    x = spark.createDataFrame([(1, "[3], [5]–[7], [12]")], "doc_id int, text string")
+    assert sorted(r.number for r in C.numbered_markers(x).collect()) == [3, 5, 6, 7, 12]
+
+
+def test_metadata_status(spark):
+    d = spark.createDataFrame([("Smith, Deep Models of Text, 2019", "Deep Models of Text", "2019"), ("Smith, Deep Models of Text, 2018", "Deep Models of Text", "2019"), ("Other", "Deep Models of Text", "2019")], "r string, t string, y string")
+    assert [x.s for x in d.select(C.metadata_status("r", "t", "y").alias("s")).collect()] == ["verified", "partial_match", "mismatch"]
+
+
+def test_metrics_edges(spark):
+    d = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], "label int, score double")
+    assert M.auc(d).first().auc == 0.625
+    assert M.auc(d.where("label = 1")).first().auc is None
+    e = spark.createDataFrame([(0, 0.0), (1, 1.0), (0, 0.1)], "label int, score double")
+    assert {r.bin: r.n for r in M.reliability(e).collect()} == {0: 1, 1: 1, 9: 1}
+
+
+def test_report_golden(spark):
+    p = B.verdicts(spark.createDataFrame([("m", 90.0, 40.0)], "method string, original double, rewritten double"))
+    r = B.report(p, ["method"]).where("method is null").first()
+    assert (r.acc_original, r.acc_rewritten, r.flip_rate, r.mean_drop, r.ari) == (100.0, 0.0, 100.0, 50.0, 0.0)
+
+
+def test_vocabulary(spark):
+    assert "delve" not in one(spark, "We delve into the the realm and delve.", B.plain_words("x")).lower()
+    assert one(spark, "We saw the the dog.", B.plain_words("x")) == "We saw the dog."
+
+
+def test_csv_discovery(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('essay,generated,prompt_name\n"a, b\nc",1,P\nd,0,Q\n')
+    r = A.read_corpus(spark, f"file://{tmp_path}/x.csv").orderBy("label").collect()
+    assert [(x.text, x.label, x.topic_id) for x in r] == [("d", 0, "Q"), ("a, b\nc", 1, "P")]
+    with pytest.raises(ValueError, match="no column for label"):
+        A.discover(spark.createDataFrame([("a",)], "text string"))
+
+
+def test_bibliography(spark):
+    d = spark.createDataFrame([(1, "First one. Second one.\nReferences\n[1] A. [2] B.")], "doc_id int, text string")
+    got = [(r.part, r.piece) for r in G.bibliography_split(d).orderBy("part", "idx").collect()]
+    assert got == [("body", "First one."), ("body", "Second one."), ("reference", "[1] A."), ("reference", "[2] B.")]
+
+
+def test_empty_tables(spark):
+    e = spark.createDataFrame([], "doc_id long, text string")
+    assert U.similar_pairs(e, 0.8).count() == 0 and C.style(e).count() == 0 and G.token_windows(e, 8, 4, 2).count() == 0
+
+
+def test_stream_matches_batch(spark, tmp_path):
+    from conftest import DATA
+
+    from textloom.streaming.documents import counted_events, score_stream, scored_documents
+
+    got = score_stream(spark, f"{DATA}/documents.parquet", f"file://{tmp_path}/out")
+    want = scored_documents(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    assert counted_events(spark.read.parquet(f"{DATA}/events.parquet")).agg(F.sum("n")).first()[0] == 1000
