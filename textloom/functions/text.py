@@ -230,6 +230,16 @@ def shingles_of(w, k: int = 3) -> Column:
     return F.array_distinct(F.when(F.size(w) >= k, runs).otherwise(w))
 
 
+def shingle_hashes(w, k: int = 3) -> Column:
+    """The 64-bit hashes of ``shingles_of`` an array: joins on them move eight bytes for each."""
+    one = F.transform(_c(w), lambda x: F.xxhash64(x))
+    runs = one
+    for j in range(1, k):
+        runs = F.zip_with(runs, F.slice(one, j + 1, F.size(_c(w))), lambda a, b: F.xxhash64(a, b))
+    runs = F.slice(runs, F.lit(1), F.greatest(F.size(_c(w)) - (k - 1), F.lit(0)))
+    return F.array_distinct(F.when(F.size(_c(w)) >= k, runs).otherwise(one))
+
+
 def shingles(c, k: int = 3) -> Column:
     """The distinct runs of k words, without punctuation; the words themselves if there are fewer."""
     return shingles_of(word_list(c), k)

@@ -19,9 +19,10 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: st
     """(a, b, jaccard) of rows whose sets of k-word shingles are at least ``threshold`` alike, a < b.
 
     Prefix filter: shingles are ordered by how few rows have them; two rows that alike share one of the first
-    n - ceil(t * n) + 1 of each. Candidates are confirmed on the whole sets.
+    n - ceil(t * n) + 1 of each. Candidates are confirmed on the whole sets, as 64-bit hashes.
     """
-    s = df.select(F.col(key).alias("id"), T.word_list(text).alias("w")).where(F.size("w") > 0).select("id", T.shingles_of("w", k).alias("set"))
+    # dealt by id once: the sets below are made and joined where their text went
+    s = df.select(F.col(key).alias("id"), F.col(text).alias("t")).repartition(F.col("id")).select("id", T.word_list("t").alias("w")).where(F.size("w") > 0).select("id", T.shingle_hashes("w", k).alias("set"))
     one = s.select("id", F.size("set").alias("n"), F.explode("set").alias("x"))
     freq = one.groupBy("x").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))
@@ -61,6 +62,6 @@ def _folder(spark) -> str:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8) -> DataFrame:
     """(doc_id, item_id, shared): how many k-word shingles of a benchmark item stand in a document."""
-    b = benchmark.select("item_id", T.word_list("text").alias("w")).select("item_id", F.explode(T.shingles_of("w", k)).alias("x"))
-    d = docs.select("doc_id", T.word_list("text").alias("w")).select("doc_id", F.explode(T.shingles_of("w", k)).alias("x"))
+    b = benchmark.select("item_id", T.word_list("text").alias("w")).select("item_id", F.explode(T.shingle_hashes("w", k)).alias("x"))
+    d = docs.select("doc_id", T.word_list("text").alias("w")).select("doc_id", F.explode(T.shingle_hashes("w", k)).alias("x"))
     return d.join(b, "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
