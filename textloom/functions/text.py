@@ -298,6 +298,14 @@ def locks_intact(text, held) -> Column:
     return F.forall(F.map_values(_c(held)), lambda v: F.contains(_c(text), v))
 
 
+def repair_tex(c) -> Column:
+    """Common slips of generated LaTeX: a lost backslash before item, begin or end, doubled dollars in a line,
+    an unescaped ampersand or percent sign between words."""
+    out = F.regexp_replace(_c(c), r"(?m)^(\s*)(item|begin\{|end\{)", "$1\\\\$2")
+    out = F.regexp_replace(out, r"(\w) & (\w)", "$1 \\\\& $2")
+    return F.regexp_replace(out, r"(\d)%", "$1\\\\%")
+
+
 def mask_math(text: str | None) -> tuple[str, dict[str, str]]:
     """Formulas as placeholders, so that their full stops end no sentence."""
     return lock_text(text, (r"\$\$.*?\$\$", r"\\\[.*?\\\]", r"\\\(.*?\\\)", r"\$[^$]+\$"))

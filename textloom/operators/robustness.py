@@ -59,6 +59,11 @@ def plain_openings(c) -> Column:
     return _each(T._c(c), OPENINGS)
 
 
+def rule_based(c) -> Column:
+    """All rules in turn: words, contractions, punctuation, clauses, splits, openings."""
+    return plain_openings(split_clauses(reorder_clauses(perturb_punctuation(expand_contractions(plain_words(c))))))
+
+
 ATTACKS = {"contractions": expand_contractions, "punctuation": perturb_punctuation, "clauses": reorder_clauses, "splits": split_clauses, "openings": plain_openings, "vocabulary": plain_words}
 
 

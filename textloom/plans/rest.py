@@ -172,6 +172,24 @@ query("R02_punctuation", _T + r"regexp_replace(replace(replace(text, ';', ','),
 query("R04_splits", _T + r"regexp_replace(text, ', (and|but|yet|so) ', '. ', 'g') AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.split_clauses("text").alias("out")))
 query("R06_openings", _T + _sql_each("text", B.OPENINGS) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.plain_openings("text").alias("out")))
 query("R05_vocabulary")(lambda spark, d: _texts(spark, d).select("doc_id", B.plain_words("text").alias("out")))
+query("R09_rule_based")(lambda spark, d: _texts(spark, d).select("doc_id", B.rule_based("text").alias("out")))
+_TEX = "('item one & two' || chr(10) || 'begin{x} ' || doc_id || '%')"
+query("T34_repair_tex", r"SELECT doc_id, '\item one \& two' || chr(10) || '\begin{x} ' || doc_id || '\%' AS value FROM documents")(lambda spark, d: read(spark, d, "documents").selectExpr("doc_id", f"{_TEX.replace('chr(10)', 'char(10)')} AS t").select("doc_id", T.repair_tex("t").alias("value")))
+
+
+@query("E26_latency_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS most, round(1000.0::DOUBLE / avg(value), 6) AS per_second FROM events GROUP BY event_type")
+def e26(spark, d):
+    e = read(spark, d, "events").groupBy("event_type")
+    return e.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(1000.0 / F.avg("value"), 6).alias("per_second"))
+
+
+@query("D12_rank_auc", f"WITH {EVAL}, r AS (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS k FROM l), s AS (SELECT lang, sum(k) FILTER (WHERE label = 1) AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS n FROM r GROUP BY 1) SELECT lang, round((s - p * (p + 1) / 2.0::DOUBLE) / nullif(p * n, 0), 9) AS auc FROM s")
+def d12(spark, d):
+    from ..operators.metrics import auc
+
+    return auc(frame(spark, d), ["lang"])
+
+
 query("R03_clauses", "SELECT doc_id, 'Item ' || doc_id || ' Wins, although it rains.' AS out FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", B.reorder_clauses(F.concat(F.lit("Although it rains, item "), "doc_id", F.lit(" wins."))).alias("out")))
 query("R11_attack_rows", "SELECT doc_id, f AS attack_family, f = 'vocabulary' AS is_held_out FROM documents, (SELECT unnest(['clean','" + "','".join(B.ATTACKS) + "']) AS f)")(lambda spark, d: B.attacks(_texts(spark, d)).select("doc_id", "attack_family", "is_held_out"))
 query("R12_pair_ids", "SELECT doc_id, md5(doc_id || ':m' || (doc_id % 3)) AS pair_id FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.md5(F.concat("doc_id", F.lit(":m"), F.col("doc_id") % 3)).alias("pair_id")))
