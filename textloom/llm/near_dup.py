@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._tables import components, drop, table
+from ._tables import components, drop, join_small, table
 
 COORDS, JOINED, MATCHES, STARS, DEALS, BLOCK, LONG = 48, 5, 2, 1, 2, 384, 64
 _A = W.mix(np.arange(1, COORDS * JOINED + 1, dtype=np.uint64)) | np.uint64(1)
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     full = feats.where("n_shingles > 0 and doc_id is not null")
     digest = ["n_shingles", "d1", "d2"]
     copies = full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    classed = table(feats.join(copies, digest, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "class")
+    classed = table(join_small(feats, copies, digest).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "class")
 
     reps = feats.join(classed.where("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").where("n_shingles > 0")
     posts = table(reps.select("doc_id", F.explode("sig").alias("v")), "posts")
