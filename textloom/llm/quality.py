@@ -21,7 +21,7 @@ from ._tables import join_small, table
 
 MIN_WORDS, WINDOW, MIN_TEXTS, SUB_BITS = 10, 5, 50, 6
 #: Of each measure: the least distance between q3 and its upper fence, and whether there is a lower one.
-MEASURES = {"word_len": (200, True), "symbols": (40, False), "dup_lines": (500, False), "repeats": (150, False), "capitals": (300, False)}
+MEASURES = {"word_len": (200, True), "symbols": (40, False), "dup_lines": (500, False), "repeats": (200, False), "capitals": (300, False)}
 _NONE = "\x00"
 
 
