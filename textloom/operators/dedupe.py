@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import shared_dir
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each value of ``key``, by ``order``: keys are hashed, so a shuffle moves no long texts
-    twice and equal hashes are told apart by the value itself."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each value of ``key``, by ``order``. Tasks keep their own first rows before anything is
+    shuffled, so a value that a third of all rows have costs a row from each task."""
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
@@ -40,8 +40,9 @@ def greedy_keep(df: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFra
 
     Rounds decide what has no undecided earlier partner: it is dropped if an earlier one was kept, else kept.
     """
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(_folder(spark))
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():  # spark.checkpoint.dir was not set
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     left = pairs.select("a", "b").distinct().checkpoint()
     dropped = None
     while not left.isEmpty():
@@ -54,12 +55,6 @@ def greedy_keep(df: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFra
     return df if dropped is None else df.join(dropped.withColumnRenamed("x", key), key, "left_anti")
 
 
-def _folder(spark) -> str:
-    from ..session import shared_dir
-
-    return shared_dir(spark)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8) -> DataFrame:
     """(doc_id, item_id, shared): how many k-word shingles of a benchmark item stand in a document."""
     b = benchmark.select("item_id", T.word_list("text").alias("w")).select("item_id", F.explode(T.shingle_hashes("w", k)).alias("x"))

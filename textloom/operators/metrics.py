@@ -41,12 +41,15 @@ def threshold_search(df: DataFrame, low: int, high: int, label: str = "label", s
     return best.select((F.col("t") / 100.0).alias("threshold"), "macro_f1")
 
 
-def roc(df: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score") -> DataFrame:
+def roc(df: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score", digits: int | None = None) -> DataFrame:
     """A row for each distinct score, descending: tp and fp up to it, their totals, tpr and fpr.
 
-    Ties share a point. Counts per score are summed before the window, so it runs over distinct scores.
+    Ties share a point. Counts per score are summed before the window, so it runs over distinct scores;
+    ``digits`` rounds them first, which bounds the points of a curve over any number of rows.
     """
     by = by or []
+    if digits is not None:
+        df = df.withColumn(score, F.round(score, digits))
     c = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
     w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*by)
