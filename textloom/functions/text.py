@@ -15,14 +15,40 @@ from pyspark.sql import functions as F
 
 #: Quotes, dashes and primes, and what they become.
 QUOTES = {"\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u2013": "-", "\u2014": "-", "\u2032": "'", "\u2033": '"'}
-#: Phrases that carry over from one sentence to the next.
-TRANSITION_PHRASES = tuple("accordingly|additionally|alternatively|as a result|at the same time|besides|certainly|consequently|conversely|equally|finally|firstly|for example|for instance|furthermore|hence|however|in addition|in conclusion|in contrast|in essence|in fact|in other words|in particular|in short|in summary|indeed|instead|lastly|likewise|meanwhile|moreover|nevertheless|nonetheless|notably|on the contrary|on the other hand|otherwise|overall|particularly|secondly|similarly|specifically|subsequently|therefore|thirdly|thus|to conclude|to summarize|ultimately".split("|"))
-#: Words that language models favour, and whose they are.
-SIGNATURES = {"delve": "gpt", "tapestry": "gpt", "testament": "gpt", "multifaceted": "gpt", "pivotal": "gpt", "realm": "gpt", "underscore": "gpt", "landscape": "gpt", "intricate": "claude", "nuanced": "claude", "comprehensive": "claude", "robust": "claude", "crucial": "claude", "leverage": "gemini", "seamless": "gemini", "holistic": "gemini"}
-MARKERS = ("delve", "tapestry", "testament to", "furthermore", "moreover", "in conclusion", "it is important to note", "multifaceted")
-#: Headings of papers in the order they are tried.
-HEADINGS = (("ABSTRACT", "abstract"), ("INTRODUCTION", "introduction"), ("RELATED_WORK", "related work|literature review|background"), ("METHODOLOGY", "methodology|methods|materials and methods|proposed method"), ("RESULTS", "results|experiments|evaluation|findings"), ("DISCUSSION", "discussion"), ("CONCLUSION", "conclusions?|future work"), ("REFERENCES", "references|bibliography|works cited"))
-METADATA_LINE = r"(?i)^\s*((university|department|institute|faculty|school|college) of .*|(january|february|march|april|may|june|july|august|september|october|november|december) \d{4})\s*$"
+#: Phrases that rewriting tools leave behind.
+TRANSITION_PHRASES = (
+    "in addition", "furthermore", "notably", "it is worth", "as a result", "overall", "additionally", "thus", "delve", "testament", "pivotal",
+    "underscores", "tapestry", "moreover", "seamlessly", "consequently", "paramount", "realm", "beacon", "thorough framework",
+    "serves as proof", "complex challenges", "play a key role", "plays a key role", "empirical evaluations demonstrate",
+    "increasingly focused on", "as has been shown", "gradient descent methods", "generalization performance", "synergistic optimization",
+    "key challenges", "objective function", "empirical risk minimization", "important importance", "future research into",
+    "crucial framework", "mitigating oxidative stress", "in modern oncology", "therapeutic efficacy", "clinical trials have",
+    "play a pivotal role", "in modern quantum physics", "mitigating phase noise", "active phase stabilization",
+    "error rate scales linearly", "in modern macroeconomics", "in applied econometrics", "stochastic general equilibrium",
+    "nominal rigidities", "adaptive fiscal intervention", "in summary", "taken together",
+)
+#: Words and phrases that language models favour, and whose they are.
+SIGNATURES = dict.fromkeys(("delve", "testament", "tapestry", "pinnacle", "dynamic", "multifaceted", "landscape", "holistic", "furthermore", "moreover"), "Claude") | dict.fromkeys(("crucial", "leverage", "rapidly evolving", "demystify", "game-changer", "transition", "remember", "in summary", "overall"), "GPT")
+#: Strings that give a text away.
+MARKERS = ("large language model", "generated by", "autoencoder", "artificial intelligence", "convolutional", "gpt", "gemini", "claude")
+#: Section categories in the order they are tried, their labels, numbers and words.
+HEADINGS = (
+    ("ABSTRACT", "Abstract & Keywords", None, "abstract|executive summary|keywords|index terms"),
+    ("INTRO", "1. Introduction & Background", r"1\.?|I\.?|section 1", "introduction|background|motivation|problem statement"),
+    ("LIT_REVIEW", "2. Literature Review & Related Work", r"2\.?|II\.?|section 2", "related work|literature review|literature survey|prior work|state of the art"),
+    ("METHODOLOGY", "3. Proposed Methodology & Design", r"3\.?|III\.?|section 3", "methodology|proposed method|system model|architecture|materials and methods|theoretical framework|approach|study area"),
+    ("RESULTS", "4. Experimental Results & Evaluation", r"4\.?|IV\.?|section 4", "experimental setup|experiments|results|performance evaluation|comparative study|implementation|water balance"),
+    ("DISCUSSION", "5. Discussion & Limitations", r"5\.?|V\.?|section 5", "discussion|limitations|threats to validity|ablation study"),
+    ("CONCLUSION", "6. Conclusion & Future Work", r"6\.?|VI\.?|section 6", "conclusion|concluding remarks|future work|summary"),
+    ("REFERENCES", "7. References & Bibliography", r"7\.?|VII\.?|section 7", "references|bibliography|works cited|appendix"),
+)
+#: Lines that name places, addresses and dates.
+METADATA_LINE = r"(?i)^\s*(independent research|university|department|school|e-mail|email|(january|february|march|april|may|june|july|august|september|october|november|december) \d{4})\s*$"
+#: Sources of the academic and the question domain; all others are essays.
+ACADEMIC = ("human", "anthropic/claude-haiku-4.5", "google/gemini-3-flash-preview", "openai/gpt-5-nano", "gpt-oss-120b", "openai/gpt-oss-20b")
+QUESTIONS = ("hc3_human", "hc3_chatgpt")
+#: What a source's name holds and the generator it means, in the order they are tried.
+GENERATORS = (("claude", "Claude"), ("gemini", "Gemini"), ("gpt-5", "GPT-5"), ("gpt5", "GPT-5"), ("llama", "Llama"), ("chatgpt", "ChatGPT"), ("chat_gpt", "ChatGPT"), ("gpt-oss", "GPT-OSS-120B"), ("mistral", "Mistral"), ("palm", "PaLM"), ("falcon", "Falcon"), ("command", "Command"), ("human", "Human"), ("persuade", "Human"))
 WORD = "[A-Za-z0-9_]+"
 
 
@@ -132,17 +158,28 @@ def has_marker(c) -> Column:
     return out
 
 
-def heading(c) -> Column:
-    """The category of a heading, or null: known words in the first 80 characters, else a numbered line."""
-    head = F.lower(F.substring(strip(_c(c)), 1, 80))
-    out = F.when(head.rlike("^(\\d+(\\.\\d+)*\\.?|[ivx]+\\.)\\s+[a-z]"), F.lit("GENERAL_SECTION"))
-    for name, pattern in reversed(HEADINGS):
-        out = F.when(head.rlike(f"^((\\d+(\\.\\d+)*|[ivx]+)[.)]?\\s+)?({pattern})\\b"), F.lit(name)).otherwise(out)
+def domain(source) -> Column:
+    return F.when(_c(source).isin(*ACADEMIC), "academic").when(_c(source).isin(*QUESTIONS), "qa").otherwise("essay")
+
+
+def generator(source) -> Column:
+    return F.coalesce(*[F.when(F.contains(F.lower(_c(source)), F.lit(k)), F.lit(v)) for k, v in GENERATORS], F.lit("Other_AI"))
+
+
+def heading(c, labels: bool = False) -> Column:
+    """The category of a heading, or its label; null if the first 80 characters are none."""
+    head = strip(F.substring(strip(_c(c)), 1, 80))
+    general = F.lit("GENERAL_SECTION") if not labels else strip(F.substring(head, 1, 45))
+    out = F.when(head.rlike(r"^([0-9]+\.?[0-9]*|[IVXLCDM]+\.)\s+[A-Z][a-zA-Z\s]{2,40}"), general)
+    for category, label, number, names in reversed(HEADINGS):
+        out = F.when(head.rlike(f"(?i)^({number})?\\s*({names})\\b" if number else f"(?i)^({names})\\b"), F.lit(label if labels else category)).otherwise(out)
     return out
 
 
 def heading_title(c) -> Column:
-    return strip(F.split(strip(_c(c)), "[\\n.:]")[0])
+    """A heading up to its first line end, colon or full stop; its label if that is too short to tell."""
+    first = strip(F.split(strip(F.substring(strip(_c(c)), 1, 80)), "[\\n:.]")[0])
+    return F.when((heading(c) != "GENERAL_SECTION") & (F.length(first) > 2), first).otherwise(heading(c, labels=True))
 
 
 def tier(c, high: float = 0.75, medium: float = 0.60) -> Column:

@@ -102,4 +102,4 @@ def signature_density(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
     of = lambda m: F.size(F.filter("_h", lambda w: w.isin(*[k for k, v in vocabulary.items() if v == m])))
     d = docs.select("doc_id", hits.alias("_h"), T.n_words("text").alias("_n"))
     d = d.select("doc_id", F.round(F.lit(1000.0) * F.size("_h") / F.greatest(F.col("_n"), F.lit(1)), 4).alias("density"), of("claude").alias("_c"), of("gpt").alias("_g"))
-    return d.select("doc_id", "density", F.when((F.col("density") > 4.5) & (F.col("_c") > F.col("_g")), "Claude").when(F.col("density") > 4.5, "GPT").when(F.col("density") > 1.5, "Mixed").otherwise("Human-like").alias("fingerprint"))
+    return d.select("doc_id", "density", F.when((F.col("density") > 4.5) & (F.col("_c") > F.col("_g")), "Claude Writing Fingerprint").when(F.col("density") > 4.5, "GPT Writing Fingerprint").when(F.col("density") > 1.5, "Mixed/Hybrid AI Signature").otherwise("Standard Academic Prose (Human-like)").alias("fingerprint"))

@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Contractions and what they stand for.
-CONTRACTIONS = {"can't": "cannot", "won't": "will not", "don't": "do not", "doesn't": "does not", "isn't": "is not", "aren't": "are not", "wasn't": "was not", "weren't": "were not", "it's": "it is", "that's": "that is", "i'm": "i am", "you're": "you are", "we're": "we are", "they're": "they are", "i've": "i have", "we've": "we have", "couldn't": "could not", "shouldn't": "should not", "wouldn't": "would not", "hasn't": "has not", "haven't": "have not", "didn't": "did not"}
-#: Openings of sentences and plainer ones.
-OPENINGS = {"furthermore": "also", "moreover": "also", "therefore": "so", "consequently": "so", "however": "but", "additionally": "also", "in conclusion": "finally", "nevertheless": "still"}
+#: Contractions and what they stand for, in the order they are applied.
+CONTRACTIONS = {
+    "don't": "do not", "doesn't": "does not", "didn't": "did not", "can't": "cannot", "cannot": "can not", "won't": "will not",
+    "shouldn't": "should not", "wouldn't": "would not", "couldn't": "could not", "isn't": "is not", "aren't": "are not", "wasn't": "was not",
+    "weren't": "were not", "it's": "it is", "that's": "that is", "there's": "there is", "they're": "they are", "we're": "we are",
+    "you're": "you are", "i've": "I have", "we've": "we have", "they've": "they have",
+}
+#: Those that are also applied the other way.
+CONTRACT = {("I have" if a == "i've" else b): ("I've" if a == "i've" else a) for a, b in CONTRACTIONS.items() if a != "cannot"}
+#: Predictable transitions and what takes their place.
+OPENINGS = {"furthermore": "in addition", "moreover": "alongside this", "consequently": "resulting in", "therefore": "thus", "however": "though", "in conclusion": "overall", "in summary": "in short", "specifically": "in detail"}
 #: Favoured words and plainer ones.
 PLAIN = {"delve into": "look at", "delve": "look", "utilize": "use", "tapestry": "mix", "testament": "proof", "multifaceted": "complex", "pivotal": "key", "underscore": "show", "leverage": "use", "facilitate": "help"}
 
@@ -33,7 +40,7 @@ def expand_contractions(c) -> Column:
 
 
 def contract(c) -> Column:
-    return _each(T._c(c), {b: a for a, b in CONTRACTIONS.items() if a != "can't"})
+    return _each(T._c(c), CONTRACT)
 
 
 def perturb_punctuation(c) -> Column:

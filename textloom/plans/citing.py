@@ -143,10 +143,11 @@ def t25(spark, d):
     return C.references(papers(spark, d)).withColumn("none", F.lit("")).select("doc_id", "idx", *[f[k].alias(k) for k in ("bibtex", "apa", "ieee")])
 
 
-@query("T19_headings", """WITH h AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Abstract' WHEN 1 THEN '1. Introduction' WHEN 2 THEN 'IV. Results: all' WHEN 3 THEN '3.2 Some own title' WHEN 4 THEN 'Conclusions' ELSE 'plain line of text' END AS t FROM documents)
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ABSTRACT' WHEN 1 THEN 'INTRODUCTION' WHEN 2 THEN 'RESULTS' WHEN 3 THEN 'GENERAL_SECTION' WHEN 4 THEN 'CONCLUSION' END AS category, CASE doc_id % 6 WHEN 0 THEN 'Abstract' WHEN 1 THEN '1' WHEN 2 THEN 'IV' WHEN 3 THEN '3' WHEN 4 THEN 'Conclusions' ELSE 'plain line of text' END AS title FROM h""")
+@query("T19_headings", """WITH h AS (SELECT doc_id, doc_id % 6 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'ABSTRACT' WHEN 1 THEN 'INTRO' WHEN 2 THEN 'RESULTS' WHEN 3 THEN 'GENERAL_SECTION' WHEN 4 THEN 'CONCLUSION' END AS category,
+CASE k WHEN 0 THEN 'Abstract' WHEN 1 THEN '1. Introduction & Background' WHEN 2 THEN '4. Experimental Results & Evaluation' WHEN 3 THEN '3.2 Some own title' WHEN 4 THEN 'Conclusion' END AS title FROM h""")
 def t19(spark, d):
-    h = read(spark, d, "documents").selectExpr("doc_id", "CASE doc_id % 6 WHEN 0 THEN 'Abstract' WHEN 1 THEN '1. Introduction' WHEN 2 THEN 'IV. Results: all' WHEN 3 THEN '3.2 Some own title' WHEN 4 THEN 'Conclusions' ELSE 'plain line of text' END AS t")
+    h = read(spark, d, "documents").selectExpr("doc_id", "CASE doc_id % 6 WHEN 0 THEN 'Abstract' WHEN 1 THEN '1. Introduction' WHEN 2 THEN 'IV. Results: all' WHEN 3 THEN '3.2 Some own title' WHEN 4 THEN 'Conclusion: all' ELSE 'plain line of text' END AS t")
     return h.select("doc_id", T.heading("t").alias("category"), T.heading_title("t").alias("title"))
 
 

@@ -167,7 +167,7 @@ def _sql_each(x: str, table: dict) -> str:
 
 _T = f"WITH t AS (SELECT doc_id, {_TXT} AS text FROM documents) SELECT doc_id, "
 query("R01_contractions", _T + _sql_each("text", B.CONTRACTIONS) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.expand_contractions("text").alias("out")))
-query("R01_contract", _T + _sql_each("text", {b: a for a, b in B.CONTRACTIONS.items() if a != "can't"}) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.contract("text").alias("out")))
+query("R01_contract", _T + _sql_each("text", B.CONTRACT) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.contract("text").alias("out")))
 query("R02_punctuation", _T + r"regexp_replace(replace(replace(text, ';', ','), ' - ', ', '), ',\s+and\b', ' and', 'g') AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.perturb_punctuation("text").alias("out")))
 query("R04_splits", _T + r"regexp_replace(text, ', (and|but|yet|so) ', '. ', 'g') AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.split_clauses("text").alias("out")))
 query("R06_openings", _T + _sql_each("text", B.OPENINGS) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.plain_openings("text").alias("out")))

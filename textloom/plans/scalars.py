@@ -44,11 +44,12 @@ scalar("T09_hash_topic", lambda: T.hash_topic("text"), f"CASE WHEN {_TEN} = '' T
 scalar("T10_short_id", lambda: T.short_id("text"), "substr(md5(text), 1, 16)")
 scalar("T11_word_count", lambda: T.n_words("text"), WC.format("text") + "::BIGINT")
 scalar("T12_token_estimate", lambda: T.n_tokens("text"), f"({WC.format('text')} * 133 // 100)::BIGINT")
-scalar("T13_domain", lambda: F.when(F.col("source").isin("src0", "src1", "src2"), "academic").when(F.col("source").isin("src3", "src4", "src5", "src6"), "essay").otherwise("qa"),
-       "CASE WHEN source IN ('src0','src1','src2') THEN 'academic' WHEN source IN ('src3','src4','src5','src6') THEN 'essay' ELSE 'qa' END")
-GENERATORS = (("src1_", "Claude"), ("src11", "GPT"), ("src12", "Gemini"), ("src1", "Llama"), ("src2", "Mistral"))
-scalar("T14_generator", lambda: F.coalesce(*[F.when(F.lower("source").contains(k), v) for k, v in GENERATORS], F.lit("Other_AI")),
-       "CASE " + " ".join(f"WHEN contains(lower(source), '{k}') THEN '{v}'" for k, v in GENERATORS) + " ELSE 'Other_AI' END")
+_SOURCES = (*T.ACADEMIC, *T.QUESTIONS, "persuade_corpus", "chat_gpt_moth", "mistral7b", "llama2_chat", "other")
+_SRC = "[" + ", ".join(f"'{x}'" for x in _SOURCES) + f"][doc_id % {len(_SOURCES)} + 1]"
+_src = lambda: F.element_at(F.array(*map(F.lit, _SOURCES)), (F.col("doc_id") % len(_SOURCES) + 1).cast("int"))
+_IN = lambda x: "(" + ", ".join(f"'{y}'" for y in x) + ")"
+scalar("T13_domain", lambda: T.domain(_src()), f"CASE WHEN {_SRC} IN {_IN(T.ACADEMIC)} THEN 'academic' WHEN {_SRC} IN {_IN(T.QUESTIONS)} THEN 'qa' ELSE 'essay' END")
+scalar("T14_generator", lambda: T.generator(_src()), "CASE " + " ".join(f"WHEN contains(lower({_SRC}), '{k}') THEN '{v}'" for k, v in T.GENERATORS) + " ELSE 'Other_AI' END")
 scalar("T15_transition_flag", lambda: T.has_transition("text"), r"regexp_matches(lower(text), '\b(" + "|".join(T.TRANSITION_PHRASES) + r")\b')")
 scalar("T17_marker_flag", lambda: T.has_marker("text"), "(" + " OR ".join(f"contains(lower(text), '{m}')" for m in T.MARKERS) + ")")
 scalar("T22_risk", lambda: T.risk(F.col("doc_id") % 100), "CASE WHEN doc_id % 100 >= 65 THEN 'HIGH' WHEN doc_id % 100 >= 45 THEN 'MEDIUM' ELSE 'LOW' END")
@@ -83,7 +84,7 @@ t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1))
 c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE model = 'claude') AS cl, count(*) FILTER (WHERE model = 'gpt') AS g FROM t JOIN v USING (word) GROUP BY 1),
 w AS (SELECT doc_id, {WC.format('text')} AS k FROM documents),
 x AS (SELECT doc_id, round(1000.0::DOUBLE * coalesce(n, 0) / greatest(k, 1), 4) AS density, coalesce(cl, 0) AS cl, coalesce(g, 0) AS g FROM w LEFT JOIN c USING (doc_id))
-SELECT doc_id, density, CASE WHEN density > 4.5 AND cl > g THEN 'Claude' WHEN density > 4.5 THEN 'GPT' WHEN density > 1.5 THEN 'Mixed' ELSE 'Human-like' END AS fingerprint FROM x""")
+SELECT doc_id, density, CASE WHEN density > 4.5 AND cl > g THEN 'Claude Writing Fingerprint' WHEN density > 4.5 THEN 'GPT Writing Fingerprint' WHEN density > 1.5 THEN 'Mixed/Hybrid AI Signature' ELSE 'Standard Academic Prose (Human-like)' END AS fingerprint FROM x""")
 def signature_density(spark, d):
     from ..operators.document import signature_density as run
 
