@@ -10,22 +10,37 @@ from ..functions import text as T
 _DASH = "[-–]"
 
 
-def marker_counts(c: str = "text") -> dict[str, Column]:
-    n = lambda p: F.size(F.regexp_extract_all(F.col(c), F.lit(p), F.lit(0)))
-    return {"ieee": n(r"\[\d+(?:\s*[,\-–]\s*\d+)*\]"), "apa": n(r"\([A-Z][A-Za-z]+(?: et al\.)?(?: & [A-Z][A-Za-z]+)?, \d{4}\)"),
-            "mla": n(r"\([A-Z][A-Za-z]+ \d{1,4}\)"), "harvard": n(r"\([A-Z][A-Za-z]+ \d{4}\)"), "chicago": n(r"\b(?:Ibid|ibid)\.")}
+#: Patterns of in-text markers, of reference lists and of their headers.
+MARKS = {
+    "ieee": r"\[\d+(?:\s*(?:,\s*\d+|[-–]\s*\d+))*\s*\]",
+    "author_year": r"\(\s*[A-Z][A-Za-z]+(?:\s+et\s+al\.)?(?:\s*(?:and|&)\s*[A-Z][A-Za-z]+)?\s*,\s*\d{4}\s*\)",
+    "author_page": r"\(\s*[A-Z][A-Za-z]+(?:\s*(?:et\s+al\.|and|&)\s*[A-Z][A-Za-z]+)*\s+\d{1,3}\s*\)",
+}
+TAIL = r"(?s)^(.*)\b(references|bibliography|works\s+cited|notes)\b(.*)$"
+NUMBERED = r"^(\[\d+\]|\d+\.)"
+IN_PARENS, NO_PARENS = r"\b[A-Z][A-Za-z]+,\s*[A-Z]\.\s*\(\d{4}\)", r"\b[A-Z][A-Za-z]+,\s*[A-Z]\.\s*\d{4}\b"
 
 
 def style(docs: DataFrame) -> DataFrame:
     """(doc_id, style, confidence, n_markers): the style with the best score, the first named on ties; UNKNOWN
-    below 0.5. A score is 0.6 for two markers or more, 0.5 for one, and 0.3 more for a fitting reference list."""
-    d = docs.select("doc_id", "text", *[v.alias(f"n_{k}") for k, v in marker_counts().items()])
-    numbered = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^\s*\[\d+\]"), F.lit(0))) >= 2
-    cited = F.col("text").rlike("(?i)works cited")
-    extra = {"ieee": numbered, "apa": F.col("text").rlike("(?m)^References"), "mla": cited, "harvard": F.lit(False), "chicago": F.col("text").rlike("(?i)bibliography")}
-    score = {k: F.when(F.col(f"n_{k}") >= 2, 0.6).when(F.col(f"n_{k}") == 1, 0.5).otherwise(0.0) + F.when(extra[k] & (F.col(f"n_{k}") >= 1), 0.3).otherwise(0.0) for k in extra}
-    d = d.select("doc_id", F.array(*[F.struct(F.round(score[k], 2).alias("s"), F.lit(-i).alias("i"), F.lit(k.upper()).alias("k"), F.col(f"n_{k}").alias("n")) for i, k in enumerate(score)]).alias("all"))
-    d = d.withColumn("best", F.array_max("all"))
+    with 0.0 below 0.5. Markers are counted before the last header of a reference list, entries after it."""
+    low, n = F.lower(F.col("text")), lambda c, p: F.size(F.regexp_extract_all(F.col(c), F.lit(p), F.lit(0)))
+    d = docs.select("doc_id", "text", low.rlike(TAIL).alias("has"), F.regexp_extract(low, TAIL, 2).alias("header"), F.length(F.regexp_extract(low, TAIL, 1)).alias("at"))
+    d = d.select("doc_id", "has", "header", F.when(F.col("has"), F.expr("substr(text, 1, at)")).otherwise(F.col("text")).alias("body"), F.when(F.col("has"), F.expr("substr(text, at + 1)")).otherwise("").alias("tail"))
+    first = F.slice(F.filter(F.transform(F.split("tail", "\n"), T.strip), lambda x: x != ""), 1, 8)
+    d = d.select("doc_id", "has", "header", *[n("body", p).alias(k) for k, p in MARKS.items()], (F.size(F.filter(first, lambda x: x.rlike(NUMBERED))) >= 2).alias("listed"), (n("tail", IN_PARENS) >= n("tail", NO_PARENS)).alias("parens"))
+    many = lambda k: F.col(k) > 1
+    alone = F.col("header").isin("bibliography", "notes") & ~many("ieee") & ~many("author_year") & ~many("author_page")
+    scores = {
+        "IEEE": F.when(many("ieee") & F.col("listed"), 0.95).when(many("ieee"), 0.8).when(F.col("listed"), 0.9).otherwise(0.0),
+        "APA": F.when(~many("author_year"), 0.0).when(~F.col("has"), 0.8).when(F.col("parens"), 0.9).otherwise(0.7),
+        "MLA": F.when(many("author_page") & F.col("header").rlike(r"^works\s+cited$"), 0.95).when(many("author_page"), 0.8).otherwise(0.0),
+        "HARVARD": F.when(~many("author_year"), 0.0).when(F.col("has") & ~F.col("parens"), 0.9).otherwise(0.7),
+        "CHICAGO": F.when(alone, 0.4).otherwise(0.0),
+    }
+    marks = {"IEEE": "ieee", "APA": "author_year", "MLA": "author_page", "HARVARD": "author_year"}
+    each = [F.struct(v.alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k"), (F.col(marks[k]) if k in marks else F.lit(0)).alias("n")) for i, (k, v) in enumerate(scores.items())]
+    d = d.select("doc_id", F.array_max(F.array(*each)).alias("best"))
     known = F.col("best.s") >= 0.5
     return d.select("doc_id", F.when(known, F.col("best.k")).otherwise("UNKNOWN").alias("style"), F.when(known, F.col("best.s")).otherwise(0.0).alias("confidence"), F.when(known, F.col("best.n")).otherwise(0).cast("long").alias("n_markers"))
 

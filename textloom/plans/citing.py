@@ -21,12 +21,16 @@ def papers(spark, d):
     return read(spark, d, "documents").selectExpr("doc_id", f"{PAPER.replace('chr(10)', 'char(10)')} AS text")
 
 
-_N = {"ieee": r"\[\d+(?:\s*[,\-–]\s*\d+)*\]", "apa": r"\([A-Z][A-Za-z]+(?: et al\.)?(?: & [A-Z][A-Za-z]+)?, \d{4}\)", "mla": r"\([A-Z][A-Za-z]+ \d{1,4}\)", "harvard": r"\([A-Z][A-Za-z]+ \d{4}\)", "chicago": r"\b(?:Ibid|ibid)\."}
-_X = {"ieee": r"len(regexp_extract_all(text, '(?m)^\s*\[\d+\]')) >= 2", "apa": "regexp_matches(text, '(?m)^References')", "mla": "regexp_matches(text, '(?i)works cited')", "harvard": "false", "chicago": "regexp_matches(text, '(?i)bibliography')"}
-_S = {k: f"round(CASE WHEN n_{k} >= 2 THEN 0.6 WHEN n_{k} = 1 THEN 0.5 ELSE 0.0 END + CASE WHEN {_X[k]} AND n_{k} >= 1 THEN 0.3 ELSE 0.0 END, 2)::DOUBLE" for k in _N}
-
-
-@query("B26_citation_style", f"WITH {SQLP}, n AS (SELECT *, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n_{k}" for k, p in _N.items()) + "), ".replace("), ", "") + " FROM papers), s AS (SELECT doc_id, unnest(['" + "','".join(k.upper() for k in _N) + "']) AS style, unnest([" + ",".join(_S.values()) + "]) AS s, unnest([1,2,3,4,5]) AS i, unnest([" + ",".join(f"n_{k}" for k in _N) + "]) AS n FROM n), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) AS r FROM s) SELECT doc_id, CASE WHEN s >= 0.5 THEN style ELSE 'UNKNOWN' END AS style, CASE WHEN s >= 0.5 THEN s ELSE 0.0::DOUBLE END AS confidence, CASE WHEN s >= 0.5 THEN n ELSE 0 END::BIGINT AS n_markers FROM b WHERE r = 1")
+@query("B26_citation_style", rf"""WITH {SQLP}, h AS (SELECT doc_id, text, regexp_matches(lower(text), '{C.TAIL}') AS has, regexp_extract(lower(text), '{C.TAIL}', 2) AS header, length(regexp_extract(lower(text), '{C.TAIL}', 1)) AS cut FROM papers),
+p AS (SELECT doc_id, has, header, CASE WHEN has THEN substr(text, 1, cut) ELSE text END AS body, CASE WHEN has THEN substr(text, cut + 1) ELSE '' END AS tail FROM h),
+n AS (SELECT doc_id, has, header, {", ".join(f"len(regexp_extract_all(body, '{p}')) AS {k}" for k, p in C.MARKS.items())},
+len(list_filter(list_filter(list_transform(string_split(tail, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:8], lambda x: regexp_matches(x, '{C.NUMBERED}'))) >= 2 AS listed, len(regexp_extract_all(tail, '{C.IN_PARENS}')) >= len(regexp_extract_all(tail, '{C.NO_PARENS}')) AS parens FROM p),
+s AS (SELECT doc_id, unnest([1, 2, 3, 4, 5]) AS i, unnest(['IEEE', 'APA', 'MLA', 'HARVARD', 'CHICAGO']) AS style, unnest([ieee, author_year, author_page, author_year, 0]) AS n,
+unnest([CASE WHEN ieee > 1 AND listed THEN 0.95 WHEN ieee > 1 THEN 0.8 WHEN listed THEN 0.9 ELSE 0 END, CASE WHEN author_year <= 1 THEN 0 WHEN NOT has THEN 0.8 WHEN parens THEN 0.9 ELSE 0.7 END,
+CASE WHEN author_page > 1 AND regexp_matches(header, '^works\s+cited$') THEN 0.95 WHEN author_page > 1 THEN 0.8 ELSE 0 END, CASE WHEN author_year <= 1 THEN 0 WHEN has AND NOT parens THEN 0.9 ELSE 0.7 END,
+CASE WHEN header IN ('bibliography', 'notes') AND ieee <= 1 AND author_year <= 1 AND author_page <= 1 THEN 0.4 ELSE 0 END])::DOUBLE AS s FROM n),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) AS r FROM s)
+SELECT doc_id, CASE WHEN s >= 0.5 THEN style ELSE 'UNKNOWN' END AS style, CASE WHEN s >= 0.5 THEN s ELSE 0.0::DOUBLE END AS confidence, CASE WHEN s >= 0.5 THEN n ELSE 0 END::BIGINT AS n_markers FROM b WHERE r = 1""")
 def b26(spark, d):
     return C.style(papers(spark, d))
 
