@@ -311,6 +311,21 @@ def test_main_text(page, text):
     assert text is None or got == text
 
 
+_LONG = "Long prose of the article that runs on for many words and holds most of its characters. " * 4
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<nav>menu</nav><article><section><p>{_LONG * 3}</p></section><section><p>{_LONG}</p></section></article>", [_LONG * 3, _LONG]),
+    (f"<article><header><h1>T</h1></header><div class=body><p>{_LONG}</p><p>{_LONG}</p></div></article><footer>f</footer>", ["T", _LONG, _LONG]),
+    (f"<main><h1>T</h1><article><p>{_LONG * 4}</p></article><article><p>{_LONG}</p></article></main>", ["T", _LONG * 4, _LONG]),
+    (f"<article><p>{_LONG * 4}</p></article><article><p>{_LONG}</p></article>", [_LONG * 4, _LONG]),
+    (f"<div><h1>T</h1><div><div><p>{_LONG * 3}</p></div><div><p>{_LONG}</p></div></div></div>", ["T", _LONG * 3, _LONG]),
+    *[(f"<nav>menu</nav><div><p>Intro</p>{a}{_LONG * 3}{b}</div>", ["Intro", _LONG * 3]) for a, b in (("<ul><li>", "</ul>"), ("<table><tr><td>", "</table>"), ("<blockquote>", "</blockquote>"))],
+])
+def test_main_text_keeps_every_block_of_the_article(page, text):
+    assert html_text.extract(page) == "\n\n".join(t.strip() for t in text)
+
+
 def test_pages_equal_their_articles(spark):
     import html as H
 

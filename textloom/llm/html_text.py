@@ -3,10 +3,12 @@
 The standard library's parser streams a page's events. A block element starts and ends lines; a line has its
 text, the number of tags that stood in it and the container elements it is in. Ratios of text to tags are
 smoothed along the page with a Gaussian, and lines are clustered by a threshold, the standard deviation of
-the smoothed ratios: those at or above it are content. The region is the deepest container that holds at
-least SHARE of all content characters, and the text is all of its lines, in page order, but for those inside
-elements that are not the article's own: menus, headers, footers, asides, forms, scripts, styles and
-containers whose class, id or role has a word of NOT_ARTICLE.
+the smoothed ratios: those at or above it are content. They only find the article: if the deepest container
+with at least SHARE of all content characters is in an article or main element, the region is every outermost
+one of these that has content, else the lowest common ancestor of all content, widened to take in the page's
+heading and never a part of a list, table or quotation. The text is all of the region's lines, in page order, but
+for those inside elements that are not the article's own: menus, headers, footers, asides, forms, scripts, styles
+and containers whose class, id or role has a word of NOT_ARTICLE.
 
 A null, an empty or a tagless page is handled like any other: without a line the text is empty. Malformed
 markup never raises. Rows are independent, so repeated ones give equal results; other columns are not read.
@@ -28,6 +30,7 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
 FOREIGN = frozenset("nav footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
 HOLDS = frozenset("article aside blockquote body center dd details dialog div dl fieldset figure footer form header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
+PARTS = frozenset("blockquote dd details dl figure header li ol table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th img input".split())
 NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments
@@ -161,21 +164,29 @@ def extract(html: str | None) -> str:
     chars = [0] * len(p.nodes)
     for (t, _, node), yes in zip(lines, content, strict=True):
         if yes:
-            while node >= 0:
-                chars[node] += len(t)
-                node = p.nodes[node][0]
-    region = max((k for k in range(len(p.nodes)) if chars[k] >= SHARE * chars[0]), key=lambda k: (_depth(p, k), -k))
+            for k in _up(p, node):
+                chars[k] += len(t)
+    most = max((k for k in range(len(p.nodes)) if chars[k] >= SHARE * chars[0]), key=lambda k: (len(_up(p, k)), -k))
+    own = {k: [n for n in _up(p, k) if p.nodes[n][1] in ("article", "main")] for k in {node for _, _, node in lines} | {most}}
+    if own[most]:
+        region = {own[node][-1] for (_, _, node), yes in zip(lines, content, strict=True) if yes and own[node]}
+    else:
+        over = [k for k in _up(p, most) if chars[k] == chars[0] and p.nodes[k][1] not in PARTS]
+        headed = [k for k in over if p.nodes[k][3]]
+        region = {(headed or over)[0]}
     inside = [False] * len(p.nodes)
     for k, node in enumerate(p.nodes):
-        inside[k] = k == region or (node[0] >= 0 and inside[node[0]])
+        inside[k] = k in region or (node[0] >= 0 and inside[node[0]])
     return "\n\n".join(t for t, _, node in lines if inside[node])
 
 
-def _depth(p: _Lines, k: int) -> int:
-    d = 0
-    while p.nodes[k][0] >= 0:
-        k, d = p.nodes[k][0], d + 1
-    return d
+def _up(p: _Lines, k: int) -> list[int]:
+    """A container and those around it, the page last."""
+    out = []
+    while k >= 0:
+        out.append(k)
+        k = p.nodes[k][0]
+    return out
 
 
 def main_text(pages: DataFrame) -> DataFrame:
