@@ -326,6 +326,20 @@ def test_main_text_keeps_every_block_of_the_article(page, text):
     assert html_text.extract(page) == "\n\n".join(t.strip() for t in text)
 
 
+@pytest.mark.parametrize("bad", ["<![odd[ x ]]>", "<![odd>", "<![ 5 [x]>", "<![&>", "<![if x]>", "<![CDATA[ x ]]>"])
+def test_main_text_survives_bad_declarations(bad):
+    assert html_text.extract(f"<!DOCTYPE html><article><p>a</p>{bad}<p>b</p></article><!-- c --><footer>f</footer>") == "a\n\nb"
+    assert html_text.extract(f"<!DOCTYPE html><article><p>a</p></article>{bad[:-1]}").startswith("a")
+
+
+def test_main_text_never_raises():
+    assert html_text.extract(f"<p>a &#{'9' * 5000}; &#{'0' * 5000}65; b</p>") == "a \ufffd A b"
+    rng = random.Random(30)
+    parts = ["<!", "<![", "[", "]", "]]>", ">", "<!--", "--", "<", "</", "p", "odd", "if", "cdata", "&#", "&#x110000;", "&amp", ";", " ", '"', "'", "=", "<?", "<!doctype", "div", "script", "\x00", "é", "/"]
+    for _ in range(20_000):
+        assert html_text.extract("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) is not None
+
+
 def test_pages_equal_their_articles(spark):
     import html as H
 

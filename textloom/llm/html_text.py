@@ -114,22 +114,26 @@ class _Lines(HTMLParser):
                     del self.open[k:]
                     break
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """One of an unknown kind is a comment up to its next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, 0)
+
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.pieces.append(data)
 
 
 def _parsed(html: str) -> _Lines:
-    for text in (html, html.replace("<!", "<!--").replace("<!----", "<!--") + "-->"):
-        p = _Lines()
-        try:
-            p.feed(text)
-            p.close()
-        except (AssertionError, ValueError):
-            continue
-        p.flush()
-        return p
-    return _Lines()
+    # zeros go, and numbers beyond all characters become the first such: int() raises at thousands of digits
+    html = re.sub(r"&#(?=[0-9]{8})0*([0-9]+)", lambda m: f"&#{m[1] if len(m[1]) < 8 else 0x110000}", html)
+    p = _Lines()
+    p.feed(html)
+    p.close()
+    p.flush()
+    return p
 
 
 def smoothed(ratios: list[float]) -> list[float]:
