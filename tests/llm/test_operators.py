@@ -435,6 +435,51 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == want
 
 
+def brute_runs(rows):
+    """Of every document the lines that stand in a block of any earlier one, by all pairs of places."""
+    texts = {i: t.split("\n") for i, t in rows}
+    df = Counter(x for t in texts.values() for x in set(t) if x)
+    want = {}
+    for d, t in texts.items():
+        gone = set()
+        for e in texts:
+            u = texts[e]
+            for p, q in itertools.product(range(len(t)), range(len(u) if e < d else 0)):
+                k = 0
+                while p + k < len(t) and q + k < len(u) and t[p + k] == u[q + k]:
+                    k += 1
+                    run = t[p:p + k]
+                    n = sum(len(x.split()) for x in run)
+                    if run[0] and run[-1] and (n >= lines.MIN_WORDS or (n >= lines.BOILER_WORDS and any(df[x] >= lines.BOILER_DOCS for x in run))):
+                        gone.update(range(p, p + k))
+        want[d] = gone
+    return want
+
+
+def test_line_dedup_of_all_pairs(spark):
+    P, Q = "the passage named P has more words than eight in it", "the passage named Q has more words than eight in it"
+    short = ["one two", "three four", "five six", "seven eight", "nine"]
+    rows = [(1, f"{P}\n{Q}"), (2, f"{Q}\n{P}"), (3, f"{Q}\n{P}")]  # 3 is a copy of 2, and both of 1 in another order
+    rows += [(10 + k, f"own {k}\n{x}\nend {k}") for k, x in enumerate(short)] + [(20, "\n".join(["b", *short, "c"])), (21, "\n".join(["d", *short, "e"]))]
+    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), all_pairs=True).collect()}
+    assert got == {**dict(rows), 2: "", 3: "", 21: "d\ne"}
+    left = lines.stage(None, spark.createDataFrame([(i, f"\n{t}\n") for i, t in rows], "doc_id long, text string"), "")
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {2, 3}
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    rng = random.Random(22)
+    pool = [" ".join(words(rng, rng.choice([1, 2, 3, 5, 9]))) for _ in range(25)]
+    block = [rng.sample(pool, 4) for _ in range(8)]
+    piece = lambda: rng.choice([[rng.choice(pool)], rng.choice(block), [""], [" ".join(words(rng, 4))]])
+    rows = [(i, "\n".join(itertools.chain.from_iterable(piece() for _ in range(rng.randrange(1, 9))))) for i in range(70)]
+    got = {r.doc_id: set(r.gone or []) for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), all_pairs=True).collect()}
+    want, text = brute_runs(rows), dict(rows)
+    assert sum(map(len, want.values())) > 50
+    for i in want:  # blank lines at the edges may go with the alignment
+        assert want[i] <= got[i] and not any(text[i].split("\n")[k] for k in got[i] - want[i])
+
+
 def test_patience_is_a_common_subsequence():
     rng = random.Random(14)
     for _ in range(200):

@@ -8,6 +8,12 @@ stand in the same order are anchors (longest increasing subsequence), and the st
 aligned in the same way. A block, a run of lines aligned one by one, is deleted from the later document if it
 has MIN_WORDS words, or BOILER_WORDS words and a line that BOILER_DOCS documents share; less is chance.
 
+What the alignment with first holders leaves undeleted is followed through all earlier documents (``all_pairs``):
+``runs`` gives the least runs of shared lines that are long enough for a block, forward and backward from each
+line, and each run is compared by its hash with the first document that holds it. Together these runs cover
+every block that any earlier document has, wherever it stands, and no pair of documents is formed. Blank
+lines belong to a run only between its lines.
+
 Null and blank texts have no lines and stay as they are, rows with a null id too. Repeated rows of one id are
 one document. Columns pass through; n_chars, if there is one, follows the text.
 """
@@ -93,13 +99,67 @@ def blocks(aligned: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield run
 
 
-def deletions(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines to delete."""
+def runs(h: list[int], n: list[int], shared: set[int], boiler: set[int]) -> set[tuple[int, int]]:
+    """(start, stop) of the least runs of ``shared`` lines that are blocks, from every line onward and back."""
+    out: set[tuple[int, int]] = set()
+    at: list[int] = []
+    for p in [*range(len(h)), -1]:
+        if p >= 0 and n[p] == 0:
+            continue
+        if p >= 0 and h[p] in shared:
+            at.append(p)
+            continue
+        words, boilers = [0], [0]
+        for k in at:
+            words.append(words[-1] + n[k])
+            boilers.append(boilers[-1] + (h[k] in boiler))
+        block = lambda i, j: words[j] - words[i] >= (BOILER_WORDS if boilers[j] > boilers[i] else MIN_WORDS)  # noqa: B023, E731
+        j = 0
+        for i in range(len(at)):
+            while j < len(at) and (j <= i or not block(i, j)):
+                j += 1
+            if j > i and block(i, j):
+                out.add((at[i], at[j - 1] + 1))
+        i = 0
+        for j in range(1, len(at) + 1):
+            while i + 1 < j and block(i + 1, j):
+                i += 1
+            if block(i, j):
+                out.add((at[i], at[j - 1] + 1))
+        at = []
+    return out
+
+
+def repeats(one: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, gone): the lines in runs that an earlier document holds; ``links`` are (doc_id, h, df) of shared lines."""
+    mine = links.groupBy("doc_id").agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("df") >= BOILER_DOCS, F.col("h"))).alias("boiler"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for i in range(b.num_rows):
+                doc, lines = b.column(0)[i].as_py(), b.column(1)[i].values
+                h = lines.field(0).to_pylist()
+                found = runs(h, lines.field(1).to_pylist(), set(b.column(2)[i].as_py()), set(b.column(3)[i].as_py()))
+                out += [(hash(tuple(h[p:q])), doc, p, q) for p, q in found]
+            k, d, p, q = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(q, pa.int32())], names=["run", "doc_id", "p", "q"])
+
+    held = table(one.join(mine, "doc_id").select("doc_id", "lines", "shared", "boiler").mapInArrow(run, "run long, doc_id long, p int, q int"), "runs")
+    first = held.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    later = held.join(first, "run").where("doc_id > first")
+    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("p", F.col("q") - 1))))).alias("gone"))
+
+
+def deletions(docs: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """(doc_id, gone): the numbers of the lines to delete; not ``all_pairs``: by the first holders of lines only."""
     held = table(hashed(docs), "lines")
     seen = held.select("doc_id", F.explode("lines").alias("x")).where("x.n > 0").select("doc_id", "x.h").distinct()
     shared = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    links = seen.join(shared, "h").where("doc_id > first")
-    pairs = table(links.groupBy("doc_id", "first").agg(F.min("df").alias("df"), F.collect_set(F.when(F.col("df") >= BOILER_DOCS, F.col("h"))).alias("boiler")), "pairs")
+    links = seen.join(shared, "h")
+    if all_pairs:
+        links = table(links, "links")
+    pairs = table(links.where("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("df"), F.collect_set(F.when(F.col("df") >= BOILER_DOCS, F.col("h"))).alias("boiler")), "pairs")
     one = held.dropDuplicates(["doc_id"])
     theirs = pairs.join(one.withColumnRenamed("doc_id", "first"), "first")
     own = one.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -128,15 +188,19 @@ def deletions(docs: DataFrame) -> DataFrame:
         if gone:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sorted(gone)], pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
-    return rows.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "df", "first").mapInArrow(run, "doc_id long, gone array<int>")
+    aligned = rows.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "df", "first").mapInArrow(run, "doc_id long, gone array<int>")
+    if not all_pairs:
+        return aligned
+    both = aligned.unionByName(repeats(one, links))
+    return both.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, out_col: str = "gone") -> DataFrame:
+def line_dedup(docs: DataFrame, out_col: str = "gone", all_pairs: bool = False) -> DataFrame:
     """``docs`` without the lines that ``deletions`` names, which come as ``out_col``, null where none go; a
     column of that name is replaced."""
     docs = docs.drop(out_col)
     columns = docs.columns
-    found = deletions(docs.select("doc_id", "text")).toDF("_textloom_id", "_textloom_gone")
+    found = deletions(docs.select("doc_id", "text"), all_pairs).toDF("_textloom_id", "_textloom_gone")
     joined = docs.join(found, F.col("doc_id") == F.col("_textloom_id"), "left").drop("_textloom_id")
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(out_col)).schema
     t, c = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
@@ -164,12 +228,12 @@ def line_dedup(docs: DataFrame, out_col: str = "gone") -> DataFrame:
 def op8(spark, sf_dir: str) -> DataFrame:
     """Every document's text without the blocks that earlier documents hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted_lines"), "gone")
+    return line_dedup(docs, all_pairs=True).select("doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted_lines"), "gone")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated blocks of lines; a document of which nothing is left goes."""
-    return line_dedup(docs, "_textloom_out").where("_textloom_out is null or trim(text) <> ''").select(*docs.columns)
+    return line_dedup(docs, "_textloom_out", all_pairs=True).where(F.col("_textloom_out").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
 
 
 QUERIES = {"op8_line_dedup": op8}
