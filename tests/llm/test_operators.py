@@ -489,6 +489,22 @@ def test_patience_is_a_common_subsequence():
     assert lines.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_patience_aligns_repeated_lines(spark):
+    assert [len(lines.patience(*x)) for x in (([7, 1, 7], [2, 7, 3]), ([2, 7, 3], [7, 1, 7]), ([1, 7, 8, 2, 7, 8, 3], [4, 7, 8, 5, 7, 8, 6]))] == [1, 1, 4]
+    rng = random.Random(31)
+    for _ in range(300):  # no stretch with a common line is abandoned
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        m = lines.patience(a, b)
+        assert m or not set(a) & set(b)
+        for (i, j), (i2, j2) in itertools.pairwise([(-1, -1), *m, (len(a), len(b))]):
+            assert not set(a[i + 1:i2]) & set(b[j + 1:j2])
+    P = "the passage named P has more words than eight in it"
+    rows = [(1, f"{P}\nx\n{P}"), (2, f"y\n{P}\nz"), (3, f"u\n{P}\nv\n{P}\nw")]
+    for every in (False, True):
+        got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), all_pairs=every).collect()}
+        assert got == {1: rows[0][1], 2: "y\nz", 3: "u\nv\nw"}
+
+
 # --- packing ---
 
 def test_boundaries_are_optimal():

@@ -5,7 +5,7 @@ to the first document with it, by doc_id; so the pairs are as many as the lines,
 documents, and no line is too frequent to be followed. A later document is aligned with the earlier ones it is
 linked to, that with the rarest shared line first, by patience diff: lines that are unique on both sides and
 stand in the same order are anchors (longest increasing subsequence), and the stretches between them are
-aligned in the same way. A block, a run of lines aligned one by one, is deleted from the later document if it
+aligned in the same way; where no line is unique, the k-th of a repeated line stands for it. A block, a run of lines aligned one by one, is deleted from the later document if it
 has MIN_WORDS words, or BOILER_WORDS words and a line that BOILER_DOCS documents share; less is chance.
 
 What the alignment with first holders leaves undeleted is followed through all earlier documents (``all_pairs``):
@@ -58,6 +58,14 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _numbered(x: list[int]) -> Iterator[tuple[int, int]]:
+    """Each item with the number of its equals before it."""
+    seen: Counter = Counter()
+    for v in x:
+        yield v, seen[v]
+        seen[v] += 1
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """The aligned places (in a, in b), ascending."""
     out: list[tuple[int, int]] = []
@@ -75,6 +83,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         na, nb = Counter(a[i:i2]), Counter(b[j:j2])
         place = {b[q]: q for q in range(j, j2) if nb[b[q]] == 1}
         anchors = _increasing([(p, place[a[p]]) for p in range(i, i2) if na[a[p]] == 1 and a[p] in place])
+        if not anchors:  # no line is unique on both sides: the k-th of a line meets the k-th
+            place = {x: q for q, x in zip(range(j, j2), _numbered(b[j:j2]), strict=True)}
+            anchors = _increasing([(p, place[x]) for p, x in zip(range(i, i2), _numbered(a[i:i2]), strict=True) if x in place])
         p0, q0 = i, j
         for p, q in anchors:
             out.append((p, q))
