@@ -117,6 +117,33 @@ def test_vocabulary(spark):
     assert one(spark, "We saw the the dog.", B.plain_words("x")) == "We saw the dog."
 
 
+@pytest.mark.parametrize("name", ["R01_contractions_of_texts", "R01_contract_of_texts", "R02_punctuation_of_texts", "R03_clauses_of_texts", "R04_splits_of_texts", "R05_vocabulary", "R06_openings_of_texts", "R09_rule_based", "R11_attacked_texts", "F05_held_out_texts", "T18_signatures_of_models", "B29_signatures_of_models"])
+def test_perturbations_read_the_texts(spark, tmp_path, name):
+    """Texts that are long, null or of several lines come out as the rules say, not a sentence that stands in for them."""
+    from textloom import catalog
+
+    hit = "It's a test; furthermore - we delve, and moreover it is late, but we can't stop."
+    texts = [None, "", hit, f"first line\n{hit}\nlast line", f"{hit} " * 400, "Although it rains, we go out."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+    if name.startswith(("R11", "F05")):
+        for f, op in {"clean": lambda c: F.col(c), **B.ATTACKS}.items():
+            want = {r.doc_id: r.x for r in docs.select("doc_id", op("text").alias("x")).collect()}
+            got = {r.doc_id: r.attacked_text for r in rows if r.attack_family == f}
+            assert got == (want if f == "vocabulary" or name.startswith("R11") else {})
+    elif name.startswith("T18"):
+        assert {r.word: r.n for r in rows if r.doc_id == 4} == {"delve": 400, "furthermore": 400, "moreover": 400}
+    elif name.startswith("B29"):
+        assert {r.doc_id for r in rows if r.density > 0} == {2, 3, 4} and len(rows) == 6
+    else:
+        out = {r.doc_id: r.out for r in rows}
+        assert len(out) == 6 and out[0] is None and out[1] == ""
+        assert out[5] != texts[5] if name.startswith(("R03", "R09")) else "rains" in out[5]
+        if not name.startswith("R03"):
+            assert all(out[i] != texts[i] for i in (2, 3, 4)) and len(out[4]) > 20_000
+
+
 def test_csv_discovery(spark, tmp_path):
     (tmp_path / "x.csv").write_text('essay,generated,prompt_name\n"a, b\nc",1,P\nd,0,Q\n')
     r = A.read_corpus(spark, f"file://{tmp_path}/x.csv").orderBy("label").collect()

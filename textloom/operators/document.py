@@ -96,6 +96,12 @@ def signature_counts(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
     return w.groupBy("doc_id", "word").agg(F.count("*").alias("n")).select("doc_id", "word", model[F.col("word")].alias("model"), "n")
 
 
+def signature_phrases(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
+    """(doc_id, word, model, n) of the vocabulary's entries, which may be of several words."""
+    each = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(m).alias("model"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(rf"\b({w})\b"), 1)).cast("long").alias("n")) for w, m in vocabulary.items()))
+    return docs.select("doc_id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
+
+
 def signature_density(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
     """Vocabulary words per 1,000 words, and whose style that is."""
     hits = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1), lambda w: w.isin(*vocabulary))

@@ -159,6 +159,10 @@ def _texts(spark, d):
     return read(spark, d, "documents").selectExpr("doc_id", f"{_TXT.replace(chr(39) * 2, chr(92) + chr(39))} AS text")
 
 
+def _whole(spark, d):
+    return read(spark, d, "documents").select("doc_id", "text")
+
+
 def _sql_each(x: str, table: dict) -> str:
     for a, b in table.items():
         x = rf"regexp_replace({x}, '(?i)\b{a.replace(chr(39), chr(39) * 2)}\b', '{b.replace(chr(39), chr(39) * 2)}', 'g')"
@@ -171,8 +175,18 @@ query("R01_contract", _T + _sql_each("text", B.CONTRACT) + " AS out FROM t")(lam
 query("R02_punctuation", _T + r"regexp_replace(replace(replace(text, ';', ','), ' - ', ', '), ',\s+and\b', ' and', 'g') AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.perturb_punctuation("text").alias("out")))
 query("R04_splits", _T + r"regexp_replace(text, ', (and|but|yet|so) ', '. ', 'g') AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.split_clauses("text").alias("out")))
 query("R06_openings", _T + _sql_each("text", B.OPENINGS) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.plain_openings("text").alias("out")))
-query("R05_vocabulary")(lambda spark, d: _texts(spark, d).select("doc_id", B.plain_words("text").alias("out")))
-query("R09_rule_based")(lambda spark, d: _texts(spark, d).select("doc_id", B.rule_based("text").alias("out")))
+query("R05_vocabulary")(lambda spark, d: _whole(spark, d).select("doc_id", B.plain_words("text").alias("out")))
+query("R09_rule_based")(lambda spark, d: _whole(spark, d).select("doc_id", B.rule_based("text").alias("out")))
+# the same rules over the documents' own texts
+for _n, _f, _x in (
+    ("R01_contractions_of_texts", B.expand_contractions, _sql_each("text", B.CONTRACTIONS)), ("R01_contract_of_texts", B.contract, _sql_each("text", B.CONTRACT)),
+    ("R02_punctuation_of_texts", B.perturb_punctuation, r"regexp_replace(replace(replace(text, ';', ','), ' - ', ', '), ',\s+and\b', ' and', 'g')"),
+    ("R03_clauses_of_texts", B.reorder_clauses, r"CASE WHEN regexp_matches(text, '^(Although|While|Because) ([^,]+), ([^.]+)\.$') THEN array_to_string(list_transform(string_split(lower(regexp_extract(text, ', ([^.]+)\.$', 1)), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') || ', ' || lower(regexp_extract(text, '^(\w+)', 1)) || regexp_extract(text, '^\w+( [^,]+)', 1) || '.' ELSE text END"),
+    ("R04_splits_of_texts", B.split_clauses, r"regexp_replace(text, ', (and|but|yet|so) ', '. ', 'g')"), ("R06_openings_of_texts", B.plain_openings, _sql_each("text", B.OPENINGS)),
+):
+    query(_n, f"SELECT doc_id, {_x} AS out FROM documents")(lambda spark, d, f=_f: _whole(spark, d).select("doc_id", f("text").alias("out")))
+query("R11_attacked_texts")(lambda spark, d: B.attacks(_whole(spark, d)))
+query("F05_held_out_texts")(lambda spark, d: B.attacks(_whole(spark, d)).where("is_held_out").select("doc_id", "attack_family", "attacked_text"))
 _TEX = "('item one & two' || chr(10) || 'begin{x} ' || doc_id || '%')"
 query("T34_repair_tex", r"SELECT doc_id, '\item one \& two' || chr(10) || '\begin{x} ' || doc_id || '\%' AS value FROM documents")(lambda spark, d: read(spark, d, "documents").selectExpr("doc_id", f"{_TEX.replace('chr(10)', 'char(10)')} AS t").select("doc_id", T.repair_tex("t").alias("value")))
 

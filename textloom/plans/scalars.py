@@ -91,6 +91,22 @@ def signature_density(spark, d):
     return run(read(spark, d, "documents"), _VOCAB)
 
 
+@query("T18_signatures_of_models", f"WITH v AS (SELECT unnest({list(T.SIGNATURES)}) AS word, unnest({list(T.SIGNATURES.values())}) AS model) SELECT doc_id, word, model, len(regexp_extract_all(lower(text), '\\b' || word || '\\b')) AS n FROM documents, v WHERE regexp_matches(lower(text), '\\b' || word || '\\b')")
+def signatures_of_models(spark, d):
+    from ..operators.document import signature_phrases as run
+
+    return run(read(spark, d, "documents"), T.SIGNATURES)
+
+
+@query("B29_signatures_of_models", f"WITH v AS (SELECT unnest({list(T.SIGNATURES)}) AS word), c AS (SELECT doc_id, sum(len(regexp_extract_all(lower(text), '\\b' || word || '\\b'))) AS n FROM documents, v GROUP BY 1) SELECT doc_id, round(1000.0::DOUBLE * coalesce(n, 0) / greatest({WC.format('text')}, 1), 4) AS density FROM documents JOIN c USING (doc_id)")
+def density_of_models(spark, d):
+    from ..operators.document import signature_phrases as run
+
+    docs = read(spark, d, "documents")
+    n = run(docs, T.SIGNATURES).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return docs.join(n, "doc_id", "left").select("doc_id", F.round(F.lit(1000.0) * F.coalesce("n", F.lit(0)) / F.greatest(T.n_words("text"), F.lit(1)), 4).alias("density"))
+
+
 _CUT = "substr(text, 1, (length(text) // 2)::BIGINT)"
 
 
