@@ -117,6 +117,17 @@ def test_vocabulary(spark):
     assert one(spark, "We saw the the dog.", B.plain_words("x")) == "We saw the dog."
 
 
+def test_vocabulary_has_the_whole_maps(spark):
+    assert len(B.PHRASES) == 24 and len(B.SYNONYMS) == 20
+    assert one(spark, "It is important to note that we  delve into a comprehensive framework.\nit grew, (Crucial).", B.plain_words("x")) in {f"Notably, we explore a thorough framework. It grew, ({w})." for w in ("Vital", "Essential", "Key")}
+    for word, choice in B.SYNONYMS.items():
+        got = {B.plainer(f"they {word}, so", str(k)) for k in range(40)}
+        assert got == {f"They {w}, so" for w in choice}
+    assert B.plainer("we utilize __LOCK_1_delve it", "k") == "We utilize __LOCK_1_delve it" and B.plainer(None, "k") is None
+    two = spark.createDataFrame([(k, "a crucial point") for k in range(40)], "doc_id long, x string")
+    assert {r.y for r in two.select(B.plain_words("x", "doc_id").alias("y")).collect()} == {f"A {w} point" for w in B.SYNONYMS["crucial"]}
+
+
 @pytest.mark.parametrize("name", ["R01_contractions_of_texts", "R01_contract_of_texts", "R02_punctuation_of_texts", "R03_clauses_of_texts", "R04_splits_of_texts", "R05_vocabulary", "R06_openings_of_texts", "R09_rule_based", "R11_attacked_texts", "F05_held_out_texts", "T18_signatures_of_models", "B29_signatures_of_models"])
 def test_perturbations_read_the_texts(spark, tmp_path, name):
     """Texts that are long, null or of several lines come out as the rules say, not a sentence that stands in for them."""
