@@ -255,6 +255,19 @@ def test_toxic_spans_of_held_out_texts(spark):
             assert all(toxicity and any(b in t[s.start:s.stop] for b in bad) for s in r.spans)
 
 
+def test_toxicity_learns_from_short_texts(spark):
+    rng = random.Random(32)
+    text = lambda toxic: " ".join([*words(rng, rng.randrange(4, 9), 200), *["scumbag"] * toxic, *words(rng, 2, 200)])
+    f = toxicity.learn([(text(i % 2), i % 2) for i in range(400)] + [("", 0), ("", 1)])
+    got = toxicity.tagged(spark.createDataFrame([(i, text(i % 2)) for i in range(60)], "doc_id long, text string"), f).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_windows_spread_over_all_hits():
+    assert toxicity._spread(np.arange(0, 1010, 10)) == [0, 200, 400, 600, 800, 1000]
+    assert toxicity._spread(np.array([3, 5])) == [3, 5] and toxicity._spread(np.array([], int)) == []
+
+
 def test_toxicity_contract(spark):
     import zlib
 

@@ -4,7 +4,8 @@
 their id; a documented bound, the corpus may be any size), drops near copies among them, and labels their
 tokens: a token of a toxic text is toxic if it is, or starts like, what stands in toxic texts far more often
 than in clean ones (log-likelihood ratio). The field has two states, weights for a token's form, beginnings,
-endings and shape (hashed) and for transitions, and is fitted to windows of tokens by gradient steps.
+endings and shape (hashed) and for transitions, and is fitted to windows of tokens by gradient steps: six at most
+spread over all hits of a text and two at random ones, or a text of under WINDOW words as a whole.
 
 ``tagged`` runs forward and backward over each whole text; a token's marginal is the probability of its being
 toxic. A document's score is that one of the tokens at or above NOTED is toxic, or the largest marginal if
@@ -108,35 +109,40 @@ class Field:
         self.t = np.zeros((2, 2))
         self.s = np.zeros(2)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """x: windows, tokens, FEATURES; y: windows, tokens. AdaGrad on the conditional log-likelihood."""
-        n, length = y.shape
+    def fit(self, groups: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Each group: windows of one length, x: windows, tokens, FEATURES; y: windows, tokens. AdaGrad on the
+        conditional log-likelihood of all."""
+        n = sum(len(y) for _, y in groups)
         sums = [np.full_like(p, 1e-8) for p in (self.w, self.t, self.s)]
         for _ in range(EPOCHS):
-            u = self.w[x].sum(axis=2)
-            e = np.stack([np.zeros_like(u), u], axis=2)
-            f, b = np.empty((n, length, 2)), np.zeros((n, length, 2))
-            f[:, 0] = self.s + e[:, 0]
-            for k in range(1, length):
-                f[:, k] = e[:, k] + np.logaddexp(f[:, k - 1, :1] + self.t[0], f[:, k - 1, 1:] + self.t[1])
-            for k in range(length - 2, -1, -1):
-                z = e[:, k + 1] + b[:, k + 1]
-                b[:, k] = np.stack([np.logaddexp(self.t[i, 0] + z[:, 0], self.t[i, 1] + z[:, 1]) for i in (0, 1)], axis=1)
-            total = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
-            p = np.exp(f + b - total[:, None, None])
-            gt = np.zeros((2, 2))
-            for k in range(1, length):
-                for i in (0, 1):
-                    for j in (0, 1):
-                        gt[i, j] += np.exp(f[:, k - 1, i] + self.t[i, j] + e[:, k, j] + b[:, k, j] - total).sum()
-                np.add.at(gt, (y[:, k - 1], y[:, k]), -1.0)
-            gs = p[:, 0].sum(axis=0) - np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()])
-            gw = np.bincount(x.reshape(-1), np.repeat((p[:, :, 1] - y).reshape(-1), FEATURES), DIMS)
+            gw, gt, gs = (sum(g) for g in zip(*(self._gradients(x, y) for x, y in groups), strict=True))
             for value, grad, total2 in zip((self.w, self.t, self.s), (gw / n + DECAY * self.w, gt / n, gs / n), sums, strict=True):
                 total2 += grad * grad
                 value -= RATE * grad / np.sqrt(total2)
             self.w[0] = 0
 
+    def _gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, length = y.shape
+        u = self.w[x].sum(axis=2)
+        e = np.stack([np.zeros_like(u), u], axis=2)
+        f, b = np.empty((n, length, 2)), np.zeros((n, length, 2))
+        f[:, 0] = self.s + e[:, 0]
+        for k in range(1, length):
+            f[:, k] = e[:, k] + np.logaddexp(f[:, k - 1, :1] + self.t[0], f[:, k - 1, 1:] + self.t[1])
+        for k in range(length - 2, -1, -1):
+            z = e[:, k + 1] + b[:, k + 1]
+            b[:, k] = np.stack([np.logaddexp(self.t[i, 0] + z[:, 0], self.t[i, 1] + z[:, 1]) for i in (0, 1)], axis=1)
+        total = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
+        p = np.exp(f + b - total[:, None, None])
+        gt = np.zeros((2, 2))
+        for k in range(1, length):
+            for i in (0, 1):
+                for j in (0, 1):
+                    gt[i, j] += np.exp(f[:, k - 1, i] + self.t[i, j] + e[:, k, j] + b[:, k, j] - total).sum()
+            np.add.at(gt, (y[:, k - 1], y[:, k]), -1.0)
+        gs = p[:, 0].sum(axis=0) - np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()])
+        return np.bincount(x.reshape(-1), np.repeat((p[:, :, 1] - y).reshape(-1), FEATURES), DIMS), gt, gs
+
     def marginals(self, u: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The probability of the toxic state of each token; ``u``: its unary, ``row``: its text."""
         n = len(u)
@@ -213,26 +219,33 @@ def learn(sample: list[tuple[str, int]]) -> Field:
     forms = lambda kind: (np.unique(_read(sample[i][0]).forms()) for i in keep if bool(sample[i][1]) == kind)
     known = lexicon(forms(True), forms(False))
     rng = np.random.default_rng(7)
-    xs, ys = [], []
+    groups: dict[int, tuple[list, list]] = {}
     for i in keep:
         w, y = _read(sample[i][0]), sample[i][1]
         n = len(w.first)
         like = np.isin(w.forms(), known).any(axis=1) if len(known) else np.zeros(n, bool)
         # in a clean text the words that look toxic teach what is none
-        spots = [*np.flatnonzero(like)[:6].tolist(), *rng.integers(0, max(1, n), 2).tolist()]
-        if n < WINDOW:
+        spots = [*_spread(np.flatnonzero(like)), *rng.integers(0, max(1, n), 2).tolist()]
+        if not n:
             continue
         x = w.features().astype(np.int32)
-        for k in spots:
-            lo = max(0, min(k - WINDOW // 2, n - WINDOW))
-            xs.append(x[lo:lo + WINDOW])
-            ys.append((like[lo:lo + WINDOW] & bool(y)).astype(np.int64))
-    if xs:
+        size = min(n, WINDOW)
+        xs, ys = groups.setdefault(size, ([], []))
+        for k in spots if n > WINDOW else spots[:1]:
+            lo = max(0, min(k - WINDOW // 2, n - size))
+            xs.append(x[lo:lo + size])
+            ys.append((like[lo:lo + size] & bool(y)).astype(np.int64))
+    if groups:
         field = Field()
-        field.fit(np.stack(xs), np.stack(ys))
+        field.fit([(np.stack(xs), np.stack(ys)) for _, (xs, ys) in sorted(groups.items())])
     return field
 
 
+def _spread(hits: np.ndarray) -> list[int]:
+    """Six of the places at most, evenly spread from the first to the last."""
+    return hits[np.unique(np.linspace(0, len(hits) - 1, 6).round().astype(int))].tolist() if len(hits) else []
+
+
 def _read(text: str) -> _Words:
     raw = np.frombuffer(text.encode(), np.uint8)
     _, _, first, last = W.words(raw, np.array([0, len(raw)]))
