@@ -420,52 +420,26 @@ def test_line_dedup_deletes_aligned_blocks(spark):
     assert got == {1: rows[0][1], 2: "other top\nother end", 3: rows[2][1], 4: "", 5: "other top", 6: None, 7: ""}
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(21)
-    pool = [" ".join(words(rng, rng.randrange(2, 14))) for _ in range(60)]
-    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else " ".join(words(rng, 9)) for _ in range(rng.randrange(1, 12)))) for i in range(50)]
-    texts = {i: t.split("\n") for i, t in rows}
-    df = Counter(x for t in texts.values() for x in set(t))
-    first = {}
-    for i in sorted(texts):
-        for x in texts[i]:
-            first.setdefault(x, i)
-    want = {}
-    for i, t in texts.items():
-        links = {}
-        for x in set(t):
-            if first[x] != i:
-                links.setdefault(first[x], []).append(df[x])
-        gone = set()
-        for e in sorted(links, key=lambda e: (min(links[e]), e)):
-            boiler = {x for x in set(t) if first[x] == e and df[x] >= lines.BOILER_DOCS}
-            for block in lines.blocks(lines.patience(t, texts[e])):
-                n = sum(len(t[p].split()) for p in block)
-                if n >= lines.MIN_WORDS or (n >= lines.BOILER_WORDS and any(t[p] in boiler for p in block)):
-                    gone.update(block)
-        want[i] = "\n".join(x for k, x in enumerate(t) if k not in gone)
-    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
-
-
-def brute_runs(rows):
+def brute_blocks(rows):
     """Of every document the lines that stand in a block of any earlier one, by all pairs of places."""
-    texts = {i: t.split("\n") for i, t in rows}
-    df = Counter(x for t in texts.values() for x in set(t) if x)
+    texts = [(i, t.split("\n")) for i, t in rows if i is not None and t is not None]
     want = {}
-    for d, t in texts.items():
+    for d, t in texts:
         gone = set()
-        for e in texts:
-            u = texts[e]
+        for e, u in texts:
             for p, q in itertools.product(range(len(t)), range(len(u) if e < d else 0)):
-                k = 0
-                while p + k < len(t) and q + k < len(u) and t[p + k] == u[q + k]:
-                    k += 1
-                    run = t[p:p + k]
-                    n = sum(len(x.split()) for x in run)
-                    if run[0] and run[-1] and (n >= lines.MIN_WORDS or (n >= lines.BOILER_WORDS and any(df[x] >= lines.BOILER_DOCS for x in run))):
-                        gone.update(range(p, p + k))
-        want[d] = gone
+                # equal lines from here on, blank ones skipped on both sides
+                i, j, run = p, q, []
+                while i < len(t) and j < len(u) and t[i] and t[i] == u[j]:
+                    run.append(i)
+                    i, j = i + 1, j + 1
+                    while i < len(t) and not t[i]:
+                        i += 1
+                    while j < len(u) and not u[j]:
+                        j += 1
+                if run and sum(len(t[k].split()) for k in run) >= lines.MIN_WORDS:
+                    gone.update(range(run[0], run[-1] + 1))
+        want.setdefault((d, "\n".join(t)), gone)
     return want
 
 
@@ -474,23 +448,44 @@ def test_line_dedup_of_all_pairs(spark):
     short = ["one two", "three four", "five six", "seven eight", "nine"]
     rows = [(1, f"{P}\n{Q}"), (2, f"{Q}\n{P}"), (3, f"{Q}\n{P}")]  # 3 is a copy of 2, and both of 1 in another order
     rows += [(10 + k, f"own {k}\n{x}\nend {k}") for k, x in enumerate(short)] + [(20, "\n".join(["b", *short, "c"])), (21, "\n".join(["d", *short, "e"]))]
-    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), all_pairs=True).collect()}
+    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**dict(rows), 2: "", 3: "", 21: "d\ne"}
     left = lines.stage(None, spark.createDataFrame([(i, f"\n{t}\n") for i, t in rows], "doc_id long, text string"), "")
     assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {2, 3}
 
 
-def test_line_dedup_equals_all_pairs(spark):
-    rng = random.Random(22)
+@pytest.mark.parametrize("seed", [21, 22, 23])
+def test_line_dedup_equals_all_pairs(spark, seed):
+    """Also with ids that have several texts, or one of them several times."""
+    rng = random.Random(seed)
     pool = [" ".join(words(rng, rng.choice([1, 2, 3, 5, 9]))) for _ in range(25)]
     block = [rng.sample(pool, 4) for _ in range(8)]
     piece = lambda: rng.choice([[rng.choice(pool)], rng.choice(block), [""], [" ".join(words(rng, 4))]])
-    rows = [(i, "\n".join(itertools.chain.from_iterable(piece() for _ in range(rng.randrange(1, 9))))) for i in range(70)]
-    got = {r.doc_id: set(r.gone or []) for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), all_pairs=True).collect()}
-    want, text = brute_runs(rows), dict(rows)
-    assert sum(map(len, want.values())) > 50
-    for i in want:  # blank lines at the edges may go with the alignment
-        assert want[i] <= got[i] and not any(text[i].split("\n")[k] for k in got[i] - want[i])
+    rows = [(i - i % 7 // 5, "\n".join(itertools.chain.from_iterable(piece() for _ in range(rng.randrange(1, 9))))) for i in range(70)]
+    rows += [rows[9], rows[9], (None, rows[3][1]), (500, None), (501, "")]
+    got = lines.line_dedup(spark.createDataFrame([(*r, r[1]) for r in rows], "doc_id long, text string, old string"), blocks_col="blocks").collect()
+    want = brute_blocks(rows)
+    assert sum(map(len, want.values())) > 50 and len(got) == len(rows)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append((t or "").split("\n"))
+    words_of = lambda t: [x for x in t if x]
+    for r in got:
+        if r.doc_id is None or r.old is None:
+            assert r.text == r.old and r.gone is None
+            continue
+        gone, old = set(r.gone or []), r.old.split("\n")
+        assert gone == want[r.doc_id, r.old] and r.text == "\n".join(x for k, x in enumerate(old) if k not in gone)
+        for b in r.blocks or []:  # what a block's partner holds
+            assert b.other < r.doc_id and any(words_of(old[b.start:b.stop]) == words_of(u[b.place:])[:len(words_of(old[b.start:b.stop]))] for u in texts[b.other])
+
+
+def test_alignment_pairs_blocks_in_order(spark):
+    """A passage that stands twice in both documents is paired place by place; one that moved on its own."""
+    x, y, z = (f"line {k} has quite enough words" for k in "xyz")
+    rows = [(1, "\n".join([x, "a", y, "b", x, "c", z])), (2, "\n".join([z, "d", x, "e", y, "f", x]))]
+    r = next(r for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), blocks_col="blocks").collect() if r.doc_id == 2)
+    assert r.text == "d\ne\nf" and [(b.start, b.stop) for b in r.blocks] == [(0, 1), (2, 3), (4, 5), (6, 7)]
 
 
 def test_patience_is_a_common_subsequence():
@@ -513,9 +508,8 @@ def test_patience_aligns_repeated_lines(spark):
             assert not set(a[i + 1:i2]) & set(b[j + 1:j2])
     P = "the passage named P has more words than eight in it"
     rows = [(1, f"{P}\nx\n{P}"), (2, f"y\n{P}\nz"), (3, f"u\n{P}\nv\n{P}\nw")]
-    for every in (False, True):
-        got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), all_pairs=every).collect()}
-        assert got == {1: rows[0][1], 2: "y\nz", 3: "u\nv\nw"}
+    got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "y\nz", 3: "u\nv\nw"}
 
 
 # --- packing ---

@@ -1,21 +1,22 @@
 """Line dedup by pairwise alignment of documents that share rare lines.
 
-Lines are compared by a hash of their trimmed text. Every line that several documents hold links each of them
-to the first document with it, by doc_id; so the pairs are as many as the lines, not as the pairs of a line's
-documents, and no line is too frequent to be followed. A later document is aligned with the earlier ones it is
-linked to, that with the rarest shared line first, by patience diff: lines that are unique on both sides and
-stand in the same order are anchors (longest increasing subsequence), and the stretches between them are
-aligned in the same way; where no line is unique, the k-th of a repeated line stands for it. A block, a run of lines aligned one by one, is deleted from the later document if it
-has MIN_WORDS words, or BOILER_WORDS words and a line that BOILER_DOCS documents share; less is chance.
-
-What the alignment with first holders leaves undeleted is followed through all earlier documents (``all_pairs``):
-``runs`` gives the least runs of shared lines that are long enough for a block, forward and backward from each
-line, and each run is compared by its hash with the first document that holds it. Together these runs cover
-every block that any earlier document has, wherever it stands, and no pair of documents is formed. Blank
-lines belong to a run only between its lines.
-
-Null and blank texts have no lines and stay as they are, rows with a null id too. Repeated rows of one id are
-one document. Columns pass through; n_chars, if there is one, follows the text.
+Lines are compared by a hash of their trimmed text. A ``run`` is the least stretch of neighbouring lines, onward
+or back from a line, that has MIN_WORDS words; most are one line. Each run's hash has one holder, the first
+document with it, by doc_id; every later document with that run is a partner of the holder. So pairs are at most
+as many as a document's own runs, no line is too frequent to be followed, and the partners of a document hold
+all blocks of MIN_WORDS words that it shares with any earlier document. Only the places of shared runs are
+shuffled, never another document's lines.
+
+A later document takes its partners one by one, that with the rarest shared run first, and is aligned with each
+over what no partner before has: by patience diff, whose anchors are the runs that are unique on both sides and
+stand in the same order (longest increasing subsequence), the stretches between them in the same way; where none
+is unique, the k-th of a repeated run stands for it. Runs that moved, and so are off that alignment, are aligned
+on their own. Aligned runs that overlap or touch in both documents are one block, and its lines are deleted from
+the later document.
+
+Null and blank texts have no lines and stay as they are, rows with a null id too. Rows of one id are one document:
+each of its texts loses what earlier documents hold, they take nothing from each other. Blank lines belong to a
+run only between its lines. Columns pass through; n_chars, if there is one, follows the text.
 """
 
 from __future__ import annotations
@@ -24,21 +25,63 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._tables import table
 
-MIN_WORDS, BOILER_WORDS, BOILER_DOCS = 8, 3, 10
+MIN_WORDS = 5
 _WS = "[\\x20\\x09-\\x0D]+"
+_P = np.uint64(0xA0761D6478BD642F)
+_PINV = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines): of each line its hash and number of words, 0 for a blank one."""
+    """(doc_id, version, lines): of each line its hash and number of words, 0 for a blank one."""
     line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("n"))
     tidy = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, _WS, " ")))
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(tidy, line).alias("lines"))
+    d = docs.where("doc_id is not null and text is not null")
+    return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.transform(tidy, line).alias("lines"))
+
+
+def runs(h: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: its document, the numbers there of its first line and of the line after it, its hash.
+    ``h``, ``n``: hashes and words of all lines; ``at``: where the documents start among them, and the end."""
+    full = np.flatnonzero(n > 0)
+    doc = np.searchsorted(at, full, "right") - 1
+    lo, hi = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
+    words = np.r_[0, np.cumsum(n[full], dtype=np.int64)]
+    k = np.arange(len(full))
+    stop = np.searchsorted(words, words[:-1] + MIN_WORDS)  # onward from line k
+    start = np.searchsorted(words, words[1:] - MIN_WORDS, "right") - 1  # back from line k
+    onward, back = stop <= hi, start >= lo
+    pairs = np.unique(np.r_[np.c_[k, stop][onward], np.c_[start, k + 1][back]], axis=0)
+    i, j = pairs[:, 0], pairs[:, 1]
+    power = np.full((2, len(full) + 1), 1, np.uint64)
+    power[0, 1:], power[1, 1:] = _P, _PINV
+    power = np.multiply.accumulate(power, axis=1)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(h[full] * power[0, :-1])]
+    digest = W.mix((total[j] - total[i]) * power[1, i] + (j - i).astype(np.uint64) * W._M)
+    first = at[doc[i]] if len(i) else i
+    return doc[i], full[i] - first, full[j - 1] + 1 - first, digest
+
+
+def all_runs(docs: DataFrame) -> DataFrame:
+    """(h, doc_id, version, p, q): the runs of every document, lines p to q - 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            at, line = lists.offsets.to_numpy().astype(np.int64), lists.values
+            h, n = line.field(0).to_numpy().view(np.uint64), line.field(1).to_numpy().astype(np.int64)
+            doc, p, q, digest = runs(h[at[0]:at[-1]], n[at[0]:at[-1]], at - at[0])
+            ids = [b.column(k).to_numpy()[doc] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), *map(pa.array, ids), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32))], names=["h", "doc_id", "version", "p", "q"])
+
+    return hashed(docs).mapInArrow(run, "h long, doc_id long, version long, p int, q int")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,155 +139,82 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(aligned: list[tuple[int, int]]) -> Iterator[list[int]]:
-    """The runs of places in the first document that are aligned with a run in the second."""
-    run: list[int] = []
-    last = None
-    for p, q in aligned:
-        if run and (p, q) != last:
-            yield run
-            run = []
-        run.append(p)
-        last = (p + 1, q + 1)
-    if run:
-        yield run
-
-
-def runs(h: list[int], n: list[int], shared: set[int], boiler: set[int]) -> set[tuple[int, int]]:
-    """(start, stop) of the least runs of ``shared`` lines that are blocks, from every line onward and back."""
-    out: set[tuple[int, int]] = set()
-    at: list[int] = []
-    for p in [*range(len(h)), -1]:
-        if p >= 0 and n[p] == 0:
-            continue
-        if p >= 0 and h[p] in shared:
-            at.append(p)
-            continue
-        words, boilers = [0], [0]
-        for k in at:
-            words.append(words[-1] + n[k])
-            boilers.append(boilers[-1] + (h[k] in boiler))
-        block = lambda i, j: words[j] - words[i] >= (BOILER_WORDS if boilers[j] > boilers[i] else MIN_WORDS)  # noqa: B023, E731
-        j = 0
-        for i in range(len(at)):
-            while j < len(at) and (j <= i or not block(i, j)):
-                j += 1
-            if j > i and block(i, j):
-                out.add((at[i], at[j - 1] + 1))
-        i = 0
-        for j in range(1, len(at) + 1):
-            while i + 1 < j and block(i + 1, j):
-                i += 1
-            if block(i, j):
-                out.add((at[i], at[j - 1] + 1))
-        at = []
-    return out
-
-
-def repeats(one: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, gone): the lines in runs that an earlier document holds; ``links`` are (doc_id, h, df) of shared lines."""
-    mine = links.groupBy("doc_id").agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("df") >= BOILER_DOCS, F.col("h"))).alias("boiler"))
+def aligned(shared: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The blocks (start, stop, other, start in other) to delete from a document; ``shared``: its runs (p, q, hash,
+    holder, place in the holder, documents with the run)."""
+    gone: set[int] = set()
+    out: list[tuple[int, int, int, int]] = []
+    by: dict[int, list[tuple[int, int, int, int]]] = {}
+    rarest: dict[int, int] = {}
+    for p, q, h, other, place, df in shared:
+        by.setdefault(other, []).append((p, q, h, place))
+        rarest[other] = min(df, rarest.get(other, df))
+    for other in sorted(by, key=lambda e: (rarest[e], e)):
+        mine = sorted(x for x in by[other] if not all(k in gone for k in range(x[0], x[1])))
+        theirs = sorted({(place, h) for _, _, h, place in mine})
+        a, b = [h for _, _, h, _ in mine], [h for _, h in theirs]
+        met = [(mine[i], theirs[j][0]) for i, j in patience(a, b)]
+        on = {x for x, _ in met}
+        met += [(x, x[3]) for x in mine if x not in on]  # what moved
+        for (p, q, _, _), place in met:
+            if out and out[-1][2] == other and out[-1][0] <= p <= out[-1][1] and place - out[-1][3] == p - out[-1][0]:
+                out[-1] = (out[-1][0], max(q, out[-1][1]), other, out[-1][3])
+            else:
+                out.append((p, q, other, place))
+            gone.update(range(p, q))
+    return sorted(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for i in range(b.num_rows):
-                doc, lines = b.column(0)[i].as_py(), b.column(1)[i].values
-                h = lines.field(0).to_pylist()
-                found = runs(h, lines.field(1).to_pylist(), set(b.column(2)[i].as_py()), set(b.column(3)[i].as_py()))
-                out += [(hash(tuple(h[p:q])), doc, p, q) for p, q in found]
-            k, d, p, q = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(q, pa.int32())], names=["run", "doc_id", "p", "q"])
-
-    held = table(one.join(mine, "doc_id").select("doc_id", "lines", "shared", "boiler").mapInArrow(run, "run long, doc_id long, p int, q int"), "runs")
-    first = held.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
-    later = held.join(first, "run").where("doc_id > first")
-    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("p", F.col("q") - 1))))).alias("gone"))
-
-
-def deletions(docs: DataFrame, all_pairs: bool = False) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines to delete; not ``all_pairs``: by the first holders of lines only."""
-    held = table(hashed(docs), "lines")
-    seen = held.select("doc_id", F.explode("lines").alias("x")).where("x.n > 0").select("doc_id", "x.h").distinct()
-    shared = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    links = seen.join(shared, "h")
-    if all_pairs:
-        links = table(links, "links")
-    pairs = table(links.where("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("df"), F.collect_set(F.when(F.col("df") >= BOILER_DOCS, F.col("h"))).alias("boiler")), "pairs")
-    one = held.dropDuplicates(["doc_id"])
-    theirs = pairs.join(one.withColumnRenamed("doc_id", "first"), "first")
-    own = one.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = own.select("doc_id", F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("first"), F.array().cast("array<long>").alias("boiler"), "lines").unionByName(theirs.select("doc_id", "df", "first", "boiler", "lines"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document's own lines come first (df 0), its partners one by one after them."""
-        at, mine, words, gone = None, [], [], set()
-        for b in batches:
-            done: list[tuple[int, list[int]]] = []
-            for i in range(b.num_rows):
-                doc, df = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                lines = b.column(4)[i].values
-                h = lines.field(0).to_pylist()
-                if df == 0:
-                    if gone:
-                        done.append((at, sorted(gone)))
-                    at, mine, words, gone = doc, h, lines.field(1).to_pylist(), set()
-                    continue
-                boiler = set(b.column(3)[i].as_py())
-                for block in blocks(patience(mine, h)):
-                    n = sum(words[p] for p in block)
-                    if n >= MIN_WORDS or (n >= BOILER_WORDS and any(mine[p] in boiler for p in block)):
-                        gone.update(block)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.int64()), pa.array([y for _, y in done], pa.list_(pa.int32()))], names=["doc_id", "gone"])
-        if gone:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sorted(gone)], pa.list_(pa.int32()))], names=["doc_id", "gone"])
-
-    aligned = rows.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "df", "first").mapInArrow(run, "doc_id long, gone array<int>")
-    if not all_pairs:
-        return aligned
-    both = aligned.unionByName(repeats(one, links))
-    return both.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def line_dedup(docs: DataFrame, out_col: str = "gone", all_pairs: bool = False) -> DataFrame:
-    """``docs`` without the lines that ``deletions`` names, which come as ``out_col``, null where none go; a
-    column of that name is replaced."""
-    docs = docs.drop(out_col)
-    columns = docs.columns
-    found = deletions(docs.select("doc_id", "text"), all_pairs).toDF("_textloom_id", "_textloom_gone")
-    joined = docs.join(found, F.col("doc_id") == F.col("_textloom_id"), "left").drop("_textloom_id")
-    schema = docs.select("*", F.lit(None).cast("array<int>").alias(out_col)).schema
-    t, c = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+def deletions(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, gone, kept, blocks): the numbers of the lines to delete, whether each line up to the last of
+    them stays, and the aligned blocks."""
+    held = table(all_runs(docs), "runs")
+    first = held.groupBy("h").agg(F.min("doc_id").alias("other"), F.min_by("p", "doc_id").alias("place"), F.max("doc_id").alias("last"), F.count("*").alias("df")).where("other < last").drop("last")
+    later = held.join(first, "h").where("doc_id > other")
+    mine = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("p", "q", "h", "other", "place", "df")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()), ("place", pa.int32())]))
         for b in batches:
-            cols = list(b.columns)
-            gone = cols[-1].to_pylist()
-            if any(gone):
-                texts, chars = cols[t].to_pylist(), cols[c].to_pylist() if c is not None else None
-                for i, g in enumerate(gone):
-                    if g:
-                        g = set(g)
-                        texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in g)
-                        if chars:
-                            chars[i] = len(texts[i])
-                cols[t] = pa.array(texts, cols[t].type)
-                if chars:
-                    cols[c] = pa.array(chars, cols[c].type)
-            yield pa.RecordBatch.from_arrays(cols, names=[*columns, out_col])
-
-    return joined.select(*columns, "_textloom_gone").mapInArrow(run, schema)
+            gone, kept, blocks = [], [], []
+            for i in range(b.num_rows):
+                shared = b.column(2)[i].values
+                found = aligned(list(zip(*(shared.field(k).to_pylist() for k in range(6)), strict=True)))
+                lost = {k for p, q, _, _ in found for k in range(p, q)}
+                gone.append(sorted(lost))
+                kept.append([k not in lost for k in range(max(lost) + 1)])
+                blocks.append([dict(zip(("start", "stop", "other", "place"), f, strict=True)) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(kept, pa.list_(pa.bool_())), pa.array(blocks, block)], names=["doc_id", "version", "gone", "kept", "blocks"])
+
+    return mine.mapInArrow(run, "doc_id long, version long, gone array<int>, kept array<boolean>, blocks array<struct<start:int,stop:int,other:long,place:int>>")
+
+
+def line_dedup(docs: DataFrame, out_col: str = "gone", blocks_col: str | None = None) -> DataFrame:
+    """``docs`` without the lines that ``deletions`` names, whose numbers come as ``out_col``, null where none go, and
+    the aligned blocks as ``blocks_col``, if it is given; columns of these names are replaced."""
+    docs = docs.drop(out_col, *[blocks_col] * bool(blocks_col))
+    found = deletions(docs.select("doc_id", "text")).toDF("_textloom_id", "_textloom_version", "_textloom_gone", "_textloom_kept", "_textloom_blocks")
+    d = docs.join(found, (F.col("doc_id").cast("long") == F.col("_textloom_id")) & (F.xxhash64("text") == F.col("_textloom_version")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("_textloom_kept", i), F.lit(True)))
+    text = F.when(F.col("_textloom_kept").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    d = d.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        d = d.withColumn("n_chars", F.when(F.col("_textloom_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    more = [F.col("_textloom_blocks").alias(blocks_col)] if blocks_col else []
+    return d.select(*docs.columns, F.col("_textloom_gone").alias(out_col), *more)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """Every document's text without the blocks that earlier documents hold."""
+    """Every document's text without the blocks that earlier documents hold, and those blocks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs, all_pairs=True).select("doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted_lines"), "gone")
+    return line_dedup(docs, blocks_col="blocks").select("doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted_lines"), "gone", "blocks")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated blocks of lines; a document of which nothing is left goes."""
-    return line_dedup(docs, "_textloom_out", all_pairs=True).where(F.col("_textloom_out").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+    out = line_dedup(docs, "_textloom_out")
+    return out.where(F.col("_textloom_out").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
 
 
 QUERIES = {"op8_line_dedup": op8}
