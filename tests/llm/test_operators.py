@@ -13,6 +13,7 @@ from conftest import DATA
 from parity import same
 from pyspark.sql import functions as F
 
+from textloom.llm import _words as W
 from textloom.llm import bpe, chat, chunks, fingerprint, html_text, lines, near_dup, neighbours, packing, quality, registry, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,8 +153,41 @@ def test_fingerprints_estimate_similarity():
     assert fingerprint.likeness(f[:3], f[1:4]).tolist() == [1.0, 0.0, 1.0]
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash with optimal densification, one shingle and one bin at a time."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    h, row, _, _ = W.words(raw, np.array([0, len(raw)]))
+    hashes = {int(x) for x in W.shingles(h, row, 5)[0]}
+    low = {}
+    for x in hashes:
+        low[x >> 55] = min(low.get(x >> 55, 1 << 64), x & ((1 << 55) - 1))
+    out = []
+    for k in range(512 if low else 0):
+        draw, at = 0, k
+        while at not in low:
+            draw += 1
+            at = int(W.mix(np.array([(k * 0x1000003 + draw) % 2**64], np.uint64))[0]) % 512
+        out.append(low[at] & 15)
+    return "".join(f"{x:x}" for x in out)
+
+
+def test_fingerprints_equal_a_plain_reference(spark):
+    """The whole query: fingerprints of texts and edited texts, and both likenesses."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in registry.QUERIES["op4_document_fingerprints"](spark, DATA).collect()}
+    like = lambda a, b: float(a == b) if not a or not b else min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 512 - 1 / 16) / (15 / 16)))
+    plain = [plain_fingerprint(t) for _, t in rows]
+    for k, (i, t) in enumerate(rows):
+        nxt = (k + 1) % len(rows)
+        new = plain_fingerprint(neighbours.edited(t, rows[nxt][1]))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain[k], new)
+        assert abs(got[i].near_edited - like(plain[k], new)) < 1e-12 and abs(got[i].near_next - like(plain[k], plain[nxt])) < 1e-12
+
+
 def test_neighbours_follow_the_order_of_ids(spark):
     rows = [(i * 3, t) for i, t in enumerate(["alpha beta", "", "x", "gamma delta epsilon", None, "y" * 9])]
+    assert neighbours.compare(neighbours.with_next(spark.createDataFrame(rows[:1], "doc_id long, text string"))).first().near_next == 1.0
     got = {r.doc_id: r for r in neighbours.compare(neighbours.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).collect()}
     texts = [t or "" for _, t in rows]
     for k, (i, _) in enumerate(rows):
