@@ -126,6 +126,17 @@ def test_near_duplicates_are_the_components(spark, k):
     assert got == brute_components(rows, k, 80)
 
 
+def test_near_duplicates_with_several_texts_of_an_id(spark):
+    """Rows of one id hang together, whichever of its texts is near another document."""
+    rng = random.Random(41)
+    x, y, z = (words(rng, 80) for _ in range(3))
+    change = lambda w: " ".join([*w[:40], "other", *w[41:]])
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (5, " ".join(y)), (9, change(y)), (3, change(x)), (8, " ".join(z)), (7, change(z)), (7, ""), (None, " ".join(z)), (11, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()), key=repr)
+    want = [(5, 76, 3, False)] * 3 + [(9, 76, 3, False), (3, 76, 3, True), (8, 76, 7, False), (7, 76, 7, True), (7, 0, 7, True), (None, 76, None, True), (11, 0, 11, True)]
+    assert got == sorted(want, key=repr)
+
+
 def test_near_duplicates_in_long_lists(spark, monkeypatch):
     """Every branch: lists count as long from two members, and blocks hold a few documents."""
     monkeypatch.setattr(near_dup, "LONG", 2)
@@ -401,38 +412,69 @@ def test_pages_equal_their_articles(spark):
 
 # --- substring dedup ---
 
+def plain_chunks(text):
+    """Words and cuts of one text, from the gear hash of each word's last 16 bytes, word by word."""
+    data = text.encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    value = [sum(int(chunks._GEAR[x]) << (len(data[max(0, j - 16):j]) - 1 - k) for k, x in enumerate(data[max(0, j - 16):j])) & 0xFFFF for _, j in found]
+    out, start = [], 0
+    for k in range(len(found)):
+        near = [value[x] for x in range(max(0, k - 3), min(len(found), k + 4)) if x != k]
+        if k + 1 == len(found) or all(value[k] < v for v in near):
+            size = k + 1 - start
+            marks = [start, *range(start + 16, k + 1, 16), k + 1] if size > 32 else [start, k + 1]
+            out += list(itertools.pairwise(marks))
+            start = k + 1
+    return [data[i:j].decode() for i, j in found], out
+
+
 def brute_substring(rows):
-    """Chunks one text at a time, first places in a dictionary, runs cut out of the words."""
-    first, cut = {}, {}
-    for i, t in rows:
-        raw = np.frombuffer((t or "").encode(), np.uint8)
-        _, start, n, digest = chunks.cut(raw, np.array([0, len(raw)]))
-        cut[i] = list(zip(start.tolist(), n.tolist(), digest.tolist(), strict=True))
-        for s, k, g in cut[i]:
-            first[g] = min(first.get(g, (i, s, k)), (i, s, k))
-    out = {}
-    for i, t in rows:
-        gone = chunks.runs([(s << 32) + k for s, k, g in cut[i] if first[g] < (i, s, k)])
-        drop = {w for a, b in gone for w in range(a, b)}
-        out[i] = [w for k, w in enumerate(WORD.findall(t or "")) if k not in drop]
+    """Chunks one text at a time; of each least run of 20 words all earlier places."""
+    held = {}
+    for key, (i, t) in enumerate(rows):
+        w, cuts = plain_chunks(t or "") if i is not None else ([], [])
+        found = set()
+        for a in range(len(cuts)):
+            for order in (range(a, len(cuts)), range(a, -1, -1)):
+                for b in order:
+                    lo, hi = cuts[min(a, b)][0], cuts[max(a, b)][1]
+                    if hi - lo >= 20:
+                        found.add((lo, hi, tuple(tuple(w[x:y]) for x, y in cuts[min(a, b):max(a, b) + 1])))
+                        break
+        held[key] = (w, found)
+    out = []
+    for key, (i, t) in enumerate(rows):
+        w, found = held[key]
+        drop = set()
+        for lo, hi, run in found:
+            if any(r == run and rows[other][0] < i for other, (_, theirs) in held.items() for _, _, r in theirs) or any(r == run and x < lo for x, _, r in found):
+                drop.update(range(lo, hi))
+        out.append([x for k, x in enumerate(w) if k not in drop])
     return out
 
 
 def test_substring_dedup_equals_brute_force(spark):
+    """Also with ids that have several texts, or one of them twice, and with texts that repeat a word or a few."""
     rng = random.Random(8)
     passages = [words(rng, n) for n in (55, 70, 200)]
     rows = [(i, " ".join(words(rng, 80) + (passages[i % 3] if i % 2 else []) + words(rng, 30))) for i in range(40)]
-    rows += [(100, rows[3][1]), (101, "")]
-    got = {r.doc_id: r for r in chunks.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute_substring(rows)
-    assert {i: WORD.findall(r.text) for i, r in got.items()} == want
-    assert got[100].text == ""
-    for i, t in rows[:40]:
+    rows += [(100, rows[3][1]), (101, ""), (7, rows[3][1]), (9, "short text here"), (9, "short text here"), (102, None), (None, rows[5][1])]
+    rows += [(200 + k, " ".join(["spam"] * n)) for k, n in enumerate((30, 70, 200))] + [(210, " ".join(["a b c"] * 60)), (211, " ".join(["é ü"] * 80))]
+    clean = len(rows)
+    # parts of a text whose words stand in two earlier documents, 12 from each: no 20 of them ever stood together
+    a, b = words(rng, 60), words(rng, 60)
+    rows += [(300, " ".join(a)), (301, " ".join(b)), (302, " ".join(words(rng, 20) + a[20:32] + b[20:32] + words(rng, 20)))]
+    got = chunks.substring_dedup(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, at long")).collect()
+    got = {r.at: r for r in got}
+    want = [x if rows[k][0] is not None else WORD.findall(rows[k][1]) for k, x in enumerate(brute_substring(rows))]
+    assert [WORD.findall(got[k].text or "") for k in range(len(rows))] == want
+    assert got[40].text == "" and got[45].text is None and got[clean + 2].text == rows[-1][1]
+    for k, (i, t) in enumerate(rows[:40]):
         w = WORD.findall(t)
         if i % 2 and i > 5:  # a later copy of a passage keeps fewer than 20 words of it
-            assert len(w) - len(want[i]) >= len(passages[i % 3]) - 35
+            assert len(w) - len(want[k]) >= len(passages[i % 3]) - 35
         else:
-            assert w == want[i]
+            assert w == want[k]
 
 
 def test_chunks_resist_insertions():
