@@ -1,5 +1,7 @@
 """Cases with known results, and edges."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,13 +63,23 @@ def test_sections_ignore_a_heading_in_the_first_row(spark):
 def test_dedupe_chain(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id int, text string")
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
-    assert sorted(r.doc_id for r in U.greedy_keep(docs, pairs).collect()) == [1, 3]
+    classes = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "doc_id int, rep int")
+    assert sorted(r.doc_id for r in U.greedy_keep(docs, pairs, classes).collect()) == [1, 3]
 
 
 def test_dedupe_case(spark):
     rows = ["this is an example sentence number one", "this is an example sentence number one", "this is an example sentence number one!!", "this is an example sentence number two", "entirely other words stand in here today"]
     d = U.keep_first(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), "text", ["doc_id"])
-    assert U.greedy_keep(d, U.similar_pairs(d, 0.8)).count() == 3
+    assert U.greedy_keep(d, U.similar_pairs(d, 0.8), U.shingle_classes(d)).count() == 3
+
+
+def test_copies_are_not_expanded_into_pairs(spark):
+    texts = ["one two three four five six seven eight nine ten"] * 50 + ["one two three four five six seven eight nine ten eleven"] * 50 + ["", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.a, r.b, r.jaccard) for r in U.similar_pairs(d, 0.8).collect()] == [(0, 50, 0.888888889)]
+    assert Counter(r.rep for r in U.shingle_classes(d).collect()) == {0: 50, 50: 50}
+    kept = U.greedy_keep(d, U.similar_pairs(d, 0.8), U.shingle_classes(d))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 100, 101]
 
 
 def test_split_is_disjoint_and_whole(spark):
@@ -128,31 +140,109 @@ def test_vocabulary_has_the_whole_maps(spark):
     assert {r.y for r in two.select(B.plain_words("x", "doc_id").alias("y")).collect()} == {f"A {w} point" for w in B.SYNONYMS["crucial"]}
 
 
-@pytest.mark.parametrize("name", ["R01_contractions_of_texts", "R01_contract_of_texts", "R02_punctuation_of_texts", "R03_clauses_of_texts", "R04_splits_of_texts", "R05_vocabulary", "R06_openings_of_texts", "R09_rule_based", "R11_attacked_texts", "F05_held_out_texts", "T18_signatures_of_models", "B29_signatures_of_models"])
+@pytest.mark.parametrize("name", ["R01_contractions", "R02_punctuation", "R03_clauses", "R04_splits", "R05_vocabulary", "R06_openings", "R07_active_voice", "R08_combined", "R09_rule_based", "R11_attack_rows", "F05_held_out_family", "T18_signature_counts", "B29_signature_density"])
 def test_perturbations_read_the_texts(spark, tmp_path, name):
-    """Texts that are long, null or of several lines come out as the rules say, not a sentence that stands in for them."""
+    """Texts that are long, null or of several lines come out as the rules say."""
     from textloom import catalog
 
-    hit = "It's a test; furthermore - we delve, and moreover it is late, but we can't stop."
-    texts = [None, "", hit, f"first line\n{hit}\nlast line", f"{hit} " * 400, "Although it rains, we go out."]
+    hit = "It's a test: furthermore - we delve; moreover it is late, but we can't stop."
+    texts = [None, "", hit, f"first line\n{hit}\nlast line", f"{hit} " * 400]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     rows = catalog.queries()[name](spark, str(tmp_path)).collect()
     if name.startswith(("R11", "F05")):
-        for f, op in {"clean": lambda c: F.col(c), **B.ATTACKS}.items():
-            want = {r.doc_id: r.x for r in docs.select("doc_id", op("text").alias("x")).collect()}
+        for f, op in {"clean": lambda c, key: F.col(c), **B.ATTACKS}.items():
+            want = {r.doc_id: r.x for r in docs.select("doc_id", op("text", "doc_id").alias("x")).collect()}
             got = {r.doc_id: r.attacked_text for r in rows if r.attack_family == f}
             assert got == (want if f == "vocabulary" or name.startswith("R11") else {})
     elif name.startswith("T18"):
         assert {r.word: r.n for r in rows if r.doc_id == 4} == {"delve": 400, "furthermore": 400, "moreover": 400}
     elif name.startswith("B29"):
-        assert {r.doc_id for r in rows if r.density > 0} == {2, 3, 4} and len(rows) == 6
+        assert {r.doc_id for r in rows if r.density > 0} == {2, 3, 4} and len(rows) == 5
+        assert {r.fingerprint for r in rows if r.doc_id > 1} == {"Claude Writing Fingerprint"}
     else:
         out = {r.doc_id: r.out for r in rows}
-        assert len(out) == 6 and out[0] is None and out[1] == ""
-        assert out[5] != texts[5] if name.startswith(("R03", "R09")) else "rains" in out[5]
-        if not name.startswith("R03"):
-            assert all(out[i] != texts[i] for i in (2, 3, 4)) and len(out[4]) > 20_000
+        assert len(out) == 5 and out[0] is None and out[1] == ""
+        if not name.startswith(("R03", "R04")):
+            assert len(out[4]) > 20_000
+
+
+@pytest.mark.parametrize(("rule", "text", "outcomes"), [
+    (B.contractions, "It's late, we do not stop.", {"it is late, we do not stop.", "It's late, we don't stop."}),
+    (B.punctuation, "a; b: c", {"a. b: c", "a — b: c", "a. b — c", "a — b — c", "a, b: c", "a. b, c", "a, b, c"}),
+    (B.clauses, "Although it rains, we go out!", {"Although it rains, we go out!", "We go out, although it rains!"}),
+    (B.clauses, "Although it rains,\nwe go out", {"Although it rains,\nwe go out", "We go out, although it rains."}),
+    (B.clauses, "We go out although it rains.", {"We go out although it rains."}),
+    (B.splits, "One, this part has over twenty letters, but that one goes on too.", {"One, this part has over twenty letters, but that one goes on too.", "this part has over twenty letters. That one goes on too.", "this part has over twenty letters; but that one goes on too."}),
+    (B.splits, "Too short, and so it stays.", {"Too short, and so it stays."}),
+    (B.openings, "Furthermore, yes.  However, no.", {"in addition, yes. though, no.", "Furthermore, yes. though, no.", "in addition, yes. However, no.", "Furthermore, yes. However, no."}),
+])
+def test_coins_choose_between_the_outcomes(spark, rule, text, outcomes):
+    d = spark.createDataFrame([(k, text) for k in range(300)], "doc_id long, text string")
+    assert {r.out for r in d.select(rule("text", "doc_id").alias("out")).collect()} == outcomes
+
+
+@pytest.mark.parametrize(("tone", "text", "want"), [
+    ("resume", "Collaborated on database query optimization, achieving a 25% reduction in API latency.  Built it.", "I worked on database query optimization to cut reduction by 25% in API latency. I built it."),
+    ("academic", "Collaborated on  it.\nBuilt it.", "Collaborated on it. Built it."),
+    ("resume", "Curve Number Method The method was introduced by us.", "The method was created by us."),
+    ("resume", "", ""), ("resume", None, None),
+])
+def test_active_voice(spark, tone, text, want):
+    assert one(spark, text, B.active_voice("x", tone)) == want
+
+
+def test_combined_rewrite(spark):
+    text = "Furthermore, it is crucial to delve into the multifaceted structure of models. Moreover, meticulous tuning underscores the gains."
+    out = one(spark, text, B.combined("x"))
+    assert "delve" not in out.lower() and "meticulous" not in out.lower() and "we must explore" in out
+
+
+def test_heuristic_fusion_takes_the_first_rule(spark):
+    """Worked by hand: transition, else low burstiness, else the larger, else the mean; single scores; metadata."""
+    rows = [(.8, .1, True, True, False, .95), (.2, .1, True, False, False, .8), (.9, .95, True, False, False, .99), (.36, .3, False, True, False, .46), (.3, .2, False, True, False, .25), (.4, .1, False, False, False, .4),
+            (.3, .2, False, False, False, .25), (.95, .9, False, True, False, .99), (.9, .9, True, True, True, .02), (None, .7, False, True, False, .7), (.5, None, True, False, False, .77), (None, None, False, False, False, .02)]
+    d = spark.createDataFrame(rows, "a double, b double, t boolean, l boolean, m boolean, want double")
+    from textloom.operators.scoring import heuristic_fusion
+
+    for r in d.select("want", heuristic_fusion("a", "b", "t", "l", "m").alias("got")).collect():
+        assert abs(r.want - r.got) < 1e-9
+    off = d.limit(1).select(heuristic_fusion("a", "b", "t", "l", "m", frozenset()).alias("got")).first().got
+    assert abs(off - .45) < 1e-9
+
+
+def test_a_stored_model_of_thirteen_inputs_scores(spark):
+    import json
+
+    from textloom.operators import scoring as K
+
+    names = list(K.FUSION_FEATURES)
+    m = K.load_model(json.dumps({"model_type": "x", "feature_names": names, "coefficients": [1.0] + [0.0] * 11 + [2.0], "intercept": 0.5, "scaler_mean": [0.25] + [0.0] * 12, "scaler_scale": [0.5] + [1.0] * 12, "val_threshold": 0.59, "calibrator_x": [k / 100 for k in range(101)], "calibrator_y": [0.0] * 51 + [1.0] * 50}))
+    d = spark.createDataFrame([(1, 0, 3, .5, .9), (1, 1, 4, .1, .2)], "doc_id long, sent_idx int, n_words long, score double, other double")
+    f = K.fusion_features(d)
+    r = {x.sent_idx: x for x in f.withColumn("p", K.logistic_score(m)).withColumn("c", K.logistic_score(m, True)).collect()}
+    import math
+
+    assert abs(r[0].p - 1 / (1 + math.exp(-(0.5 + (.5 - .25) / .5 + 2 * .9)))) < 1e-9 and r[0].c == 1.0
+    assert (r[0].prev_prob_rob, r[0].next_prob_rob, r[1].next_prob_mb, r[0].word_len) == (.5, .1, .2, 3.0) and abs(r[0].neighbor_mean_mb - .55) < 1e-9
+
+
+def test_trained_fusion_model(spark):
+    import random
+
+    from textloom.operators.training import train_fusion
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        y = rng.random() < 0.5
+        rows.append((k, f"t{k % 20}", int(y), min(1.0, max(0.0, rng.gauss(.65 if y else .35, .2))), rng.random()))
+    m = train_fusion(spark.createDataFrame(rows, "doc_id long, topic string, label int, score double, other double"), ["score", "other"], "topic")
+    assert m["coefficients"][0] > 1 > abs(m["coefficients"][1]) and 0.05 <= m["val_threshold"] <= 0.95
+    y = m["calibrator_y"]
+    assert len(y) == 101 and y == sorted(y) and 0 <= y[0] < 0.3 and 0.7 < y[-1] <= 1
+    mean = sum(r[3] for r in rows) / 400
+    assert abs(m["scaler_mean"][0] - mean) < 1e-9
 
 
 def test_csv_discovery(spark, tmp_path):

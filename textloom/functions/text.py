@@ -31,19 +31,19 @@ TRANSITION_PHRASES = (
 SIGNATURES = dict.fromkeys(("delve", "testament", "tapestry", "pinnacle", "dynamic", "multifaceted", "landscape", "holistic", "furthermore", "moreover"), "Claude") | dict.fromkeys(("crucial", "leverage", "rapidly evolving", "demystify", "game-changer", "transition", "remember", "in summary", "overall"), "GPT")
 #: Strings that give a text away.
 MARKERS = ("large language model", "generated by", "autoencoder", "artificial intelligence", "convolutional", "gpt", "gemini", "claude")
-#: Section categories in the order they are tried, their labels, numbers and words.
+#: Section categories in the order they are tried, their labels and patterns; case does not matter.
 HEADINGS = (
-    ("ABSTRACT", "Abstract & Keywords", None, "abstract|executive summary|keywords|index terms"),
-    ("INTRO", "1. Introduction & Background", r"1\.?|I\.?|section 1", "introduction|background|motivation|problem statement"),
-    ("LIT_REVIEW", "2. Literature Review & Related Work", r"2\.?|II\.?|section 2", "related work|literature review|literature survey|prior work|state of the art"),
-    ("METHODOLOGY", "3. Proposed Methodology & Design", r"3\.?|III\.?|section 3", "methodology|proposed method|system model|architecture|materials and methods|theoretical framework|approach|study area"),
-    ("RESULTS", "4. Experimental Results & Evaluation", r"4\.?|IV\.?|section 4", "experimental setup|experiments|results|performance evaluation|comparative study|implementation|water balance"),
-    ("DISCUSSION", "5. Discussion & Limitations", r"5\.?|V\.?|section 5", "discussion|limitations|threats to validity|ablation study"),
-    ("CONCLUSION", "6. Conclusion & Future Work", r"6\.?|VI\.?|section 6", "conclusion|concluding remarks|future work|summary"),
-    ("REFERENCES", "7. References & Bibliography", r"7\.?|VII\.?|section 7", "references|bibliography|works cited|appendix"),
+    ("ABSTRACT", "Abstract & Keywords", r"^(?:abstract|executive summary|keywords|index terms)\b"),
+    ("INTRO", "1. Introduction & Background", r"^(?:1\.?|I\.?|section 1)?\s*(?:introduction|background|motivation|problem statement)\b"),
+    ("LIT_REVIEW", "2. Literature Review & Related Work", r"^(?:2\.?|II\.?|section 2)?\s*(?:related work|literature review|literature survey|prior work|state of the art)\b"),
+    ("METHODOLOGY", "3. Proposed Methodology & Design", r"^(?:3\.?|III\.?|section 3)?\s*(?:methodology|proposed method|system model|architecture|materials and methods|theoretical framework|approach|study area)\b"),
+    ("RESULTS", "4. Experimental Results & Evaluation", r"^(?:4\.?|IV\.?|section 4)?\s*(?:experimental setup|experiments|results|performance evaluation|comparative study|implementation|water balance)\b"),
+    ("DISCUSSION", "5. Discussion & Limitations", r"^\s*(?:5\.?|V\.?|section 5)?\s*(?:discussion|limitations|threats to validity|ablation study)\b"),
+    ("CONCLUSION", "6. Conclusion & Future Work", r"^\s*(?:6\.?|VI\.?|section 6)?\s*(?:conclusion|concluding remarks|future work|summary)\b"),
+    ("REFERENCES", "7. References & Bibliography", r"^\s*(?:7\.?|VII\.?|section 7)?\s*(?:references|bibliography|works cited|appendix)\b"),
 )
-#: Lines that name places, addresses and dates.
-METADATA_LINE = r"(?i)^\s*(independent research|university|department|school|e-mail|email|(january|february|march|april|may|june|july|august|september|october|november|december) \d{4})\s*$"
+#: Lower-cased lines that name places, addresses and dates.
+METADATA_LINE = r"^\s*(?:independent research|university|department|school|e-mail|email|july \d{4}|june \d{4}|august \d{4}|january \d{4}|february \d{4}|march \d{4}|april \d{4}|may \d{4}|september \d{4}|october \d{4}|november \d{4}|december \d{4})\s*$"
 #: Sources of the academic and the question domain; all others are essays.
 ACADEMIC = ("human", "anthropic/claude-haiku-4.5", "google/gemini-3-flash-preview", "openai/gpt-5-nano", "gpt-oss-120b", "openai/gpt-oss-20b")
 QUESTIONS = ("hc3_human", "hc3_chatgpt")
@@ -147,7 +147,7 @@ def has_transition(c) -> Column:
 
 
 def is_metadata(c) -> Column:
-    return _c(c).rlike(METADATA_LINE)
+    return F.lower(_c(c)).rlike(METADATA_LINE)
 
 
 def has_marker(c) -> Column:
@@ -171,8 +171,8 @@ def heading(c, labels: bool = False) -> Column:
     head = strip(F.substring(strip(_c(c)), 1, 80))
     general = F.lit("GENERAL_SECTION") if not labels else strip(F.substring(head, 1, 45))
     out = F.when(head.rlike(r"^([0-9]+\.?[0-9]*|[IVXLCDM]+\.)\s+[A-Z][a-zA-Z\s]{2,40}"), general)
-    for category, label, number, names in reversed(HEADINGS):
-        out = F.when(head.rlike(f"(?i)^({number})?\\s*({names})\\b" if number else f"(?i)^({names})\\b"), F.lit(label if labels else category)).otherwise(out)
+    for category, label, pattern in reversed(HEADINGS):
+        out = F.when(head.rlike(f"(?i){pattern}"), F.lit(label if labels else category)).otherwise(out)
     return out
 
 
@@ -285,20 +285,44 @@ def shingles(c, k: int = 3) -> Column:
 # --- token locking: a map of placeholders, which only imperative code can number in order ---
 
 LOCKS = (r"\$[^$]+\$", r"\\[a-zA-Z]+\{[^}]*\}", r"\[\d+(?:[,\-–]\s*\d+)*\]", r"\([A-Z][A-Za-z]+(?: et al\.)?,? \d{4}\)", r"\b\d+(?:\.\d+)?%", r"\b[A-Z]{2,}\b")
-TEX_LOCKS = (r"\\begin\{(equation|align|figure|table|verbatim)\*?\}.*?\\end\{\1\*?\}", r"\$\$.*?\$\$", r"\\\[.*?\\\]", r"\\\(.*?\\\)", r"\$[^$\n]+\$", r"\\(?:cite|ref|eqref|label|url|href|footnote|includegraphics)[a-zA-Z]*(?:\[[^\]]*\])?\{[^}]*\}", r"\\[a-zA-Z]+\*?", r"%[^\n]*")
+#: What is kept of a LaTeX text, in the order it is taken.
+TEX_LOCKS = (
+    r"\\begin\{thebibliography\}[\s\S]*?\\end\{thebibliography\}",
+    r"^[\s\S]*?\\begin\{document\}",
+    r"\\begin\{(?:equation|align|eqnarray|gather|math)\*?\}[\s\S]*?\\end\{(?:equation|align|eqnarray|gather|math)\*?\}",
+    r"\$\$[\s\S]*?\$\$",
+    r"\$[^$\n]+\$",
+    r"\\begin\{table\*?\}[\s\S]*?\\end\{table\*?\}",
+    r"\\begin\{tabular\*?\}[\s\S]*?\\end\{tabular\*?\}",
+    r"\\begin\{figure\*?\}[\s\S]*?\\end\{figure\*?\}",
+    r"\\includegraphics(?:\[.*?\])?\{.*?\}",
+    r"\\cite(?:p|t|author|year)?\*?\{.*?\}",
+    r"\\(?:eq)?ref\{.*?\}",
+    r"\\label\{.*?\}",
+    r"\\(?:newcommand|def|renewcommand)\{.*?\}",
+    r"\\(?:begin|end)\{(?:abstract|IEEEkeywords|center|quote|itemize|enumerate|listing)\}",
+    r"\\item(?:\s*\[.*?\])?",
+    r"\\(?:section|subsection|subsubsection|paragraph|subparagraph)\*?\{.*?\}",
+    r"\\IEEEPARstart\{.*?\}\{.*?\}",
+    r"\\maketitle",
+    r"\\(?:textit|textbf|emph|texttt|textsl|textsc)\{.*?\}",
+)
 
 
 def lock_text(text: str | None, patterns=LOCKS) -> tuple[str, dict[str, str]]:
     """``text`` with what must not change replaced by numbered placeholders, and what they stand for.
 
-    Patterns are tried in order; a place that an earlier one took is left to it.
+    Patterns are tried in order; a place that an earlier one took is left to it. A full stop crosses no line.
     """
     text = text or ""
     taken: list[tuple[int, int]] = []
+    mask = bytearray(len(text))
     for p in patterns:
-        for m in re.finditer(p, text, re.S):
-            if all(m.end() <= a or m.start() >= b for a, b in taken) and m.end() > m.start():
-                taken.append(m.span())
+        for m in re.finditer(p, text):
+            a, b = m.span()
+            if b > a and mask.find(1, a, b) < 0:
+                taken.append((a, b))
+                mask[a:b] = b"\x01" * (b - a)
     out, held, at = [], {}, 0
     for k, (a, b) in enumerate(sorted(taken)):
         name = f"__LOCK_{k}__"
@@ -345,4 +369,4 @@ def repair_tex(c) -> Column:
 
 def mask_math(text: str | None) -> tuple[str, dict[str, str]]:
     """Formulas as placeholders, so that their full stops end no sentence."""
-    return lock_text(text, (r"\$\$.*?\$\$", r"\\\[.*?\\\]", r"\\\(.*?\\\)", r"\$[^$]+\$"))
+    return lock_text(text, (r"\$\$[\s\S]*?\$\$", r"\\\[[\s\S]*?\\\]", r"\\\([\s\S]*?\\\)", r"\$[^$]+\$"))

@@ -17,6 +17,9 @@ MARKS = {
     "author_page": r"\(\s*[A-Z][A-Za-z]+(?:\s*(?:et\s+al\.|and|&)\s*[A-Z][A-Za-z]+)*\s+\d{1,3}\s*\)",
 }
 TAIL = r"(?s)^(.*)\b(references|bibliography|works\s+cited|notes)\b(.*)$"
+#: A title in quotes and an arXiv id.
+QUOTED = "[\"“]([^\"”]+)[\"”]"
+ARXIV = r"(?i)arXiv:(\d{4}\.\d{4,5}|[a-z\-]+(?:\.[A-Z]+)?/\d{7})"
 NUMBERED = r"^(\[\d+\]|\d+\.)"
 IN_PARENS, NO_PARENS = r"\b[A-Z][A-Za-z]+,\s*[A-Z]\.\s*\(\d{4}\)", r"\b[A-Z][A-Za-z]+,\s*[A-Z]\.\s*\d{4}\b"
 
@@ -57,13 +60,33 @@ def numbered_markers(docs: DataFrame) -> DataFrame:
     return ends.where(lo <= hi).select("doc_id", F.explode(F.sequence(lo, hi)).alias("number"))
 
 
+#: Fixed values: (Author, Year) and (Author Page), with the author and the year or page as groups.
+AUTHOR_YEAR = r"\(\s*([A-Z][A-Za-z]+)(?:\s+et\s+al\.)?(?:\s*(?:and|&)\s*[A-Z][A-Za-z]+)?\s*,\s*(\d{4})\s*\)"
+AUTHOR_PAGE = r"\(\s*([A-Z][A-Za-z]+)(?:\s*(?:et\s+al\.|and|&)\s*[A-Z][A-Za-z]+)?\s+(\d{1,3})\s*\)"
+
+
 def author_markers(docs: DataFrame, page: bool = False) -> DataFrame:
     """(doc_id, author, year or page): (Author, Year), or (Author Page)."""
-    p = r"\(([A-Z][A-Za-z]+)(?: et al\.)? (\d{1,3})\)" if page else r"\(([A-Z][A-Za-z]+)(?: et al\.)?(?: & [A-Z][A-Za-z]+)?, (\d{4})\)"
+    p = AUTHOR_PAGE if page else AUTHOR_YEAR
     m = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("m"))
     return m.select("doc_id", F.regexp_extract("m", p, 1).alias("author"), F.regexp_extract("m", p, 2).alias("page" if page else "year"))
 
 
+def parsed_reference(raw) -> dict[str, Column]:
+    """What a reference's text says: title (in quotes, else its second sentence), authors, year, DOI and arXiv id."""
+    text = T.strip(F.regexp_replace(T._c(raw), r"^\[\d+\]\s*", ""))
+    found = lambda p: F.when(F.regexp_extract(text, p, 1) != "", F.regexp_extract(text, p, 1))
+    quoted, whole = F.regexp_extract(text, QUOTED, 1), F.regexp_extract(text, QUOTED, 0)
+    parts = F.split(text, "[.]")
+    plain = (F.size(parts) >= 2) & (F.length(parts[0]) < 100)
+    before = F.split_part(text, whole, F.lit(1))
+    title = F.when(F.length(quoted) > 5, quoted).when(plain, F.get(parts, F.lit(1))).otherwise(text)
+    authors = F.when(F.length(quoted) > 5, F.regexp_replace(before, r"[,;]\s*$", "")).when(plain, parts[0]).otherwise("")
+    title = T.strip(F.regexp_replace(T.strip(title), r"[,;.]\s*$", ""))
+    authors = T.strip(authors)
+    return {"title": F.when(title == "", text).otherwise(title), "authors": F.when(authors == "", "Unknown Authors").otherwise(authors), "year": found(r"\b(19\d{2}|20\d{2})\b"), "doi": T.doi(text), "arxiv": found(ARXIV)}
+
+
 def references(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, number, author, year, raw): entries of a numbered list, one to a line."""
     d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "raw")).withColumn("raw", T.strip("raw"))

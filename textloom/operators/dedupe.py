@@ -15,18 +15,36 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
+def shingle_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
+    """(key, rep) of every row with words: rows with one and the same set of k-word shingles have the first of their ids."""
+    s = _sets(df, key, text, k)
+    h = s.select(F.col("id").alias(key), F.xxhash64("set").alias("h"), F.size("set").alias("n"))
+    return h.join(h.groupBy("h", "n").agg(F.min(key).alias("rep")), ["h", "n"]).select(key, "rep")
+
+
+def _sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    return df.select(F.col(key).alias("id"), T.word_list(text).alias("w")).where(F.size("w") > 0).select("id", F.array_sort(T.shingle_hashes("w", k)).alias("set"))
+
+
 def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
-    """(a, b, jaccard) of rows whose sets of k-word shingles are at least ``threshold`` alike, a < b.
+    """(a, b, jaccard) of classes of rows (``shingle_classes``) whose sets of k-word shingles are at least ``threshold``
+    alike, a < b; a class is named by the first of its ids, so copies of a text cost one row and not their pairs.
 
-    Prefix filter: shingles are ordered by how few rows have them; two rows that alike share one of the first
+    Prefix filter: shingles are ordered by how few classes have them; two that are alike share one of the first
     n - ceil(t * n) + 1 of each. Candidates are confirmed on the whole sets, as 64-bit hashes.
     """
-    # dealt by id once: the sets below are made and joined where their text went
-    s = df.select(F.col(key).alias("id"), F.col(text).alias("t")).repartition(F.col("id")).select("id", T.word_list("t").alias("w")).where(F.size("w") > 0).select("id", T.shingle_hashes("w", k).alias("set"))
+    # a class's set is that of its first id; equal sets meet by their hash, whole texts are not shuffled
+    s = _sets(df, key, text, k).groupBy(F.xxhash64("set").alias("h"), F.size("set").alias("n")).agg(F.min_by(F.struct("id", "set"), "id").alias("x")).select("x.id", "x.set")
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():  # spark.checkpoint.dir was not set
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    s = s.checkpoint()
     one = s.select("id", F.size("set").alias("n"), F.explode("set").alias("x"))
-    freq = one.groupBy("x").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "x"))
-    pre = one.join(freq, "x").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1")
+    freq = one.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one class only come last in no order: they are as rare as can be and fill the prefix first
+    pre = one.join(freq, "x").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("p"))
+    room = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("p"))
+    pre = pre.where(room > 0).select("id", "n", F.explode(F.slice("p", F.lit(1), room.cast("int"))).alias("p")).select("id", "n", "p.x")
     l, r = pre.select(F.col("id").alias("a"), "x", F.col("n").alias("na")), pre.select(F.col("id").alias("b"), F.col("x").alias("y"), F.col("n").alias("nb"))
     near = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
     c = l.join(r, (F.col("x") == F.col("y")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
@@ -35,8 +53,9 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: st
     return c.withColumn("jaccard", F.round(both / (F.size("sa") + F.size("sb") - both), 9)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
-def greedy_keep(df: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``df`` without rows that are like an earlier row that is kept, in ascending order of ``key``.
+def greedy_keep(df: DataFrame, pairs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` without rows that are like an earlier row that is kept, in ascending order of ``key``. ``pairs`` are of
+    ``classes``: a copy is like whatever kept or dropped its first, so only first ones can stay.
 
     Rounds decide what has no undecided earlier partner: it is dropped if an earlier one was kept, else kept.
     """
@@ -52,11 +71,19 @@ def greedy_keep(df: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFra
         # what a kept or a dropped row had to say is said
         keepers = ready.withColumnRenamed("x", "a")
         left = (left.join(keepers, "a", "left_anti").join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b")).checkpoint()
-    return df if dropped is None else df.join(dropped.withColumnRenamed("x", key), key, "left_anti")
+    copies = classes.where(F.col(key) != F.col("rep")).select(F.col(key).alias("x"))
+    gone = copies if dropped is None else copies.union(dropped)
+    return df.join(gone.withColumnRenamed("x", key), key, "left_anti")
+
+
+#: Shingles of a benchmark up to which they are broadcast; beyond it documents are shuffled to them.
+BROADCAST_ROWS = 1_000_000
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 8) -> DataFrame:
-    """(doc_id, item_id, shared): how many k-word shingles of a benchmark item stand in a document."""
+    """(doc_id, item_id, shared): how many k-word shingles of a benchmark item stand in a document. A benchmark of up to
+    BROADCAST_ROWS shingles, which are counted first, goes to the documents; only what is shared is then shuffled."""
     b = benchmark.select("item_id", T.word_list("text").alias("w")).select("item_id", F.explode(T.shingle_hashes("w", k)).alias("x"))
     d = docs.select("doc_id", T.word_list("text").alias("w")).select("doc_id", F.explode(T.shingle_hashes("w", k)).alias("x"))
-    return d.join(b, "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    small = b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return d.join(F.broadcast(b) if small else b, "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))

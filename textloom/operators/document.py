@@ -89,23 +89,25 @@ def lexical_diversity(docs: DataFrame) -> DataFrame:
     return s.where("n >= 50 or most < 50").groupBy("doc_id").agg(F.round(F.avg(100.0 * F.col("k") / F.col("n")), 2).alias("mattr"))
 
 
-def signature_counts(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
-    """(doc_id, word, model, n) of the vocabulary's words."""
-    model = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
-    w = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1)).alias("word")).where(F.col("word").isin(*vocabulary))
-    return w.groupBy("doc_id", "word").agg(F.count("*").alias("n")).select("doc_id", "word", model[F.col("word")].alias("model"), "n")
+#: A word of letters, digits and underscores stands on its own between these.
+_ALONE = r"(?<![\p{L}\p{N}_])(%s)(?![\p{L}\p{N}_])"
+
 
+def _hits(vocabulary: dict[str, str]) -> Column:
+    low = F.lower(F.coalesce("text", F.lit("")))
+    return F.array(*(F.struct(F.lit(w).alias("word"), F.lit(m).alias("model"), F.size(F.regexp_extract_all(low, F.lit(_ALONE % w), 1)).cast("long").alias("n")) for w, m in vocabulary.items()))
 
-def signature_phrases(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
+
+def signature_counts(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
     """(doc_id, word, model, n) of the vocabulary's entries, which may be of several words."""
-    each = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(m).alias("model"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(rf"\b({w})\b"), 1)).cast("long").alias("n")) for w, m in vocabulary.items()))
-    return docs.select("doc_id", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
+    return docs.select("doc_id", F.explode(F.filter(_hits(vocabulary), lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.*")
 
 
 def signature_density(docs: DataFrame, vocabulary: dict[str, str]) -> DataFrame:
-    """Vocabulary words per 1,000 words, and whose style that is."""
-    hits = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1), lambda w: w.isin(*vocabulary))
-    of = lambda m: F.size(F.filter("_h", lambda w: w.isin(*[k for k, v in vocabulary.items() if v == m])))
-    d = docs.select("doc_id", hits.alias("_h"), T.n_words("text").alias("_n"))
-    d = d.select("doc_id", F.round(F.lit(1000.0) * F.size("_h") / F.greatest(F.col("_n"), F.lit(1)), 4).alias("density"), of("claude").alias("_c"), of("gpt").alias("_g"))
-    return d.select("doc_id", "density", F.when((F.col("density") > 4.5) & (F.col("_c") > F.col("_g")), "Claude Writing Fingerprint").when(F.col("density") > 4.5, "GPT Writing Fingerprint").when(F.col("density") > 1.5, "Mixed/Hybrid AI Signature").otherwise("Standard Academic Prose (Human-like)").alias("fingerprint"))
+    """(doc_id, density, fingerprint): the vocabulary's hits per 1,000 words of ASCII letters, and whose style that is."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike("^[a-z]+$"))
+    of = lambda m: F.aggregate(F.filter("_h", lambda x: x["model"] == m), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    d = docs.select("doc_id", _hits(vocabulary).alias("_h"), F.size(words).alias("_n")).select("doc_id", of("Claude").alias("_c"), of("GPT").alias("_g"), "_n")
+    per = F.when(F.col("_n") > 0, (F.col("_c") + F.col("_g")) / F.col("_n") * F.lit(1000.0)).otherwise(0.0)
+    name = F.when((per > 4.5) & (F.col("_c") > F.col("_g")), "Claude Writing Fingerprint").when(per > 4.5, "GPT Writing Fingerprint").when(per > 1.5, "Mixed/Hybrid AI Signature").otherwise("Standard Academic Prose (Human-like)")
+    return d.select("doc_id", F.round(per, 2).alias("density"), name.alias("fingerprint"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def confusion(label: str = "label", score: str = "score", threshold: Column | float = 0.5) -> list[Column]:
+def confusion(label: str = "label", score: str | Column = "score", threshold: Column | float = 0.5) -> list[Column]:
     """Aggregates tn, fp, fn, tp."""
-    hit, pos = F.col(score) >= threshold, F.col(label) == 1
+    hit, pos = (F.col(score) if isinstance(score, str) else score) >= threshold, F.col(label) == 1
     return [F.count_if(~hit & ~pos).alias("tn"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(hit & pos).alias("tp")]
 
 
@@ -25,6 +25,17 @@ def rates(df: DataFrame) -> DataFrame:
     return df.withColumns({"accuracy": F.round(ratio(tp + tn, tn + fp + fn + tp), 9), "precision": F.round(ratio(tp, tp + fp), 9), "recall": F.round(ratio(tp, tp + fn), 9), "f1": F.round(f1, 9), "macro_f1": F.round((f1 + f0) / 2, 9), "fpr": F.round(ratio(fp, fp + tn), 9)})
 
 
+def threshold_grid(df: DataFrame, low: int, high: int, label: str = "label", score: str = "score") -> DataFrame:
+    """(t, tn, fp, fn, tp) at every threshold low/100 .. high/100; rows are counted by the last one they reach."""
+    k = F.floor(F.col(score) * 100).cast("int")
+    k = k + F.when(F.col(score) >= (k + 1) / F.lit(100.0), 1).when(F.col(score) < k / F.lit(100.0), -1).otherwise(0)
+    c = df.groupBy(F.least(F.greatest(k, F.lit(low - 1)), F.lit(high)).alias("k")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    grid = df.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("t"))
+    over = F.col("k") >= F.col("t")
+    parts = (("tn", ~over, "n"), ("fp", over, "n"), ("fn", ~over, "p"), ("tp", over, "p"))
+    return grid.crossJoin(F.broadcast(c)).groupBy("t").agg(*[F.coalesce(F.sum(F.when(x, F.col(v))), F.lit(0)).alias(n) for n, x, v in parts])  # at most high - low + 2 counts
+
+
 def threshold_search(df: DataFrame, low: int, high: int, label: str = "label", score: str = "score") -> DataFrame:
     """The threshold among low/100 .. high/100 with the best macro F1, the lowest on ties.
 
@@ -41,20 +52,31 @@ def threshold_search(df: DataFrame, low: int, high: int, label: str = "label", s
     return best.select((F.col("t") / 100.0).alias("threshold"), "macro_f1")
 
 
+#: Parts of the unit of scores in which curves are summed before their parts are put together.
+PARTS = 1024
+
+
 def roc(df: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score", digits: int | None = None) -> DataFrame:
     """A row for each distinct score, descending: tp and fp up to it, their totals, tpr and fpr.
 
-    Ties share a point. Counts per score are summed before the window, so it runs over distinct scores;
-    ``digits`` rounds them first, which bounds the points of a curve over any number of rows.
+    Ties share a point. Counts are summed per score, then inside parts of the scores' range, and the parts' sums are
+    put together over one row for each part; so no task takes all scores of a curve. ``digits`` rounds scores first.
     """
     by = by or []
     if digits is not None:
         df = df.withColumn(score, F.round(score, digits))
-    c = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    r = c.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "pos": F.sum("p").over(every), "neg": F.sum("n").over(every)})
-    return r.withColumns({"tpr": ratio("tp", "pos"), "fpr": ratio("fp", "neg")})
+    c = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).withColumn("_part", F.floor(F.col(score) * PARTS))
+    parts = c.groupBy(*by, "_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    above, every = Window.partitionBy(*by).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    before = lambda x: F.coalesce(F.sum(x).over(above), F.lit(0))
+    parts = parts.select(*[F.col(x).alias(f"_by{k}") for k, x in enumerate(by)], F.col("_part").alias("_at"), before("_p").alias("_tp"), before("_n").alias("_fp"), F.sum("_p").over(every).alias("pos"), F.sum("_n").over(every).alias("neg"))
+    w = Window.partitionBy(*by, "_part").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    r = c.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
+    same = F.col("_part").eqNullSafe(F.col("_at"))
+    for k, x in enumerate(by):
+        same = same & F.col(x).eqNullSafe(F.col(f"_by{k}"))
+    r = r.join(parts, same).withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")})
+    return r.select(*by, score, "p", "n", "tp", "fp", "pos", "neg").withColumns({"tpr": ratio("tp", "pos"), "fpr": ratio("fp", "neg")})
 
 
 def auc(df: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score") -> DataFrame:
@@ -72,8 +94,9 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score")
 def pr_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """The trapezoids under precision over recall, from recall 0 at precision 1."""
     r = roc(df, None, label, score).withColumns({"rec": ratio("tp", "pos"), "pre": F.col("tp") / (F.col("tp") + F.col("fp"))})
-    w = Window.orderBy(F.col(score).desc())  # distinct scores of one system
-    r = r.withColumns({"rec0": F.coalesce(F.lag("rec").over(w), F.lit(0.0)), "pre0": F.coalesce(F.lag("pre").over(w), F.lit(1.0))})
+    # the point before: without this one's own counts
+    tp, fp = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
+    r = r.withColumns({"rec0": ratio(tp, "pos"), "pre0": F.when(tp + fp == 0, F.lit(1.0)).otherwise(ratio(tp, tp + fp))})
     return r.agg(F.round(F.sum((F.col("rec") - F.col("rec0")) * (F.col("pre") + F.col("pre0")) / 2), 9).alias("pr_auc"))
 
 

@@ -28,6 +28,18 @@ def bootstrap(counts: DataFrame, sums: list[str], replicates: int, seed: str = "
     return draws(counts, replicates, seed).join(counts, "topic").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def row_replicates(df: DataFrame, key: str, replicates: int, hits: dict[str, Column]) -> DataFrame:
+    """(replicate, n, hits...): rows drawn with replacement, each as often as a hash of replicate and key says (Poisson
+    with mean 1, cut at 5), and how many of the draws hit. Tasks sum their own rows; only sums are shuffled."""
+    d = df.select(F.col(key).alias("_key"), *[h.cast("int").alias(n) for n, h in hits.items()])
+    d = d.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    h = T.bucket(F.concat_ws(":", "replicate", "_key"), 1000)
+    d = d.withColumn("_h", h)
+    times = F.when(F.col("_h") < 368, 0).when(F.col("_h") < 736, 1).when(F.col("_h") < 920, 2).when(F.col("_h") < 981, 3).when(F.col("_h") < 996, 4).otherwise(5)
+    d = d.withColumn("_k", times)
+    return d.groupBy("replicate").agg(F.sum("_k").alias("n"), *[F.sum(F.col(n) * F.col("_k")).alias(n) for n in hits])
+
+
 def interval(value: str, low: float = 0.025, high: float = 0.975) -> list[Column]:
     return [F.round(F.percentile(value, F.lit(low)), 9).alias("lo"), F.round(F.percentile(value, F.lit(high)), 9).alias("hi")]
 

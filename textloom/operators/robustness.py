@@ -21,8 +21,13 @@ CONTRACTIONS = {
     "weren't": "were not", "it's": "it is", "that's": "that is", "there's": "there is", "they're": "they are", "we're": "we are",
     "you're": "you are", "i've": "I have", "we've": "we have", "they've": "they have",
 }
-#: Those that are also applied the other way.
-CONTRACT = {("I have" if a == "i've" else b): ("I've" if a == "i've" else a) for a, b in CONTRACTIONS.items() if a != "cannot"}
+#: What is also contracted, in the order it is applied.
+CONTRACT = {
+    "do not": "don't", "does not": "doesn't", "did not": "didn't", "cannot": "can't", "will not": "won't",
+    "should not": "shouldn't", "would not": "wouldn't", "could not": "couldn't", "is not": "isn't", "are not": "aren't", "was not": "wasn't",
+    "were not": "weren't", "it is": "it's", "that is": "that's", "there is": "there's", "they are": "they're", "we are": "we're",
+    "you are": "you're", "I have": "I've", "we have": "we've", "they have": "they've",
+}
 #: Predictable transitions and what takes their place.
 OPENINGS = {"furthermore": "in addition", "moreover": "alongside this", "consequently": "resulting in", "therefore": "thus", "however": "though", "in conclusion": "overall", "in summary": "in short", "specifically": "in detail"}
 #: Favoured phrases and plainer ones, in the order they are applied.
@@ -51,8 +56,39 @@ SYNONYMS = {
     "pivotal": ("key", "central"), "seamlessly": ("smoothly", "naturally"),
 }
 
+#: A sentence's beginnings and formulas, and what they become in tones that are not academic, in order.
+ACTIVE = {
+    r"^[A-Za-z0-9\s-]{2,25}\s+Method\s+The\s+": "The ",
+    r"^[A-Za-z0-9\s-]{2,25}\s+Method\s+(This|The)\b": r"\1",
+    r"^\b(Collaborated|Worked jointly|Teamed up|Partnered)\s+on\b": "I worked on",
+    r"^\b(Implemented|Engineered|Developed|Built|Architected|Designed|Constructed|Formulated)\b": "I built",
+    r"^\b(Optimized|Refined|Enhanced|Tuned|Streamlined)\b": "I optimized",
+    r"^\b(Leveraged|Utilized|Harnessed|Deployed|Employed)\b": "I used",
+    r"^\b(Achieved|Delivered|Secured|Produced|Generated|Attained)\b": "I delivered",
+    r"^\b(Leveraging|Utilizing|Harnessing|Deploying)\b": "Using",
+    r",?\s*\b(achieving|delivering|securing|producing|cutting)\s+(a\s+)?(\d+%|\d+\s+percent)\s+(reduction|decrease|drop|improvement|gain)\s+in\b": r" to cut \4 by \3 in",
+    r"^(The\s+[\w-]+(?:\s+[\w-]+)?)\s+(?:method|model|framework|system|algorithm),\s*introduced\s+by\s+the\s+(.*?)\s+of\s+the\s+United\s+States\s+in\s+(\d{4}),\s*is\s+a\s+widely\s+used\s+conceptual\s+(\w+)\s+model\s+for\s+estimating\s+direct\s+runoff\s+generated\s+from\s+daily\s+rainfall\s+depth\b": r"\1 framework, created by the U.S. \2 in \3, offers a practical way to predict daily rainfall runoff",
+    r"\bSoil Conservation Service of the United States\b": "U.S. Soil Conservation Service",
+    r"\bis a widely used conceptual hydrological model for estimating direct runoff generated from daily rainfall depth\b": "offers a practical way to predict daily rainfall runoff",
+    r"\bintroduced by\b": "created by",
+    r"\bis a widely used conceptual\b": "offers a practical",
+    r"\bfor estimating direct runoff generated from\b": "to predict",
+}
+#: Each phrase with a literal that every match holds, and the parts of which one is in each word of SYNONYMS.
+_PHRASES = [(re.match(r"[a-z]+", a[2:])[0], re.compile(a, re.IGNORECASE), b) for a, b in PHRASES.items()]
+_STEMS = sorted({w[:5] for w in SYNONYMS})
+_SOME = re.compile("|".join(_STEMS), re.IGNORECASE)
+_STRIP = r"^\s+|\s+$"
+
+
 def coin(key, salt: str, percent: int) -> Column:
-    return T.bucket(F.concat(F.lit(salt), F.col(key).cast("string")), 100) < percent
+    """True for ``percent`` of the keys, by a hash."""
+    return T.bucket(F.concat(F.lit(salt), T._c(key).cast("string")), 100) < percent
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _each(c: Column, table: dict[str, str]) -> Column:
@@ -69,18 +105,74 @@ def contract(c) -> Column:
     return _each(T._c(c), CONTRACT)
 
 
-def perturb_punctuation(c) -> Column:
-    return F.regexp_replace(F.replace(F.replace(T._c(c), F.lit(";"), F.lit(",")), F.lit(" - "), F.lit(", ")), ",\\s+and\\b", " and")
+def contractions(c, key) -> Column:
+    """All contractions expanded, or all that can be contracted, by a coin."""
+    return F.when(coin(key, "contract:", 50), expand_contractions(c)).otherwise(contract(c))
+
+
+def punctuation(c, key) -> Column:
+    """Semicolons become full stops or dashes, some colons dashes, some dashes commas."""
+    out = F.replace(T._c(c), F.lit(";"), F.when(coin(key, "semicolon:", 50), ".").otherwise(" —"))
+    out = F.when(coin(key, "colon:", 40) & F.contains(out, F.lit(": ")), F.regexp_replace(out, ":\\s+", " — ")).otherwise(out)
+    return F.when(coin(key, "dash:", 50), F.replace(out, F.lit(" — "), F.lit(", "))).otherwise(out)
+
+
+def clauses(c, key) -> Column:
+    """Although X, Y. becomes Y, although X. for 70 of 100 texts of one line that begin so."""
+    p = r"(?id)^(Although|Though|While|Because|Since|Even though)\s+([^,]+),\s+(.+)\n?$"
+    part = lambda k: F.regexp_replace(F.regexp_extract(c, p, k), _STRIP, "")
+    main = part(3)
+    ends = F.substring(main, -1, 1).isin(".", "!", "?")
+    body = F.when(ends, F.regexp_replace(main, r"\s*[.!?]$", "")).otherwise(main)
+    moved = F.concat(F.upper(F.substring(body, 1, 1)), F.substring(body, 2, 2**31 - 1), F.lit(", "), F.lower(part(1)), F.lit(" "), part(2), F.when(ends, F.substring(main, -1, 1)).otherwise("."))
+    return F.when(T._c(c).rlike(p) & coin(key, "clause:", 70), moved).otherwise(T._c(c))
+
+
+def splits(c, key) -> Column:
+    """A text that ends in X, and Y. becomes X. Y. or X; and Y. for 60 of 100; what stands before X goes."""
+    p = r"^\s+(and|but|yet|so)\s+([A-Za-z0-9\s]{15,})([.!?])\n?$"
+    text = T._c(c)
+    after = F.substring_index(text, ",", -1)
+    # the run of plain characters before the last comma, found from its end
+    run = F.reverse(F.regexp_extract(F.reverse(F.left(text, F.length(text) - F.length(after) - 1)), r"^([A-Za-z0-9\s]*)", 1))
+    part = lambda k: F.regexp_replace(F.regexp_extract(after, p, k), _STRIP, "")
+    first, second = F.regexp_replace(run, _STRIP, ""), part(2)
+    split = F.concat(first, F.lit(". "), F.upper(F.substring(second, 1, 1)), F.substring(second, 2, 2**31 - 1), part(3))
+    joined = F.concat(first, F.lit("; "), part(1), F.lit(" "), second, part(3))
+    hit = F.contains(text, F.lit(",")) & (F.length(run) >= 20) & after.rlike(p) & coin(key, "split:", 60)
+    return F.when(~F.coalesce(hit, F.lit(False)), text).when(coin(key, "join:", 50), split).otherwise(joined)
+
+
+def _stripped_sentences(c) -> Column:
+    return F.filter(F.transform(T.sentences(c), lambda x: F.regexp_replace(x, _STRIP, "")), lambda x: x != "")
+
+
+def _of_sentences(c, f) -> Column:
+    """The sentences after ``f`` (sentence, number from 1), joined by blanks; a text without any as it is."""
+    s = _stripped_sentences(c)
+    return F.when(F.size(s) <= 0, T._c(c)).otherwise(F.array_join(F.transform(s, lambda x, i: f(x, i + 1)), " "))
+
+
+def openings(c, key) -> Column:
+    """Predictable transitions, each of a sentence with 75 in 100, by what takes their place."""
+    def one(x: Column, i: Column) -> Column:
+        for a, b in OPENINGS.items():
+            pattern = f"(?i)\\b{a}\\b"
+            chosen = coin(F.concat_ws(":", T._c(key).cast("string"), i.cast("string")), f"o:{a}:", 75)
+            x = _let(x, lambda v: F.when(v.rlike(pattern) & chosen, F.regexp_replace(v, pattern, b)).otherwise(v))  # noqa: B023 - called at once
+        return x
 
+    return _of_sentences(c, one)
 
-def reorder_clauses(c) -> Column:
-    """Although X, Y. becomes Y, although X."""
-    p = r"^(Although|While|Because) ([^,]+), ([^.]+)\.$"
-    return F.when(T._c(c).rlike(p), F.concat(F.initcap(F.regexp_extract(c, p, 3)), F.lit(", "), F.lower(F.regexp_extract(c, p, 1)), F.lit(" "), F.regexp_extract(c, p, 2), F.lit("."))).otherwise(T._c(c))
 
+def active_voice(c, tone: str = "academic") -> Column:
+    """Every sentence's white space made single; in tones that are not academic ACTIVE is applied before."""
+    def one(x: Column, i: Column) -> Column:
+        for a, b in ACTIVE.items() if tone not in ("academic", "scholarly") else ():
+            x = F.regexp_replace(x, f"(?i){a}", re.sub(r"\\(\d)", r"$\1", b))
+        return F.regexp_replace(x, "\\s+", " ")
 
-def split_clauses(c) -> Column:
-    return F.regexp_replace(T._c(c), r", (and|but|yet|so) ", ". ")
+    return _of_sentences(c, one)
 
 
 def plainer(text: str | None, key: str) -> str | None:
@@ -89,14 +181,19 @@ def plainer(text: str | None, key: str) -> str | None:
     if text is None:
         return None
     cased = lambda was, now: now.capitalize() if was[0].isupper() else now
-    for a, b in PHRASES.items():
-        text = re.sub(a, lambda m, b=b: cased(m[0], b), text, flags=re.IGNORECASE)
+    low = text.lower()
+    for first, a, b in _PHRASES:
+        if first in low:
+            text = a.sub(lambda m, b=b: cased(m[0], b), text)
     words, n, seed = text.split(), 0, zlib.crc32(key.encode())
-    for k, w in enumerate(words):
-        m = None if "__TEX_LOCK_" in w or "__LOCK_" in w else re.match(r"^([^\w]*)([\w-]+)([^\w]*)$", w)
-        if m and (choice := SYNONYMS.get(m[2].lower())):
-            words[k] = m[1] + cased(m[2], choice[hash((seed, n)) % len(choice)]) + m[3]
-            n += 1
+    if any(w in low for w in _STEMS):
+        for k, w in enumerate(words):
+            if not _SOME.search(w) or "__TEX_LOCK_" in w or "__LOCK_" in w:
+                continue
+            m = re.match(r"^([^\w]*)([\w-]+)([^\w]*)$", w)
+            if m and (choice := SYNONYMS.get(m[2].lower())):
+                words[k] = m[1] + cased(m[2], choice[hash((seed, n)) % len(choice)]) + m[3]
+                n += 1
     text = " ".join(words)
     text = re.sub(r"\b(explore|examine|investigate)\s+into\b", r"\1", text, flags=re.IGNORECASE)
     text = re.sub(r"\b(Additionally|Furthermore|Moreover|In addition|Alongside this),\s*(notably|importantly),\b", r"\2,", text, flags=re.IGNORECASE)
@@ -114,21 +211,27 @@ def plain_words(c, key=None) -> Column:
     return run(T._c(c), T._c(c) if key is None else T._c(key).cast("string"))
 
 
-def plain_openings(c) -> Column:
-    return _each(T._c(c), OPENINGS)
+def combined(c, key=None, tone: str = "academic") -> Column:
+    """Active voice, vocabulary and openings, in this order."""
+    return _let(plain_words(active_voice(c, tone), key), lambda v: openings(v, c if key is None else key))
 
 
-def rule_based(c) -> Column:
-    """All rules in turn: words, contractions, punctuation, clauses, splits, openings."""
-    return plain_openings(split_clauses(reorder_clauses(perturb_punctuation(expand_contractions(plain_words(c))))))
+def rule_based(c, key=None) -> Column:
+    """All rules in turn: vocabulary, contractions, punctuation, clauses, splits, openings."""
+    k = c if key is None else key
+    out = plain_words(c, key)
+    for rule in (contractions, punctuation, clauses, splits, openings):
+        out = _let(out, lambda v: rule(v, k))  # noqa: B023 - called at once
+    return F.regexp_replace(out, _STRIP, "")
 
 
-ATTACKS = {"contractions": expand_contractions, "punctuation": perturb_punctuation, "clauses": reorder_clauses, "splits": split_clauses, "openings": plain_openings, "vocabulary": plain_words}
+#: The families of attacks: a text and the key of its coins.
+ATTACKS = {"contractions": contractions, "punctuation": punctuation, "clauses": clauses, "splits": splits, "openings": openings, "vocabulary": plain_words}
 
 
 def attacks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, attack_family, attacked_text, is_held_out): a row for every family, and the text itself as clean."""
-    each = F.array(F.struct(F.lit("clean").alias("attack_family"), F.col(text).alias("attacked_text")), *[F.struct(F.lit(n).alias("attack_family"), f(text).alias("attacked_text")) for n, f in ATTACKS.items()])
+    each = F.array(F.struct(F.lit("clean").alias("attack_family"), F.col(text).alias("attacked_text")), *[F.struct(F.lit(n).alias("attack_family"), f(text, key).alias("attacked_text")) for n, f in ATTACKS.items()])
     return df.select(key, F.explode(each).alias("x")).select(key, "x.attack_family", "x.attacked_text", (F.col("x.attack_family") == "vocabulary").alias("is_held_out"))
 
 

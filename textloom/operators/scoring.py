@@ -14,29 +14,40 @@ from .document import neighbours
 
 
 def heuristic_fusion(a: str, b: str, transition: str, low: str, metadata: str, use: frozenset = frozenset({"transition", "low", "max", "metadata"})) -> Column:
-    """Two scores and three flags as one score; ``use`` names the rules that are on."""
+    """Two scores and three flags as one score, by the first rule that holds; ``use`` names the rules that are on.
+
+    A transition lifts the larger score, else low burstiness does, else the larger of two scores counts if one
+    is notable, else their mean. With one score only a transition lifts it, with none the result is 0.02, which
+    is also that of metadata.
+    """
     x, y = F.col(a), F.col(b)
-    out = F.when((x >= 0.38) | (y >= 0.38), F.greatest(x, y)).otherwise((x + y) / 2) if "max" in use else (x + y) / 2
-    if "low" in use:
-        out = F.when(F.col(low) & (out >= 0.35), F.least(F.lit(0.99), out + 0.1)).otherwise(out)
-    if "transition" in use:
-        out = F.when(F.col(transition), F.least(F.lit(0.99), F.greatest(out, F.lit(0.65)) + 0.15)).otherwise(out)
-    return F.when(F.col(metadata), F.lit(0.02)).otherwise(out) if "metadata" in use else out
+    base, off = F.greatest(x, y), F.lit(False)
+    rule = lambda name, c: c if name in use else off
+    lifted = lambda c, by: F.least(F.lit(0.99), F.greatest(c, F.lit(0.65)) + by)
+    both = (F.when(rule("transition", F.col(transition)), lifted(base, 0.15)).when(rule("low", F.col(low) & (base >= 0.35)), F.least(F.lit(0.99), base + 0.10))
+            .when(rule("max", (x >= 0.38) | (y >= 0.38)), base).otherwise(0.50 * y + 0.50 * x))
+    single = F.when(rule("transition", F.col(transition)), lifted(base, 0.12)).otherwise(base)
+    out = F.when(x.isNotNull() & y.isNotNull(), both).otherwise(F.coalesce(single, F.lit(0.02)))
+    return F.when(rule("metadata", F.col(metadata)), F.lit(0.02)).otherwise(out)
 
 
 #: The conditions of the ablation: rules that are on.
 ABLATIONS = {"all": ("transition", "low", "max", "metadata"), "no_transition": ("low", "max", "metadata"), "no_low": ("transition", "max", "metadata"), "no_max": ("transition", "low", "metadata"), "no_metadata": ("transition", "low", "max"), "none": ()}
 
-#: The 13 inputs of the learned fusion, in the order of a stored model.
-FUSION_FEATURES = ("a", "b", "a_prev", "a_next", "b_prev", "b_next", "mean", "most", "gap", "pool_mean", "log_words", "transition", "edge")
+#: The 13 inputs of the learned fusion, in the order of a stored model.
+FUSION_FEATURES = (
+    "prob_rob", "prob_mb", "word_len", "log_len", "prev_prob_rob", "next_prob_rob", "prev_prob_mb", "next_prob_mb",
+    "neighbor_mean_rob", "neighbor_mean_mb", "diff_rob_mb", "mean_rob_mb", "max_rob_mb",
+)
 
 
 def fusion_features(df: DataFrame, a: str = "score", b: str = "other") -> DataFrame:
-    """``df`` (doc_id, sent_idx, n_words, trans) with FUSION_FEATURES."""
-    d = neighbours(df, a).withColumnsRenamed({"prev": "a_prev", "next": "a_next"})
-    d = neighbours(d, b).withColumnsRenamed({"prev": "b_prev", "next": "b_next"})
-    x, y = F.col(a), F.col(b)
-    return d.withColumns({"a": x, "b": y, "mean": (x + y) / 2, "most": F.greatest(x, y), "gap": F.abs(x - y), "pool_mean": (F.col("a_prev") + x + F.col("a_next")) / 3, "log_words": F.log1p(F.col("n_words").cast("double")), "transition": F.col("trans").cast("double"), "edge": (F.col("sent_idx") == 0).cast("double")})
+    """``df`` (doc_id, sent_idx, n_words) with FUSION_FEATURES; at a document's edges a sentence is its own neighbour."""
+    d = neighbours(df, a).withColumnsRenamed({"prev": "prev_prob_rob", "next": "next_prob_rob"})
+    d = neighbours(d, b).withColumnsRenamed({"prev": "prev_prob_mb", "next": "next_prob_mb"})
+    x, y, n = F.col(a), F.col(b), F.col("n_words").cast("double")
+    mean = lambda k: (F.col(f"prev_prob_{k}") + F.col(f"next_prob_{k}")) / 2
+    return d.withColumns({"prob_rob": x, "prob_mb": y, "word_len": n, "log_len": F.log1p(n), "neighbor_mean_rob": mean("rob"), "neighbor_mean_mb": mean("mb"), "diff_rob_mb": F.abs(x - y), "mean_rob_mb": (x + y) / 2, "max_rob_mb": F.greatest(x, y)})
 
 
 def load_model(text: str) -> dict:
@@ -47,12 +58,17 @@ def load_model(text: str) -> dict:
     return m
 
 
-def logistic_score(model: dict) -> Column:
-    """The probability that a stored model gives a row."""
+def logistic_score(model: dict, calibrated: bool = False) -> Column:
+    """The probability that a stored model gives a row; ``calibrated``: by the curve that is stored with it."""
     z = F.lit(float(model["intercept"]))
     for name, c, m, s in zip(model["feature_names"], model["coefficients"], model["scaler_mean"], model["scaler_scale"], strict=True):
         z = z + F.lit(float(c)) * (F.col(name) - float(m)) / float(s or 1.0)
-    return T.sigmoid(z)
+    p = T.sigmoid(z)
+    if not calibrated:
+        return p
+    if len(model["calibrator_y"]) != 101:
+        raise ValueError("a stored curve has 101 values")
+    return F.greatest(F.least(T.interpolate(p, F.array(*(F.lit(float(v)) for v in model["calibrator_y"]))), F.lit(1.0)), F.lit(0.0))
 
 
 def score_with(df: DataFrame, scorer: Callable[[list[str]], list[float]] | None, text: str = "sentence") -> DataFrame:

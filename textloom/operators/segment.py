@@ -41,12 +41,22 @@ def bibliography_split(docs: DataFrame) -> DataFrame:
     return body.unionByName(refs)
 
 
+#: Words that begin a section inside a line, and how lines begin that open a paragraph: headings and
+#: metadata (case does not matter), entries of references, bullets.
+SECTIONS = r"Abstract|Index Terms|1\s+Introduction|Introduction|Background|Related Work|Methodology|Experiments|Results|Discussion|Conclusion|References|Bibliography"
+OPENS = r"^(?:[0-9]+\.|\d+\s+[A-Z]|\b(?:abstract|introduction|background|related work|methodology|experiments|results|discussion|conclusion|references|works cited|bibliography|department|school|university|e-mail|email|keywords|author|authors|independent research|july \d{4}|june \d{4}|august \d{4}|january \d{4}|february \d{4}|march \d{4}|april \d{4}|may \d{4}|september \d{4}|october \d{4}|november \d{4}|december \d{4})\b)"
+ENTRY = r"^\[\d+\]|^[A-Z][a-z]+,?\s+[A-Z]\.?(?:\s+&\s+[A-Z][a-z]+,?\s+[A-Z]\.?)?\s+\(\d{4}\)|^(?:[\*\-•]|\d+\.)\s+"
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph_idx, paragraph): lines joined until a heading, a reference, a bullet or a short line
-    without a full stop opens the next."""
-    p = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x")).withColumn("x", T.strip("x")).where("x <> ''")
-    opens = T.heading("x").isNotNull() | F.col("x").rlike(r"^(\[\d+\]|[-*•] )") | ((F.length("x") < 70) & ~F.col("x").endswith("."))
-    p = p.withColumn("k", F.sum(opens.cast("int")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    g = p.groupBy("doc_id", "k").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
-    g = g.withColumn("paragraph_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1)
-    return g.select("doc_id", "paragraph_idx", F.array_join(F.transform("s", lambda e: e["x"]), " ").alias("paragraph"))
+    """(doc_id, paragraph_idx, paragraph): blocks between empty lines, also before a section's word inside a line; in
+    a block lines are joined until a heading, an entry of references, a bullet or a short line without a full stop
+    opens the next paragraph."""
+    text = F.replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    text = F.regexp_replace(text, rf"(?i)(?<=\S)\s*(\b(?:{SECTIONS})\b[\s—\-.:]+)", "\n\n$1")
+    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), T.strip), lambda x: x != "")
+    p = docs.select("doc_id", F.posexplode(F.split(text, "\n\n")).alias("b", "block")).select("doc_id", "b", F.posexplode(lines("block")).alias("i", "x"))
+    opens = (F.col("i") == 0) | F.col("x").rlike(f"(?i){OPENS}") | F.col("x").rlike(ENTRY) | ((F.length("x") < 70) & ~F.col("x").endswith("."))
+    p = p.withColumn("k", F.sum(opens.cast("int")).over(Window.partitionBy("doc_id").orderBy("b", "i").rowsBetween(Window.unboundedPreceding, 0)))
+    g = p.groupBy("doc_id", "k").agg(F.sort_array(F.collect_list(F.struct("b", "i", "x"))).alias("s"))
+    return g.select("doc_id", (F.col("k") - 1).cast("int").alias("paragraph_idx"), F.array_join(F.transform("s", lambda e: e["x"]), " ").alias("paragraph"))

@@ -10,8 +10,8 @@ from ..operators import segment as G
 from .registry import query, read
 
 #: A paper made of a document's id: markers in its body and a list of references.
-_BODY = ["'Intro text [' || (doc_id % 4 + 1) || '] and [2]–[4], see [1, 3]. '", "'(Smith, ' || (2000 + doc_id % 20) || ') and (Jones ' || (doc_id % 90 + 1) || '). '",
-         "'Body (Brown et al., 2011).' || chr(10) || 'References' || chr(10)", "'[1] Smith, Deep Models of Text. 2019. doi:10.1000/abc' || (doc_id % 5) || '.' || chr(10)",
+_BODY = ["'Intro text [' || (doc_id % 4 + 1) || '] and [2]–[4], see [1, 3]. '", "'(Smith, ' || (2000 + doc_id % 20) || ') and ( Jones and Smith ' || (doc_id % 90 + 1) || ' ). (Smith and Jones, 2019) '",
+         "'Body (Brown et al., 2011).' || chr(10) || 'References' || chr(10)", "'[1] Smith, Deep Models of Text. 2019. doi:10.1000/abc' || (doc_id % 5) || '.' || chr(10)", "'[8] Lee, K., “A Quoted Title of It,” arXiv:2101.0' || (1000 + doc_id % 9) || ', 2021.' || chr(10)",
          "'[2] Jones, Old Work on Things, 2005' || chr(10) || '[' || (doc_id % 7 + 3) || '] Brown, Third Entry 2011, https://doi.org/10.1000/xyz' || (doc_id % 3)"]
 PAPER = " || ".join(_BODY)
 SQLP = f"papers AS (SELECT doc_id, {PAPER} AS text FROM documents)"
@@ -49,12 +49,12 @@ def g06(spark, d):
     return C.numbered_markers(papers(spark, d))
 
 
-@query("G07_apa_markers", rf"""WITH {SQLP}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\([A-Z][A-Za-z]+(?: et al\.)?(?: & [A-Z][A-Za-z]+)?, \d{{4}}\)')) AS m FROM papers) SELECT doc_id, regexp_extract(m, '\(([A-Z][A-Za-z]+)', 1) AS author, regexp_extract(m, ', (\d{{4}})', 1) AS year FROM m""")
+@query("G07_apa_markers", f"WITH {SQLP}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{C.AUTHOR_YEAR}')) AS m FROM papers) SELECT doc_id, regexp_extract(m, '{C.AUTHOR_YEAR}', 1) AS author, regexp_extract(m, '{C.AUTHOR_YEAR}', 2) AS year FROM m")
 def g07(spark, d):
     return C.author_markers(papers(spark, d))
 
 
-@query("G08_mla_markers", rf"""WITH {SQLP}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\([A-Z][A-Za-z]+(?: et al\.)? \d{{1,3}}\)')) AS m FROM papers) SELECT doc_id, regexp_extract(m, '\(([A-Z][A-Za-z]+)', 1) AS author, regexp_extract(m, ' (\d{{1,3}})\)', 1) AS page FROM m""")
+@query("G08_mla_markers", f"WITH {SQLP}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{C.AUTHOR_PAGE}')) AS m FROM papers) SELECT doc_id, regexp_extract(m, '{C.AUTHOR_PAGE}', 1) AS author, regexp_extract(m, '{C.AUTHOR_PAGE}', 2) AS page FROM m")
 def g08(spark, d):
     return C.author_markers(papers(spark, d), page=True)
 
@@ -135,16 +135,28 @@ def t30(spark, d):
     return _resolved(spark, d).where("title is not null").select("doc_id", "idx", F.when(C.title_overlap("title", "raw", 1) >= 0.5, "verified").otherwise("hallucinated").alias("verdict"))
 
 
-@query("T24_reference_parse", rf"WITH {SQLP}, {_REF} SELECT doc_id, idx, author, year, nullif(regexp_extract(raw, '^(?:\[\d+\]\s*)?[A-Z][a-zA-Z]+, ([^.,0-9]+)', 1), '') AS title FROM rf")
+_PARSED = rf"""x AS (SELECT doc_id, idx, author, trim(regexp_replace(raw, '^\[\d+\]\s*', '')) AS t FROM rf),
+q AS (SELECT *, regexp_extract(t, '{C.QUOTED}', 1) AS q, regexp_extract(t, '{C.QUOTED}', 0) AS whole, string_split(t, '.') AS parts FROM x),
+k AS (SELECT *, length(q) > 5 AS quoted, len(parts) >= 2 AND length(parts[1]) < 100 AS plain FROM q),
+r AS (SELECT *, trim(regexp_replace(trim(CASE WHEN quoted THEN q WHEN plain THEN parts[2] ELSE t END), '[,;.]\s*$', '')) AS ti, trim(CASE WHEN quoted THEN regexp_replace(split_part(t, whole, 1), '[,;]\s*$', '') WHEN plain THEN parts[1] ELSE '' END) AS au FROM k),
+ps AS (SELECT doc_id, idx, coalesce(nullif(ti, ''), t) AS title, coalesce(nullif(au, ''), 'Unknown Authors') AS authors, nullif(regexp_extract(t, '\b(19\d{{2}}|20\d{{2}})\b', 1), '') AS year, {_DOI.replace('(raw,', '(t,')} AS doi, nullif(regexp_extract(t, '{C.ARXIV}', 1), '') AS arxiv FROM r)"""
+
+
+def _parsed(spark, d):
+    return C.references(papers(spark, d)).select("doc_id", "idx", *[c.alias(n) for n, c in C.parsed_reference("raw").items()])
+
+
+@query("T24_reference_parse", f"WITH {SQLP}, {_REF}, {_PARSED} SELECT doc_id, idx, title, authors, year, doi, arxiv FROM ps")
 def t24(spark, d):
-    p = r"^(?:\[\d+\]\s*)?[A-Z][a-zA-Z]+, ([^.,0-9]+)"
-    return C.references(papers(spark, d)).select("doc_id", "idx", "author", "year", F.when(F.regexp_extract("raw", p, 1) != "", F.regexp_extract("raw", p, 1)).alias("title"))
+    return _parsed(spark, d)
 
 
-@query("T25_citation_formats", f"WITH {SQLP}, {_REF}, x AS (SELECT doc_id, idx, coalesce(author, '') AS a, coalesce(year, '') AS y, raw AS t FROM rf) SELECT doc_id, idx, '@article{{' || lower(a) || y || ', author={{' || a || '}}, title={{' || t || '}}, year={{' || y || '}}, doi={{' || '}}}}' AS bibtex, a || ' (' || y || '). ' || t || '. https://doi.org/' AS apa, a || ', \"' || t || ',\" ' || y || '.' AS ieee FROM x")
+@query("T25_citation_formats", f"""WITH {SQLP}, {_REF}, {_PARSED}, x2 AS (SELECT doc_id, idx, authors AS a, coalesce(year, '') AS y, title AS t, coalesce(doi, '') AS d FROM ps)
+SELECT doc_id, idx, '@article{{' || lower(a) || y || ', author={{' || a || '}}, title={{' || t || '}}, year={{' || y || '}}, doi={{' || d || '}}}}' AS bibtex, 'TY  - JOUR' || chr(10) || 'AU  - ' || a || chr(10) || 'TI  - ' || t || chr(10) || 'PY  - ' || y || chr(10) || 'DO  - ' || d || chr(10) || 'ER  - ' AS ris,
+a || ' (' || y || '). ' || t || '. https://doi.org/' || d AS apa, a || ', "' || t || '," ' || y || '.' AS ieee, 'https://scholar.google.com/scholar?q=' || replace(url_encode(t), '%20', '+') AS url FROM x2""")
 def t25(spark, d):
-    f = C.formatted("author", "raw", "year", "none")
-    return C.references(papers(spark, d)).withColumn("none", F.lit("")).select("doc_id", "idx", *[f[k].alias(k) for k in ("bibtex", "apa", "ieee")])
+    f = C.formatted("authors", "title", "year", "doi")
+    return _parsed(spark, d).select("doc_id", "idx", *[f[k].alias(k) for k in ("bibtex", "ris", "apa", "ieee", "url")])
 
 
 @query("T19_headings", """WITH h AS (SELECT doc_id, doc_id % 6 AS k FROM documents)
@@ -155,11 +167,23 @@ def t19(spark, d):
     return h.select("doc_id", T.heading("t").alias("category"), T.heading_title("t").alias("title"))
 
 
-@query("G02_bibliography_split")
+_TAILED = r"(?is)^(.*)\b(references|bibliography|works cited)\b(.*)$"
+
+
+@query("G02_bibliography_split", rf"""WITH {SQLP}, s AS (SELECT doc_id, regexp_matches(text, '{_TAILED}') AS f, regexp_extract(text, '{_TAILED}', 1) AS h, regexp_extract(text, '{_TAILED}', 3) AS t, text FROM papers),
+b AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(CASE WHEN f THEN h ELSE text END, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM s),
+r AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(CASE WHEN f THEN t ELSE '' END, '(\[\d+\])', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM s)
+SELECT doc_id, 'body' AS part, (generate_subscripts(p, 1) - 1)::INTEGER AS idx, unnest(p) AS piece FROM b UNION ALL SELECT doc_id, 'reference', (generate_subscripts(p, 1) - 1)::INTEGER, unnest(p) FROM r""")
 def g02(spark, d):
     return G.bibliography_split(papers(spark, d))
 
 
-@query("G09_paragraphs")
+@query("G09_paragraphs", rf"""WITH t AS (SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(\S)\s*(\b(?:{G.SECTIONS})\b[\s—\-.:]+)', '\1' || chr(10) || chr(10) || '\2', 'gi') AS t FROM documents),
+b AS (SELECT doc_id, string_split(t, chr(10) || chr(10)) AS s FROM t), c AS (SELECT doc_id, generate_subscripts(s, 1) AS b, unnest(s) AS block FROM b),
+l AS (SELECT doc_id, b, list_filter(list_transform(string_split(block, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM c),
+x AS (SELECT doc_id, b, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM l),
+o AS (SELECT *, (i = 1 OR regexp_matches(x, '(?i){G.OPENS}') OR regexp_matches(x, '{G.ENTRY}') OR (length(x) < 70 AND x NOT LIKE '%.'))::INTEGER AS o FROM x),
+k AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY b, i) AS k FROM o)
+SELECT doc_id, (k - 1)::INTEGER AS paragraph_idx, string_agg(x, ' ' ORDER BY b, i) AS paragraph FROM k GROUP BY doc_id, k""")
 def g09(spark, d):
     return G.paragraphs(read(spark, d, "documents"))

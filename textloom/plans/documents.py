@@ -213,9 +213,9 @@ def f08(spark, d):
 
 
 @query("D03_heuristic_fusion", "WITH " + SCORED + """, f AS (SELECT *, sent_idx % 5 = 0 AS trans, doc_id % 4 = 0 AS low, n_words < 2 AS meta, ((('0x' || substr(md5('b' || doc_id || ':' || sent_idx), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE) AS other FROM scored),
-b AS (SELECT *, CASE WHEN score >= 0.38 OR other >= 0.38 THEN greatest(score, other) ELSE (score + other) / 2 END AS base FROM f),
-l AS (SELECT *, CASE WHEN low AND base >= 0.35 THEN least(0.99::DOUBLE, base + 0.1::DOUBLE) ELSE base END AS b2 FROM b)
-SELECT doc_id, sent_idx, round(CASE WHEN meta THEN 0.02::DOUBLE WHEN trans THEN least(0.99::DOUBLE, greatest(b2, 0.65::DOUBLE) + 0.15::DOUBLE) ELSE b2 END, 9) AS fused FROM l""")
+b AS (SELECT *, greatest(score, other) AS base FROM f)
+SELECT doc_id, sent_idx, round(CASE WHEN meta THEN 0.02::DOUBLE WHEN trans THEN least(0.99::DOUBLE, greatest(base, 0.65::DOUBLE) + 0.15::DOUBLE) WHEN low AND base >= 0.35 THEN least(0.99::DOUBLE, base + 0.10::DOUBLE)
+WHEN score >= 0.38 OR other >= 0.38 THEN base ELSE 0.5::DOUBLE * other + 0.5::DOUBLE * score END, 9) AS fused FROM b""")
 def d03(spark, d):
     from ..operators.scoring import heuristic_fusion
 

@@ -66,8 +66,7 @@ def e06(spark, d):
 
 @query("J12_threshold_grid", f"WITH {EVAL}, g AS (SELECT range AS t FROM range(5, 96)) SELECT t::INTEGER AS t, {CONF.format(t='t / 100.0::DOUBLE')} FROM g, l GROUP BY t")
 def j12(spark, d):
-    grid = spark.range(5, 96).select(F.col("id").cast("int").alias("t"))
-    return frame(spark, d).crossJoin(F.broadcast(grid)).groupBy("t").agg(*M.confusion(threshold=F.col("t") / 100.0))  # the grid has 91 rows
+    return M.threshold_grid(frame(spark, d), 5, 95)
 
 
 ROC = f"""WITH {EVAL}, c AS (SELECT score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS n FROM l GROUP BY score),
@@ -168,13 +167,13 @@ def b28(spark, d):
 # --- fusion studies ---
 
 _ON = {n: set(u) for n, u in ABLATIONS.items()}
-_FUSE = """CASE WHEN {meta} AND doc_id % 50 = 0 THEN 0.02::DOUBLE ELSE (CASE WHEN {transition} AND doc_id % 5 = 0 THEN least(0.99::DOUBLE, greatest(b2, 0.65::DOUBLE) + 0.15::DOUBLE) ELSE b2 END) END"""
+_FUSE = """CASE WHEN {meta} AND doc_id % 50 = 0 THEN 0.02::DOUBLE WHEN {transition} AND doc_id % 5 = 0 THEN least(0.99::DOUBLE, greatest(base, 0.65::DOUBLE) + 0.15::DOUBLE)
+WHEN {low} AND doc_id % 4 = 0 AND base >= 0.35 THEN least(0.99::DOUBLE, base + 0.10::DOUBLE) WHEN {max} AND (score >= 0.38 OR other >= 0.38) THEN base ELSE 0.5::DOUBLE * other + 0.5::DOUBLE * score END"""
 
 
 def _ablation(name: str, on: set) -> str:
-    t = lambda k: "true" if k in on else "false"
-    return f"""SELECT '{name}' AS condition, label, doc_id % 5 = 0 AS trans, {_FUSE.format(meta=t('metadata'), transition=t('transition'))} AS score FROM (SELECT *, CASE WHEN {t('low')} AND doc_id % 4 = 0 AND base >= 0.35 THEN least(0.99::DOUBLE, base + 0.1::DOUBLE) ELSE base END AS b2
-FROM (SELECT *, CASE WHEN {t('max')} AND (score >= 0.38 OR other >= 0.38) THEN greatest(score, other) ELSE (score + other) / 2 END AS base FROM l))"""
+    t = {n: "true" if k in on else "false" for n, k in (("meta", "metadata"), ("transition", "transition"), ("low", "low"), ("max", "max"))}
+    return f"SELECT '{name}' AS condition, label, doc_id % 5 = 0 AS trans, {_FUSE.format(**t)} AS score FROM (SELECT *, greatest(score, other) AS base FROM l)"
 
 
 def _fused(spark, d):
@@ -201,9 +200,10 @@ def e21(spark, d):
 @query("D09_weighted_grid", f"""WITH {EVAL}, g AS (SELECT range * 5 AS w FROM range(21)), c AS (SELECT w, {CONF.format(t='0.5').replace('score', 's')} FROM (SELECT w, label, round(w / 100.0::DOUBLE * score + (100 - w) / 100.0::DOUBLE * other, 9) AS s FROM l, g) GROUP BY w), r AS (SELECT w, {RATES} FROM c)
 SELECT w::INTEGER AS w, macro_f1 FROM r ORDER BY macro_f1 DESC, w LIMIT 1""")
 def d09(spark, d):
-    grid = spark.range(21).select((F.col("id") * 5).cast("int").alias("w"))
-    s = frame(spark, d).crossJoin(F.broadcast(grid)).withColumn("score", F.round(F.col("w") / 100.0 * F.col("score") + (100 - F.col("w")) / 100.0 * F.col("other"), 9))  # 21 rows
-    r = M.rates(s.groupBy("w").agg(*M.confusion()))
+    blend = lambda w: F.round(F.lit(w / 100.0) * F.col("score") + F.lit((100 - w) / 100.0) * F.col("other"), 9)
+    one = frame(spark, d).agg(*[c.alias(f"{n}_{w}") for w in range(0, 101, 5) for n, c in zip(("tn", "fp", "fn", "tp"), M.confusion(score=blend(w)), strict=True)])
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), *[F.col(f"{n}_{w}").alias(n) for n in ("tn", "fp", "fn", "tp")]) for w in range(0, 101, 5)]))
+    r = M.rates(one.select(each.alias("x")).select("x.*"))
     return r.agg(F.max_by("w", F.struct("macro_f1", -F.col("w"))).alias("w"), F.max("macro_f1").alias("macro_f1"))
 
 
@@ -251,12 +251,21 @@ def j13(spark, d):
 FROM (SELECT r.range, l.*, ('0x' || substr(md5(r.range || ':' || doc_id), 1, 8))::BIGINT % 1000 AS h FROM l, range(100) r) r),
 a AS (SELECT replicate, sum(CASE WHEN ok THEN k ELSE 0 END) / nullif(sum(k), 0)::DOUBLE AS acc FROM w GROUP BY 1) SELECT round(avg(acc), 9) AS mean, round(quantile_cont(acc, 0.025), 9) AS lo, round(quantile_cont(acc, 0.975), 9) AS hi FROM a""")
 def e17(spark, d):
-    grid = spark.range(100).select(F.col("id").alias("replicate"))
-    h = T.bucket(F.concat_ws(":", "replicate", "doc_id"), 1000)
-    w = frame(spark, d).crossJoin(F.broadcast(grid)).withColumn("h", h).withColumn("k", F.when(F.col("h") < 368, 0).when(F.col("h") < 736, 1).when(F.col("h") < 920, 2).when(F.col("h") < 981, 3).when(F.col("h") < 996, 4).otherwise(5))  # 100 replicates
-    ok = (F.col("score") >= 0.5) == (F.col("label") == 1)
-    a = w.groupBy("replicate").agg((F.sum(F.when(ok, F.col("k")).otherwise(0)) / F.expr("nullif(sum(k), 0)")).alias("acc"))
-    return a.agg(F.round(F.avg("acc"), 9).alias("mean"), *R.interval("acc"))
+    a = R.row_replicates(frame(spark, d), "doc_id", 100, {"ok": (F.col("score") >= 0.5) == (F.col("label") == 1)})
+    return a.withColumn("acc", F.col("ok") / F.expr("nullif(n, 0)")).agg(F.round(F.avg("acc"), 9).alias("mean"), *R.interval("acc"))
+
+
+_ROWS = f"""WITH {EVAL}, w AS (SELECT r.range AS replicate, (score >= 0.5) = (label = 1) AS ok, (other >= 0.5) = (label = 1) AS ok2, CASE WHEN h < 368 THEN 0 WHEN h < 736 THEN 1 WHEN h < 920 THEN 2 WHEN h < 981 THEN 3 WHEN h < 996 THEN 4 ELSE 5 END AS k
+FROM (SELECT r.range, l.*, ('0x' || substr(md5(r.range || ':' || doc_id), 1, 8))::BIGINT % 1000 AS h FROM l, range(1000) r) r),
+a AS (SELECT replicate, (sum(CASE WHEN ok THEN k ELSE 0 END) - sum(CASE WHEN ok2 THEN k ELSE 0 END)) / nullif(sum(k), 0)::DOUBLE AS d FROM w GROUP BY 1) """
+
+
+@query("E17_paired_rows", _ROWS + "SELECT round(avg(d), 9) AS mean, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi, greatest(0.001::DOUBLE, round(least(1.0::DOUBLE, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 9)) AS p FROM a")
+def e17b(spark, d):
+    """Both systems on one resample of rows, 1000 times; a p of 0 is given as 0.001, which 1000 replicates can tell."""
+    a = R.row_replicates(frame(spark, d), "doc_id", 1000, {"a": (F.col("score") >= 0.5) == (F.col("label") == 1), "b": (F.col("other") >= 0.5) == (F.col("label") == 1)})
+    a = a.withColumn("d", (F.col("a") - F.col("b")) / F.expr("nullif(n, 0)"))
+    return a.agg(F.round(F.avg("d"), 9).alias("mean"), *R.interval("d"), F.greatest(F.lit(0.001), R.two_sided("d")).alias("p"))
 
 
 @query("E18_holm", f"WITH {EVAL}, t AS (SELECT source AS name, round(abs(avg(score) - avg(other)) / 10, 9) AS p FROM l GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS rank, count(*) OVER () AS m FROM t), a AS (SELECT *, 0.05::DOUBLE / (m - rank + 1) AS alpha FROM r) SELECT name, p, rank::INTEGER AS rank, round(alpha, 9) AS alpha, p <= alpha AS below, min((p <= alpha)::INTEGER) OVER (ORDER BY p, name) = 1 AS stepdown FROM a")

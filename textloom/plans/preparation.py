@@ -19,19 +19,29 @@ def j01(spark, d):
 
 _PAIRS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '([A-Za-z0-9_]+)', 1) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE w END) AS x FROM w),
-z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), i AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
+g AS (SELECT doc_id, count(*) AS n, md5(string_agg(x, chr(1) ORDER BY x)) AS h FROM s GROUP BY 1), classes AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h, n) AS rep FROM g),
+z AS (SELECT doc_id, n FROM classes WHERE doc_id = rep), i AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
 pairs AS (SELECT a, b, round(c / (u.n + v.n - c)::DOUBLE, 9) AS jaccard FROM i JOIN z u ON u.doc_id = a JOIN z v ON v.doc_id = b WHERE round(c / (u.n + v.n - c)::DOUBLE, 9) >= 0.8)"""
 
 
 @query("J02_similar_pairs", f"WITH {_PAIRS} SELECT * FROM pairs")
 def j02(spark, d):
+    """Pairs of the first documents of classes of equal shingle sets."""
     return U.similar_pairs(read(spark, d, "documents"), 0.8)
 
 
-@query("J03_greedy_keep")
+@query("J02_similar_classes", f"WITH {_PAIRS} SELECT doc_id, rep FROM classes")
+def j02c(spark, d):
+    return U.shingle_classes(read(spark, d, "documents"))
+
+
+# the greedy choice in SQL: what an earlier document that stays is like goes, decided in ascending order by a recursion over ranks
+@query("J03_greedy_keep", f"""WITH RECURSIVE {_PAIRS}, r AS (SELECT rep, row_number() OVER (ORDER BY rep) AS k FROM (SELECT DISTINCT b AS rep FROM pairs)),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = r.rep AND NOT list_contains(w.gone, p.a)) THEN list_append(w.gone, r.rep) ELSE w.gone END FROM walk w JOIN r ON r.k = w.k + 1)
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM classes WHERE doc_id <> rep) AND doc_id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1))""")
 def j03(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return U.greedy_keep(docs, U.similar_pairs(docs, 0.8)).select("doc_id")
+    return U.greedy_keep(docs, U.similar_pairs(docs, 0.8), U.shingle_classes(docs)).select("doc_id")
 
 
 @query("J16_contamination", r"""WITH f AS (SELECT doc_id AS k, regexp_extract_all(lower(text), '([A-Za-z0-9_]+)', 1) AS w FROM documents), g AS (SELECT item_id AS k, regexp_extract_all(lower(text), '([A-Za-z0-9_]+)', 1) AS w FROM benchmark),

@@ -150,43 +150,70 @@ def a20(spark, d):
     return A.pending(docs, docs.where("doc_id % 3 = 0"), "doc_id")
 
 
-# --- perturbations ---
+# --- perturbations, over the documents' own texts ---
 
-_TXT = "('Although it''s item ' || doc_id || ', we can''t delve; furthermore, the the robust test - so it won''t, and we don''t stop.')"
+def _coin(salt: str, percent: int, key: str = "doc_id") -> str:
+    return f"(('0x' || substr(md5('{salt}' || {key}), 1, 8))::BIGINT % 100) < {percent}"
 
 
-def _texts(spark, d):
-    return read(spark, d, "documents").selectExpr("doc_id", f"{_TXT.replace(chr(39) * 2, chr(92) + chr(39))} AS text")
+def _sql_each(x: str, table: dict) -> str:
+    for a, b in table.items():
+        x = rf"regexp_replace({x}, '(?i)\b{a.replace(chr(39), chr(39) * 2)}\b', '{b.replace(chr(39), chr(39) * 2)}', 'g')"
+    return x
 
 
-def _whole(spark, d):
-    return read(spark, d, "documents").select("doc_id", "text")
+def _attack(name: str, f, sql: str | None = None) -> None:
+    query(name, sql)(lambda spark, d: read(spark, d, "documents").select("doc_id", f("text", "doc_id").alias("out")))
 
 
-def _sql_each(x: str, table: dict) -> str:
-    for a, b in table.items():
-        x = rf"regexp_replace({x}, '(?i)\b{a.replace(chr(39), chr(39) * 2)}\b', '{b.replace(chr(39), chr(39) * 2)}', 'g')"
+_SPLIT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+
+
+def _voice_sql() -> str:
+    x = "x"
+    for a, b in B.ACTIVE.items():
+        x = f"regexp_replace({x}, '(?i){a}', '{b}', 'g')"
+    return x
+
+
+def _openings_sql() -> str:
+    x = "x"
+    for a, b in B.OPENINGS.items():
+        x = rf"CASE WHEN {_coin('o:' + a + ':', 75, 'doc_id || chr(58) || i')} THEN regexp_replace({x}, '(?i)\b{a}\b', '{b}', 'g') ELSE {x} END"
+        x = f"({x})"
     return x
 
 
-_T = f"WITH t AS (SELECT doc_id, {_TXT} AS text FROM documents) SELECT doc_id, "
-query("R01_contractions", _T + _sql_each("text", B.CONTRACTIONS) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.expand_contractions("text").alias("out")))
-query("R01_contract", _T + _sql_each("text", B.CONTRACT) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.contract("text").alias("out")))
-query("R02_punctuation", _T + r"regexp_replace(replace(replace(text, ';', ','), ' - ', ', '), ',\s+and\b', ' and', 'g') AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.perturb_punctuation("text").alias("out")))
-query("R04_splits", _T + r"regexp_replace(text, ', (and|but|yet|so) ', '. ', 'g') AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.split_clauses("text").alias("out")))
-query("R06_openings", _T + _sql_each("text", B.OPENINGS) + " AS out FROM t")(lambda spark, d: _texts(spark, d).select("doc_id", B.plain_openings("text").alias("out")))
-query("R05_vocabulary")(lambda spark, d: _whole(spark, d).select("doc_id", B.plain_words("text").alias("out")))
-query("R09_rule_based")(lambda spark, d: _whole(spark, d).select("doc_id", B.rule_based("text").alias("out")))
-# the same rules over the documents' own texts
-for _n, _f, _x in (
-    ("R01_contractions_of_texts", B.expand_contractions, _sql_each("text", B.CONTRACTIONS)), ("R01_contract_of_texts", B.contract, _sql_each("text", B.CONTRACT)),
-    ("R02_punctuation_of_texts", B.perturb_punctuation, r"regexp_replace(replace(replace(text, ';', ','), ' - ', ', '), ',\s+and\b', ' and', 'g')"),
-    ("R03_clauses_of_texts", B.reorder_clauses, r"CASE WHEN regexp_matches(text, '^(Although|While|Because) ([^,]+), ([^.]+)\.$') THEN array_to_string(list_transform(string_split(lower(regexp_extract(text, ', ([^.]+)\.$', 1)), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') || ', ' || lower(regexp_extract(text, '^(\w+)', 1)) || regexp_extract(text, '^\w+( [^,]+)', 1) || '.' ELSE text END"),
-    ("R04_splits_of_texts", B.split_clauses, r"regexp_replace(text, ', (and|but|yet|so) ', '. ', 'g')"), ("R06_openings_of_texts", B.plain_openings, _sql_each("text", B.OPENINGS)),
-):
-    query(_n, f"SELECT doc_id, {_x} AS out FROM documents")(lambda spark, d, f=_f: _whole(spark, d).select("doc_id", f("text").alias("out")))
-query("R11_attacked_texts")(lambda spark, d: B.attacks(_whole(spark, d)))
-query("F05_held_out_texts")(lambda spark, d: B.attacks(_whole(spark, d)).where("is_held_out").select("doc_id", "attack_family", "attacked_text"))
+_attack("R01_contractions", B.contractions, f"SELECT doc_id, CASE WHEN {_coin('contract:', 50)} THEN {_sql_each('text', B.CONTRACTIONS)} ELSE {_sql_each('text', B.CONTRACT)} END AS out FROM documents")
+_attack("R02_punctuation", B.punctuation, rf"""WITH a AS (SELECT doc_id, replace(text, ';', CASE WHEN {_coin('semicolon:', 50)} THEN '.' ELSE ' —' END) AS t FROM documents),
+b AS (SELECT doc_id, CASE WHEN {_coin('colon:', 40)} AND contains(t, ': ') THEN regexp_replace(t, ':\s+', ' — ', 'g') ELSE t END AS t FROM a)
+SELECT doc_id, CASE WHEN {_coin('dash:', 50)} THEN replace(t, ' — ', ', ') ELSE t END AS out FROM b""")
+_R03 = r"(?i)^(Although|Though|While|Because|Since|Even though)\s+([^,]+),\s+(.+)\n?$"
+_attack("R03_clauses", B.clauses, rf"""WITH m AS (SELECT doc_id, text, regexp_matches(text, '{_R03}') AND {_coin('clause:', 70)} AS hit, lower(regexp_extract(text, '{_R03}', 1)) AS word, trim(regexp_extract(text, '{_R03}', 2)) AS sub, trim(regexp_extract(text, '{_R03}', 3)) AS main FROM documents),
+p AS (SELECT *, CASE WHEN right(main, 1) IN ('.', '!', '?') THEN right(main, 1) ELSE '.' END AS mark, CASE WHEN right(main, 1) IN ('.', '!', '?') THEN trim(left(main, -1)) ELSE main END AS body FROM m)
+SELECT doc_id, CASE WHEN hit THEN upper(left(body, 1)) || substr(body, 2) || ', ' || word || ' ' || sub || mark ELSE text END AS out FROM p""")
+_R04 = r"^\s+(and|but|yet|so)\s+([A-Za-z0-9\s]{15,})([.!?])\n?$"
+_attack("R04_splits", B.splits, rf"""WITH m AS (SELECT doc_id, text, regexp_extract(text, ',([^,]*)$', 1) AS after FROM documents),
+k AS (SELECT *, regexp_extract(left(text, length(text) - length(after) - 1), '([A-Za-z0-9\s]*)$', 1) AS run FROM m),
+p AS (SELECT *, contains(text, ',') AND length(run) >= 20 AND regexp_matches(after, '{_R04}') AND {_coin('split:', 60)} AS hit, trim(run) AS first, regexp_extract(after, '{_R04}', 1) AS word, trim(regexp_extract(after, '{_R04}', 2)) AS second, regexp_extract(after, '{_R04}', 3) AS mark FROM k)
+SELECT doc_id, CASE WHEN NOT coalesce(hit, false) THEN text WHEN {_coin('join:', 50)} THEN first || '. ' || upper(left(second, 1)) || substr(second, 2) || mark ELSE first || '; ' || word || ' ' || second || mark END AS out FROM p""")
+_attack("R05_vocabulary", B.plain_words)
+_attack("R06_openings", B.openings, f"WITH s AS (SELECT doc_id, text, {_SPLIT} AS s FROM documents) SELECT doc_id, CASE WHEN len(s) = 0 THEN text ELSE array_to_string(list_transform(s, lambda x, i: {_openings_sql()}), ' ') END AS out FROM s")
+_attack("R07_active_voice", lambda c, key: B.active_voice(c, "resume"), f"WITH s AS (SELECT doc_id, text, {_SPLIT} AS s FROM documents) SELECT doc_id, CASE WHEN len(s) = 0 THEN text ELSE array_to_string(list_transform(s, lambda x: regexp_replace({_voice_sql()}, '\\s+', ' ', 'g')), ' ') END AS out FROM s")
+_attack("R08_combined", lambda c, key: B.combined(c, key, "resume"))
+_attack("R09_rule_based", B.rule_based)
+
+
+@query("R11_attack_rows")
+def r11(spark, d):
+    return B.attacks(read(spark, d, "documents"))
+
+
+@query("F05_held_out_family")
+def f05(spark, d):
+    return B.attacks(read(spark, d, "documents")).where("is_held_out").select("doc_id", "attack_family", "attacked_text")
+
+
 _TEX = "('item one & two' || chr(10) || 'begin{x} ' || doc_id || '%')"
 query("T34_repair_tex", r"SELECT doc_id, '\item one \& two' || chr(10) || '\begin{x} ' || doc_id || '\%' AS value FROM documents")(lambda spark, d: read(spark, d, "documents").selectExpr("doc_id", f"{_TEX.replace('chr(10)', 'char(10)')} AS t").select("doc_id", T.repair_tex("t").alias("value")))
 
@@ -204,10 +231,7 @@ def d12(spark, d):
     return auc(frame(spark, d), ["lang"])
 
 
-query("R03_clauses", "SELECT doc_id, 'Item ' || doc_id || ' Wins, although it rains.' AS out FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", B.reorder_clauses(F.concat(F.lit("Although it rains, item "), "doc_id", F.lit(" wins."))).alias("out")))
-query("R11_attack_rows", "SELECT doc_id, f AS attack_family, f = 'vocabulary' AS is_held_out FROM documents, (SELECT unnest(['clean','" + "','".join(B.ATTACKS) + "']) AS f)")(lambda spark, d: B.attacks(_texts(spark, d)).select("doc_id", "attack_family", "is_held_out"))
 query("R12_pair_ids", "SELECT doc_id, md5(doc_id || ':m' || (doc_id % 3)) AS pair_id FROM documents")(lambda spark, d: read(spark, d, "documents").select("doc_id", F.md5(F.concat("doc_id", F.lit(":m"), F.col("doc_id") % 3)).alias("pair_id")))
-query("F05_held_out_family", "SELECT doc_id, 'vocabulary' AS attack_family FROM documents")(lambda spark, d: B.attacks(_texts(spark, d)).where("is_held_out").select("doc_id", "attack_family"))
 
 _P = f"WITH p AS (SELECT doc_id, o::DOUBLE AS original, r::DOUBLE AS rewritten, method, greatest(0.0::DOUBLE, o - r)::DOUBLE AS score_drop, o >= 60 AND r < 60 AS evaded FROM ({_PAIR})) "
 
@@ -258,22 +282,27 @@ def e25(spark, d):
     return _pairs(spark, d).select("doc_id", F.when(F.col("rewritten") <= 15, "verified").when(F.col("original") - F.col("rewritten") >= 30, "substantial").otherwise("moderate").alias("verdict"))
 
 
-@query("B30_averages", _P + "SELECT method, round(avg(original), 9) AS initial, round(avg(rewritten), 9) AS final, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM p WHERE doc_id < 100 GROUP BY method")
+@query("B30_averages", _P + "SELECT method, round(avg(original), 9) AS initial, round(avg(rewritten), 9) AS final, count(*) AS n FROM p GROUP BY method")
 def b30(spark, d):
-    return _pairs(spark, d).where("doc_id < 100").groupBy("method").agg(F.round(F.avg("original"), 9).alias("initial"), F.round(F.avg("rewritten"), 9).alias("final"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    return _pairs(spark, d).groupBy("method").agg(F.round(F.avg("original"), 9).alias("initial"), F.round(F.avg("rewritten"), 9).alias("final"), F.count("*").alias("n"))
 
 
 # --- stored and trained models ---
 
 #: A stored model's parameters, for the query that scores with one.
-MODEL = {"feature_names": list(K.FUSION_FEATURES), "coefficients": [1.2, 0.8, 0.1, 0.1, 0.2, 0.2, 0.5, 0.7, -0.3, 0.4, 0.15, 0.6, -0.2], "intercept": -1.5, "scaler_mean": [0.5] * 10 + [2.0, 0.2, 0.05], "scaler_scale": [0.3] * 10 + [0.8, 0.4, 0.2], "val_threshold": 0.5}
+MODEL = {
+    "feature_names": list(K.FUSION_FEATURES), "coefficients": [1.2, 0.8, 0.15, -0.2, 0.1, 0.1, 0.2, 0.2, 0.5, 0.7, -0.3, 0.4, 0.6], "intercept": -0.5,
+    "scaler_mean": [0.5, 0.5, 12.0, 2.4] + [0.5] * 6 + [0.33, 0.5, 0.66], "scaler_scale": [0.3, 0.3, 8.0, 0.6] + [0.3] * 6 + [0.2, 0.2, 0.2], "val_threshold": 0.5,
+    "calibrator_x": [k / 100 for k in range(101)], "calibrator_y": [round((k / 100) ** 2, 4) for k in range(101)],
+}
 _FEAT = SCORED + """, o AS (SELECT *, ((('0x' || substr(md5('b' || doc_id || ':' || sent_idx), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE) AS other FROM scored),
-f AS (SELECT doc_id, sent_idx, score AS a, other AS b, coalesce(lag(score) OVER w, score) AS a_prev, coalesce(lead(score) OVER w, score) AS a_next, coalesce(lag(other) OVER w, other) AS b_prev, coalesce(lead(other) OVER w, other) AS b_next,
-(score + other) / 2 AS mean, greatest(score, other) AS most, abs(score - other) AS gap, (coalesce(lag(score) OVER w, score) + score + coalesce(lead(score) OVER w, score)) / 3 AS pool_mean, ln(1 + n_words::DOUBLE) AS log_words, (sent_idx % 5 = 0)::INTEGER::DOUBLE AS transition, (sent_idx = 0)::INTEGER::DOUBLE AS edge FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx))"""
+n AS (SELECT doc_id, sent_idx, score AS prob_rob, other AS prob_mb, n_words::DOUBLE AS word_len, ln(1 + n_words::DOUBLE) AS log_len, coalesce(lag(score) OVER w, score) AS prev_prob_rob, coalesce(lead(score) OVER w, score) AS next_prob_rob,
+coalesce(lag(other) OVER w, other) AS prev_prob_mb, coalesce(lead(other) OVER w, other) AS next_prob_mb, abs(score - other) AS diff_rob_mb, (score + other) / 2 AS mean_rob_mb, greatest(score, other) AS max_rob_mb FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx)),
+f AS (SELECT *, (prev_prob_rob + next_prob_rob) / 2 AS neighbor_mean_rob, (prev_prob_mb + next_prob_mb) / 2 AS neighbor_mean_mb FROM n)"""
 
 
 def _features(spark, d):
-    s = scored(spark, d).withColumns({"other": T.bucket(F.concat(F.lit("b"), "doc_id", F.lit(":"), "sent_idx"), 1000) / F.lit(1000.0), "trans": F.col("sent_idx") % 5 == 0})
+    s = scored(spark, d).withColumn("other", T.bucket(F.concat(F.lit("b"), "doc_id", F.lit(":"), "sent_idx"), 1000) / F.lit(1000.0))
     return K.fusion_features(s)
 
 
@@ -290,6 +319,11 @@ def d17(spark, d):
     return _features(spark, d).select("doc_id", "sent_idx", F.round(K.logistic_score(MODEL), 6).alias("p"))
 
 
+@query("D17_calibrated_model", "WITH " + _FEAT + f", z AS (SELECT doc_id, sent_idx, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least({_Z}, 25), -25))) AS p FROM f), k AS (SELECT *, least(floor(p * 100), 99)::INTEGER AS k FROM z), g AS (SELECT {MODEL['calibrator_y']}::DOUBLE[] AS y) SELECT doc_id, sent_idx, round(y[k + 1] + (p * 100 - k) * (y[k + 2] - y[k + 1]), 6) AS p FROM k, g")
+def d17c(spark, d):
+    return _features(spark, d).select("doc_id", "sent_idx", F.round(K.logistic_score(MODEL, calibrated=True), 6).alias("p"))
+
+
 @query("D01_pluggable_scorer", f"SELECT doc_id, (length(text) % 100) / 100.0::DOUBLE AS score FROM documents")
 def d01(spark, d):
     return K.score_with(read(spark, d, "documents"), lambda texts: [len(t) % 100 / 100.0 for t in texts], "text").select("doc_id", "score")
@@ -309,6 +343,18 @@ def d18(spark, d):
     return out_of_fold(frame(spark, d), ["score", "other"], "source").select("doc_id", F.round("p", 6).alias("p"))
 
 
+@query("D18_fusion_model")
+def d18m(spark, d):
+    """The final model: weights and scaling of each input, threshold and a point of the calibration curve for every hundredth."""
+    from ..operators.training import train_fusion
+
+    m = train_fusion(frame(spark, d), ["score", "other"], "source")
+    rows = [("weight", n, float(c)) for n, c in zip(m["feature_names"], m["coefficients"], strict=True)] + [("mean", n, float(c)) for n, c in zip(m["feature_names"], m["scaler_mean"], strict=True)]
+    rows += [("scale", n, float(c)) for n, c in zip(m["feature_names"], m["scaler_scale"], strict=True)] + [("intercept", "", m["intercept"]), ("threshold", "", m["val_threshold"])]
+    rows += [("curve", f"{x:.2f}", float(y)) for x, y in zip(m["calibrator_x"], m["calibrator_y"], strict=True)]
+    return spark.createDataFrame([(a, b, round(c, 6)) for a, b, c in rows], "part string, name string, value double")
+
+
 @query("D19_platt")
 def d19(spark, d):
     from ..operators.training import platt

@@ -59,54 +59,34 @@ scalar("T26_align_key", lambda: T.align_key("text"), r"lower(regexp_replace(text
 scalar("T36_safe_name", lambda: T.safe_name("url"), "regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g')", "pages", "page_id")
 scalar("T32_token_lock", lambda: T.locked("text")["text"], None)
 scalar("T33_tex_lock", lambda: T.locked("text", T.TEX_LOCKS)["text"], None)
-scalar("T35_mask_math", lambda: T.locked("text", (r"\$\$.*?\$\$", r"\\\[.*?\\\]", r"\\\(.*?\\\)", r"\$[^$]+\$"))["text"], None)
+scalar("T35_mask_math", lambda: T.locked("text", (r"\$\$[\s\S]*?\$\$", r"\\\[[\s\S]*?\\\]", r"\\\([\s\S]*?\\\)", r"\$[^$]+\$"))["text"], None)
 
 
-@query("T16_metadata_flag", "WITH " + SENT + r""" SELECT doc_id, sent_idx, regexp_matches(sentence, '""" + T.METADATA_LINE + r"""') AS value FROM sent""")
+@query("T16_metadata_flag", "WITH " + SENT + r""" SELECT doc_id, sent_idx, regexp_matches(lower(sentence), '""" + T.METADATA_LINE + r"""') AS value FROM sent""")
 def metadata_flag(spark, d):
     return sentences(spark, d).select("doc_id", "sent_idx", T.is_metadata("sentence").alias("value"))
 
 
-_VOCAB = {"the": "gpt", "and": "claude", "of": "gemini", "die": "gpt", "que": "claude", "les": "gemini", "delve": "gpt", "tapestry": "gpt"}
+_SIGN = f"v AS (SELECT unnest({list(T.SIGNATURES)}) AS word, unnest({list(T.SIGNATURES.values())}) AS model), h AS (SELECT doc_id, word, model, len(regexp_extract_all(lower(text), '\\b' || word || '\\b')) AS n FROM documents, v)"
 
 
-@query("T18_signature_counts", rf"""WITH v AS (SELECT unnest({list(_VOCAB)}) AS word, unnest({list(_VOCAB.values())}) AS model),
-t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS word FROM documents)
-SELECT doc_id, word, model, count(*) AS n FROM t JOIN v USING (word) GROUP BY ALL""")
+@query("T18_signature_counts", f"WITH {_SIGN} SELECT doc_id, word, model, n FROM h WHERE n > 0")
 def signature_counts(spark, d):
     from ..operators.document import signature_counts as run
 
-    return run(read(spark, d, "documents"), _VOCAB)
+    return run(read(spark, d, "documents"), T.SIGNATURES)
 
 
-@query("B29_signature_density", rf"""WITH v AS (SELECT unnest({list(_VOCAB)}) AS word, unnest({list(_VOCAB.values())}) AS model),
-t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS word FROM documents),
-c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE model = 'claude') AS cl, count(*) FILTER (WHERE model = 'gpt') AS g FROM t JOIN v USING (word) GROUP BY 1),
-w AS (SELECT doc_id, {WC.format('text')} AS k FROM documents),
-x AS (SELECT doc_id, round(1000.0::DOUBLE * coalesce(n, 0) / greatest(k, 1), 4) AS density, coalesce(cl, 0) AS cl, coalesce(g, 0) AS g FROM w LEFT JOIN c USING (doc_id))
-SELECT doc_id, density, CASE WHEN density > 4.5 AND cl > g THEN 'Claude Writing Fingerprint' WHEN density > 4.5 THEN 'GPT Writing Fingerprint' WHEN density > 1.5 THEN 'Mixed/Hybrid AI Signature' ELSE 'Standard Academic Prose (Human-like)' END AS fingerprint FROM x""")
+@query("B29_signature_density", rf"""WITH {_SIGN}, c AS (SELECT doc_id, coalesce(sum(n) FILTER (WHERE model = 'Claude'), 0) AS cl, coalesce(sum(n) FILTER (WHERE model = 'GPT'), 0) AS g FROM h GROUP BY 1),
+w AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]+'))) AS k FROM documents),
+x AS (SELECT doc_id, cl, g, CASE WHEN coalesce(k, 0) > 0 THEN (cl + g) / k::DOUBLE * 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS per FROM w JOIN c USING (doc_id))
+SELECT doc_id, round(per, 2) AS density, CASE WHEN per > 4.5 AND cl > g THEN 'Claude Writing Fingerprint' WHEN per > 4.5 THEN 'GPT Writing Fingerprint' WHEN per > 1.5 THEN 'Mixed/Hybrid AI Signature' ELSE 'Standard Academic Prose (Human-like)' END AS fingerprint FROM x""")
 def signature_density(spark, d):
     from ..operators.document import signature_density as run
 
-    return run(read(spark, d, "documents"), _VOCAB)
-
-
-@query("T18_signatures_of_models", f"WITH v AS (SELECT unnest({list(T.SIGNATURES)}) AS word, unnest({list(T.SIGNATURES.values())}) AS model) SELECT doc_id, word, model, len(regexp_extract_all(lower(text), '\\b' || word || '\\b')) AS n FROM documents, v WHERE regexp_matches(lower(text), '\\b' || word || '\\b')")
-def signatures_of_models(spark, d):
-    from ..operators.document import signature_phrases as run
-
     return run(read(spark, d, "documents"), T.SIGNATURES)
 
 
-@query("B29_signatures_of_models", f"WITH v AS (SELECT unnest({list(T.SIGNATURES)}) AS word), c AS (SELECT doc_id, sum(len(regexp_extract_all(lower(text), '\\b' || word || '\\b'))) AS n FROM documents, v GROUP BY 1) SELECT doc_id, round(1000.0::DOUBLE * coalesce(n, 0) / greatest({WC.format('text')}, 1), 4) AS density FROM documents JOIN c USING (doc_id)")
-def density_of_models(spark, d):
-    from ..operators.document import signature_phrases as run
-
-    docs = read(spark, d, "documents")
-    n = run(docs, T.SIGNATURES).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    return docs.join(n, "doc_id", "left").select("doc_id", F.round(F.lit(1000.0) * F.coalesce("n", F.lit(0)) / F.greatest(T.n_words("text"), F.lit(1)), 4).alias("density"))
-
-
 _CUT = "substr(text, 1, (length(text) // 2)::BIGINT)"
 
 
