@@ -74,6 +74,42 @@ def test_awkward_and_empty_tables(awkward, empty, name):
         assert got.count() == n
 
 
+def test_awkward_pages_and_conversations(spark):
+    """Op 7 and 10: nulls in any column, repeated rows, a very long text, an empty table, columns of clashing names."""
+    long = "word " * 200_000
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, None, ""), (3, "v", f"<article><p>{long}</p></article>")]
+    d = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = flat(html_text.main_text(d))
+    assert got == sorted(tuple(map(repr, r)) for r in [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, None, "", 0), (3, "v", long.strip(), len(long) - 1)])
+    assert html_text.main_text(d.limit(0)).count() == 0
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None), (None, None, "assistant", "b"), (2, 5, "assistant", long)]
+    c = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, turns string, formatted string")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_back(chat.formatted(chat.turns(c)).drop("turns")).collect()}
+    assert got == {1: [("user", "a", False)] * 2 + [("", "", False)], None: [("assistant", "b", True)], 2: [("assistant", long, True)]}
+    assert chat.read_back(chat.formatted(chat.turns(c.limit(0)))).count() == 0
+
+
+def test_contents_of_the_awkward_table(spark, awkward):
+    """What every operator makes of nulls, blanks, repeated rows and two texts of one id."""
+    by = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+    rows = by(awkward)
+    passage = next(t for i, t in rows if i == 6)
+    assert by(lines.line_dedup(awkward)) == sorted([(i, "a b c\nd e f" if i == 7 else t) for i, t in rows], key=repr)
+    cut = dict(by(chunks.substring_dedup(awkward)))
+    assert cut[0] is None and cut[1] == "" and cut[6] == passage and len(cut[8].split()) < 30
+    near = {r.doc_id: r for r in near_dup.near_duplicates(awkward).collect()}
+    assert near[0].n_shingles == near[1].n_shingles == 0 and {i for i in near if not near[i].kept} == {7, 8} and near[7].component_id == near[8].component_id == 6
+    counts = Counter((r.doc_id, r.n_words, r.kept) for r in OPS["quality"](awkward).collect())
+    assert counts[7, 66, True] == 3 and counts[0, 0, False] == 1
+    packs = Counter((r.doc_id, r.n_tokens) for r in packing.packed(awkward).collect())
+    assert packs[7, 66] == 3 and packs[3, 1] == packs[3, 6] == 1 and packs[None, 8] == 1
+    tokens = Counter((r.doc_id, r.n_tokens) for r in bpe.digests(awkward, _path()).collect())
+    assert tokens[0, 0] == tokens[1, 0] == 1 and sum(tokens.values()) == len(rows)
+    f = toxicity.learn([("you scumbag go away now", 1), ("a good day to you all", 0)] * 20)
+    scores = {(r.doc_id, r.score) for r in toxicity.tagged(awkward, f).collect()}
+    assert {(0, 0.0), (1, 0.0), (2, 0.0)} <= scores
+
+
 def test_registry():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 11))
 
@@ -348,6 +384,12 @@ def test_chat_round_trip(spark):
     ('{"output": "ok", "instruction": "do"}', "instruction", [("user", "do"), ("assistant", "ok")]),
     ('{"prompt": "p", "completion": null}', "prompt", [("user", "p"), ("assistant", "")]),
     ('{"prompt": "p", "response": "r", "system": "s"}', "prompt_system", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ('{"messages": []}', "messages", []),
+    ('{"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}], "prompt": "p", "answer": "x"}', "messages", [("user", ""), ("assistant", "b")]),
+    ('{"prompt": "p", "question": "q", "answer": "a", "completion": "c"}', "prompt", [("user", "p"), ("assistant", "c")]),
+    ('{"messages": [{"role": "user", "content": {"nested": 1}}]}', "messages", [("user", '{"nested":1}')]),
+    ('{"messages": null, "question": "q", "answer": "a"}', "question", [("user", "q"), ("assistant", "a")]),
+    ('{"messages": "text"}', None, None), ('{"messages": [1, 2]}', None, None), ("", None, None), ("[]", None, None),
     ('{"other": 1}', None, None), ("not json", None, None), (None, None, None),
 ])
 def test_layouts(spark, record, layout, turns):
@@ -355,6 +397,19 @@ def test_layouts(spark, record, layout, turns):
     assert r.layout == layout and (r.turns if turns is None else [tuple(t) for t in r.turns]) == turns
 
 
+def test_layouts_of_typed_frames_and_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "q", "a", "x", "y", "z", "w")], "conv_id long, question string, answer string, _prompt string, _messages string, layout string, turns string")
+    assert chat.layout_of(d) == "question" and [tuple(x) for x in chat.turns(d).first().turns] == [("user", "q"), ("assistant", "a")]
+    j = spark.createDataFrame([('{"prompt": "p", "response": "r"}', "keep", "old", "old", "k")], "record string, _prompt string, layout string, turns string, _p string")
+    r = chat.turns_of_json(j).first()
+    assert r._prompt == "keep" and r._p == "k" and r.layout == "prompt_response" and len(r.turns) == 2
+    f = chat.formatted(chat.turns_of_json(j)).drop("turns")
+    back = chat.read_back(f).first()
+    assert back._p == "k" and [(t.role, t.text) for t in back.turns] == [("user", "p"), ("assistant", "r")]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.layout_of(d.select("conv_id", "question"))
+
+
 # --- html ---
 
 @pytest.mark.parametrize(("page", "text"), [
@@ -384,6 +439,48 @@ def test_main_text_keeps_every_block_of_the_article(page, text):
     assert html_text.extract(page) == "\n\n".join(t.strip() for t in text)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p>a</p><p class="advert">Buy now!</p><p>b</p><p class="comment">nice!</p><h2 id="share-this">x</h2><p>c</p></article>', "a b c"),
+    ('<article><p>a</p><section class="discussion"><p>b</p></section><section class="search results"><p>c</p></section></article>', "a b c"),
+    ('<article><ul><li>a<li class="related">gone<li>b<li>c</ul><p>d</article>', "a b c d"),
+    ('<article><p>a<p class="advert">gone<p>b<div class="sponsored">gone</div><p>c</article>', "a b c"),
+    ('<article><table><tr><td>a<td class="ad">b<tr class="promo"><td>gone<tr><td>c</table><dl><dt>d<dd class="ad">gone<dt>e</dl></article>', "a c d e"),
+    ("<article><p>a</p><canvas><p>b</p><p>c</p></article><footer>f</footer>", "a b c"),
+    ("<article><p>a <svg><p>b</p><audio>c<p>d <canvas>gone</canvas></p><video>e</article>", "a b c d e"),
+    ("<article><p>Press <button>OK</button> to go</p><button>Share</button></article>", "Press OK to go"),
+    ("<head><title>t</title><article><p>a</p></article>", "a"),
+    ("<article><ul><li>a<ul><li>b</ul><li>c</ul></article></section></p></div><p>d</p>", "a b c"),
+])
+def test_main_text_of_messy_markup(page, text):
+    got = html_text.extract(page)
+    assert got.split() == text.split()
+
+
+_MENU = "".join(f'<a href="/{k}">Section {k}</a> ' for k in range(8))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # no name tells what is what here: only the clusters do
+    (f"<body><div>{_MENU}</div><div><h1>T</h1><p>{_LONG}</p><p>Short one.</p><p>{_LONG * 2}</p></div><div>{_MENU}</div><div>(c) 2020</div><div>All rights</div><div>kept</div></body>", ["T", _LONG, "Short one.", _LONG * 2]),
+    (f"<body><div>Site</div><div>of things</div><div>since 2020</div><table><tr><td>{_MENU}</td></tr></table><p>{_LONG}</p><div>{_MENU}</div><p>{_LONG * 2}</p></body>", [_LONG, _LONG * 2]),
+    (f"<body><div>Site</div><div>of things</div><div><ul><li><a>Home</a></li><li><a>News</a></li><li><a>Mail</a></li></ul></div><h2>T</h2><p>{_LONG * 2}</p><ul><li>one</li><li>two</li></ul><p>{_LONG}</p></body>", ["T", _LONG * 2, "one", "two", _LONG]),
+])
+def test_clusters_select_the_text(page, text, monkeypatch):
+    want = "\n\n".join(t.strip() for t in text)
+    assert html_text.extract(page) == want
+    monkeypatch.setattr(html_text, "clustered", lambda ratios: [True] * len(ratios))
+    assert html_text.extract(page) != want
+
+
+@pytest.mark.parametrize("part", ["<li>x", "<div>", "<p>x", "<td>x", "<ul><li>", "<svg>", "<h1>x", "<b>", "</div>", "<div></p>", "<li></li>", "<article>"])
+def test_main_text_is_linear(part):
+    import time
+
+    page = "<article><p>first</p>" + part * 40_000 + "<p>last</p>"
+    began = time.process_time()
+    assert html_text.extract(page).startswith("first") and time.process_time() - began < 8
+
+
 @pytest.mark.parametrize("bad", ["<![odd[ x ]]>", "<![odd>", "<![ 5 [x]>", "<![&>", "<![if x]>", "<![CDATA[ x ]]>"])
 def test_main_text_survives_bad_declarations(bad):
     assert html_text.extract(f"<!DOCTYPE html><article><p>a</p>{bad}<p>b</p></article><!-- c --><footer>f</footer>") == "a\n\nb"

@@ -9,7 +9,9 @@ merges and holds one state for each. An arc x leaves a state unless a state on t
 the token that x began with at that time; whether a state is on that path is told by the numbers of a tour.
 
 A pre-split word is encoded by its path: at each place the longest token whose arc leaves the state reached,
-with a step back where none does, and a table of the arcs met so far. Decoding emits the arcs' labels.
+with a step back where none does. Transitions are read from a table (token, token) -> whether there is an arc, which
+is filled from the compiled states as pairs are met and starts afresh beyond ARCS pairs, so a worker's memory is
+bounded. Decoding emits the arcs' labels.
 
 Null texts are empty; empty texts have no token. Rows are independent, other columns are not read.
 """
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 
 #: Words whose tokens a worker remembers; it starts afresh beyond them.
 REMEMBERED = 300_000
+#: Transitions that a worker's table holds; it starts afresh beyond them.
+ARCS = 500_000
 #: The pattern of byte-level pre-splitting.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEAR = 0x250  # below it the classes of characters are written out for the faster library
@@ -95,7 +99,7 @@ class Automaton:
         return s == t
 
     def _left(self, x: int) -> list[tuple[int, float]]:
-        """What ``x`` begins with, longest first, and when that was merged on."""
+        """What ``x`` begins with, longest first, and when that was merged on; no more than a token has bytes."""
         out, until = [], float("inf")
         while True:
             out.append((x, until))
@@ -126,6 +130,8 @@ class Automaton:
         found = self.arcs.get(key)
         if found is None:
             enter, leave = self.enter, self.leave
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
             found = self.arcs[key] = self._arc(t, x, lambda s, k: enter[s] <= enter[k] <= leave[s])
         return found
 
@@ -228,16 +234,27 @@ class Tokenizer:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer for each file and worker."""
+    """One tokenizer for each file and worker; a name without a folder is one of the public tokenizers there."""
+    if "/" not in path:
+        import public_tokenizers
+
+        path = public_tokenizers.path(path)
     return Tokenizer(path)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of 64, so that few texts are Python strings at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, 64):
+            yield b.slice(k, 64)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in batches:
+        for b in _small(batches):
             ids = [t.encode(x or "") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
@@ -249,7 +266,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in batches:
+        for b in _small(batches):
             n, ids, decoded = zip(*(t.digests(x or "") for x in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -258,9 +275,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
-    import public_tokenizers
-
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), "byte_bpe_50k.json")
 
 
 QUERIES = {"op5_bpe": op5}

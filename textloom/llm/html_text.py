@@ -1,14 +1,22 @@
 """Main text of HTML pages: parser events, text-to-tag ratios, Gaussian smoothing and threshold clustering.
 
 The standard library's parser streams a page's events. A block element starts and ends lines; a line has its
-text, the number of tags that stood in it and the container elements it is in. Ratios of text to tags are
-smoothed along the page with a Gaussian, and lines are clustered by a threshold, the standard deviation of
-the smoothed ratios: those at or above it are content. They only find the article: if the deepest container
-with at least SHARE of all content characters is in an article or main element, the region is every outermost
-one of these that has content, else the lowest common ancestor of all content, widened to take in the page's
-heading and never a part of a list, table or quotation. The text is all of the region's lines, in page order, but
-for those inside elements that are not the article's own: menus, headers, footers, asides, forms, scripts, styles
-and containers whose class, id or role has a word of NOT_ARTICLE.
+text, the number of tags that stood in it, how much of it is links, and the block it is in. Elements that are not
+the article's own by name or by a word of their class, id or role (NOT_ARTICLE) go with all their lines: menus,
+headers, footers, asides, adverts, notices, comments, forms, scripts, styles. Ratios of text to tags of the other
+lines are smoothed along the page with a Gaussian, and lines are clustered by a threshold, the standard deviation
+of the smoothed ratios: those at or above it are content, the others are not.
+
+The clusters select the text. If the deepest block with at least SHARE of all content characters is in an article
+or main element, the regions are every outermost one of these that has content, with all their lines. On a page
+without such elements the region is the lowest common ancestor of all content, widened to take in the page's
+heading and never a part of a list, table or quotation. Of its lines those stay that are content, or stand in a
+part of the region (a child of it) that has some, or between such parts, or in headings just before the first;
+parts that are mostly links, to which smoothing may reach, go wherever they stand.
+
+Elements whose end tag may be left out (p, li, dt, dd, tr, td, th) end where HTML ends them; an element without
+text of its own (canvas, svg, ...) that never ends hides nothing, and a button inside a paragraph is part of it.
+The work is linear in the page, however deep it nests.
 
 A null, an empty or a tagless page is handled like any other: without a line the text is empty. Malformed
 markup never raises. Rows are independent, so repeated ones give equal results; other columns are not read.
@@ -18,6 +26,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,70 +39,98 @@ RADIUS, SIGMA, SHARE = 2, 1.0, 0.7
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select button textarea datalist".split())
 FOREIGN = frozenset("nav footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
-HOLDS = frozenset("article aside blockquote body center dd details dialog div dl fieldset figure footer form header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
-PARTS = frozenset("blockquote dd details dl figure header li ol table tbody td tfoot th thead tr ul".split())
+HOLDS = BLOCK | {"td", "th"}
+PARTS = frozenset("blockquote dd details dl dt figure header li ol p pre table tbody td tfoot th thead tr ul".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th img input".split())
+#: What a start tag ends, and what keeps it from being ended. A p ends before any block.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
+FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments
 consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay
 pagination pager paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social
-sponsor sponsored subscribe subscription tags toolbar widget widgets alert complementary contentinfo search discussion responses""".split())
+sponsor sponsored subscribe subscription tags toolbar widget widgets alert complementary contentinfo""".split())
 _GAUSS = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
+_CLOSING = re.compile("</(" + "|".join(sorted(SILENT)) + r")(?=[\s/>])", re.IGNORECASE)
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: [text pieces, tags, container, foreign]; containers: [parent, name, foreign, has a heading of the page]."""
+    """Lines of a page: (text, tags, characters of links, block); blocks: [parent, name, mark, has the page's heading], the page first."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.nodes: list[list] = [[-1, "", 0, False]]
         self.open = [0]
+        self.at: dict[str, list[int]] = defaultdict(list)  # where the open blocks of a name stand in ``open``
         self.silent: list[str] = []
         self.pieces: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.linked = 0
+        self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.last = {m[1].lower(): m.start() for m in _CLOSING.finditer(html)}
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append((text, self.tags, self.open[-1]))
-        self.pieces, self.tags = [], 0
+            self.lines.append((text, self.tags, self.linked, self.open[-1]))
+        self.pieces, self.tags, self.linked = [], 0, 0
+
+    def place(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def close_from(self, k: int) -> None:
+        """End the open blocks from the k-th on; one that is marked has its text to itself."""
+        if any(self.nodes[node][2] for node in self.open[k:]):
+            self.flush()
+        for node in reversed(self.open[k:]):
+            self.at[self.nodes[node][1]].pop()
+        del self.open[k:]
+
+    def end(self, names: tuple[str, ...], fences: tuple[str, ...] = ()) -> None:
+        """End the innermost open blocks of ``names`` that stand inside all ``fences``."""
+        fence = max((self.at[f][-1] for f in fences if self.at[f]), default=0)
+        k = min((x for n in names for x in self.at[n][bisect_right(self.at[n], fence):][:1]), default=None)
+        if k is not None:
+            self.close_from(k)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT:
-            if tag == "head" and self.silent:
-                return
-            self.flush_if(tag)
-            self.silent.append(tag)
-            return
         if self.silent:
-            if tag == "body":  # a head that was never closed
-                self.silent = []
-            else:
+            if tag != "body":
                 return
+            self.silent = []  # a head that was never closed
+        if tag in SILENT:
+            inline = tag == "button" and self.at["p"] and self.open[-1] == self.open[self.at["p"][-1]]
+            if not inline and self.last.get(tag, -1) > self.place():
+                if tag in ("head", "title", "template"):
+                    self.flush()
+                self.silent.append(tag)
+            return
         if tag in BLOCK:
             self.flush()
+            if self.at["p"]:
+                self.end(("p",), ("td", "th", "li", "div", "article", "section", "main"))
         elif tag in SPACED:
             self.pieces.append(" ")
+        if tag in ENDS:
+            self.end(ENDS[tag], FENCES[tag])
         self.tags += 1
-        if tag in ("h1", "main"):
-            for k in self.open:
-                self.nodes[k][3] = True
+        self.links += tag == "a"
         if tag in HOLDS and tag not in VOID:
             mark = 0
-            if tag in FOREIGN or (tag == "header" and not any(self.nodes[k][1] in ("article", "main") for k in self.open)):
+            if tag in FOREIGN or (tag == "header" and not self.at["article"] and not self.at["main"]):
                 mark = 2
             elif tag not in ("html", "body", "main"):
                 said = " ".join(v for n, v in attrs if v and n in ("class", "id", "role", "aria-label"))
                 if said and NOT_ARTICLE.intersection(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower())):
                     mark = 1
-            self.nodes.append([self.open[-1], tag, mark, False])
+            if mark:
+                self.flush()
+            self.nodes.append([self.open[-1], tag, mark, tag in ("h1", "main")])
+            self.at[tag].append(len(self.open))
             self.open.append(len(self.nodes) - 1)
 
-    def flush_if(self, tag: str) -> None:
-        if tag in ("head", "title", "template"):
-            self.flush()
-
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID or tag not in SILENT:
             self.handle_starttag(tag, attrs)
@@ -103,16 +141,16 @@ class _Lines(HTMLParser):
                 while self.silent.pop() != tag:
                     pass
             return
+        if tag in SILENT:
+            return
         if tag in BLOCK:
             self.flush()
         elif tag in SPACED:
             self.pieces.append(" ")
         self.tags += 1
-        if tag in HOLDS:
-            for k in range(len(self.open) - 1, 0, -1):
-                if self.nodes[self.open[k]][1] == tag:
-                    del self.open[k:]
-                    break
+        self.links -= tag == "a" and self.links > 0
+        if self.at[tag]:
+            self.close_from(self.at[tag][-1])
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """One of an unknown kind is a comment up to its next ``>``."""
@@ -124,12 +162,14 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.pieces.append(data)
+            if self.links:
+                self.linked += len("".join(data.split()))
 
 
 def _parsed(html: str) -> _Lines:
     # zeros go, and numbers beyond all characters become the first such: int() raises at thousands of digits
     html = re.sub(r"&#(?=[0-9]{8})0*([0-9]+)", lambda m: f"&#{m[1] if len(m[1]) < 8 else 0x110000}", html)
-    p = _Lines()
+    p = _Lines(html)
     p.feed(html)
     p.close()
     p.flush()
@@ -149,48 +189,77 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
+def clustered(ratios: list[float]) -> list[bool]:
+    """Which lines are content: smoothed ratios at or above their standard deviation."""
+    s = smoothed(ratios)
+    mean = sum(s) / len(s)
+    threshold = math.sqrt(sum((x - mean) ** 2 for x in s) / len(s))
+    return [x >= threshold for x in s]
+
+
 def extract(html: str | None) -> str:
     """The main text of one page: its blocks, joined by empty lines."""
     if not html:
         return ""
     p = _parsed(html)
+    nodes, n = p.nodes, len(p.nodes)
+    for k in range(n - 1, 0, -1):  # a block's number is larger than that of the one it is in
+        if nodes[k][3]:
+            nodes[nodes[k][0]][3] = True
     # an element whose class says header but that holds the page's heading or main part is a wrapper
-    foreign = [False] * len(p.nodes)
-    for k, (parent, _, mark, holds) in enumerate(p.nodes):
-        foreign[k] = (parent >= 0 and foreign[parent]) or mark == 2 or (mark == 1 and not holds)
-    lines = [x for x in p.lines if not foreign[x[2]]]
+    foreign = [False] * n
+    for k, (parent, tag, mark, holds) in enumerate(nodes):
+        foreign[k] = (parent >= 0 and foreign[parent]) or mark == 2 or (mark == 1 and (not holds or tag == "h1"))
+    lines = [x for x in p.lines if not foreign[x[3]]]
     if not lines:
         return ""
-    s = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])
-    mean = sum(s) / len(s)
-    threshold = math.sqrt(sum((x - mean) ** 2 for x in s) / len(s))
-    content = [x >= threshold for x in s]
-    chars = [0] * len(p.nodes)
-    for (t, _, node), yes in zip(lines, content, strict=True):
-        if yes:
-            for k in _up(p, node):
-                chars[k] += len(t)
-    most = max((k for k in range(len(p.nodes)) if chars[k] >= SHARE * chars[0]), key=lambda k: (len(_up(p, k)), -k))
-    own = {k: [n for n in _up(p, k) if p.nodes[n][1] in ("article", "main")] for k in {node for _, _, node in lines} | {most}}
-    if own[most]:
-        region = {own[node][-1] for (_, _, node), yes in zip(lines, content, strict=True) if yes and own[node]}
-    else:
-        over = [k for k in _up(p, most) if chars[k] == chars[0] and p.nodes[k][1] not in PARTS]
-        headed = [k for k in over if p.nodes[k][3]]
-        region = {(headed or over)[0]}
-    inside = [False] * len(p.nodes)
-    for k, node in enumerate(p.nodes):
-        inside[k] = k in region or (node[0] >= 0 and inside[node[0]])
-    return "\n\n".join(t for t, _, node in lines if inside[node])
-
-
-def _up(p: _Lines, k: int) -> list[int]:
-    """A container and those around it, the page last."""
-    out = []
-    while k >= 0:
-        out.append(k)
-        k = p.nodes[k][0]
-    return out
+    content = clustered([len(t) / max(1, tags) for t, tags, _, _ in lines])
+    chars, depth, own = [0] * n, [0] * n, [-1] * n
+    for (t, _, _, node), yes in zip(lines, content, strict=True):
+        chars[node] += len(t) if yes else 0
+    for k in range(n - 1, 0, -1):
+        chars[nodes[k][0]] += chars[k]
+    for k in range(1, n):
+        parent = nodes[k][0]
+        depth[k] = depth[parent] + 1
+        own[k] = own[parent] if own[parent] >= 0 else k if nodes[k][1] in ("article", "main") else -1
+    most = max((k for k in range(n) if chars[k] >= SHARE * chars[0]), key=lambda k: (depth[k], -k))
+    if own[most] >= 0:
+        region = {own[x[3]] for x, yes in zip(lines, content, strict=True) if yes and own[x[3]] >= 0}
+        return "\n\n".join(x[0] for x in lines if own[x[3]] in region)
+    return "\n\n".join(_selected(p, lines, content, chars, most))
+
+
+def _selected(p: _Lines, lines: list[tuple[str, int, int, int]], content: list[bool], chars: list[int], most: int) -> list[str]:
+    """The lines that belong to the content on a page without article elements."""
+    nodes = p.nodes
+    over = []
+    while most >= 0:
+        over.append(most)
+        most = nodes[most][0]
+    whole = [k for k in over if chars[k] == chars[0] and nodes[k][1] not in PARTS]
+    region = ([k for k in whole if nodes[k][3]] or whole)[0]
+    # the part of the region that each block is in: the child of it, or a line of its own
+    part = [-1] * len(nodes)
+    for k, (parent, *_) in enumerate(nodes[1:], 1):
+        part[k] = k if parent == region else part[parent]
+    inside = [i for i, x in enumerate(lines) if x[3] == region or part[x[3]] >= 0]
+    group = lambda i: part[lines[i][3]] if part[lines[i][3]] >= 0 else -2 - i
+    has: dict[int, bool] = defaultdict(bool)
+    text: dict[int, int] = defaultdict(int)
+    linked: dict[int, int] = defaultdict(int)
+    for i in inside:
+        g = group(i)
+        has[g] |= content[i]
+        text[g] += len("".join(lines[i][0].split()))
+        linked[g] += lines[i][2]
+    inside = [i for i in inside if 2 * linked[group(i)] <= text[group(i)]]
+    held = [i for i in inside if has[group(i)]]
+    first, last = (held[0], held[-1]) if held else (0, -1)
+    heading = lambda i: part[lines[i][3]] >= 0 and (nodes[part[lines[i][3]]][1] in HEADS or nodes[part[lines[i][3]]][3])
+    while inside and first > inside[0] and heading(first - 1):
+        first -= 1
+    return [lines[i][0] for i in inside if first <= i <= last]
 
 
 def main_text(pages: DataFrame) -> DataFrame:

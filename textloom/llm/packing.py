@@ -1,8 +1,10 @@
 """Packing into optimal length buckets and token-budget batches.
 
-A document's length is its number of words. The global histogram of lengths (lengths above EXACT are rounded
-up to one of 128 steps per doubling, which bounds the histogram whatever the corpus) goes through a dynamic
-programme that chooses the ``buckets`` boundaries with the least padding. Documents then form batches inside
+A document's length is its number of words. The global histogram of lengths goes through a dynamic programme that
+chooses the ``buckets`` boundaries with the least padding. Up to EXACT every length is a row of the histogram; above
+it lengths share one of 128 rows for each doubling, which bounds the histogram whatever the corpus, and a row has
+its largest length and the sum of its lengths. So padding is counted exactly, every boundary is the length of a
+document, and only the choice of boundaries above EXACT is among 128 for each doubling. Documents then form batches inside
 their bucket, in ascending doc_id: a batch of a bucket with boundary b has budget // b documents, one at
 least, so its padded size stays within the budget unless a single document exceeds that.
 
@@ -21,13 +23,14 @@ from ._tables import join_small, table
 BUCKETS, BUDGET, EXACT = 12, 16384, 2048
 
 
-def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
-    """At most ``buckets`` ascending boundaries, each a length, that pad the histogram least."""
+def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS, sums: list[int] | None = None) -> list[int]:
+    """At most ``buckets`` ascending boundaries, each one of ``lengths``, that pad the histogram least. ``sums``: the sum
+    of the lengths of each row, if a row's documents are not all of its length but of that at most."""
     if not lengths:
         return []
     x, c = np.array(lengths, np.int64), np.array(counts, np.int64)
     n, k = len(x), min(buckets, len(lengths))
-    docs, words = np.r_[0, np.cumsum(c)], np.r_[0, np.cumsum(c * x)]
+    docs, words = np.r_[0, np.cumsum(c)], np.r_[0, np.cumsum(c * x if sums is None else np.array(sums, np.int64))]
     best = x * docs[1:] - words[1:]  # one bucket for the first lengths, up to each
     cut = np.zeros((k, n), np.int64)
     for level in range(1, k):
@@ -58,10 +61,10 @@ def stepped(c: Column) -> Column:
 def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, n_tokens, bucket, padded_to, batch, in_batch) of every row."""
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
-    lengths = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")).withColumn("length", stepped(F.col("n_tokens"))), "lengths")
-    histogram = lengths.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # bounded by stepped()
-    tops = boundaries([r.length for r in histogram], [r.n for r in histogram], buckets) or [0]
-    below = sum((F.col("length") > t).cast("int") for t in tops[:-1]) if len(tops) > 1 else F.lit(0)
+    lengths = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens")), "lengths")
+    histogram = lengths.groupBy(stepped(F.col("n_tokens")).alias("step")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("sum")).orderBy("step").collect()  # bounded by stepped()
+    tops = boundaries([r.top for r in histogram], [r.n for r in histogram], buckets, [r.sum for r in histogram]) or [0]
+    below = sum((F.col("n_tokens") > t).cast("int") for t in tops[:-1]) if len(tops) > 1 else F.lit(0)
     d = lengths.withColumn("bucket", below).withColumn("padded_to", F.element_at(F.array(*map(F.lit, tops)), F.col("bucket") + 1).cast("long"))
     # numbers in a bucket: places in a globally ordered table less the bucket's first
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

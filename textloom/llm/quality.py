@@ -1,12 +1,14 @@
 """Quality rules with thresholds that follow the data, native throughout.
 
 Base rules reject texts of fewer than ten words and texts of which more than a fifth of the words stand in
-repeated five-word windows. Of the texts that pass, five measures (integers) go into mergeable quantile
+repeated five-word windows. Of the texts that pass, four measures (integers) go into mergeable quantile
 sketches, one per language and source: a sketch counts values by their six leading bits, so it is exact below
 64 and within 1/32 above, two sketches merge by adding counts, and the result depends on no order. Sketches
-of a language's sources merge into the language's, those into the corpus's. A text is rejected where a
-measure lies beyond q3 + max(3 * (q3 - q1), slack) or, for the length of words, below the mirrored fence, of
-its own language and source if at least MIN_TEXTS texts are behind it, else of the language, else of all.
+of a language's sources merge into the language's, those into the corpus's. The fences of a measure are
+q3 + 3 * (q3 - q1) and, for the length of words, q1 - 3 * (q3 - q1), both quartiles of the text's own language and
+source if at least MIN_TEXTS texts are behind them, else of the language, else of all; nothing about their place or
+width is fixed beforehand. Because a measure that is mostly 0 has its fence at 0 and one mark is no flaw, a text is
+rejected if VOTES measures lie beyond their fences.
 
 Null and blank texts have no words and fail the base rules. A null language or source is a group of its own.
 Each row is judged by itself: repeated rows get the same verdict. Other columns pass through unread.
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ._tables import join_small, table
 
-MIN_WORDS, WINDOW, MIN_TEXTS, SUB_BITS = 10, 5, 50, 6
-#: Of each measure: the least distance between q3 and its upper fence, and whether there is a lower one.
-MEASURES = {"word_len": (200, True), "symbols": (40, False), "dup_lines": (500, False), "repeats": (200, False), "capitals": (300, False)}
+MIN_WORDS, WINDOW, MIN_TEXTS, SUB_BITS, VOTES = 10, 5, 50, 6, 2
+#: Of each measure: whether it has a lower fence, too. Repeated words are the base rules' matter.
+MEASURES = {"word_len": True, "symbols": False, "dup_lines": False, "capitals": False}
 _NONE = "\x00"
 
 
@@ -49,7 +51,7 @@ def features(docs: DataFrame) -> DataFrame:
     # the partition's number, always true here, keeps filters above from being copied down through all of this
     d = d.withColumn("base_failed", ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))) & (F.spark_partition_id() >= 0))
     per = lambda a, b, k=1000: F.when(F.expr(f"{b} > 0"), F.expr(f"{k}L * {a} div {b}")).otherwise(F.lit(0).cast("long"))
-    return d.withColumns({"word_len": per("word_chars", "n_words", 100), "symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "_n_lines"), "repeats": per("n_repeat_words", "n_words"), "capitals": per("_caps", "word_chars")}).drop("_n_lines", "_caps")
+    return d.withColumns({"word_len": per("word_chars", "n_words", 100), "symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "_n_lines"), "capitals": per("_caps", "word_chars")}).drop("_n_lines", "_caps")
 
 
 def sketches(feats: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def quantiles(sk: DataFrame) -> DataFrame:
 def fences(feats: DataFrame) -> DataFrame:
     """(lang, source, hi_<measure>..., lo_word_len): the fences that hold for each language and source."""
     q = table(quantiles(sketches(feats)), "quantiles")
-    wide = lambda w: w.groupBy("lang", "source").agg(F.max("n").alias("n"), *[x for m, (slack, low) in MEASURES.items() for x in _fence(m, slack, low)])
+    wide = lambda w: w.groupBy("lang", "source").agg(F.max("n").alias("n"), *[x for m, low in MEASURES.items() for x in _fence(m, low)])
     own = wide(q.where("source is not null"))
     lang = wide(q.where("source is null and lang is not null")).drop("source")
     every = wide(q.where("lang is null")).drop("source", "lang")
@@ -88,21 +90,20 @@ def fences(feats: DataFrame) -> DataFrame:
     return all3.select("lang", "source", *[F.when(F.col("n") >= MIN_TEXTS, F.col(c)).when(F.col("l_n") >= MIN_TEXTS, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}")).alias(c) for c in names])
 
 
-def _fence(m: str, slack: int, low: bool) -> list[Column]:
+def _fence(m: str, low: bool) -> list[Column]:
     q = lambda k: F.max(F.when(F.col("measure") == m, F.col(k)))
-    reach = F.greatest(3 * (q("q3") - q("q1")), F.lit(slack))
+    reach = 3 * (q("q3") - q("q1"))
     return [(q("q3") + reach).alias(f"hi_{m}"), *([(q("q1") - reach).alias(f"lo_{m}")] if low else [])]
 
 
 def judged(feats: DataFrame, fence: DataFrame) -> DataFrame:
-    """``feats`` with ``kept``. A language and source of which no text passed the base rules has no fence."""
+    """``feats`` with ``kept``."""
     d = feats.withColumns({"_l": F.coalesce("lang", F.lit(_NONE)), "_s": F.coalesce("source", F.lit(_NONE))})
     d = join_small(d, fence.withColumnsRenamed({"lang": "_l", "source": "_s"}), ["_l", "_s"], "left")
-    ok = [F.col(m) <= F.col(f"hi_{m}") for m in MEASURES] + [F.col(m) >= F.col(f"lo_{m}") for m, (_, low) in MEASURES.items() if low]
-    kept = ~F.col("base_failed")
-    for rule in ok:
-        kept = kept & F.coalesce(rule, F.lit(True))
-    return d.withColumn("kept", kept)
+    # no vote where a language and source has no fence: none of its texts passed the base rules
+    beyond = [(F.col(m) > F.col(f"hi_{m}")) | (F.col(m) < F.col(f"lo_{m}") if low else F.lit(False)) for m, low in MEASURES.items()]
+    votes = sum((F.when(v, 1).otherwise(0) for v in beyond), F.lit(0))
+    return d.withColumn("kept", ~F.col("base_failed") & (votes < VOTES))
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -140,22 +141,21 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
       CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_len,
       CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbols,
       CASE WHEN nl > 0 THEN 1000 * n_dup_lines // nl ELSE 0 END AS dup_lines,
-      CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats,
       CASE WHEN word_chars > 0 THEN 1000 * caps // word_chars ELSE 0 END AS capitals FROM c),
-x AS (SELECT lang, source, unnest(['{_Q}']) AS measure, unnest([word_len, symbols, dup_lines, repeats, capitals])::BIGINT AS v FROM f WHERE NOT base_failed),
+x AS (SELECT lang, source, unnest(['{_Q}']) AS measure, unnest([word_len, symbols, dup_lines, capitals])::BIGINT AS v FROM f WHERE NOT base_failed),
 b AS (SELECT lang, source, measure, (v >> s) << s AS value FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS s FROM x)),
 k AS (SELECT lang, source, measure, value, count(*) AS n, 2 AS lev FROM b GROUP BY ALL
       UNION ALL SELECT lang, NULL, measure, value, count(*), 1 FROM b GROUP BY ALL
       UNION ALL SELECT NULL, NULL, measure, value, count(*), 0 FROM b GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, measure) AS total FROM k),
 q AS (SELECT lev, lang, source, measure, max(total) AS n, min(CASE WHEN 4 * upto >= total THEN value END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN value END) AS q3 FROM u GROUP BY ALL),
-r AS (SELECT *, greatest(3 * (q3 - q1), CASE measure {" ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in MEASURES.items())} END) AS reach FROM q),
+r AS (SELECT *, 3 * (q3 - q1) AS reach FROM q),
 g AS (SELECT lev, lang, source, measure, n, q3 + reach AS hi, CASE WHEN measure = 'word_len' THEN q1 - reach END AS lo FROM r),
 h AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= {MIN_TEXTS} THEN o.hi WHEN l.n >= {MIN_TEXTS} THEN l.hi ELSE e.hi END AS hi,
       CASE WHEN o.n >= {MIN_TEXTS} THEN o.lo WHEN l.n >= {MIN_TEXTS} THEN l.lo ELSE e.lo END AS lo
       FROM g o JOIN g l ON o.lang = l.lang AND o.measure = l.measure AND l.lev = 1 JOIN g e ON o.measure = e.measure AND e.lev = 0 WHERE o.lev = 2),
-y AS (SELECT doc_id, lang, source, unnest(['{_Q}']) AS measure, unnest([word_len, symbols, dup_lines, repeats, capitals]) AS v FROM f),
-bad AS (SELECT DISTINCT doc_id FROM y JOIN h USING (lang, source, measure) WHERE v > hi OR v < lo)
+y AS (SELECT doc_id, lang, source, unnest(['{_Q}']) AS measure, unnest([word_len, symbols, dup_lines, capitals]) AS v FROM f),
+bad AS (SELECT doc_id FROM y JOIN h USING (lang, source, measure) WHERE v > hi OR v < lo GROUP BY doc_id HAVING count(*) >= {VOTES})
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
 FROM f LEFT JOIN bad USING (doc_id)
 """

@@ -1,11 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, learned from labelled documents.
 
-``learn`` takes at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean labelled rows (the first by a hash of
-their id; a documented bound, the corpus may be any size), drops near copies among them, and labels their
-tokens: a token of a toxic text is toxic if it is, or starts like, what stands in toxic texts far more often
-than in clean ones (log-likelihood ratio). The field has two states, weights for a token's form, beginnings,
+``learn`` takes at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean labelled rows of at most LONGEST characters (the
+first by a hash of their id; a documented bound, the corpus may be any size) and drops near copies among them. Labels
+are of texts, so those of tokens are latent: a text is toxic if one of its tokens is. ``latent`` fits that likelihood
+(a noisy or over a text's words, each by its features) and a token of a toxic text counts as toxic if its posterior,
+given that the text is, reaches one half. The field has two states, weights for a token's form, beginnings,
 endings and shape (hashed) and for transitions, and is fitted to windows of tokens by gradient steps: six at most
-spread over all hits of a text and two at random ones, or a text of under WINDOW words as a whole.
+spread over all toxic or like tokens of a text and two at random ones, or a text of under WINDOW words as a whole.
 
 ``tagged`` runs forward and backward over each whole text; a token's marginal is the probability of its being
 toxic. A document's score is that one of the tokens at or above NOTED is toxic, or the largest marginal if
@@ -16,7 +17,7 @@ no label; repeated rows count once each. Language, source, id and labels are no
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from . import _words as W
 from . import fingerprint as P
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, WINDOW, EPOCHS, RATE, DECAY = 1000, 2000, 15, 60, 0.5, 1e-6
+SAMPLE_TOXIC, SAMPLE_CLEAN, LONGEST, WINDOW, EPOCHS, RATE, DECAY, PRIOR = 1000, 2000, 10_000, 15, 60, 0.5, 1e-6, 3e-5
 DIMS, NOTED = 1 << 18, 0.1
-PREFIXES, SUFFIXES, LEXICON = (3, 4, 5, 6, 7, 8), (3, 4, 5), (4, 5, 6, 7, 8)
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4, 5)
 FEATURES = 1 + len(PREFIXES) + len(SUFFIXES) + 3
 _INK = np.zeros(256, bool)  # letters and digits: ASCII, and all bytes of longer characters
 _INK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -73,32 +74,33 @@ class _Words:
         x = np.stack(cols, axis=1)
         return np.where(x == 0, 0, 1 + (x % np.uint64(DIMS - 1)).astype(np.int64))
 
-    def forms(self) -> np.ndarray:
-        """Of each word the hashes of its form and its beginnings, 0 where it is too short to have one."""
-        cols = [np.where(self.size >= 3, self.hash(self.start, self.stop, 1), 0)]
-        for k in LEXICON:
-            cols.append(np.where(self.size > k, self.hash(self.start, np.minimum(self.start + k, self.stop), 10 + k), 0))
-        return np.stack(cols, axis=1)
-
-
-def lexicon(toxic: Iterable[np.ndarray], clean: Iterable[np.ndarray]) -> np.ndarray:
-    """The forms and beginnings of words that are over ten times as frequent in toxic texts, beyond chance;
-    ``toxic`` and ``clean`` give the distinct ones of each text."""
-    found = list(toxic)
-    if not found:
-        return np.zeros(0, np.uint64)
-    a, b = len(found), 0
-    f, n = np.unique(np.concatenate(found), return_counts=True)
-    f, n = f[(n >= 3) & (f > 0)], n[(n >= 3) & (f > 0)]
-    m = np.zeros(len(f), np.int64)
-    for t in clean:
-        b += 1
-        m += np.isin(f, t, assume_unique=True)
-    if not b:
-        return np.zeros(0, np.uint64)
-    rate = (n + m) / (a + b)
-    g = 2 * (n * np.log(n / a / rate) + np.where(m > 0, m * np.log(np.maximum(m, 1) / b / rate), 0.0))
-    return f[(n / a >= 10 * (m + 0.5) / b) & (g > 28)]
+
+def latent(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Weights of features under which a text is toxic if one of its words is; ``texts``: of each the features of its
+    distinct words (words, FEATURES). The last weight is the bias."""
+    w = np.zeros(DIMS + 1)
+    w[DIMS] = -6.0
+    full = [k for k, x in enumerate(texts) if len(x)]
+    x = np.concatenate([texts[k] for k in full])
+    size = np.array([len(texts[k]) for k in full])
+    at = np.r_[0, np.cumsum(size)[:-1]]
+    label = np.repeat(toxic[full], size).astype(bool)
+    total = np.full_like(w, 1e-8)
+    for _ in range(EPOCHS):
+        p = _likely(w, x)
+        none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), at)  # log of the chance that no word is toxic
+        odds = np.exp(none) / np.maximum(1e-9, -np.expm1(none))
+        pull = np.where(label, -np.repeat(odds, size) * p, p) / len(full)
+        grad = np.r_[np.bincount(x.reshape(-1), np.repeat(pull, FEATURES), DIMS), pull.sum()] + PRIOR * w
+        grad[0] = 0
+        total += grad * grad
+        w -= RATE * grad / np.sqrt(total)
+    return w
+
+
+def _likely(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The chance of each word to be toxic."""
+    return 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1) + w[DIMS], -30, 30)))
 
 
 class Field:
@@ -198,7 +200,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id", "toxic").distinct()
     mark = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(mark, "doc_id").limit(SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(mark, "doc_id").limit(SAMPLE_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").orderBy("doc_id", "toxic", "text").collect()  # both bounded by the sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= LONGEST).orderBy("doc_id", "toxic", "text").collect()  # both bounded by the sample
     return [(r.text, r.toxic) for r in rows]
 
 
@@ -216,19 +218,24 @@ def learn(sample: list[tuple[str, int]]) -> Field:
         if not keep or ((held[: len(keep)] == b[i]).mean(axis=1) < 0.5).all():
             held[len(keep)] = b[i]
             keep.append(i)
-    forms = lambda kind: (np.unique(_read(sample[i][0]).forms()) for i in keep if bool(sample[i][1]) == kind)
-    known = lexicon(forms(True), forms(False))
+    read = {i: _read(sample[i][0]) for i in keep}
+    feats = {i: read[i].features().astype(np.int32) for i in keep}
+    once = {i: np.unique(feats[i][:, 0], return_index=True, return_inverse=True)[1:] for i in keep}  # distinct forms
+    if not any(len(feats[i]) for i in keep):
+        return field
+    w = latent([feats[i][once[i][0]] for i in keep], np.array([sample[i][1] for i in keep]))
     rng = np.random.default_rng(7)
     groups: dict[int, tuple[list, list]] = {}
     for i in keep:
-        w, y = _read(sample[i][0]), sample[i][1]
-        n = len(w.first)
-        like = np.isin(w.forms(), known).any(axis=1) if len(known) else np.zeros(n, bool)
-        # in a clean text the words that look toxic teach what is none
-        spots = [*_spread(np.flatnonzero(like)), *rng.integers(0, max(1, n), 2).tolist()]
+        x, y = feats[i], sample[i][1]
+        n = len(x)
         if not n:
             continue
-        x = w.features().astype(np.int32)
+        p = _likely(w, x[once[i][0]])
+        given = p / max(1e-9, -np.expm1(np.log1p(-np.minimum(p, 1 - 1e-9)).sum()))  # the posterior in a toxic text
+        like = (given >= 0.5)[once[i][1]]
+        # in a clean text the words that look toxic teach what is none
+        spots = [*_spread(np.flatnonzero(like)), *rng.integers(0, n, 2).tolist()]
         size = min(n, WINDOW)
         xs, ys = groups.setdefault(size, ([], []))
         for k in spots if n > WINDOW else spots[:1]:
