@@ -49,6 +49,10 @@ ACADEMIC = ("human", "anthropic/claude-haiku-4.5", "google/gemini-3-flash-previe
 QUESTIONS = ("hc3_human", "hc3_chatgpt")
 #: What a source's name holds and the generator it means, in the order they are tried.
 GENERATORS = (("claude", "Claude"), ("gemini", "Gemini"), ("gpt-5", "GPT-5"), ("gpt5", "GPT-5"), ("llama", "Llama"), ("chatgpt", "ChatGPT"), ("chat_gpt", "ChatGPT"), ("gpt-oss", "GPT-OSS-120B"), ("mistral", "Mistral"), ("palm", "PaLM"), ("falcon", "Falcon"), ("command", "Command"), ("human", "Human"), ("persuade", "Human"))
+#: The same for studies that leave generators out, for retraining and for the breakdown of recall.
+GENERATORS_LEFT_OUT = (("claude", "Claude"), ("gemini", "Gemini"), ("gpt-5", "GPT-5"), ("gpt5", "GPT-5"), ("gpt-oss-120b", "GPT-OSS-120B"), ("gpt-oss-20b", "GPT-OSS-120B"), ("chatgpt", "ChatGPT"), ("chat_gpt", "ChatGPT"), ("llama", "Llama"))
+GENERATORS_RETRAINED = (("claude", "claude"), ("gemini", "gemini"), ("gpt-5", "gpt-5"), ("gpt5", "gpt-5"), ("llama", "llama"), ("chatgpt", "chatgpt"), ("chat_gpt", "chatgpt"))
+GENERATORS_RECALLED = (("claude", "Claude"), ("gemini", "Gemini"), ("gpt-5", "GPT-5"), ("llama", "Llama"), ("chatgpt", "ChatGPT"), ("chat_gpt", "ChatGPT"))
 WORD = "[A-Za-z0-9_]+"
 
 
@@ -162,8 +166,20 @@ def domain(source) -> Column:
     return F.when(_c(source).isin(*ACADEMIC), "academic").when(_c(source).isin(*QUESTIONS), "qa").otherwise("essay")
 
 
-def generator(source) -> Column:
-    return F.coalesce(*[F.when(F.contains(F.lower(_c(source)), F.lit(k)), F.lit(v)) for k, v in GENERATORS], F.lit("Other_AI"))
+def generator(source, names: tuple = GENERATORS, other: str | None = "Other_AI") -> Column:
+    return F.coalesce(*[F.when(F.contains(F.lower(_c(source)), F.lit(k)), F.lit(v)) for k, v in names], F.lit(other))
+
+
+def generator_by_label(source, label) -> Column:
+    """The generator for studies that leave one out; a text of label 0 is a human's."""
+    return F.when(_c(label) == 0, "human").otherwise(generator(source, GENERATORS_LEFT_OUT))
+
+
+def generators_recalled(source) -> Column:
+    """Every generator of the recall breakdown that a source's name holds; it may be several."""
+    low, names = F.lower(_c(source)), dict.fromkeys(v for _, v in GENERATORS_RECALLED)
+    holds = lambda n: F.greatest(*[F.contains(low, F.lit(k)) for k, v in GENERATORS_RECALLED if v == n], F.lit(False))
+    return F.filter(F.array(*[F.when(holds(n), F.lit(n)) for n in names]), lambda x: x.isNotNull())
 
 
 def heading(c, labels: bool = False) -> Column:

@@ -83,10 +83,10 @@ def burstiness(df: DataFrame, n: str = "n_words", key: str = "doc_id") -> DataFr
 def lexical_diversity(docs: DataFrame) -> DataFrame:
     """Mean type-token ratio (percent) of segments of 100 words; a rest under 50 words counts only alone."""
     w = F.filter(F.transform(T.words(F.lower(F.col("text"))), lambda x: F.regexp_replace(x, r'^[.,!?;:"()\[\]{}]+|[.,!?;:"()\[\]{}]+$', "")), lambda x: x != "")
-    d = docs.select("doc_id", F.posexplode(w).alias("pos", "word")).withColumn("seg", F.floor(F.col("pos") / 100))
-    s = d.groupBy("doc_id", "seg").agg(F.count("*").alias("n"), F.countDistinct("word").alias("k"))
-    s = s.withColumn("most", F.max("n").over(Window.partitionBy("doc_id")))
-    return s.where("n >= 50 or most < 50").groupBy("doc_id").agg(F.round(F.avg(100.0 * F.col("k") / F.col("n")), 2).alias("mattr"))
+    parts = F.transform(F.sequence(F.lit(1), F.size("_w"), F.lit(100)), lambda i: F.slice("_w", i, 100))
+    d = docs.select("doc_id", w.alias("_w")).where(F.size("_w") > 0).select("doc_id", F.transform(parts, lambda p: F.struct(F.size(p).alias("n"), F.size(F.array_distinct(p)).alias("k"))).alias("_p"), (F.size("_w") < 50).alias("_short"))
+    d = d.withColumn("_p", F.filter("_p", lambda p: (p["n"] >= 50) | F.col("_short")))
+    return d.select("doc_id", F.round(F.aggregate("_p", F.lit(0.0), lambda s, p: s + 100.0 * p["k"] / p["n"]) / F.size("_p"), 2).alias("mattr"))
 
 
 #: A word of letters, digits and underscores stands on its own between these.

@@ -241,6 +241,14 @@ def verdicts(pairs: DataFrame, before: str = "original", after: str = "rewritten
     return pairs.withColumn("score_drop", F.greatest(F.lit(0.0), o - r)).withColumn("evaded", (o >= limit) & (r < limit))
 
 
+def fooling_patterns(original: str = "original_text", rewritten: str = "rewritten_text") -> list[Column]:
+    """Aggregates over pairs with evaded and score_drop: how many that evaded gained the clause, gained the sentence or
+    lost the word that the studies look for."""
+    a, b = F.lower(F.col(original)), F.lower(F.col(rewritten))
+    return [F.count_if(F.col("evaded") & F.contains(b, F.lit("as empirical evidence suggests"))).alias("clause_flips"), F.count_if(F.col("evaded") & F.contains(F.col(rewritten), F.lit("Indeed."))).alias("split_flips"),
+            F.count_if(F.col("evaded") & F.contains(a, F.lit("delve")) & ~F.contains(b, F.lit("delve"))).alias("vocabulary_flips"), F.round(F.avg("score_drop"), 1).alias("mean_drop")]
+
+
 def report(pairs: DataFrame, by: list[str], limit: float = 60.0) -> DataFrame:
     """Accuracy before and after, its drop, flip rate, mean drop and the resilience index, per group and overall."""
     hit = lambda c: 100 * F.avg((F.col(c) >= limit).cast("double"))

@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 
-def mixed_documents(df: DataFrame, size: int, inserted: int, topic: str = "lang") -> DataFrame:
-    """Documents of ``size`` rows of one topic and label 1 whose first ``inserted`` rows are replaced by rows of
-    label 0 of that topic, taken in turn; a topic without any keeps its own rows."""
-    w = Window.partitionBy(topic).orderBy("doc_id")
-    h = df.where("label = 1").withColumn("k", F.row_number().over(w) - 1)
-    h = h.withColumns({"block": F.expr(f"cast(k as bigint) div {size}"), "pos": F.expr(f"cast(k as bigint) % {size}")})
-    a = df.where("label <> 1").select(topic, F.col("score").alias("donor"), (F.row_number().over(w) - 1).cast("long").alias("want"))
-    m = a.groupBy(topic).agg(F.count("*").alias("m"))
-    h = h.join(m, topic, "left").withColumn("want", F.when(F.col("pos") < inserted, (F.col("block") * inserted + F.col("pos")) % F.col("m")))
-    j = h.join(a, [topic, "want"], "left")
-    return j.select(topic, "block", "pos", F.col("donor").isNotNull().alias("inserted"), F.coalesce("donor", "score").alias("score"))
+#: Donors of a topic or domain that insertions are drawn from: the first by id.
+DONORS = 1000
+
+
+def mixed_documents(df: DataFrame, size: int, inserted: int, topic: str = "source", domain: str = "lang") -> DataFrame:
+    """(block, pos, inserted, score): documents of the rows of label 1 whose ids share all but their last place (``size``
+    ids), whose first ``inserted`` rows are replaced by rows of label 0 of their first row's topic, drawn by a hash of
+    the place; of its domain if the topic has too few; without donors a row stays. Every window is of one document,
+    or ends at DONORS rows, which tasks cut before they shuffle."""
+    by = Window.partitionBy("block").orderBy("doc_id")
+    h = df.where("label = 1").withColumn("block", F.expr(f"doc_id div {size}"))
+    h = h.select("block", (F.row_number().over(by) - 1).alias("pos"), "score", F.first(topic).over(by).alias("_topic"), F.first(domain).over(by).alias("_domain"))
+    for c, name in ((topic, "t"), (domain, "d")):
+        w = Window.partitionBy(c).orderBy("doc_id")
+        donors = df.where("label <> 1").select(c, "doc_id", F.col("score").alias(f"_s{name}"), F.row_number().over(w).alias("_k")).where(F.col("_k") <= DONORS).select(F.col(c).alias(f"_c{name}"), f"_s{name}", (F.col("_k") - 1).cast("long").alias(f"_k{name}"))
+        have = donors.groupBy(F.col(f"_c{name}").alias(f"_h{name}")).agg(F.count("*").alias(f"_m{name}"))
+        own = F.col("_topic" if name == "t" else "_domain")
+        h = h.join(have, own == F.col(f"_h{name}"), "left")
+        few = F.coalesce(F.col("_mt"), F.lit(0)) < inserted
+        draw = T.bucket(F.concat_ws(":", "block", "pos"), 2**32) % F.col(f"_m{name}")
+        h = h.withColumn(f"_want{name}", F.when((F.col("pos") < inserted) & (few if name == "d" else ~few), draw))
+        h = h.join(donors, (own == F.col(f"_c{name}")) & (F.col(f"_want{name}") == F.col(f"_k{name}")), "left")
+    donor = F.coalesce("_st", "_sd")
+    return h.select("block", "pos", donor.isNotNull().alias("inserted"), F.coalesce(donor, "score").alias("score"))
+
+
+def mixed_results(m: DataFrame, windows: tuple[int, ...], threshold: float = 0.5) -> DataFrame:
+    """(w, tn, fp, fn, tp, detected) of the rows of ``mixed_documents``, smoothed in each document by every window;
+    detected: the share of documents with a hit."""
+    by = Window.partitionBy("block").orderBy("pos")
+    hit = lambda w: F.avg("score").over(by.rowsBetween(-(w // 2), w // 2)) >= threshold
+    d = m.select("block", "inserted", *[hit(w).alias(f"_h{w}") for w in windows])
+    d = d.select("block", "inserted", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"_h{w}").alias("hit")) for w in windows])).alias("x")).select("block", "inserted", "x.*")
+    b = d.groupBy("w", "block").agg(F.count_if(~F.col("hit") & ~F.col("inserted")).alias("tn"), F.count_if(F.col("hit") & ~F.col("inserted")).alias("fp"), F.count_if(~F.col("hit") & F.col("inserted")).alias("fn"), F.count_if(F.col("hit") & F.col("inserted")).alias("tp"))
+    return b.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")], F.avg((F.col("fp") + F.col("tp") > 0).cast("double")).alias("detected"))
+
+
+def sanity(val_accuracy: Column, test_accuracy: Column, val_fpr: Column) -> Column:
+    """The first that holds: near-perfect accuracy, a gap between validation and test, a high false positive rate."""
+    return F.when((val_accuracy > 0.99) | (test_accuracy > 0.99), "possible leak").when(F.abs(val_accuracy - test_accuracy) > 0.05, "gap").when(val_fpr > 0.01, "fpr too high").otherwise("ok")

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import resample as R
 from ..operators.scoring import ABLATIONS, heuristic_fusion
-from .registry import query, read
+from .registry import WC, query, read
 
 #: A labelled frame: quality as label, a hash of the id pulled towards it as score, source as topic, lang as domain.
 EVAL = """l AS (SELECT d.doc_id, lang, source, quality AS label, (('0x' || substr(md5('s' || d.doc_id), 1, 8))::BIGINT % 1000 + 300 * quality) / 1300.0::DOUBLE AS score,
@@ -131,20 +131,24 @@ def b17(spark, d):
     return frame(spark, d).where("label = 1").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") >= 0.5).cast("int")), 9).alias("recall"), F.round(F.avg("score"), 9).alias("mean"))
 
 
-@query("B18_length_bins", """WITH b AS (SELECT unnest([1, 2, 3, 4]) AS bin), d AS (SELECT CASE WHEN n_chars <= 0 THEN NULL WHEN n_chars <= 500 THEN 1 WHEN n_chars <= 1500 THEN 2 WHEN n_chars <= 5000 THEN 3 WHEN n_chars <= 20000 THEN 4 END AS bin, n_chars FROM documents)
-SELECT b.bin, count(n_chars) AS n, round(coalesce(avg(n_chars), 0), 6) AS mean FROM b LEFT JOIN d USING (bin) GROUP BY 1""")
+@query("B18_length_bins", f"""WITH {EVAL}, b AS (SELECT unnest([1, 2, 3, 4]) AS bin), w AS (SELECT doc_id, {WC.format('text')} AS n_words FROM documents), d AS (SELECT CASE WHEN n_words <= 0 THEN NULL WHEN n_words <= 50 THEN 1 WHEN n_words <= 150 THEN 2 WHEN n_words <= 300 THEN 3 WHEN n_words <= 100000 THEN 4 END AS bin, ((score >= 0.5) = (label = 1))::INTEGER AS a, ((other >= 0.5) = (label = 1))::INTEGER AS b2 FROM l JOIN w USING (doc_id))
+SELECT b.bin, count(a) AS n, round(avg(a), 9) AS accuracy_a, round(avg(b2), 9) AS accuracy_b FROM b LEFT JOIN d USING (bin) GROUP BY 1""")
 def b18(spark, d):
-    n = F.col("n_chars")
-    c = read(spark, d, "documents").select(F.when(n <= 0, None).when(n <= 500, 1).when(n <= 1500, 2).when(n <= 5000, 3).when(n <= 20000, 4).alias("bin"), "n_chars")
-    c = c.groupBy("bin").agg(F.count("n_chars").alias("n"), F.avg("n_chars").alias("mean"))
+    """Documents by words, right-closed and empty bins kept: how often each system is right."""
+    n = F.col("n_words")
+    j = frame(spark, d).join(read(spark, d, "documents").select("doc_id", T.n_words("text").alias("n_words")), "doc_id")
+    right = lambda c: ((F.col(c) >= 0.5) == (F.col("label") == 1)).cast("int")
+    c = j.select(F.when(n <= 0, None).when(n <= 50, 1).when(n <= 150, 2).when(n <= 300, 3).when(n <= 100000, 4).alias("bin"), right("score").alias("a"), right("other").alias("b"))
+    c = c.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("a"), 9).alias("accuracy_a"), F.round(F.avg("b"), 9).alias("accuracy_b"))
     bins = spark.range(1, 5).select(F.col("id").cast("int").alias("bin"))
-    return bins.join(F.broadcast(c), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))  # one row a bin
+    return bins.join(F.broadcast(c), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "accuracy_a", "accuracy_b")  # one row a bin
 
 
-@query("B19_token_buckets", "WITH d AS (SELECT n_chars // 1000 AS bucket, n_chars FROM documents) SELECT coalesce(bucket, -1) AS bucket, count(*) AS n, round(avg(n_chars), 6) AS mean FROM d GROUP BY GROUPING SETS ((bucket), ())")
+@query("B19_token_buckets", f"WITH d AS (SELECT ({WC.format('text')} * 133) // 100 AS t FROM documents WHERE text IS NOT NULL) SELECT coalesce(t // 1000, -1) AS bucket, count(*) AS n, round(avg(t), 6) AS mean FROM d GROUP BY GROUPING SETS ((t // 1000), ())")
 def b19(spark, d):
-    t = read(spark, d, "documents").select(F.expr("n_chars div 1000").alias("bucket"), "n_chars")
-    return t.groupingSets([["bucket"], []], "bucket").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean")).withColumn("bucket", F.coalesce("bucket", F.lit(-1).cast("long")))  # -1: all
+    """Documents by tokens, in half-open thousands; -1: all."""
+    t = read(spark, d, "documents").where("text is not null").select(T.n_tokens("text").cast("long").alias("t")).withColumn("bucket", F.expr("t div 1000"))
+    return t.groupingSets([["bucket"], []], "bucket").agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("mean")).withColumn("bucket", F.coalesce("bucket", F.lit(-1).cast("long")))
 
 
 @query("F06_small_samples", f"WITH {EVAL} SELECT source, count(*) AS n, count(*) < 30 AS anecdotal FROM l GROUP BY source HAVING count(*) >= 10")
@@ -320,10 +324,20 @@ def e22(spark, d):
     return _loo(spark, d).select("source", F.when(ok, "ALLOWED").otherwise("LIMITATION").alias("verdict"))
 
 
-@query("E24_sanity_verdict", f"WITH {EVAL}, c AS (SELECT source, {C5} FROM l GROUP BY 1), r AS (SELECT source, {RATES} FROM c) SELECT source, CASE WHEN accuracy > 0.99 THEN 'possible leak' WHEN fpr > 0.01 THEN 'fpr too high' WHEN accuracy < 0.95 THEN 'gap' ELSE 'ok' END AS verdict FROM r")
+_HALF = "('0x' || substr(md5('half' || doc_id), 1, 8))::BIGINT % 2 = 0"
+
+
+@query("E24_sanity_verdict", f"""WITH {EVAL}, c AS (SELECT source, {_HALF} AS val, {C5} FROM l GROUP BY ALL), r AS (SELECT source, val, {RATES} FROM c),
+v AS (SELECT source, max(accuracy) FILTER (WHERE val) AS va, max(accuracy) FILTER (WHERE NOT val) AS ta, max(fpr) FILTER (WHERE val) AS vf FROM r GROUP BY source)
+SELECT source, CASE WHEN va > 0.99 OR ta > 0.99 THEN 'possible leak' WHEN abs(va - ta) > 0.05 THEN 'gap' WHEN vf > 0.01 THEN 'fpr too high' ELSE 'ok' END AS verdict FROM v""")
 def e24(spark, d):
-    v = F.when(F.col("accuracy") > 0.99, "possible leak").when(F.col("fpr") > 0.01, "fpr too high").when(F.col("accuracy") < 0.95, "gap").otherwise("ok")
-    return e04(spark, d).select("source", v.alias("verdict"))
+    """The first that holds of a validation and a test half, here of each source."""
+    val = T.bucket(F.concat(F.lit("half"), "doc_id"), 2) == 0
+    r = M.rates(frame(spark, d).groupBy("source", val.alias("val")).agg(*M.confusion()))
+    v = r.groupBy("source").agg(F.max(F.when(F.col("val"), F.col("accuracy"))).alias("va"), F.max(F.when(~F.col("val"), F.col("accuracy"))).alias("ta"), F.max(F.when(F.col("val"), F.col("fpr"))).alias("vf"))
+    from ..operators.studies import sanity
+
+    return v.select("source", sanity(F.col("va"), F.col("ta"), F.col("vf")).alias("verdict"))
 
 
 @query("F04_leave_one_group_out", f"WITH {EVAL} SELECT source, count(*) AS n FROM l WHERE source <> 'src0' GROUP BY source")
@@ -336,26 +350,36 @@ def s08(spark, d):
     return frame(spark, d).where("label <> 1 and score >= 0.5").orderBy(F.desc("score"), "doc_id").limit(25).select("doc_id", "score")
 
 
-_MIX = f"""WITH {EVAL}, hm AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM l WHERE label = 1), blk AS (SELECT *, k // 10 AS block, k % 10 AS pos FROM hm),
-ai AS (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS m FROM l WHERE label <> 1),
-mx AS (SELECT b.lang, b.block, b.pos, b.pos < 3 AND a.score IS NOT NULL AS inserted, CASE WHEN b.pos < 3 THEN coalesce(a.score, b.score) ELSE b.score END AS score FROM blk b LEFT JOIN ai a ON a.lang = b.lang AND a.k = (b.block * 3 + b.pos) % a.m AND b.pos < 3),
-av AS (SELECT *, avg(score) OVER (PARTITION BY lang, block ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM mx) """
+def _mixed(k: int) -> str:
+    return f"""h{k} AS (SELECT *, doc_id // 10 AS block, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS pos, first(source) OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS topic, first(lang) OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS dom FROM l WHERE label = 1),
+w{k} AS (SELECT h.block, h.pos, h.score, CASE WHEN h.pos < {k} THEN ('0x' || substr(md5(h.block || ':' || h.pos), 1, 8))::BIGINT END AS draw, coalesce(nt.m, 0) AS mt, coalesce(nd.m, 0) AS md, h.topic, h.dom FROM h{k} h LEFT JOIN nt ON nt.source = h.topic LEFT JOIN nd ON nd.lang = h.dom),
+m{k} AS (SELECT w.block, w.pos, coalesce(a.score, b.score) IS NOT NULL AS inserted, coalesce(a.score, b.score, w.score) AS score FROM w{k} w LEFT JOIN dt a ON a.source = w.topic AND w.mt >= {k} AND a.k = w.draw % nullif(w.mt, 0) LEFT JOIN ad b ON b.lang = w.dom AND w.mt < {k} AND b.k = w.draw % nullif(w.md, 0))"""
 
 
-@query("E20_mixed_authorship", _MIX + "SELECT lang, block, count(*) AS n, count(*) FILTER (WHERE inserted AND s >= 0.5) AS found, count(*) FILTER (WHERE NOT inserted AND s >= 0.5) AS touched, bool_or(s >= 0.5) AS detected FROM av GROUP BY ALL")
-def e20(spark, d):
+_DONORS = f"""WITH {EVAL}, dt AS (SELECT * FROM (SELECT source, score, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM l WHERE label <> 1) WHERE k < 1000), ad AS (SELECT * FROM (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM l WHERE label <> 1) WHERE k < 1000),
+nt AS (SELECT source, count(*) AS m FROM dt GROUP BY 1), nd AS (SELECT lang, count(*) AS m FROM ad GROUP BY 1)"""
+_K = {10: 1, 25: 2, 50: 5}
+
+
+@query("J10_donor_match", f"{_DONORS}, {_mixed(5)} SELECT block, pos, inserted, round(score, 9) AS score FROM m5")
+def j10(spark, d):
     from ..operators.studies import mixed_documents
 
-    m = mixed_documents(frame(spark, d), 10, 3)
-    from ..operators.document import moving_average
+    return mixed_documents(frame(spark, d), 10, 5).select("block", "pos", "inserted", F.round("score", 9).alias("score"))
 
-    a = moving_average(m.withColumn("doc", F.struct("lang", "block")), 3, key="doc", order="pos")
-    hit = F.col("average") >= 0.5
-    return a.groupBy("lang", "block").agg(F.count("*").alias("n"), F.count_if(F.col("inserted") & hit).alias("found"), F.count_if(~F.col("inserted") & hit).alias("touched"), F.bool_or(hit).alias("detected"))
 
+def _mixed_row(percent: int, w: int) -> str:
+    return f"""SELECT {percent} AS percent, {w} AS w, count(*) FILTER (WHERE inserted AND s >= 0.5) AS tp, count(*) FILTER (WHERE inserted AND s < 0.5) AS fn, count(*) FILTER (WHERE NOT inserted AND s >= 0.5) AS fp, count(*) FILTER (WHERE NOT inserted AND s < 0.5) AS tn, count(DISTINCT block) FILTER (WHERE s >= 0.5) / nullif(count(DISTINCT block), 0)::DOUBLE AS detected
+FROM (SELECT *, avg(score) OVER (PARTITION BY block ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) AS s FROM m{_K[percent]})"""
 
-@query("J10_donor_match", _MIX + "SELECT lang, block, pos, inserted, round(score, 9) AS score FROM mx")
-def j10(spark, d):
-    from ..operators.studies import mixed_documents
 
-    return mixed_documents(frame(spark, d), 10, 3).select("lang", "block", "pos", "inserted", F.round("score", 9).alias("score"))
+@query("E20_mixed_authorship", f"{_DONORS}, {', '.join(map(_mixed, _K.values()))}, g AS ({' UNION ALL '.join(_mixed_row(p, w) for p in _K for w in (1, 3, 5))}), r AS (SELECT percent, w, detected, {RATES} FROM g) SELECT percent, w, macro_f1, recall, fpr, round(detected, 9) AS detected FROM r")
+def e20(spark, d):
+    """Documents of ten rows with 10, 25 or 50 % inserted, smoothed by windows of 1, 3 and 5."""
+    from ..operators.studies import mixed_documents, mixed_results
+
+    out = None
+    for percent, k in _K.items():
+        r = mixed_results(mixed_documents(frame(spark, d), 10, k), (1, 3, 5)).withColumn("percent", F.lit(percent))
+        out = r if out is None else out.unionByName(r)
+    return M.rates(out).select("percent", "w", "macro_f1", "recall", "fpr", F.round("detected", 9).alias("detected"))

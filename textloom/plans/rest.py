@@ -87,12 +87,13 @@ def a09(spark, d):
     return A.read_jsonl(spark, p, "doc_id long, original double, rewritten double")
 
 
-@query("A10_mixed_folder", "SELECT text, 0 AS label FROM documents WHERE lang = 'en' UNION ALL SELECT text, 0 FROM documents WHERE lang = 'fr'")
+@query("A10_mixed_folder", "SELECT text, 0 AS label FROM documents WHERE text IS NOT NULL")
 def a10(spark, d):
+    """The whole table, as Parquet and CSV by language."""
     p = _tmp(spark, "mixed")
-    docs = read(spark, d, "documents")
+    docs = read(spark, d, "documents").where("text is not null")
     docs.where("lang = 'en'").select("text").write.parquet(f"{p}/a")
-    docs.where("lang = 'fr'").select("text").write.csv(f"{p}/b", header=True, escape='"', quoteAll=True)
+    docs.where("lang <> 'en' or lang is null").select("text").write.csv(f"{p}/b", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", lineSep="\n")
     return A.read_folder(spark, p).select("text", "label")
 
 
@@ -107,8 +108,8 @@ def a11(spark, d):
 @query("A12_sniff", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'doc' ELSE 'text' END AS kind FROM documents")
 def a12(spark, d):
     k = F.col("doc_id") % 4
-    head = F.when(k == 0, F.unhex(F.lit("255044462D312E37"))).when(k == 1, F.unhex(F.lit("504B030414000600"))).when(k == 2, F.unhex(F.lit("D0CF11E0A1B11AE1"))).otherwise(F.encode(F.lit("plain"), "UTF-8"))
-    return read(spark, d, "documents").select("doc_id", A.kind_of(head, F.when(k == 1, "a.docx").otherwise("a.bin")).alias("kind"))
+    head = F.when(k == 0, F.unhex(F.lit("255044462D312E37"))).when(k == 1, F.concat(F.unhex(F.lit("504B030414000600")), F.encode(F.lit("word/document.xml"), "UTF-8"))).when(k == 2, F.unhex(F.lit("D0CF11E0A1B11AE1"))).otherwise(F.encode(F.lit("plain"), "UTF-8"))
+    return read(spark, d, "documents").select("doc_id", A.kind_of(head, F.lit("a.bin")).alias("kind"))
 
 
 @query("A14_docx")
@@ -266,9 +267,16 @@ def b24(spark, d):
     return _report(spark, d).where("method <> 'all'")
 
 
-@query("B25_fooling_patterns", _P + "SELECT count(*) FILTER (WHERE evaded AND score_drop > 50) AS large_drop, count(*) FILTER (WHERE evaded AND method = 'm0') AS first_method, count(*) FILTER (WHERE NOT evaded AND score_drop = 0) AS unmoved FROM p")
+@query("B25_fooling_patterns", """WITH p AS (SELECT text AS a, replace(text, '. ', CASE doc_id % 3 WHEN 0 THEN ', as empirical evidence suggests. ' WHEN 1 THEN '. Indeed. ' ELSE '. ' END) AS b, doc_id % 101 >= 60 AND (doc_id * 7) % 101 < 60 AS evaded, greatest(0, doc_id % 101 - (doc_id * 7) % 101) AS d FROM (SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'Delve ' ELSE '' END || text AS text FROM documents)),
+q AS (SELECT a, CASE WHEN starts_with(a, 'Delve ') THEN substr(b, 7) ELSE b END AS b, evaded, d FROM p)
+SELECT count(*) FILTER (WHERE evaded AND contains(lower(b), 'as empirical evidence suggests')) AS clause_flips, count(*) FILTER (WHERE evaded AND contains(b, 'Indeed.')) AS split_flips, count(*) FILTER (WHERE evaded AND contains(lower(a), 'delve') AND NOT contains(lower(b), 'delve')) AS vocabulary_flips, round(avg(d), 1) AS mean_drop FROM q""")
 def b25(spark, d):
-    return _pairs(spark, d).agg(F.count_if(F.col("evaded") & (F.col("score_drop") > 50)).alias("large_drop"), F.count_if(F.col("evaded") & (F.col("method") == "m0")).alias("first_method"), F.count_if(~F.col("evaded") & (F.col("score_drop") == 0)).alias("unmoved"))
+    """Pairs made of the documents' texts: some rewritten with a clause or a sentence more, some with a word less."""
+    k = F.col("doc_id") % 3
+    t = _pairs(spark, d).join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    t = t.select("doc_id", "evaded", "score_drop", F.concat(F.when(k == 2, "Delve ").otherwise(""), "text").alias("original_text"),
+                 F.replace(F.col("text"), F.lit(". "), F.when(k == 0, ", as empirical evidence suggests. ").when(k == 1, ". Indeed. ").otherwise(". ")).alias("rewritten_text"))
+    return t.agg(*B.fooling_patterns())
 
 
 @query("B20_family_metrics", _P + "SELECT method, count(*) AS n, round(avg((rewritten >= 60)::INTEGER), 9) AS recall, round(avg((rewritten < 60)::INTEGER), 9) AS evasion, round(avg(rewritten), 9) AS mean FROM p GROUP BY method")
@@ -375,10 +383,11 @@ def e19(spark, d):
     from ..operators.training import isotonic, platt
 
     f = frame(spark, d)
-    out = ece(f).withColumn("method", F.lit("none"))
+    one = lambda g, c: ece(g.select("label", F.col(c).alias("score"))).select(F.col("ece"))
+    out = one(f, "score").withColumnRenamed("ece", "uncalibrated")
     for name, g in (("platt", platt(f)), ("isotonic", isotonic(f))):
-        out = out.unionByName(ece(g.select("label", F.col("calibrated").alias("score"))).withColumn("method", F.lit(name)))
-    return out
+        out = out.crossJoin(F.broadcast(one(g, "calibrated").withColumnRenamed("ece", name)))  # one row each
+    return out.withColumn("reduction_percent", F.round(100 * (F.col("uncalibrated") - F.col("isotonic")) / F.expr("nullif(uncalibrated, 0)"), 6))
 
 
 @query("G12_tfidf")

@@ -50,6 +50,10 @@ _src = lambda: F.element_at(F.array(*map(F.lit, _SOURCES)), (F.col("doc_id") % l
 _IN = lambda x: "(" + ", ".join(f"'{y}'" for y in x) + ")"
 scalar("T13_domain", lambda: T.domain(_src()), f"CASE WHEN {_SRC} IN {_IN(T.ACADEMIC)} THEN 'academic' WHEN {_SRC} IN {_IN(T.QUESTIONS)} THEN 'qa' ELSE 'essay' END")
 scalar("T14_generator", lambda: T.generator(_src()), "CASE " + " ".join(f"WHEN contains(lower({_SRC}), '{k}') THEN '{v}'" for k, v in T.GENERATORS) + " ELSE 'Other_AI' END")
+_CASES = lambda names: " ".join(f"WHEN contains(lower({_SRC}), '{k}') THEN '{v}'" for k, v in names)
+scalar("T14_generator_left_out", lambda: T.generator_by_label(_src(), F.col("doc_id") % 3), f"CASE WHEN doc_id % 3 = 0 THEN 'human' {_CASES(T.GENERATORS_LEFT_OUT)} ELSE 'Other_AI' END")
+scalar("T14_generator_retrained", lambda: T.generator(_src(), T.GENERATORS_RETRAINED, "other"), f"CASE {_CASES(T.GENERATORS_RETRAINED)} ELSE 'other' END")
+scalar("T14_generators_recalled", lambda: F.array_join(T.generators_recalled(_src()), "|"), "concat_ws('|', " + ", ".join(f"CASE WHEN " + " OR ".join(f"contains(lower({_SRC}), '{k}')" for k, v in T.GENERATORS_RECALLED if v == n) + f" THEN '{n}' END" for n in dict.fromkeys(v for _, v in T.GENERATORS_RECALLED)) + ")")
 scalar("T15_transition_flag", lambda: T.has_transition("text"), r"regexp_matches(lower(text), '\b(" + "|".join(T.TRANSITION_PHRASES) + r")\b')")
 scalar("T17_marker_flag", lambda: T.has_marker("text"), "(" + " OR ".join(f"contains(lower(text), '{m}')" for m in T.MARKERS) + ")")
 scalar("T22_risk", lambda: T.risk(F.col("doc_id") % 100), "CASE WHEN doc_id % 100 >= 65 THEN 'HIGH' WHEN doc_id % 100 >= 45 THEN 'MEDIUM' ELSE 'LOW' END")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -37,6 +38,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, str(Path(here.name) / p.relative_to(here)))
+    atexit.register(Path(name).unlink, missing_ok=True)  # the driver serves it until then
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
 

@@ -85,10 +85,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, array: bool = False)
 
 
 def kind_of(content: Column, name: Column) -> Column:
-    """pdf, docx, doc or text by a file's first bytes, else by its name."""
+    """pdf, docx, doc or text by a file's first bytes, else by its name. A zip is a .docx if the name of the part with
+    the text, which zips store plainly, stands in it."""
     head = F.hex(F.substring(content, 1, 8))
     ends = lambda x: F.lower(name).endswith(x)
-    return F.when(head.startswith("255044462D"), "pdf").when(head.startswith("D0CF11E0A1B11AE1"), "doc").when(head.startswith("504B0304") & ends(".docx"), "docx").when(ends(".pdf"), "pdf").when(ends(".doc"), "doc").otherwise("text")
+    part = F.contains(content, F.lit(b"word/document.xml"))
+    return F.when(head.startswith("255044462D"), "pdf").when(head.startswith("D0CF11E0A1B11AE1"), "doc").when(head.startswith("504B0304") & part, "docx").when(ends(".pdf"), "pdf").when(ends(".docx"), "docx").when(ends(".doc"), "doc").otherwise("text")
+
+
+#: The extensions that are taken, and the most bytes of a file.
+EXTENSIONS, MOST_BYTES = ("pdf", "docx", "doc"), 25 * 1024 * 1024
+
+
+def guarded(name: Column, size: Column, text: Column) -> Column:
+    """unsupported, too_large, empty or ok of a file's name, its bytes and the text read from it."""
+    return F.when(~F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*EXTENSIONS), "unsupported").when(size > MOST_BYTES, "too_large").when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").otherwise("ok")
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
