@@ -750,3 +750,46 @@ def test_pipeline(spark):
     verdict = {r.doc_id: r.kept for r in registry.QUERIES["op3_quality_rules"](spark, DATA).collect()}
     first = corpus_pipeline.STAGES[0][1](spark, docs, DATA)
     assert {r.doc_id for r in first.collect()} == {i for i, k in verdict.items() if k}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages on a fixture with every kind of case, against plain Python (and SQL for the first)."""
+    import corpus_pipeline
+    import duckdb
+
+    rng = random.Random(77)
+    line = lambda n: " ".join(words(rng, n))
+    blocks = [[line(9), line(7)] for _ in range(4)]
+    passages = [line(60) for _ in range(3)]
+    texts = []
+    for k in range(90):
+        parts = [line(rng.randrange(8, 30)) for _ in range(rng.randrange(1, 5))]
+        if k % 4 == 1:
+            parts += rng.choice(blocks)
+        if k % 5 == 2:
+            parts[0] += " " + rng.choice(passages) + " " + line(12)
+        texts.append("\n".join(parts))
+    texts += [texts[3], texts[8], " ".join([*texts[12].split()[:-1], "changed"]), "\n".join(blocks[1]), passages[2]]  # copies, near copies, what is all in others
+    texts += [line(5), "###" + " ### $$ ".join(words(rng, 60)), " ".join(["a b c d e f"] * 9), "", None]  # what the rules reject
+    rng.shuffle(texts)
+    rows = [(i * 2, t, rng.choice(["en", "fr", None]), "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    kept = dict(con.execute(f"select doc_id, kept from ({quality.SQL})").fetchall())
+    now = [(i, t) for i, t, *_ in rows if kept[i]]
+    assert len(now) < len(rows) - 4
+    gone = brute_blocks(now)
+    after = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]), bool(gone[i, t])) for i, t in now]
+    assert any(g for *_, g in after)
+    now = [(i, t) for i, t, g in after if not g or t.split()]
+    component = brute_components(now, 5, 80)
+    assert any(c != i for i, (_, c) in component.items())
+    now = [(i, t) for i, t in now if component[i][1] == i]
+    left = brute_substring(now)
+    assert sum(map(len, left)) < sum(len(t.split()) for _, t in now)
+    want = {i: len(w) for (i, t), w in zip(now, left, strict=True) if w or not t.split()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
+    tops = sorted({r.padded_to for r in got})
+    assert all(r.n_tokens <= r.padded_to and (r.bucket == 0 or r.n_tokens > tops[r.bucket - 1]) for r in got) and tops[-1] == max(want.values())

@@ -29,6 +29,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import _words as W
+
 #: Words whose tokens a worker remembers; it starts afresh beyond them.
 REMEMBERED = 300_000
 #: Transitions that a worker's table holds; it starts afresh beyond them.
@@ -242,19 +244,12 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of 64, so that few texts are Python strings at a time."""
-    for b in batches:
-        for k in range(0, b.num_rows, 64):
-            yield b.slice(k, 64)
-
-
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in _small(batches):
+        for b in W.small(batches):
             ids = [t.encode(x or "") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
@@ -266,7 +261,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in _small(batches):
+        for b in W.small(batches):
             n, ids, decoded = zip(*(t.digests(x or "") for x in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -34,6 +34,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import _words as W
+
 RADIUS, SIGMA, SHARE = 2, 1.0, 0.7
 #: Element names of HTML, and words that name what is not an article.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select button textarea datalist".split())
@@ -266,7 +268,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in W.small(batches):
             texts = [extract(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

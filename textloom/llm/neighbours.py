@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _words as W
 from . import fingerprint as P
 
 #: Rows that are worked on at once.
@@ -67,13 +68,12 @@ def compare(ordered: DataFrame) -> DataFrame:
                 pa.array(P.likeness(own[:-1], new)), pa.array(P.likeness(own[:-1], own[1:])),
             ], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                for row in zip(*(c.to_pylist() for c in b.slice(at, BATCH).columns), strict=True):
-                    held.append(row)
-                    if len(held) > BATCH:
-                        yield work(held)
-                        held = held[-1:]
+        for b in W.small(batches, BATCH):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(row)
+                if len(held) > BATCH:
+                    yield work(held)
+                    held = held[-1:]
         if len(held) > 1:
             yield work(held)
 
