@@ -117,11 +117,10 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go. The sketches come from one pass, the verdicts from a second one
-    over the texts, which are then not shuffled."""
-    feats = table(features(docs.select("doc_id", "text", "lang", "source")).drop("text", "doc_id"), "features")
-    d = docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "lang", "source", "_row")
-    return judged(features(d), fences(feats)).where("kept").select("_row.*")
+    """Documents that the rules reject go. The measures are taken once and written beside the rows they are of."""
+    d = docs.withColumn("_row", F.struct(*docs.columns)).select("text", "lang", "source", "_row")
+    feats = table(features(d).drop("text"), "measured")
+    return judged(feats, fences(feats)).where("kept").select("_row.*")
 
 
 _Q = "','".join(MEASURES)
