@@ -170,6 +170,7 @@ def deletions(docs: DataFrame) -> DataFrame:
     them stays, and the aligned blocks."""
     held = table(all_runs(docs), "runs")
     first = held.groupBy("h").agg(F.min("doc_id").alias("other"), F.min_by("p", "doc_id").alias("place"), F.max("doc_id").alias("last"), F.count("*").alias("df")).where("other < last").drop("last")
+    first = table(first, "holders")  # both sides of the join are then plain exchanges, which adaptive execution splits where a run is hot
     later = held.join(first, "h").where("doc_id > other")
     mine = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("p", "q", "h", "other", "place", "df")).alias("shared"))
 
