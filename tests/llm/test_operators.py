@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -317,6 +318,26 @@ def test_marginals_equal_enumeration():
     assert np.allclose(f.marginals(u, row), want)
 
 
+def test_scores_equal_enumeration(spark):
+    """A text's score and spans from the sum over all its taggings."""
+    f = toxicity.learn([(" ".join([*words(random.Random(i), 6, 50), *["scumbag"] * (i % 2)]), i % 2) for i in range(120)])
+    texts = ["you scumbag here", "a good day", "scumbag, scumbag!", "w1 w2 w3 w4 scumbag w5", "x"]
+    got = {r.doc_id: r for r in toxicity.tagged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f).collect()}
+    for i, t in enumerate(texts):
+        u = f.w.astype(np.float32)[toxicity._read(t).features()].sum(axis=1)
+        mass, total = np.zeros(len(u)), 0.0
+        for y in itertools.product((0, 1), repeat=len(u)):
+            e = math.exp(f.s[y[0]] + sum(x for x, k in zip(u, y, strict=True) if k) + sum(f.t[a, b] for a, b in itertools.pairwise(y)))
+            total += e
+            mass += e * np.array(y)
+        p = mass / total
+        noted = p[p >= toxicity.NOTED]
+        assert abs(got[i].score - (1 - np.prod(1 - noted) if len(noted) else p.max())) < 1e-6
+        starts = [m.start() for m in WORD.finditer(t)]
+        assert [s.start for s in got[i].spans] == [a for a, x in zip(starts, p, strict=True) if x >= 0.5]
+    assert got[0].score > 0.5 > got[1].score
+
+
 def test_toxic_spans_of_held_out_texts(spark):
     rng = random.Random(4)
     bad = ["idiot", "scumbag", "worthless"]
