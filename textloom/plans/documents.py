@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import document as D
-from .registry import SCORED, SENT, SMOOTH, WC, query, read, scored, sentences
+from .registry import ORACLES, SCORED, SENT, SMOOTH, WC, query, read, scored, sentences
 
 
 @query("G01_sentences", "WITH " + SENT + " SELECT doc_id, sent_idx, sentence FROM sent")
@@ -154,6 +154,17 @@ def b12(spark, d):
     return D.smoothed(scored(spark, d)).groupBy("doc_id").agg(D.percent_flagged("smoothed").alias("percent"))
 
 
+@query("T22_risk", f"SELECT doc_id, CASE WHEN percent >= 65 THEN 'HIGH' WHEN percent >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS value FROM ({ORACLES['B12_doc_percent']})")
+def t22(spark, d):
+    return b12(spark, d).select("doc_id", T.risk("percent").alias("value"))
+
+
+@query("T21_labels", f"""SELECT doc_id, CASE WHEN mattr >= 68 THEN 'HIGH' WHEN mattr >= 58 THEN 'MEDIUM' ELSE 'LOW' END AS diversity, CASE WHEN cv >= 45 THEN 'HIGH' WHEN cv >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS burstiness
+FROM ({ORACLES['B04_lexical_diversity']}) JOIN ({ORACLES['B03_structural_burstiness']}) USING (doc_id)""")
+def t21(spark, d):
+    return b04(spark, d).join(b03(spark, d), "doc_id").select("doc_id", T.diversity_label("mattr").alias("diversity"), T.burstiness_label("cv").alias("burstiness"))
+
+
 @query("B13_weighted_percent", "WITH " + SMOOTH + "SELECT doc_id, round(coalesce(100 * sum(CASE WHEN smoothed >= 0.6 THEN smoothed * n_words ELSE 0.0::DOUBLE END) / nullif(sum(n_words), 0), 0) + 1e-9, 1) AS percent FROM smooth GROUP BY doc_id")
 def b13(spark, d):
     return D.smoothed(scored(spark, d)).groupBy("doc_id").agg(D.percent_weighted("smoothed").alias("percent"))
