@@ -273,3 +273,26 @@ def test_stream_matches_batch(spark, tmp_path):
     want = scored_documents(spark.read.parquet(f"{DATA}/documents.parquet"))
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
     assert counted_events(spark.read.parquet(f"{DATA}/events.parquet")).agg(F.sum("n")).first()[0] == 1000
+
+
+def test_percent_rank_of_parts_is_that_of_the_group(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(5)
+    d = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.randrange(60)) for _ in range(200)] + [("one", 3)], "g string, k long")
+    want = d.withColumn("percent_rank", F.percent_rank().over(Window.partitionBy("g").orderBy("k")))
+    key = lambda r: (str(r.g), r.k, round(r.percent_rank, 12))
+    assert sorted(map(key, S.percent_rank(d, "g", "k", 8).collect())) == sorted(map(key, want.collect()))
+
+
+def test_curves_over_parts_equal_one_window(spark):
+    """Scores at and around the borders of parts, and outside the unit."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(2), rng.choice([rng.random(), rng.randrange(1025) / 1024, -0.5, 1.5])) for _ in range(400)]
+    got = {r.score: (r.tp, r.fp, r.pos, r.neg) for r in M.roc(spark.createDataFrame(rows, "label int, score double")).collect()}
+    pos = sum(y for y, _ in rows)
+    assert got == {s: (sum(y for y, x in rows if x >= s), sum(1 - y for y, x in rows if x >= s), pos, 400 - pos) for _, s in rows}

@@ -56,6 +56,19 @@ def topic_split(df: DataFrame, topic: str, seed: str = "42") -> DataFrame:
     return df.join(m, topic)
 
 
+def percent_rank(df: DataFrame, by: str, order: str, width: int = 65_536) -> DataFrame:
+    """``df`` with ``percent_rank`` of a whole number in each group. Rows are ranked inside parts of ``width`` numbers,
+    and only the parts' counts are summed along a group, so no task takes a group of any size."""
+    d = df.withColumn("_part", F.floor(F.col(order) / width))
+    parts = d.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_at")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_by", "_at", before.alias("_before"), F.sum("n").over(Window.partitionBy("_by")).alias("_all"))
+    d = d.withColumn("_rank", F.rank().over(Window.partitionBy(by, "_part").orderBy(order)))
+    j = d.join(parts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_part").eqNullSafe(F.col("_at")))
+    share = F.when(F.col("_all") > 1, (F.col("_before") + F.col("_rank") - 1) / (F.col("_all") - 1)).otherwise(0.0)
+    return j.withColumn("percent_rank", share).select(*df.columns, "percent_rank")
+
+
 def leaks(df: DataFrame, topic: str, split: str = "split") -> DataFrame:
     """Topics that stand in more than one split; there should be none."""
     return df.groupBy(topic).agg(F.countDistinct(split).alias("n")).where("n > 1")

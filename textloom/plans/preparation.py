@@ -81,8 +81,8 @@ def s04(spark, d):
 
 @query("S05_positional_split", "SELECT doc_id, CASE WHEN percent_rank() OVER (PARTITION BY source ORDER BY doc_id) < 0.85 THEN 'train' ELSE 'val' END AS split FROM documents")
 def s05(spark, d):
-    r = F.percent_rank().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, d, "documents").select("doc_id", F.when(r < 0.85, "train").otherwise("val").alias("split"))
+    r = S.percent_rank(read(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+    return r.select("doc_id", F.when(F.col("percent_rank") < 0.85, "train").otherwise("val").alias("split"))
 
 
 @query("S06_group_folds", "SELECT doc_id, (('0x' || substr(md5(source), 1, 8))::BIGINT % 5)::INTEGER AS fold FROM documents")
