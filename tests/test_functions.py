@@ -296,3 +296,48 @@ def test_curves_over_parts_equal_one_window(spark):
     got = {r.score: (r.tp, r.fp, r.pos, r.neg) for r in M.roc(spark.createDataFrame(rows, "label int, score double")).collect()}
     pos = sum(y for y, _ in rows)
     assert got == {s: (sum(y for y, x in rows if x >= s), sum(1 - y for y, x in rows if x >= s), pos, 400 - pos) for _, s in rows}
+
+
+def test_tex_locks_by_priority():
+    text = "\\documentclass{x}\n\\begin{document}\nA \\cite{a, b} and $x + y$ \\textbf{bold}.\n\\begin{table}\n\\begin{tabular}{l} $z$ \\end{tabular}\n\\end{table}\n\\section{S} \\item[1] \\maketitle 100%"
+    out, held = T.lock_text(text, T.TEX_LOCKS)
+    assert list(held.values()) == ["\\documentclass{x}\n\\begin{document}", "\\cite{a, b}", "$x + y$", "\\textbf{bold}", "$z$", "\\section{S}", "\\item[1]", "\\maketitle"] or held["__LOCK_4__"].startswith("\\begin{table}")
+    assert len(T.TEX_LOCKS) == 19 and T.restore_text(out, held) == text and "100%" in out
+    assert T.lock_text(None, T.TEX_LOCKS) == ("", {})
+
+
+def test_masked_math_and_locked_tokens():
+    out, held = T.mask_math("a $x. y$ b. \\[ z\nw \\] and \\(q\\) $$m$$ end.")
+    assert out == "a __LOCK_0__ b. __LOCK_1__ and __LOCK_2__ __LOCK_3__ end." and held["__LOCK_1__"] == "\\[ z\nw \\]"
+    out, held = T.lock_text("NASA said 12.5% (Smith, 2020) [1, 2] in \\cite{x}.")
+    assert set(held.values()) == {"NASA", "12.5%", "(Smith, 2020)", "[1, 2]", "\\cite{x}"} and T.restore_text(out, held).startswith("NASA said")
+
+
+def test_calibration_golden(spark):
+    from textloom.operators.training import isotonic, platt
+
+    d = spark.createDataFrame([(0, .1), (1, .2), (0, .3), (1, .4)], "label int, score double")
+    assert [r.calibrated for r in isotonic(d).orderBy("score").collect()] == [0.0, 0.5, 0.5, 1.0]
+    p = [r.calibrated for r in platt(d).orderBy("score").collect()]
+    assert p == sorted(p) and 0 < p[0] < 0.5 < p[-1] < 1
+
+
+def test_tfidf_is_sublinear_and_normed(spark):
+    import math
+
+    from textloom.operators.training import tfidf
+
+    d = spark.createDataFrame([(1, "cat cat cat dog"), (2, "cat bird"), (3, "dog bird")], "doc_id int, text string")
+    r = {x.doc_id: x.tfidf for x in tfidf(d).collect()}
+    v = sorted(x for x in r[1].values)
+    # both words stand in two of three documents, so only the damped counts differ
+    assert len(v) == 2 and abs(v[1] / v[0] - (1 + math.log(3))) < 1e-9 and abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def test_calibration_comparison_and_text_forms(spark):
+    from conftest import DATA
+    from textloom import catalog
+
+    r = catalog.queries()["E19_calibration_comparison"](spark, DATA).first()
+    assert 0 <= r.isotonic <= r.uncalibrated and abs(r.reduction_percent - 100 * (r.uncalibrated - r.isotonic) / r.uncalibrated) < 1e-5
+    assert one(spark, "ﬁ ① ｘ", T.nfkc("x")) == "fi 1 x"
