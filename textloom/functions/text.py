@@ -284,13 +284,14 @@ def shingles_of(w, k: int = 3) -> Column:
 
 
 def shingle_hashes(w, k: int = 3) -> Column:
-    """The 64-bit hashes of ``shingles_of`` an array: joins on them move eight bytes for each."""
+    """The 64-bit hashes of ``shingles_of`` an array: joins on them move eight bytes for each. The words' hashes are made
+    once and named in an array of one, over which the runs are read."""
+    def runs(h: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+        return F.when(F.size(h) >= k, many).otherwise(h)
+
     one = F.transform(_c(w), lambda x: F.xxhash64(x))
-    runs = one
-    for j in range(1, k):
-        runs = F.zip_with(runs, F.slice(one, j + 1, F.size(_c(w))), lambda a, b: F.xxhash64(a, b))
-    runs = F.slice(runs, F.lit(1), F.greatest(F.size(_c(w)) - (k - 1), F.lit(0)))
-    return F.array_distinct(F.when(F.size(_c(w)) >= k, runs).otherwise(one))
+    return F.array_distinct(F.element_at(F.transform(F.array(one), runs), 1))
 
 
 def shingles(c, k: int = 3) -> Column:

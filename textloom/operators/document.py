@@ -82,7 +82,7 @@ def burstiness(df: DataFrame, n: str = "n_words", key: str = "doc_id") -> DataFr
 
 def lexical_diversity(docs: DataFrame) -> DataFrame:
     """Mean type-token ratio (percent) of segments of 100 words; a rest under 50 words counts only alone."""
-    w = F.filter(F.transform(T.words(F.lower(F.col("text"))), lambda x: F.regexp_replace(x, r'^[.,!?;:"()\[\]{}]+|[.,!?;:"()\[\]{}]+$', "")), lambda x: x != "")
+    w = F.filter(F.transform(T.words(F.lower(F.col("text"))), lambda x: F.btrim(x, F.lit('.,!?;:"()[]{}'))), lambda x: x != "")
     parts = F.transform(F.sequence(F.lit(1), F.size("_w"), F.lit(100)), lambda i: F.slice("_w", i, 100))
     d = docs.select("doc_id", w.alias("_w")).where(F.size("_w") > 0).select("doc_id", F.transform(parts, lambda p: F.struct(F.size(p).alias("n"), F.size(F.array_distinct(p)).alias("k"))).alias("_p"), (F.size("_w") < 50).alias("_short"))
     d = d.withColumn("_p", F.filter("_p", lambda p: (p["n"] >= 50) | F.col("_short")))
