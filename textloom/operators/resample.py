@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``place``, from 0 in the order of the key's md5. Rows are numbered inside 256 parts of the md5's range,
+    and only the parts' counts meet in one task."""
+    mark = F.md5(F.col(key).cast("string"))
+    d = df.withColumns({"_mark": mark, "_part": F.substring(mark, 1, 2)})
+    parts = d.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 257 rows
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy("_mark", key)) - 1)
+    j = d.join(parts.select(F.col("_part").alias("_at"), before.alias("_before")), F.col("_part").eqNullSafe(F.col("_at")))
+    return j.select(*df.columns, (F.col("_before") + F.col("_in")).alias("place"))
+
+
 def draws(topics: DataFrame, replicates: int, seed: str = "r") -> DataFrame:
     """(replicate, topic): as many draws with replacement as there are topics. ``topics`` has column topic."""
-    t = topics.select("topic").distinct()
-    t = t.withColumn("place", F.row_number().over(Window.orderBy("topic")) - 1)  # topics, not rows
+    t = numbered(topics.select("topic").distinct(), "topic")
     n = t.agg(F.count("*").alias("k"))
     r = topics.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
     d = r.crossJoin(F.broadcast(n)).select("replicate", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw"))

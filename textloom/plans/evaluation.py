@@ -219,7 +219,7 @@ def d23(spark, d):
 # --- resampling ---
 
 TOPICS = f"""WITH {EVAL}, k AS (SELECT source AS topic, count(*) AS n, count(*) FILTER (WHERE (score >= 0.5) = (label = 1)) AS ok, count(*) FILTER (WHERE (other >= 0.5) = (label = 1)) AS ok2, count(*) FILTER (WHERE label <> 1) AS neg, count(*) FILTER (WHERE label <> 1 AND score >= 0.5) AS fp FROM l GROUP BY 1),
-t AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS place FROM k), m AS (SELECT count(*) AS k FROM t),
+t AS (SELECT topic, row_number() OVER (ORDER BY md5(topic), topic) - 1 AS place FROM k), m AS (SELECT count(*) AS k FROM t),
 dr AS (SELECT r.range AS replicate, ('0x' || substr(md5('r:' || r.range || ':' || x.range), 1, 8))::BIGINT % (SELECT k FROM m) AS place FROM range(1000) r, range((SELECT k FROM m)) x),
 b AS (SELECT replicate, sum(n) AS n, sum(ok) AS ok, sum(ok2) AS ok2, sum(neg) AS neg, sum(fp) AS fp FROM dr JOIN t USING (place) JOIN k USING (topic) GROUP BY 1) """
 
