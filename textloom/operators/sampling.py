@@ -14,7 +14,8 @@ def balanced(df: DataFrame, target: int, domain: str, label: str, key: str, seed
     have = df.groupBy(domain, label).agg(F.count("*").alias("n")).groupBy(domain).agg(F.min("n").alias("n"), F.count("*").alias("k"))
     have = have.select(domain, F.when(F.col("k") < 2, 0).otherwise(F.least(F.col("n"), F.lit(target))).alias("_take"))
     draw = F.row_number().over(Window.partitionBy(domain, label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key))
-    return df.join(have, domain).withColumn("_r", draw).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    # the target first: tasks then cut their own rows to it before they are shuffled
+    return df.withColumn("_r", draw).where(F.col("_r") <= target).join(have, domain).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
 
 
 def sample(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
