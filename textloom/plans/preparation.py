@@ -137,8 +137,10 @@ def g04(spark, d):
     return w.selectExpr("doc_id", "stack(2, 0, real, 1, generated) as (label, text)")
 
 
-@query("T_embedding_cosine", "WITH a AS (SELECT vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], nxt::DOUBLE[]), 6) AS cosine FROM a WHERE nxt IS NOT NULL")
+@query("T_embedding_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine(spark, d):
-    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label").withColumn("y", F.lead("x").over(Window.partitionBy("label").orderBy("vec_id"))).where("y is not null")
+    """Every vector and that of the next id."""
+    v = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    e = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
     return e.select("vec_id", F.round(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y")), 6).alias("cosine"))
