@@ -1,5 +1,6 @@
 """Cases with known results, and edges."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -300,10 +301,21 @@ def test_curves_over_parts_equal_one_window(spark):
 
 def test_tex_locks_by_priority():
     text = "\\documentclass{x}\n\\begin{document}\nA \\cite{a, b} and $x + y$ \\textbf{bold}.\n\\begin{table}\n\\begin{tabular}{l} $z$ \\end{tabular}\n\\end{table}\n\\section{S} \\item[1] \\maketitle 100%"
-    out, held = T.lock_text(text, T.TEX_LOCKS)
-    assert list(held.values()) == ["\\documentclass{x}\n\\begin{document}", "\\cite{a, b}", "$x + y$", "\\textbf{bold}", "$z$", "\\section{S}", "\\item[1]", "\\maketitle"] or held["__LOCK_4__"].startswith("\\begin{table}")
-    assert len(T.TEX_LOCKS) == 19 and T.restore_text(out, held) == text and "100%" in out
-    assert T.lock_text(None, T.TEX_LOCKS) == ("", {})
+    out, held = T.lock_text(text, T.TEX_LOCKS, nested=True)
+    assert "tabular" not in out and "maketitle" not in out and "bold" not in out and out.startswith("__LOCK_0__\nA __LOCK_") and out.endswith(" 100%")
+    table = next(v for v in held.values() if v.startswith("\\begin{table}"))
+    assert "$z$" not in table and held[re.search("__LOCK_[0-9]+__", table)[0]] == "$z$"  # taken before the block it stands in
+    assert len(T.TEX_LOCKS) == 19 and T.restore_text(out, held) == text
+    assert T.lock_text(None, T.TEX_LOCKS, nested=True) == ("", {})
+    many = " ".join(f"$a_{k}$" for k in range(30))
+    assert T.restore_text(*T.lock_text(many, T.TEX_LOCKS, nested=True)) == many
+
+
+def test_locks_are_put_back_by_expressions(spark):
+    text = "\\begin{table} $x$ \\end{table} \\cite{a} " + " ".join(f"$a_{k}$" for k in range(15))
+    d = spark.createDataFrame([(text,), ("plain",), (None,)], "t string").select("t", T.locked("t", T.TEX_LOCKS, nested=True).alias("l"))
+    r = d.select("t", T.restored(F.col("l.text"), F.col("l.held")).alias("back"), F.col("l.text").alias("out")).collect()
+    assert [x.back for x in r] == [text, "plain", ""] and "cite" not in r[0].out
 
 
 def test_masked_math_and_locked_tokens():

@@ -326,12 +326,27 @@ TEX_LOCKS = (
 )
 
 
-def lock_text(text: str | None, patterns=LOCKS) -> tuple[str, dict[str, str]]:
+def lock_text(text: str | None, patterns=LOCKS, nested: bool = False) -> tuple[str, dict[str, str]]:
     """``text`` with what must not change replaced by numbered placeholders, and what they stand for.
 
-    Patterns are tried in order; a place that an earlier one took is left to it. A full stop crosses no line.
+    Patterns are tried in order; a place that an earlier one took is left to it. ``nested``: each pattern reads
+    what the ones before it left, so a block is taken as a whole, with the placeholders inside it. A full stop
+    crosses no line.
     """
     text = text or ""
+    if nested:
+        inside: dict[str, str] = {}
+
+        def put(m: re.Match) -> str:
+            if not m[0]:
+                return ""
+            name = f"__LOCK_{len(inside)}__"
+            inside[name] = m[0]
+            return name
+
+        for p in patterns:
+            text = re.sub(p, put, text)
+        return text, inside
     taken: list[tuple[int, int]] = []
     mask = bytearray(len(text))
     for p in patterns:
@@ -350,24 +365,26 @@ def lock_text(text: str | None, patterns=LOCKS) -> tuple[str, dict[str, str]]:
 
 
 def restore_text(text: str, held: dict[str, str]) -> str:
-    for name, was in sorted(held.items(), key=lambda x: -len(x[0])):
+    """``text`` with its placeholders put back, the last first, as it may hold earlier ones."""
+    for name, was in sorted(held.items(), key=lambda x: -int(x[0].strip("_").rpartition("_")[2])):
         text = text.replace(name, was)
     return text
 
 
-def locked(c, patterns=LOCKS) -> Column:
+def locked(c, patterns=LOCKS, nested: bool = False) -> Column:
     """A struct (text, held) of ``lock_text``."""
 
     @F.pandas_udf("text string, held map<string,string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([lock_text(x, patterns) for x in s], columns=["text", "held"])
+        return pd.DataFrame([lock_text(x, patterns, nested) for x in s], columns=["text", "held"])
 
     return run(_c(c))
 
 
 def restored(text, held) -> Column:
-    """``text`` with its placeholders put back, by expressions only; longer numbers first."""
-    pairs = F.array_sort(F.map_entries(_c(held)), lambda a, b: F.length(b["key"]) - F.length(a["key"]))
+    """``text`` with its placeholders put back, by expressions only; the last first, as it may hold earlier ones."""
+    number = lambda e: F.regexp_extract(e["key"], r"(\d+)", 1).cast("int")
+    pairs = F.array_sort(F.map_entries(_c(held)), lambda a, b: number(b) - number(a))
     return F.aggregate(pairs, _c(text), lambda t, e: F.replace(t, e["key"], e["value"]))
 
 

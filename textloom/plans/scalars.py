@@ -59,7 +59,7 @@ scalar("T17_marker_flag", lambda: T.has_marker("text"), "(" + " OR ".join(f"cont
 scalar("T26_align_key", lambda: T.align_key("text"), r"lower(regexp_replace(text, '[\s!-/:-@\[-`{-~]', '', 'g'))")
 scalar("T36_safe_name", lambda: T.safe_name("url"), "regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g')", "pages", "page_id")
 scalar("T32_token_lock", lambda: T.locked("text")["text"], None)
-scalar("T33_tex_lock", lambda: T.locked("text", T.TEX_LOCKS)["text"], None)
+scalar("T33_tex_lock", lambda: T.locked("text", T.TEX_LOCKS, nested=True)["text"], None)
 scalar("T35_mask_math", lambda: T.locked("text", (r"\$\$[\s\S]*?\$\$", r"\\\[[\s\S]*?\\\]", r"\\\([\s\S]*?\\\)", r"\$[^$]+\$"))["text"], None)
 
 
