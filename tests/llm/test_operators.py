@@ -15,7 +15,7 @@ from parity import same
 from pyspark.sql import functions as F
 
 from textloom.llm import _words as W
-from textloom.llm import bpe, chat, chunks, fingerprint, html_text, lines, near_dup, neighbours, packing, quality, registry, toxicity
+from textloom.llm import bpe, chat, chunks, fill_middle, fingerprint, html_text, language, lines, near_dup, neighbours, packing, quality, registry, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string, v long, places string, gone string, component string, kept string"
@@ -50,6 +50,7 @@ OPS = {
     "near": near_dup.near_duplicates, "fingerprints": fingerprint.fingerprints, "neighbours": lambda d: neighbours.compare(neighbours.with_next(d)), "packing": packing.packed,
     "chunks": chunks.substring_dedup, "lines": lines.line_dedup, "quality": lambda d: quality.judged(quality.features(d), quality.fences(quality.features(d))),
     "bpe": lambda d: bpe.digests(d, _path()), "toxicity": lambda d: toxicity.tagged(d, toxicity.learn([])),
+    "fill_middle": lambda d: fill_middle.restored(fill_middle.transformed(d)), "language": lambda d: language.predicted(d, language.learn(d)),
     "stage3": lambda d: quality.stage(None, d, ""), "stage8": lambda d: lines.stage(None, d, ""), "stage9": lambda d: near_dup.stage(None, d, ""), "stage1": lambda d: chunks.stage(None, d, ""), "stage2": lambda d: packing.stage(None, d, ""),
 }
 
@@ -112,7 +113,7 @@ def test_contents_of_the_awkward_table(spark, awkward):
 
 
 def test_registry():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
