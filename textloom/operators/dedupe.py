@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import shared_dir
+from ..tables import components, drop, table
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -26,53 +30,131 @@ def _sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return df.select(F.col(key).alias("id"), T.word_list(text).alias("w")).where(F.size("w") > 0).select("id", F.array_sort(T.shingle_hashes("w", k)).alias("set"))
 
 
+#: One of so many classes tells how frequent shingles are, of which the FREQUENT most frequent are ordered by that.
+SAMPLED, FREQUENT = 8, 200_000
+#: Postings of a list up to which it is one key of the join; edges of a component up to which one task decides it.
+LIST, EDGES = 2048, 1_000_000
+#: Ranges of hashes whose counts bound what two sets can share.
+RANGES = 16
+
+
+def _prefixes(sets: DataFrame, frequent: list[tuple[int, int]], threshold: float) -> DataFrame:
+    """(id, n, x, at, counts) for each shingle of the prefix of each set (id, set): the first n - ceil(t * n) + 1 of it in the
+    order of frequency and hash, its place in that order, and the set's counts by RANGES ranges of hashes."""
+    known = np.array(sorted(frequent), np.int64).reshape(-1, 2)
+    schema = "id long, n int, x long, at int, counts array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column(1).offsets, np.int64)
+            x = np.asarray(b.column(1).values, np.int64)[at[0] : at[-1]]
+            n = np.diff(at)
+            row = np.repeat(np.arange(len(n)), n)
+            weight = np.zeros(len(x), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known[:, 0], x), len(known) - 1)
+                weight = np.where(known[place, 0] == x, known[place, 1], 0)
+            counts = np.bincount(row * RANGES + ((x >> 56) & (RANGES - 1)), minlength=len(n) * RANGES).reshape(-1, RANGES)
+            order = np.lexsort((x, weight, row))
+            inside = np.arange(len(x)) - np.repeat(at[:-1] - at[0], n)
+            room = n - np.ceil(np.round(n * threshold, 9)).astype(np.int64) + 1
+            take = np.flatnonzero(inside < room[row])
+            r = row[take]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(x[order[take]]), pa.array(inside[take].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, len(r) * RANGES + 1, RANGES, dtype=np.int32)), pa.array(counts[r].reshape(-1).astype(np.int32))),
+            ], names=["id", "n", "x", "at", "counts"])
+
+    return sets.select(F.col("id").cast("long").alias("id"), "set").mapInArrow(run, schema)
+
+
 def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
     """(a, b, jaccard) of classes of rows (``shingle_classes``) whose sets of k-word shingles are at least ``threshold``
     alike, a < b; a class is named by the first of its ids, so copies of a text cost one row and not their pairs.
 
-    Prefix filter: shingles are ordered by how few classes have them; two that are alike share one of the first
-    n - ceil(t * n) + 1 of each. Candidates are confirmed on the whole sets, as 64-bit hashes.
+    Sets that are alike share a shingle among the first n - ceil(t * n) + 1 of each in one order of all shingles, and the first
+    that they share leaves room for the rest: it has at least as many shingles after it in both sets as are missing (positional
+    filter), and the counts by ranges of hashes allow as many in common (suffix filter). The order is by frequency in
+    one of SAMPLED classes; what it is changes the work, not the rows. Lists of over LIST postings are dealt
+    over several keys. Candidates are confirmed on the whole sets, as 64-bit hashes.
     """
     # a class's set is that of its first id; equal sets meet by their hash, whole texts are not shuffled
     s = _sets(df, key, text, k).groupBy(F.xxhash64("set").alias("h"), F.size("set").alias("n")).agg(F.min_by(F.struct("id", "set"), "id").alias("x")).select("x.id", "x.set")
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():  # spark.checkpoint.dir was not set
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    s = s.checkpoint()
-    one = s.select("id", F.size("set").alias("n"), F.explode("set").alias("x"))
-    freq = one.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of one class only come last in no order: they are as rare as can be and fill the prefix first
-    pre = one.join(freq, "x").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("p"))
-    room = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("p"))
-    pre = pre.where(room > 0).select("id", "n", F.explode(F.slice("p", F.lit(1), room.cast("int"))).alias("p")).select("id", "n", "p.x")
-    l, r = pre.select(F.col("id").alias("a"), "x", F.col("n").alias("na")), pre.select(F.col("id").alias("b"), F.col("x").alias("y"), F.col("n").alias("nb"))
-    near = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    c = l.join(r, (F.col("x") == F.col("y")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    s = table(s, "sets")
+    often = s.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    frequent = [(r.x, r.n) for r in often.orderBy(F.desc("n"), "x").limit(FREQUENT).collect()]  # at most FREQUENT
+    pre = table(_prefixes(s, frequent, threshold), "prefixes")
+    long = pre.groupBy("x").agg(F.count("*").alias("m")).where(F.col("m") > LIST).select("x", F.ceil(F.col("m") / LIST).cast("int").alias("deals"))
+    long = table(long, "long-lists")
+    if not long.isEmpty():
+        pre = pre.join(long, "x", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    else:
+        pre = pre.withColumn("deals", F.lit(1))
+    side = lambda i, salt: pre.select(F.col("id").alias(i), "x", F.col("n").alias(f"n{i}"), F.col("at").alias(f"at{i}"), F.col("counts").alias(f"c{i}"), salt.alias("salt"))
+    l = side("a", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int"))
+    r = side("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    need = F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")), 9))
+    room = 1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
+    c = l.join(r, ["x", "salt"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (room >= need))
+    shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    c = c.where(shared >= need).select("a", "b").distinct()
+    c = table(c, "candidates")
     c = c.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return c.withColumn("jaccard", F.round(both / (F.size("sa") + F.size("sb") - both), 9)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    out = table(c.withColumn("jaccard", F.round(both / (F.size("sa") + F.size("sb") - both), 9)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard"), "pairs")
+    drop(s, pre, long)
+    return out
+
+
+def _decided(edges: DataFrame) -> DataFrame:
+    """The dropped ids of components that each lie in one task: an id is dropped if a kept one before it is like it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, gone = None, set()
+        for batch in batches:
+            out = []
+            for c, b, a in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c != component:
+                    component, gone = c, set()
+                if b not in gone and a not in gone:
+                    gone.add(b)
+                    out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["x"])
+
+    return edges.select("component", "b", "a").repartition("component").sortWithinPartitions("component", "b", "a").mapInArrow(run, "x long")
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """The dropped ids of any edges: rounds decide what has no undecided earlier partner, however large a component is."""
+    left, dropped = table(edges.select("a", "b"), "undecided"), edges.select(F.col("b").alias("x")).limit(0)
+    while not left.isEmpty():
+        ready = left.select(F.col("a").alias("x")).distinct().join(left.select(F.col("b").alias("x")).distinct(), "x", "left_anti")
+        gone = table(left.join(ready.withColumnRenamed("x", "a"), "a").select(F.col("b").alias("x")).distinct(), "dropped")
+        dropped = dropped.union(gone)
+        # what a kept or a dropped row had to say is said
+        rest = left.join(ready.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti")
+        rest = table(rest.select("a", "b"), "undecided")
+        drop(left)
+        left = rest
+    return dropped
 
 
 def greedy_keep(df: DataFrame, pairs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
     """``df`` without rows that are like an earlier row that is kept, in ascending order of ``key``. ``pairs`` are of
     ``classes``: a copy is like whatever kept or dropped its first, so only first ones can stay.
 
-    Rounds decide what has no undecided earlier partner: it is dropped if an earlier one was kept, else kept.
+    Components of up to EDGES pairs are decided each in one task, in one pass over their sorted pairs; larger ones, which are
+    counted first, by rounds.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():  # spark.checkpoint.dir was not set
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    left = pairs.select("a", "b").distinct().checkpoint()
-    dropped = None
-    while not left.isEmpty():
-        ready = left.select(F.col("a").alias("x")).distinct().join(left.select(F.col("b").alias("x")).distinct(), "x", "left_anti")
-        gone = left.join(ready.withColumnRenamed("x", "a"), "a").select(F.col("b").alias("x")).distinct().checkpoint()
-        dropped = gone if dropped is None else dropped.union(gone)
-        # what a kept or a dropped row had to say is said
-        keepers = ready.withColumnRenamed("x", "a")
-        left = (left.join(keepers, "a", "left_anti").join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b")).checkpoint()
-    copies = classes.where(F.col(key) != F.col("rep")).select(F.col(key).alias("x"))
-    gone = copies if dropped is None else copies.union(dropped)
+    edges = table(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "similar")
+    found = components(edges, "similar")
+    of = table(edges.join(found.select(F.col("node").alias("a"), "component"), "a"), "components")
+    huge = table(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > EDGES).select("component"), "huge")
+    if huge.isEmpty():
+        dropped = _decided(of)
+    else:
+        dropped = _decided(of.join(huge, "component", "left_anti")).union(_rounds(of.join(huge, "component")))
+    gone = classes.where(F.col(key) != F.col("rep")).select(F.col(key).alias("x")).union(dropped)
     return df.join(gone.withColumnRenamed("x", key), key, "left_anti")
 
 

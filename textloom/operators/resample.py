@@ -1,54 +1,68 @@
-"""Clustered and paired bootstrap, and corrections for many tests.
+"""Clustered, paired and row bootstrap, and corrections for many tests.
 
-Replicates draw topics, not rows: a topic's counts are summed first, and a replicate is a join of its draws
-with those counts. Draws come from md5 buckets, so they are the same everywhere.
+A replicate gives each unit (a topic or a row) a Poisson weight of mean 1 from a hash of unit and replicate, which is what
+drawing with replacement comes to when units are many. A unit's weights need nothing but its own key, so each task adds
+weight times value of all its units into one array of sums for each value, and a row for each task and replicate is all
+that is shuffled: no row count grows with replicates times units. Weights are the same everywhere; a unit of several rows
+is summed first, and systems that share a call share their resamples.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``place``, from 0 in the order of the key's md5. Rows are numbered inside 256 parts of the md5's range,
-    and only the parts' counts meet in one task."""
-    mark = F.md5(F.col(key).cast("string"))
-    d = df.withColumns({"_mark": mark, "_part": F.substring(mark, 1, 2)})
-    parts = d.groupBy("_part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 257 rows
-    d = d.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy("_mark", key)) - 1)
-    j = d.join(parts.select(F.col("_part").alias("_at"), before.alias("_before")), F.col("_part").eqNullSafe(F.col("_at")))
-    return j.select(*df.columns, (F.col("_before") + F.col("_in")).alias("place"))
-
-
-def draws(topics: DataFrame, replicates: int, seed: str = "r") -> DataFrame:
-    """(replicate, topic): as many draws with replacement as there are topics. ``topics`` has column topic."""
-    t = numbered(topics.select("topic").distinct(), "topic")
-    n = t.agg(F.count("*").alias("k"))
-    r = topics.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    d = r.crossJoin(F.broadcast(n)).select("replicate", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw"))
-    place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "draw")), 1, 8), 16, 10).cast("long"), F.col("k"))
-    return d.select("replicate", place.alias("place")).join(t, "place").select("replicate", "topic")
-
-
-def bootstrap(counts: DataFrame, sums: list[str], replicates: int, seed: str = "r") -> DataFrame:
-    """(replicate, sums...): the summed counts of the topics that each replicate drew."""
-    return draws(counts, replicates, seed).join(counts, "topic").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in sums])
-
-
-def row_replicates(df: DataFrame, key: str, replicates: int, hits: dict[str, Column]) -> DataFrame:
-    """(replicate, n, hits...): rows drawn with replacement, each as often as a hash of replicate and key says (Poisson
-    with mean 1, cut at 5), and how many of the draws hit. Tasks sum their own rows; only sums are shuffled."""
-    d = df.select(F.col(key).alias("_key"), *[h.cast("int").alias(n) for n, h in hits.items()])
-    d = d.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    h = T.bucket(F.concat_ws(":", "replicate", "_key"), 1000)
-    d = d.withColumn("_h", h)
-    times = F.when(F.col("_h") < 368, 0).when(F.col("_h") < 736, 1).when(F.col("_h") < 920, 2).when(F.col("_h") < 981, 3).when(F.col("_h") < 996, 4).otherwise(5)
-    d = d.withColumn("_k", times)
-    return d.groupBy("replicate").agg(F.sum("_k").alias("n"), *[F.sum(F.col(n) * F.col("_k")).alias(n) for n in hits])
+#: A weight is the number of these that a hash below 2**32 reaches: the distribution of Poisson with mean 1.
+STEPS = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
+#: Multipliers of the hash of a unit's mark and a replicate's number.
+SPREAD, MIX = 2654435761, 73244475
+#: Weights that a task holds at a time.
+_CELLS = 1 << 18
+
+
+def weights(marks: np.ndarray, replicates: int) -> np.ndarray:
+    """(units, replicates) weights of units by their marks below 2**32."""
+    x = (marks.astype(np.uint64)[:, None] + np.arange(replicates, dtype=np.uint64) * np.uint64(SPREAD)) & np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        x ^= x >> np.uint64(16)
+        x = (x * np.uint64(MIX)) & np.uint64(0xFFFFFFFF)
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(STEPS, np.uint64), x, side="right")
+
+
+def replicated(units: DataFrame, key: str, sums: list[str], replicates: int, seed: str = "r") -> DataFrame:
+    """(replicate, sums...): whole-number columns of ``units`` summed with each unit's weights. Null values count as 0."""
+    names = ["replicate", *sums]
+    d = units.select(T.bucket(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 2**32).alias("mark"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates, len(sums)), np.int64)
+        rows = max(1, _CELLS // max(1, replicates))
+        for b in batches:
+            cols = [np.asarray(c, np.int64) for c in b.columns]
+            for i in range(0, b.num_rows, rows):
+                total += weights(cols[0][i : i + rows], replicates).T @ np.stack([c[i : i + rows] for c in cols[1:]], axis=1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(x) for x in total.T)], names=names)
+
+    part = d.mapInArrow(run, ", ".join(["replicate int", *(f"{c} long" for c in sums)]))
+    every = units.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"), *[F.lit(0).cast("long").alias(c) for c in sums])
+    return part.unionByName(every).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def weight_sql(mark: str, replicate: str) -> str:
+    """``weights`` in SQL, for a mark and a replicate that are expressions."""
+    x = f"(({mark}) + ({replicate}) * {SPREAD}::BIGINT) % 4294967296"
+    for _ in range(2):
+        x = f"(xor({x}, ({x}) >> 16) * {MIX}::BIGINT) % 4294967296"
+    return f"len(list_filter({STEPS}::BIGINT[], lambda step: xor({x}, ({x}) >> 16) >= step))"
 
 
 def interval(value: str, low: float = 0.025, high: float = 0.975) -> list[Column]:

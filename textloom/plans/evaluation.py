@@ -219,21 +219,20 @@ def d23(spark, d):
 # --- resampling ---
 
 TOPICS = f"""WITH {EVAL}, k AS (SELECT source AS topic, count(*) AS n, count(*) FILTER (WHERE (score >= 0.5) = (label = 1)) AS ok, count(*) FILTER (WHERE (other >= 0.5) = (label = 1)) AS ok2, count(*) FILTER (WHERE label <> 1) AS neg, count(*) FILTER (WHERE label <> 1 AND score >= 0.5) AS fp FROM l GROUP BY 1),
-t AS (SELECT topic, row_number() OVER (ORDER BY md5(topic), topic) - 1 AS place FROM k), m AS (SELECT count(*) AS k FROM t),
-dr AS (SELECT r.range AS replicate, ('0x' || substr(md5('r:' || r.range || ':' || x.range), 1, 8))::BIGINT % (SELECT k FROM m) AS place FROM range(1000) r, range((SELECT k FROM m)) x),
-b AS (SELECT replicate, sum(n) AS n, sum(ok) AS ok, sum(ok2) AS ok2, sum(neg) AS neg, sum(fp) AS fp FROM dr JOIN t USING (place) JOIN k USING (topic) GROUP BY 1) """
+w AS (SELECT k.*, r.range AS replicate, {R.weight_sql("('0x' || substr(md5('r:' || topic), 1, 8))::BIGINT", "r.range")} AS w FROM k, range(1000) r),
+b AS (SELECT replicate, sum(w * n) AS n, sum(w * ok) AS ok, sum(w * ok2) AS ok2, sum(w * neg) AS neg, sum(w * fp) AS fp FROM w GROUP BY 1) """
 
 
 def _boot(spark, d):
     ok = lambda c: F.count_if((F.col(c) >= 0.5) == (F.col("label") == 1))
     neg = F.col("label") != 1
     k = frame(spark, d).groupBy(F.col("source").alias("topic")).agg(F.count("*").alias("n"), ok("score").alias("ok"), ok("other").alias("ok2"), F.count_if(neg).alias("neg"), F.count_if(neg & (F.col("score") >= 0.5)).alias("fp"))
-    return R.bootstrap(k, ["n", "ok", "ok2", "neg", "fp"], 1000)
+    return R.replicated(k, "topic", ["n", "ok", "ok2", "neg", "fp"], 1000)
 
 
-@query("E15_clustered_bootstrap", TOPICS + ", a AS (SELECT ok / n::DOUBLE AS acc FROM b) SELECT round(avg(acc), 9) AS mean, round(quantile_cont(acc, 0.025), 9) AS lo, round(quantile_cont(acc, 0.975), 9) AS hi FROM a")
+@query("E15_clustered_bootstrap", TOPICS + ", a AS (SELECT ok / nullif(n, 0)::DOUBLE AS acc FROM b) SELECT round(avg(acc), 9) AS mean, round(quantile_cont(acc, 0.025), 9) AS lo, round(quantile_cont(acc, 0.975), 9) AS hi FROM a")
 def e15(spark, d):
-    return _boot(spark, d).withColumn("acc", F.col("ok") / F.col("n")).agg(F.round(F.avg("acc"), 9).alias("mean"), *R.interval("acc"))
+    return _boot(spark, d).withColumn("acc", F.col("ok") / F.expr("nullif(n, 0)")).agg(F.round(F.avg("acc"), 9).alias("mean"), *R.interval("acc"))
 
 
 @query("E15_bootstrap_fpr", TOPICS + ", a AS (SELECT fp / nullif(neg, 0)::DOUBLE AS v FROM b WHERE neg > 0) SELECT round(avg(v), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM a")
@@ -241,34 +240,37 @@ def e15b(spark, d):
     return _boot(spark, d).where("neg > 0").withColumn("v", F.col("fp") / F.col("neg")).agg(F.round(F.avg("v"), 9).alias("mean"), *R.interval("v"))
 
 
-@query("E16_paired_bootstrap", TOPICS + ", a AS (SELECT (ok - ok2) / n::DOUBLE AS d FROM b) SELECT round(avg(d), 9) AS mean, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi, round(least(1.0::DOUBLE, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 9) AS p FROM a")
+@query("E16_paired_bootstrap", TOPICS + ", a AS (SELECT (ok - ok2) / nullif(n, 0)::DOUBLE AS d FROM b) SELECT round(avg(d), 9) AS mean, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi, round(least(1.0::DOUBLE, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 9) AS p FROM a")
 def e16(spark, d):
-    return _boot(spark, d).withColumn("d", (F.col("ok") - F.col("ok2")) / F.col("n")).agg(F.round(F.avg("d"), 9).alias("mean"), *R.interval("d"), R.two_sided("d").alias("p"))
+    return _boot(spark, d).withColumn("d", (F.col("ok") - F.col("ok2")) / F.expr("nullif(n, 0)")).agg(F.round(F.avg("d"), 9).alias("mean"), *R.interval("d"), R.two_sided("d").alias("p"))
 
 
-@query("J13_paired_replicates", TOPICS + "SELECT replicate::INTEGER AS replicate, round(ok / n::DOUBLE, 9) AS a, round(ok2 / n::DOUBLE, 9) AS b FROM b")
+@query("J13_paired_replicates", TOPICS + "SELECT replicate::INTEGER AS replicate, round(ok / nullif(n, 0)::DOUBLE, 9) AS a, round(ok2 / nullif(n, 0)::DOUBLE, 9) AS b FROM b")
 def j13(spark, d):
-    return _boot(spark, d).select("replicate", F.round(F.col("ok") / F.col("n"), 9).alias("a"), F.round(F.col("ok2") / F.col("n"), 9).alias("b"))
+    return _boot(spark, d).select("replicate", F.round(F.col("ok") / F.expr("nullif(n, 0)"), 9).alias("a"), F.round(F.col("ok2") / F.expr("nullif(n, 0)"), 9).alias("b"))
 
 
-@query("E17_row_bootstrap", f"""WITH {EVAL}, w AS (SELECT r.range AS replicate, (score >= 0.5) = (label = 1) AS ok, CASE WHEN h < 368 THEN 0 WHEN h < 736 THEN 1 WHEN h < 920 THEN 2 WHEN h < 981 THEN 3 WHEN h < 996 THEN 4 ELSE 5 END AS k
-FROM (SELECT r.range, l.*, ('0x' || substr(md5(r.range || ':' || doc_id), 1, 8))::BIGINT % 1000 AS h FROM l, range(100) r) r),
-a AS (SELECT replicate, sum(CASE WHEN ok THEN k ELSE 0 END) / nullif(sum(k), 0)::DOUBLE AS acc FROM w GROUP BY 1) SELECT round(avg(acc), 9) AS mean, round(quantile_cont(acc, 0.025), 9) AS lo, round(quantile_cont(acc, 0.975), 9) AS hi FROM a""")
-def e17(spark, d):
-    a = R.row_replicates(frame(spark, d), "doc_id", 100, {"ok": (F.col("score") >= 0.5) == (F.col("label") == 1)})
-    return a.withColumn("acc", F.col("ok") / F.expr("nullif(n, 0)")).agg(F.round(F.avg("acc"), 9).alias("mean"), *R.interval("acc"))
+def _rows(replicates: int) -> str:
+    """Rows as units: n, hits of either system."""
+    return f"""WITH {EVAL}, w AS (SELECT (score >= 0.5) = (label = 1) AS ok, (other >= 0.5) = (label = 1) AS ok2, r.range AS replicate, {R.weight_sql("('0x' || substr(md5('r:' || doc_id), 1, 8))::BIGINT", "r.range")} AS k FROM l, range({replicates}) r),
+a AS (SELECT replicate, sum(CASE WHEN ok THEN k ELSE 0 END) / nullif(sum(k), 0)::DOUBLE AS acc, (sum(CASE WHEN ok THEN k ELSE 0 END) - sum(CASE WHEN ok2 THEN k ELSE 0 END)) / nullif(sum(k), 0)::DOUBLE AS d FROM w GROUP BY 1) """
+
 
+def _row_boot(spark, d, replicates):
+    hit = lambda c: ((F.col(c) >= 0.5) == (F.col("label") == 1)).cast("long")
+    return R.replicated(frame(spark, d).select("doc_id", F.lit(1).alias("n"), hit("score").alias("ok"), hit("other").alias("ok2")), "doc_id", ["n", "ok", "ok2"], replicates)
 
-_ROWS = f"""WITH {EVAL}, w AS (SELECT r.range AS replicate, (score >= 0.5) = (label = 1) AS ok, (other >= 0.5) = (label = 1) AS ok2, CASE WHEN h < 368 THEN 0 WHEN h < 736 THEN 1 WHEN h < 920 THEN 2 WHEN h < 981 THEN 3 WHEN h < 996 THEN 4 ELSE 5 END AS k
-FROM (SELECT r.range, l.*, ('0x' || substr(md5(r.range || ':' || doc_id), 1, 8))::BIGINT % 1000 AS h FROM l, range(1000) r) r),
-a AS (SELECT replicate, (sum(CASE WHEN ok THEN k ELSE 0 END) - sum(CASE WHEN ok2 THEN k ELSE 0 END)) / nullif(sum(k), 0)::DOUBLE AS d FROM w GROUP BY 1) """
+
+@query("E17_row_bootstrap", _rows(100) + "SELECT round(avg(acc), 9) AS mean, round(quantile_cont(acc, 0.025), 9) AS lo, round(quantile_cont(acc, 0.975), 9) AS hi FROM a")
+def e17(spark, d):
+    a = _row_boot(spark, d, 100)
+    return a.withColumn("acc", F.col("ok") / F.expr("nullif(n, 0)")).agg(F.round(F.avg("acc"), 9).alias("mean"), *R.interval("acc"))
 
 
-@query("E17_paired_rows", _ROWS + "SELECT round(avg(d), 9) AS mean, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi, greatest(0.001::DOUBLE, round(least(1.0::DOUBLE, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 9)) AS p FROM a")
+@query("E17_paired_rows", _rows(1000) + "SELECT round(avg(d), 9) AS mean, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi, greatest(0.001::DOUBLE, round(least(1.0::DOUBLE, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))), 9)) AS p FROM a")
 def e17b(spark, d):
     """Both systems on one resample of rows, 1000 times; a p of 0 is given as 0.001, which 1000 replicates can tell."""
-    a = R.row_replicates(frame(spark, d), "doc_id", 1000, {"a": (F.col("score") >= 0.5) == (F.col("label") == 1), "b": (F.col("other") >= 0.5) == (F.col("label") == 1)})
-    a = a.withColumn("d", (F.col("a") - F.col("b")) / F.expr("nullif(n, 0)"))
+    a = _row_boot(spark, d, 1000).withColumn("d", (F.col("ok") - F.col("ok2")) / F.expr("nullif(n, 0)"))
     return a.agg(F.round(F.avg("d"), 9).alias("mean"), *R.interval("d"), F.greatest(F.lit(0.001), R.two_sided("d")).alias("p"))
 
 
@@ -350,27 +352,43 @@ def s08(spark, d):
     return frame(spark, d).where("label <> 1 and score >= 0.5").orderBy(F.desc("score"), "doc_id").limit(25).select("doc_id", "score")
 
 
-def _mixed(k: int) -> str:
-    return f"""h{k} AS (SELECT *, doc_id // 10 AS block, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS pos, first(source) OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS topic, first(lang) OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS dom FROM l WHERE label = 1),
-w{k} AS (SELECT h.block, h.pos, h.score, CASE WHEN h.pos < {k} THEN ('0x' || substr(md5(h.block || ':' || h.pos), 1, 8))::BIGINT END AS draw, coalesce(nt.m, 0) AS mt, coalesce(nd.m, 0) AS md, h.topic, h.dom FROM h{k} h LEFT JOIN nt ON nt.source = h.topic LEFT JOIN nd ON nd.lang = h.dom),
-m{k} AS (SELECT w.block, w.pos, coalesce(a.score, b.score) IS NOT NULL AS inserted, coalesce(a.score, b.score, w.score) AS score FROM w{k} w LEFT JOIN dt a ON a.source = w.topic AND w.mt >= {k} AND a.k = w.draw % nullif(w.mt, 0) LEFT JOIN ad b ON b.lang = w.dom AND w.mt < {k} AND b.k = w.draw % nullif(w.md, 0))"""
-
-
-_DONORS = f"""WITH {EVAL}, dt AS (SELECT * FROM (SELECT source, score, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM l WHERE label <> 1) WHERE k < 1000), ad AS (SELECT * FROM (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM l WHERE label <> 1) WHERE k < 1000),
-nt AS (SELECT source, count(*) AS m FROM dt GROUP BY 1), nd AS (SELECT lang, count(*) AS m FROM ad GROUP BY 1)"""
 _K = {10: 1, 25: 2, 50: 5}
+#: Whole documents of ten rows of label 0, and donors of label 1 by their rank in a topic or domain.
+_DONORS = f"""WITH {EVAL}, host AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM l WHERE label = 0),
+h AS (SELECT place // 10 AS block, place % 10 AS pos, score, source, lang FROM host WHERE place // 10 < (SELECT count(*) FROM host) // 10),
+dt AS (SELECT source, score, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM l WHERE label = 1), dd AS (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank FROM l WHERE label = 1),
+nt AS (SELECT source, count(*) AS m FROM dt GROUP BY 1), nd AS (SELECT lang, count(*) AS m FROM dd GROUP BY 1),
+b AS (SELECT h.block, h.source, h.lang, coalesce(nt.m, 0) AS mt, coalesce(nd.m, 0) AS md FROM h LEFT JOIN nt USING (source) LEFT JOIN nd USING (lang) WHERE pos = 0)"""
 
 
-@query("J10_donor_match", f"{_DONORS}, {_mixed(5)} SELECT block, pos, inserted, round(score, 9) AS score FROM m5")
+def _mixed(k: int) -> str:
+    """Table m{k}: k places by a hash, k donors by drawing below m - k + 1, m - k + 2, ... where one that is taken gives way to the bound."""
+    hash_ = lambda i: f"('0x' || substr(md5('donor:{k}:' || block || ':{i}'), 1, 8))::BIGINT"
+    cols, taken = [], []
+    for i in range(k):
+        bound = f"(m - {k} + {i})"
+        inside = f"CASE WHEN list_contains([{', '.join(taken)}]::BIGINT[], {hash_(i)} % ({bound} + 1)) THEN {bound} ELSE {hash_(i)} % ({bound} + 1) END"
+        cols.append(f"CASE WHEN m < {k} THEN {hash_(i)} % m ELSE {inside} END AS c{i}")
+        taken.append(f"c{i}")
+    steps = f"g{k}_0 AS (SELECT block, source, lang, mt >= {k} AS own, CASE WHEN mt >= {k} THEN mt ELSE md END AS m FROM b WHERE CASE WHEN mt >= {k} THEN mt ELSE md END > 0)"
+    for i, c in enumerate(cols):
+        steps += f", g{k}_{i + 1} AS (SELECT *, {c} FROM g{k}_{i})"
+    return f"""{steps}, u{k} AS (SELECT block, source, lang, own, unnest([{', '.join(taken)}]) AS rank, unnest(range({k})) AS i FROM g{k}_{k}),
+s{k} AS (SELECT u.block, u.i, coalesce(dt.score, dd.score) AS donor FROM u{k} u LEFT JOIN dt ON u.own AND dt.source = u.source AND dt.rank = u.rank LEFT JOIN dd ON NOT u.own AND dd.lang = u.lang AND dd.rank = u.rank),
+p{k} AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5('place:{k}:' || block || ':' || pos), pos) - 1 AS i FROM h),
+m{k} AS (SELECT p.block, p.pos, s.donor IS NOT NULL AS inserted, coalesce(s.donor, p.score) AS score FROM p{k} p LEFT JOIN s{k} s USING (block, i))"""
+
+
+@query("J10_donor_match", f"{_DONORS}, {_mixed(5)} SELECT block, pos::INTEGER AS pos, inserted, round(score, 9) AS score FROM m5")
 def j10(spark, d):
     from ..operators.studies import mixed_documents
 
-    return mixed_documents(frame(spark, d), 10, 5).select("block", "pos", "inserted", F.round("score", 9).alias("score"))
+    return mixed_documents(frame(spark, d), 10, [5]).select("block", "pos", "inserted", F.round("score", 9).alias("score"))
 
 
 def _mixed_row(percent: int, w: int) -> str:
     return f"""SELECT {percent} AS percent, {w} AS w, count(*) FILTER (WHERE inserted AND s >= 0.5) AS tp, count(*) FILTER (WHERE inserted AND s < 0.5) AS fn, count(*) FILTER (WHERE NOT inserted AND s >= 0.5) AS fp, count(*) FILTER (WHERE NOT inserted AND s < 0.5) AS tn, count(DISTINCT block) FILTER (WHERE s >= 0.5) / nullif(count(DISTINCT block), 0)::DOUBLE AS detected
-FROM (SELECT *, avg(score) OVER (PARTITION BY block ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) AS s FROM m{_K[percent]})"""
+FROM (SELECT *, avg(score) OVER (PARTITION BY block ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) AS s FROM m{_K[percent]}) HAVING count(*) > 0"""
 
 
 @query("E20_mixed_authorship", f"{_DONORS}, {', '.join(map(_mixed, _K.values()))}, g AS ({' UNION ALL '.join(_mixed_row(p, w) for p in _K for w in (1, 3, 5))}), r AS (SELECT percent, w, detected, {RATES} FROM g) SELECT percent, w, macro_f1, recall, fpr, round(detected, 9) AS detected FROM r")
@@ -378,8 +396,6 @@ def e20(spark, d):
     """Documents of ten rows with 10, 25 or 50 % inserted, smoothed by windows of 1, 3 and 5."""
     from ..operators.studies import mixed_documents, mixed_results
 
-    out = None
-    for percent, k in _K.items():
-        r = mixed_results(mixed_documents(frame(spark, d), 10, k), (1, 3, 5)).withColumn("percent", F.lit(percent))
-        out = r if out is None else out.unionByName(r)
-    return M.rates(out).select("percent", "w", "macro_f1", "recall", "fpr", F.round("detected", 9).alias("detected"))
+    r = mixed_results(mixed_documents(frame(spark, d), 10, list(_K.values())), (1, 3, 5))
+    percent = F.element_at(F.create_map(*(F.lit(x) for p, k in _K.items() for x in (k, p))), F.col("k"))
+    return M.rates(r).select(percent.alias("percent"), "w", "macro_f1", "recall", "fpr", F.round("detected", 9).alias("detected"))
