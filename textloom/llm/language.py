@@ -1,8 +1,8 @@
 """Language identification by bit-sliced Bloom filters that answer with a mask of languages.
 
 ``learn`` finds, for each language, the n-grams that stand in at least SHARE of its documents, and in at least CONTRAST of
-the share that they have in any language. It reads at most SAMPLE documents of each language (the first by a hash of id and text;
-a documented bound, whole texts), counts n-grams by document inside tasks and sums the counts in Spark; what is left is
+the share that they have in any language. It reads about SAMPLE documents of each language (those whose hash of
+id and length lies in the language's share of the range; a documented bound, whole texts), counts n-grams by document inside tasks and sums the counts in Spark; what is left is
 bounded by the texts' length over SHARE. Every language has a Bloom filter of the same size and the same hash functions, and the filters lie
 side by side: a cell holds one bit of each, so that the cells of an n-gram, joined by and, are the mask of all languages
 that contain it.
@@ -13,8 +13,8 @@ decides (the first by name on a tie), and its part of all languages' counts is t
 points of the lower-cased text, all letters, or all but the first, or all but the last.
 
 Null texts and texts without a letter are ``und`` with score 0. A text with letters and no known n-gram gets the most
-frequent learned language and score 0; without any learned language everything is ``und``. Null languages teach nothing, null ids
-are never held out and hash as null. Repeated rows and rows of one id are taken one by one. Columns other than id, text and
+frequent learned language and score 0; without any learned language everything is ``und``. Null languages teach nothing; a null
+id hashes as null. Repeated rows and rows of one id are taken one by one. Columns other than id, text and
 language are not read.
 """
 
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -159,11 +159,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE, contrast:
     if not total:
         return Model([], np.zeros((1, 1), np.uint8), np.zeros(0), "und")
     names = sorted(total)
-    # ranks that end at a constant: tasks cut each language to it before they shuffle
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    picked = known.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample).select("lang", "text")
-    counted = _documents_of_grams(picked.repartition("lang", F.xxhash64("text"))).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    parts = F.create_map(*(x for k, v in total.items() for x in (F.lit(k), F.lit(float(min(v, sample))))))
+    # each language's share of the range of hashes: no sort and no task that a language meets in
+    rates = F.create_map(*(x for k, v in total.items() for x in (F.lit(k), F.lit(min(1.0, sample / v)))))
+    mark = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) / float(1 << 40)
+    picked = known.where(mark < F.element_at(rates, F.col("lang")))
+    size = {r.lang: r.n for r in picked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not size:
+        return Model([], np.zeros((1, 1), np.uint8), np.zeros(0), "und")
+    counted = _documents_of_grams(picked.repartition("lang", F.xxhash64("doc_id", "text"))).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    parts = F.create_map(*(x for k, v in size.items() for x in (F.lit(k), F.lit(float(v)))))
     rows = counted.withColumn("share", F.col("n") / F.element_at(parts, F.col("lang"))).groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("of"))
     kept = F.transform(F.filter("of", lambda x: (x["share"] >= share) & (x["share"] >= contrast * F.col("most"))), lambda x: x["lang"])
     found = rows.where(F.col("most") >= share).select("gram", kept.alias("langs")).toArrow()  # at most n-grams of a text over SHARE for each language
