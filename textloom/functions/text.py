@@ -220,9 +220,14 @@ def doi(c) -> Column:
     return F.when(found != "", found)
 
 
+#: What an alignment key leaves out.
+ALIGN_MARKS = "\"'.,/#!$%^&*;:{}=-_`~()[]"
+ALIGN_DROPPED = "[\\s\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{200B}-\\x{200D}\\x{FEFF}\\x{2010}-\\x{2015}\\x{201C}\\x{201D}\\x{2018}\\x{2019}" + "".join(f"\\{m}" for m in ALIGN_MARKS) + "]"
+
+
 def align_key(c) -> Column:
-    """Lower case without white space and ASCII punctuation."""
-    return F.lower(F.regexp_replace(_c(c), "[\\s!-/:-@\\[-`{-~]", ""))
+    """Lower case without white space, zero-width characters, dashes, quotes and the ALIGN_MARKS."""
+    return F.lower(F.regexp_replace(_c(c), ALIGN_DROPPED, ""))
 
 
 def token_set(c) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import bounds, range_of
+
 
 def confusion(label: str = "label", score: str | Column = "score", threshold: Column | float = 0.5) -> list[Column]:
     """Aggregates tn, fp, fn, tp."""
@@ -52,20 +54,22 @@ def threshold_search(df: DataFrame, low: int, high: int, label: str = "label", s
     return best.select((F.col("t") / 100.0).alias("threshold"), "macro_f1")
 
 
-#: Parts of the unit of scores in which curves are summed before their parts are put together.
-PARTS = 1024
+#: Ranges of scores in which curves are summed before their ranges are put together.
+PARTS = 256
 
 
 def roc(df: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score", digits: int | None = None) -> DataFrame:
     """A row for each distinct score, descending: tp and fp up to it, their totals, tpr and fpr.
 
-    Ties share a point. Counts are summed per score, then inside parts of the scores' range, and the parts' sums are
-    put together over one row for each part; so no task takes all scores of a curve. ``digits`` rounds scores first.
+    Ties share a point. Counts are summed per score, then inside ranges that hold about as many distinct scores each, wherever
+    the scores lie, and the ranges' sums are put together over one row for each; so no task takes all scores of a
+    curve. ``digits`` rounds scores first.
     """
     by = by or []
     if digits is not None:
         df = df.withColumn(score, F.round(score, digits))
-    c = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).withColumn("_part", F.floor(F.col(score) * PARTS))
+    c = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    c = c.withColumn("_part", range_of(F.col(score).cast("double"), bounds(c, score, PARTS)))
     parts = c.groupBy(*by, "_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     above, every = Window.partitionBy(*by).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
     before = lambda x: F.coalesce(F.sum(x).over(above), F.lit(0))

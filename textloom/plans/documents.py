@@ -237,3 +237,27 @@ def d03(spark, d):
 
     s = scored(spark, d).withColumns({"other": T.bucket(F.concat(F.lit("b"), "doc_id", F.lit(":"), "sent_idx"), 1000) / F.lit(1000.0), "trans": F.col("sent_idx") % 5 == 0, "low": F.col("doc_id") % 4 == 0, "meta": F.col("n_words") < 2})
     return s.select("doc_id", "sent_idx", F.round(heuristic_fusion("score", "other", "trans", "low", "meta"), 9).alias("fused"))
+
+
+def _key(c: str) -> str:
+    return f"lower(regexp_replace({c}, '" + T.ALIGN_DROPPED.replace("'", "''") + "', '', 'g'))"
+
+
+@query("J11_sentence_boxes", "WITH " + SENT + f""", box AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+bk AS (SELECT *, {_key("t")} AS k FROM box), bx AS (SELECT *, sum(length(k)) OVER (PARTITION BY doc_id ORDER BY line) AS stop, sum(length(k)) OVER (PARTITION BY doc_id ORDER BY line) - length(k) AS start FROM bk),
+ps AS (SELECT doc_id, sent_idx, sentence, list_filter(list_transform(regexp_split_to_array(sentence, '[\\n\\r]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM sent),
+pt AS (SELECT doc_id, sent_idx, unnest(CASE WHEN len(p) > 0 THEN p ELSE [sentence] END) AS t, generate_subscripts(CASE WHEN len(p) > 0 THEN p ELSE [sentence] END, 1) - 1 AS part FROM ps),
+pk AS (SELECT *, {_key("t")} AS k FROM pt), pn AS (SELECT *, sum(length(k)) OVER (PARTITION BY doc_id ORDER BY sent_idx, part) AS at FROM pk),
+j AS (SELECT w.doc_id, w.sent_idx, b.line, length(b.t) AS wide FROM pn w JOIN bx b ON b.doc_id = w.doc_id AND b.start < w.at AND b.stop > w.at - length(w.k) WHERE length(w.k) >= 3)
+SELECT doc_id, sent_idx, (line // 50)::INTEGER AS page, count(DISTINCT line) AS n_boxes, min(line % 50)::INTEGER * 12 AS y0, (max(line % 50)::INTEGER + 1) * 12 AS y1, (max(wide) * 6)::BIGINT AS x1 FROM j GROUP BY doc_id, sent_idx, page""")
+def j11(spark, d):
+    """Sentences of the documents over their lines, fifty to a page: the box around each sentence's lines on each page. As both
+    are of one text, SQL knows the places from sums of lengths, without a search."""
+    from ..operators.alignment import aligned
+
+    docs = read(spark, d, "documents").where("text is not null")
+    boxes = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("box_idx", "text"))
+    j = aligned(sentences(spark, d), boxes).join(boxes.select("doc_id", "box_idx", F.length("text").alias("wide")), ["doc_id", "box_idx"])
+    row = F.col("box_idx") % 50
+    return j.groupBy("doc_id", "sent_idx", F.floor(F.col("box_idx") / 50).cast("int").alias("page")).agg(
+        F.countDistinct("box_idx").alias("n_boxes"), (F.min(row) * 12).alias("y0"), ((F.max(row) + 1) * 12).alias("y1"), (F.max("wide") * 6).cast("long").alias("x1"))

@@ -56,7 +56,8 @@ scalar("T14_generator_retrained", lambda: T.generator(_src(), T.GENERATORS_RETRA
 scalar("T14_generators_recalled", lambda: F.array_join(T.generators_recalled(_src()), "|"), "concat_ws('|', " + ", ".join(f"CASE WHEN " + " OR ".join(f"contains(lower({_SRC}), '{k}')" for k, v in T.GENERATORS_RECALLED if v == n) + f" THEN '{n}' END" for n in dict.fromkeys(v for _, v in T.GENERATORS_RECALLED)) + ")")
 scalar("T15_transition_flag", lambda: T.has_transition("text"), r"regexp_matches(lower(text), '\b(" + "|".join(T.TRANSITION_PHRASES) + r")\b')")
 scalar("T17_marker_flag", lambda: T.has_marker("text"), "(" + " OR ".join(f"contains(lower(text), '{m}')" for m in T.MARKERS) + ")")
-scalar("T26_align_key", lambda: T.align_key("text"), r"lower(regexp_replace(text, '[\s!-/:-@\[-`{-~]', '', 'g'))")
+_ALIGN = T.ALIGN_DROPPED.replace("'", "''")
+scalar("T26_align_key", lambda: T.align_key("text"), f"lower(regexp_replace(text, '{_ALIGN}', '', 'g'))")
 scalar("T36_safe_name", lambda: T.safe_name("url"), "regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g')", "pages", "page_id")
 scalar("T32_token_lock", lambda: T.locked("text")["text"], None)
 scalar("T33_tex_lock", lambda: T.locked("text", T.TEX_LOCKS, nested=True)["text"], None)
