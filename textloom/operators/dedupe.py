@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import components, drop, table
+from ..tables import components, drop, spread, table
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def shingle_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 
 def _sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    return df.select(F.col(key).alias("id"), T.word_list(text).alias("w")).where(F.size("w") > 0).select("id", F.array_sort(T.shingle_hashes("w", k)).alias("set"))
+    return spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).select("id", T.word_list("text").alias("w")).where(F.size("w") > 0).select("id", F.sort_array(T.shingle_hashes("w", k)).alias("set"))
 
 
 #: One of so many classes tells how frequent shingles are, of which the FREQUENT most frequent are ordered by that.
@@ -78,9 +78,10 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: st
     one of SAMPLED classes; what it is changes the work, not the rows. Lists of over LIST postings are dealt
     over several keys. Candidates are confirmed on the whole sets, as 64-bit hashes.
     """
-    # a class's set is that of its first id; equal sets meet by their hash, whole texts are not shuffled
-    s = _sets(df, key, text, k).groupBy(F.xxhash64("set").alias("h"), F.size("set").alias("n")).agg(F.min_by(F.struct("id", "set"), "id").alias("x")).select("x.id", "x.set")
-    s = table(s, "sets")
+    # a class's set is that of its first id; equal sets meet by their hash, neither texts nor sets are shuffled
+    every = table(_sets(df, key, text, k).withColumn("h", F.xxhash64("set")), "sets")
+    first = every.groupBy("h", F.size("set").alias("n")).agg(F.min("id").alias("id"))
+    s = every.join(first.select("id", "h"), ["id", "h"], "left_semi").select("id", "set")
     often = s.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
     frequent = [(r.x, r.n) for r in often.orderBy(F.desc("n"), "x").limit(FREQUENT).collect()]  # at most FREQUENT
     pre = table(_prefixes(s, frequent, threshold), "prefixes")
@@ -94,7 +95,7 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: st
     l = side("a", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int"))
     r = side("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
     need = F.ceil(F.round(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")), 9))
-    room = 1 + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
+    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))  # this one and those after it
     c = l.join(r, ["x", "salt"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (room >= need))
     shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     c = c.where(shared >= need).select("a", "b").distinct()
@@ -102,7 +103,7 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "doc_id", text: st
     c = c.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     out = table(c.withColumn("jaccard", F.round(both / (F.size("sa") + F.size("sb") - both), 9)).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard"), "pairs")
-    drop(s, pre, long)
+    drop(every, long)
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import document as D
+from ..tables import spread
 from .registry import ORACLES, SCORED, SENT, SMOOTH, WC, query, read, scored, sentences
 
 
@@ -255,9 +256,10 @@ def j11(spark, d):
     are of one text, SQL knows the places from sums of lengths, without a search."""
     from ..operators.alignment import aligned
 
-    docs = read(spark, d, "documents").where("text is not null")
+    docs = spread(read(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     boxes = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("box_idx", "text"))
-    j = aligned(sentences(spark, d), boxes).join(boxes.select("doc_id", "box_idx", F.length("text").alias("wide")), ["doc_id", "box_idx"])
+    sent = docs.select("doc_id", F.posexplode(T.sentences("text")).alias("sent_idx", "sentence"))
+    j = aligned(sent, boxes).join(boxes.select("doc_id", "box_idx", F.length("text").alias("wide")), ["doc_id", "box_idx"])
     row = F.col("box_idx") % 50
     return j.groupBy("doc_id", "sent_idx", F.floor(F.col("box_idx") / 50).cast("int").alias("page")).agg(
         F.countDistinct("box_idx").alias("n_boxes"), (F.min(row) * 12).alias("y0"), ((F.max(row) + 1) * 12).alias("y1"), (F.max("wide") * 6).cast("long").alias("x1"))

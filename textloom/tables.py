@@ -51,6 +51,12 @@ def drop(*tables: DataFrame) -> None:
             _delete(_made.pop(path), path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew if it comes in fewer partitions than there are cores, as a file of one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def components(edges: DataFrame, label: str = "cc", rounds: list[int] | None = None) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component: its smallest node. ``rounds`` gets each round's edges.
 
