@@ -615,72 +615,126 @@ def test_line_dedup_deletes_aligned_blocks(spark):
     assert got == {1: rows[0][1], 2: "other top\nother end", 3: rows[2][1], 4: "", 5: "other top", 6: None, 7: ""}
 
 
-def brute_blocks(rows):
-    """Of every document the lines that stand in a block of any earlier one, by all pairs of places."""
-    texts = [(i, t.split("\n")) for i, t in rows if i is not None and t is not None]
+def brute_runs(text):
+    """(first line, line after the last, the lines and the number of equal runs before) of every least stretch of MIN_WORDS words."""
+    t = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in text.split("\n")]
+    full = [k for k, x in enumerate(t) if x]
+    size = [len(t[k].split(" ")) for k in full]
+    found = set()
+    for k in range(len(full)):
+        j = next((j for j in range(k + 1, len(full) + 1) if sum(size[k:j]) >= lines.MIN_WORDS), None)
+        i = next((i for i in range(k, -1, -1) if sum(size[i:k + 1]) >= lines.MIN_WORDS), None)
+        found |= ({(k, j)} if j else set()) | ({(i, k + 1)} if i is not None else set())
+    seen, out = Counter(), []
+    for i, j in sorted(found):
+        key = tuple(t[k] for k in full[i:j])
+        out.append((full[i], full[j - 1] + 1, (key, seen[key])))
+        seen[key] += 1
+    return out
+
+
+def brute_lines(rows):
+    """The lines to delete from each document, by partners found in all earlier documents; ids are distinct."""
+    held = {i: brute_runs(t) for i, t in rows if i is not None and t is not None}
+    where = {}
+    for i in sorted(held):
+        for p, _, key in held[i]:
+            where.setdefault(key, []).append((i, p))
+    number = {key: k for k, key in enumerate(where)}
     want = {}
-    for d, t in texts:
-        gone = set()
-        for e, u in texts:
-            for p, q in itertools.product(range(len(t)), range(len(u) if e < d else 0)):
-                # equal lines from here on, blank ones skipped on both sides
-                i, j, run = p, q, []
-                while i < len(t) and j < len(u) and t[i] and t[i] == u[j]:
-                    run.append(i)
-                    i, j = i + 1, j + 1
-                    while i < len(t) and not t[i]:
-                        i += 1
-                    while j < len(u) and not u[j]:
-                        j += 1
-                if run and sum(len(t[k].split()) for k in run) >= lines.MIN_WORDS:
-                    gone.update(range(run[0], run[-1] + 1))
-        want.setdefault((d, "\n".join(t)), gone)
+    for i, found in held.items():
+        shared = []
+        for p, q, key in found:
+            before = [x for x in where[key] if x[0] < i]
+            near = before[-1:] if len(where[key]) <= lines.RARE else []
+            shared += [(p, q, number[key], *x, len(where[key])) for x in {*before[:1], *near}]
+        want[i] = {k for p, q, *_ in lines.aligned(shared) for k in range(p, q)}
     return want
 
 
-def test_line_dedup_of_all_pairs(spark):
-    P, Q = "the passage named P has more words than eight in it", "the passage named Q has more words than eight in it"
+def test_line_dedup_in_the_order_of_lines(spark):
+    P, Q, R = (f"the passage named {x} has more words than eight in it" for x in "PQR")
     short = ["one two", "three four", "five six", "seven eight", "nine"]
-    rows = [(1, f"{P}\n{Q}"), (2, f"{Q}\n{P}"), (3, f"{Q}\n{P}")]  # 3 is a copy of 2, and both of 1 in another order
+    rows = [(1, f"{P}\n{Q}\n{R}"), (2, f"{R}\n{P}\n{Q}"), (3, f"{R}\n{P}\n{Q}"), (4, f"{Q}\n{R}\nown line of four\n{P}")]
     rows += [(10 + k, f"own {k}\n{x}\nend {k}") for k, x in enumerate(short)] + [(20, "\n".join(["b", *short, "c"])), (21, "\n".join(["d", *short, "e"]))]
     got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {**dict(rows), 2: "", 3: "", 21: "d\ne"}
+    # in 2 a single line moved, which stays; what of 3 and 4 the first document leaves is aligned with the nearest one
+    assert got == {**dict(rows), 2: R, 3: "", 4: "own line of four", 21: "d\ne"}
     left = lines.stage(None, spark.createDataFrame([(i, f"\n{t}\n") for i, t in rows], "doc_id long, text string"), "")
-    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {2, 3}
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {3}
+
+
+def test_a_block_that_moved_goes_and_a_line_stays():
+    run = lambda p, h, place: (p, p + 1, h, 1, place, 2)
+    assert lines.aligned([run(0, 7, 5), *(run(k, k, k - 1) for k in range(1, 5))]) == [(1, 5, 1, 0)]
+    moved = [run(0, 7, 10), run(1, 8, 11), *(run(k, k, k) for k in range(2, 6))]
+    assert lines.aligned(moved) == [(0, 2, 1, 10), (2, 6, 1, 2)]
+
+
+def test_without_the_diff_nothing_goes(monkeypatch):
+    rows = [(i, "\n".join(f"line {k} has quite enough words" for k in range(6))) for i in range(4)]
+    assert all(len(x) == 6 for i, x in brute_lines(rows).items() if i)
+    monkeypatch.setattr(lines, "patience", lambda a, b: [])
+    assert not any(brute_lines(rows).values())
+
+
+def test_alignment_is_as_long_as_can_be():
+    """Two documents of single lines that are unique: as many lines go as the longest common ascent has, by plain dynamic
+    programming, and of what is left only blocks of two lines."""
+    rng = random.Random(31)
+    for _ in range(300):
+        n = rng.randrange(1, 12)
+        b = rng.sample(range(20), n)
+        shared = [(p, p + 1, h, 1, b.index(h), 2) for p, h in enumerate(rng.sample(b, n))]
+        best = [0] * n
+        for i in range(n):
+            best[i] = 1 + max((best[j] for j in range(i) if shared[j][4] < shared[i][4]), default=0)
+        found = lines.aligned(shared)
+        gone = sum(q - p for p, q, _, _ in found)
+        pairs = sum(shared[i + 1][4] == shared[i][4] + 1 for i in range(n - 1))
+        assert gone >= max(best) and (gone == max(best) or pairs)
+        assert all([x[2] for x in shared[p:q]] == b[place:place + q - p] for p, q, _, place in found)
 
 
 @pytest.mark.parametrize("seed", [21, 22, 23])
-def test_line_dedup_equals_all_pairs(spark, seed):
-    """Also with ids that have several texts, or one of them several times."""
+def test_line_dedup_equals_all_partners(spark, seed, monkeypatch):
+    """Runs, partners and order by brute force over all texts; a small bound of what is rare."""
+    monkeypatch.setattr(lines, "RARE", 6)
     rng = random.Random(seed)
     pool = [" ".join(words(rng, rng.choice([1, 2, 3, 5, 9]))) for _ in range(25)]
     block = [rng.sample(pool, 4) for _ in range(8)]
     piece = lambda: rng.choice([[rng.choice(pool)], rng.choice(block), [""], [" ".join(words(rng, 4))]])
-    rows = [(i - i % 7 // 5, "\n".join(itertools.chain.from_iterable(piece() for _ in range(rng.randrange(1, 9))))) for i in range(70)]
-    rows += [rows[9], rows[9], (None, rows[3][1]), (500, None), (501, "")]
+    rows = [(i, "\n".join(itertools.chain.from_iterable(piece() for _ in range(rng.randrange(1, 9))))) for i in range(70)]
+    rows += [(None, rows[3][1]), (500, None), (501, "")]
     got = lines.line_dedup(spark.createDataFrame([(*r, r[1]) for r in rows], "doc_id long, text string, old string"), blocks_col="blocks").collect()
-    want = brute_blocks(rows)
+    want = brute_lines(rows)
     assert sum(map(len, want.values())) > 50 and len(got) == len(rows)
-    texts = {}
-    for i, t in rows:
-        texts.setdefault(i, []).append((t or "").split("\n"))
+    texts = {i: (t or "").split("\n") for i, t in rows}
     words_of = lambda t: [x for x in t if x]
     for r in got:
         if r.doc_id is None or r.old is None:
             assert r.text == r.old and r.gone is None
             continue
         gone, old = set(r.gone or []), r.old.split("\n")
-        assert gone == want[r.doc_id, r.old] and r.text == "\n".join(x for k, x in enumerate(old) if k not in gone)
+        assert gone == want[r.doc_id] and r.text == "\n".join(x for k, x in enumerate(old) if k not in gone)
         for b in r.blocks or []:  # what a block's partner holds
-            assert b.other < r.doc_id and any(words_of(old[b.start:b.stop]) == words_of(u[b.place:])[:len(words_of(old[b.start:b.stop]))] for u in texts[b.other])
+            mine = words_of(old[b.start:b.stop])
+            assert b.other < r.doc_id and mine == words_of(texts[b.other][b.place:])[: len(mine)]
+
+
+def test_texts_of_one_id_take_nothing_from_each_other(spark):
+    a, b = "a first line that has enough words in it", "a second line that has enough words in it"
+    rows = [(1, f"{a}\nx"), (1, f"y\n{a}"), (1, f"{a}\nx"), (2, f"{a}\n{b}"), (2, f"{b}\nz"), (2, f"{a}\n{b}")]
+    got = Counter((r.doc_id, r.text) for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([*rows[:3], (2, b), (2, f"{b}\nz"), (2, b)])
 
 
 def test_alignment_pairs_blocks_in_order(spark):
-    """A passage that stands twice in both documents is paired place by place; one that moved on its own."""
+    """A passage that stands twice in both documents is paired place by place; a line that moved stays."""
     x, y, z = (f"line {k} has quite enough words" for k in "xyz")
     rows = [(1, "\n".join([x, "a", y, "b", x, "c", z])), (2, "\n".join([z, "d", x, "e", y, "f", x]))]
     r = next(r for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), blocks_col="blocks").collect() if r.doc_id == 2)
-    assert r.text == "d\ne\nf" and [(b.start, b.stop) for b in r.blocks] == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    assert r.text == f"{z}\nd\ne\nf" and [(b.start, b.stop) for b in r.blocks] == [(2, 3), (4, 5), (6, 7)]
 
 
 def test_patience_is_a_common_subsequence():
@@ -801,8 +855,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     kept = dict(con.execute(f"select doc_id, kept from ({quality.SQL})").fetchall())
     now = [(i, t) for i, t, *_ in rows if kept[i]]
     assert len(now) < len(rows) - 4
-    gone = brute_blocks(now)
-    after = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]), bool(gone[i, t])) for i, t in now]
+    gone = brute_lines(now)
+    after = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), bool(gone[i])) for i, t in now]
     assert any(g for *_, g in after)
     now = [(i, t) for i, t, g in after if not g or t.split()]
     component = brute_components(now, 5, 80)

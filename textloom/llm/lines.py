@@ -1,18 +1,18 @@
 """Line dedup by pairwise alignment of documents that share rare lines.
 
 Lines are compared by a hash of their trimmed text. A ``run`` is the least stretch of neighbouring lines, onward
-or back from a line, that has MIN_WORDS words; most are one line. Each run's hash has one holder, the first
-document with it, by doc_id; every later document with that run is a partner of the holder. So pairs are at most
-as many as a document's own runs, no line is too frequent to be followed, and the partners of a document hold
-all blocks of MIN_WORDS words that it shares with any earlier document. Only the places of shared runs are
-shuffled, never another document's lines.
-
-A later document takes its partners one by one, that with the rarest shared run first, and is aligned with each
-over what no partner before has: by patience diff, whose anchors are the runs that are unique on both sides and
-stand in the same order (longest increasing subsequence), the stretches between them in the same way; where none
-is unique, the k-th of a repeated run stands for it. Runs that moved, and so are off that alignment, are aligned
-on their own. Aligned runs that overlap or touch in both documents are one block, and its lines are deleted from
-the later document.
+or back from a line, that has MIN_WORDS words; most are one line. Overlapping documents are found through runs:
+a rare one (in RARE documents at most) makes the later document a partner of the nearest earlier document with it and of
+the first, a more frequent one of the first only. So pairs are at most twice as many as a document's own runs, and no
+line is too frequent to be followed. Only the places of shared runs are shuffled, never another document's lines.
+
+A later document takes its partners one by one, that first with which it shares most, each run counting as one over its
+documents, and is aligned with each over what no partner before has: by patience diff, whose anchors are the runs that are
+unique on both sides and stand in the same order (longest increasing subsequence), the stretches between them in the same
+way; of a run that a document has more than once, the k-th meets the k-th. The diff decides: aligned runs that overlap or touch in
+both documents are one block, and its lines are deleted from the later document. What the diff leaves, as its order is
+another, is aligned once more up to REMAINDERS times, and of that only blocks of MOVED lines or more are deleted: a single line
+that stands elsewhere stays.
 
 Null and blank texts have no lines and stay as they are, rows with a null id too. Rows of one id are one document:
 each of its texts loses what earlier documents hold, they take nothing from each other. Blank lines belong to a
@@ -27,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
 from ._tables import table
 
-MIN_WORDS = 5
+MIN_WORDS, RARE, REMAINDERS, MOVED = 5, 32, 3, 2
 _WS = "[\\x20\\x09-\\x0D]+"
 _P = np.uint64(0xA0761D6478BD642F)
 _PINV = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
@@ -48,7 +48,8 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def runs(h: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run: its document, the numbers there of its first line and of the line after it, its hash.
+    """Of each run: its document, the numbers there of its first line and of the line after it, the hash of it and of how
+    often the document has had it.
     ``h``, ``n``: hashes and words of all lines; ``at``: where the documents start among them, and the end."""
     full = np.flatnonzero(n > 0)
     doc = np.searchsorted(at, full, "right") - 1
@@ -65,6 +66,14 @@ def runs(h: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     power = np.multiply.accumulate(power, axis=1)
     total = np.r_[np.zeros(1, np.uint64), np.cumsum(h[full] * power[0, :-1])]
     digest = W.mix((total[j] - total[i]) * power[1, i] + (j - i).astype(np.uint64) * W._M)
+    # the k-th time that a document has a run is a run of its own
+    order = np.lexsort((i, digest, doc[i])) if len(i) else i
+    again = np.zeros(len(i), np.uint64)
+    if len(i):
+        fresh = np.r_[True, (digest[order][1:] != digest[order][:-1]) | (doc[i][order][1:] != doc[i][order][:-1])]
+        start_of = np.maximum.accumulate(np.where(fresh, np.arange(len(i)), 0))
+        again[order] = (np.arange(len(i)) - start_of).astype(np.uint64)
+    digest = np.where(again > 0, W.mix(digest + again * W._M), digest)
     first = at[doc[i]] if len(i) else i
     return doc[i], full[i] - first, full[j - 1] + 1 - first, digest
 
@@ -139,29 +148,45 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _blocks(mine: list[tuple], theirs: list[tuple]) -> list[list[tuple[tuple, tuple]]]:
+    """The aligned runs of ``mine`` (p, q, h) and ``theirs`` (place, lines, h), by blocks that overlap or touch in both documents."""
+    out: list[list] = []
+    for i, j in patience([x[2] for x in mine], [x[2] for x in theirs]):
+        x, y = mine[i], theirs[j]
+        if out:
+            first, last = out[-1][0], max(z[0][1] for z in out[-1])
+        if out and first[0][0] <= x[0] <= last and y[0] - first[1][0] == x[0] - first[0][0]:
+            out[-1].append((x, y))
+        else:
+            out.append([(x, y)])
+    return out
+
+
 def aligned(shared: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """The blocks (start, stop, other, start in other) to delete from a document; ``shared``: its runs (p, q, hash,
-    holder, place in the holder, documents with the run)."""
+    partner, place in the partner, documents with the run)."""
     gone: set[int] = set()
     out: list[tuple[int, int, int, int]] = []
     by: dict[int, list[tuple[int, int, int, int]]] = {}
-    rarest: dict[int, int] = {}
+    weight: dict[int, dict[int, float]] = {}
     for p, q, h, other, place, df in shared:
         by.setdefault(other, []).append((p, q, h, place))
-        rarest[other] = min(df, rarest.get(other, df))
-    for other in sorted(by, key=lambda e: (rarest[e], e)):
-        mine = sorted(x for x in by[other] if not all(k in gone for k in range(x[0], x[1])))
-        theirs = sorted({(place, h) for _, _, h, place in mine})
-        a, b = [h for _, _, h, _ in mine], [h for _, h in theirs]
-        met = [(mine[i], theirs[j][0]) for i, j in patience(a, b)]
-        on = {x for x, _ in met}
-        met += [(x, x[3]) for x in mine if x not in on]  # what moved
-        for (p, q, _, _), place in met:
-            if out and out[-1][2] == other and out[-1][0] <= p <= out[-1][1] and place - out[-1][3] == p - out[-1][0]:
-                out[-1] = (out[-1][0], max(q, out[-1][1]), other, out[-1][3])
-            else:
-                out.append((p, q, other, place))
-            gone.update(range(p, q))
+        weight.setdefault(other, {})[h] = 1 / df
+    for other in sorted(by, key=lambda e: (-round(sum(weight[e].values()), 9), e)):
+        mine = sorted({x[:3] for x in by[other] if not all(k in gone for k in range(x[0], x[1]))})
+        theirs = sorted({(place, q - p, h) for p, q, h, place in by[other]})
+        for step in range(1 + REMAINDERS):
+            found = _blocks(mine, theirs)
+            if step:
+                found = [x for x in found if max(m[1] for m, _ in x) - x[0][0][0] >= MOVED]
+            if not found:
+                break
+            for block in found:
+                p, q = block[0][0][0], max(m[1] for m, _ in block)
+                out.append((p, q, other, block[0][1][0]))
+                gone.update(range(p, q))
+            met = {m for block in found for m, _ in block}, {t for block in found for _, t in block}
+            mine, theirs = [x for x in mine if x not in met[0] and not all(k in gone for k in range(x[0], x[1]))], [x for x in theirs if x not in met[1]]
     return sorted(out)
 
 
@@ -172,6 +197,11 @@ def deletions(docs: DataFrame) -> DataFrame:
     first = held.groupBy("h").agg(F.min("doc_id").alias("other"), F.min_by("p", "doc_id").alias("place"), F.max("doc_id").alias("last"), F.count("*").alias("df")).where("other < last").drop("last")
     first = table(first, "holders")  # both sides of the join are then plain exchanges, which adaptive execution splits where a run is hot
     later = held.join(first, "h").where("doc_id > other")
+    # the nearest earlier document with a rare run: at most RARE documents in a group
+    rare = held.join(first.where(F.col("df") <= RARE).select("h", "df", "other"), "h")
+    near = Window.partitionBy("h").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    near = rare.withColumn("_near", F.max(F.struct("doc_id", (-F.col("p")).alias("back"))).over(near)).where(F.col("_near.doc_id") > F.col("other"))
+    later = later.unionByName(near.select("h", "doc_id", "version", "p", "q", F.col("_near.doc_id").alias("other"), (-F.col("_near.back")).alias("place"), "df"))
     mine = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("p", "q", "h", "other", "place", "df")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
