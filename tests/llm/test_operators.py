@@ -483,7 +483,7 @@ _MENU = "".join(f'<a href="/{k}">Section {k}</a> ' for k in range(8))
 
 @pytest.mark.parametrize(("page", "text"), [
     # no name tells what is what here: only the clusters do
-    (f"<body><div>{_MENU}</div><div><h1>T</h1><p>{_LONG}</p><p>Short one.</p><p>{_LONG * 2}</p></div><div>{_MENU}</div><div>(c) 2020</div><div>All rights</div><div>kept</div></body>", ["T", _LONG, "Short one.", _LONG * 2]),
+    (f"<body><div>{_MENU * 30}</div><div><h1>T</h1><p>{_LONG}</p><p>Short one.</p><p>{_LONG * 2}</p></div><div>{_MENU}</div><div>(c) 2020</div><div>All rights</div><div>kept</div></body>", ["T", _LONG, "Short one.", _LONG * 2]),
     (f"<body><div>Site</div><div>of things</div><div>since 2020</div><table><tr><td>{_MENU}</td></tr></table><p>{_LONG}</p><div>{_MENU}</div><p>{_LONG * 2}</p></body>", [_LONG, _LONG * 2]),
     (f"<body><div>Site</div><div>of things</div><div><ul><li><a>Home</a></li><li><a>News</a></li><li><a>Mail</a></li></ul></div><h2>T</h2><p>{_LONG * 2}</p><ul><li>one</li><li>two</li></ul><p>{_LONG}</p></body>", ["T", _LONG * 2, "one", "two", _LONG]),
 ])
@@ -494,6 +494,32 @@ def test_clusters_select_the_text(page, text, monkeypatch):
     assert html_text.extract(page) != want
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p>a <span class="ad">Buy now!</span> b</p><p>c <i class="sponsored-link">d <i>e</i> f</i> g</p></article>', "a b c g"),
+    ('<article><p>a <span class="ad">never closed</p><p>b</p></article>', "a b"),
+    ('<article><p class="reply-policy">a</p><section class="tags-history">b</section><div class="skip-lists">c</div><p class="byline">d</p><p class="ad-hoc">e</p></article>', "a b c d e"),
+    ('<article><p>a</p><p hidden>x</p><div style="display:none">y</div><p>b<span style="visibility: hidden">z</span></p></article>', "a b"),
+    (f'<body><article><h1>T</h1><p>{_LONG}</p></article><section id="reactions"><article><p>{_LONG}</p></article></section></body>', f"T {_LONG}"),
+    (f'<body><article><h1>T</h1><p>{_LONG}</p></article><article class="more"><h2>Next</h2><p>teaser</p></article></body>', f"T {_LONG}"),
+    (f'<body><article><h1>T</h1><p>{_LONG}</p><div><article><p>a reader says so</p></article></div></article></body>', f"T {_LONG}"),
+    (f'<body><article><h1>T</h1><p>{_LONG}</p></article><div><article><h2>Next</h2><p>teaser of another</p></article></div></body>', f"T {_LONG}"),
+])
+def test_inline_adverts_hidden_text_and_several_articles(page, text):
+    assert html_text.extract(page).split() == text.split()
+
+
+def test_pages_without_names(spark):
+    """The clusters find the article when element names say nothing, too: the share of pages whose text stays the same."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    div = lambda h, names: re.sub(rf"<(/?)({names})(?=[\s>])", r"<\1div", h)
+    bare = lambda h: re.sub(r' (class|id|role)="[^"]*"', "", h)
+    want = [html_text.extract(h) for h in pages]
+    share = lambda f: sum(html_text.extract(f(h)) == w for h, w in zip(pages, want, strict=True)) / len(pages)
+    assert share(lambda h: div(h, "article|main")) >= 0.99
+    assert share(lambda h: bare(div(h, "article|main"))) >= 0.95
+    assert share(lambda h: bare(div(h, "article|main|nav|aside|header|footer|form"))) >= 0.95
+
+
 @pytest.mark.parametrize("part", ["<li>x", "<div>", "<p>x", "<td>x", "<ul><li>", "<svg>", "<h1>x", "<b>", "</div>", "<div></p>", "<li></li>", "<article>"])
 def test_main_text_is_linear(part):
     import time

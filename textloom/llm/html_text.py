@@ -1,18 +1,21 @@
 """Main text of HTML pages: parser events, text-to-tag ratios, Gaussian smoothing and threshold clustering.
 
 The standard library's parser streams a page's events. A block element starts and ends lines; a line has its
-text, the number of tags that stood in it, how much of it is links, and the block it is in. Elements that are not
-the article's own by name or by a word of their class, id or role (NOT_ARTICLE) go with all their lines: menus,
-headers, footers, asides, adverts, notices, comments, forms, scripts, styles. Ratios of text to tags of the other
+text, the number of tags that stood in it, how much of it is links, and the block it is in. Ratios of text to tags of all
 lines are smoothed along the page with a Gaussian, and lines are clustered by a threshold, the standard deviation
 of the smoothed ratios: those at or above it are content, the others are not.
 
-The clusters select the text. If the deepest block with at least SHARE of all content characters is in an article
-or main element, the regions are every outermost one of these that has content, with all their lines. On a page
-without such elements the region is the lowest common ancestor of all content, widened to take in the page's
-heading and never a part of a list, table or quotation. Of its lines those stay that are content, or stand in a
-part of the region (a child of it) that has some, or between such parts, or in headings just before the first;
-parts that are mostly links, to which smoothing may reach, go wherever they stand.
+The clusters choose the region. From the page down, the block with most content characters is entered if it holds
+the page's heading and HEADED of its parent's content, or SHARE of it where there is no heading, and is no part of a list,
+table or quotation. An article or main element with HEADED of the content is entered without a heading and is the last.
+All lines of a region stay, but for what names say is not the article and for lists of links beside it. If the content fills
+no block of its own and the region is the page's body, those of its lines stay that are content, or stand in a part of it (a
+child) that has some, or between such parts, or in headings just before the first or paragraphs just after the last.
+
+Names only help. Blocks that are not the article's own by element or by their class, id or role (NOT_ARTICLE: a name that
+consists of such words, with words of layout beside them) go with all their lines: menus, headers, footers, asides,
+adverts, notices, comments, forms. So do inline adverts, what is hidden, scripts and styles, and an article inside an
+article that has less than half of the content; articles side by side are parts of one.
 
 Elements whose end tag may be left out (p, li, dt, dd, tr, td, th) end where HTML ends them; an element without
 text of its own (canvas, svg, ...) that never ends hides nothing, and a button inside a paragraph is part of it.
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 
 from . import _words as W
 
-RADIUS, SIGMA, SHARE = 2, 1.0, 0.7
+RADIUS, SIGMA, SHARE, HEADED = 2, 1.0, 0.7, 0.5
 #: Element names of HTML, and words that name what is not an article.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select button textarea datalist".split())
 FOREIGN = frozenset("nav footer aside form dialog menu".split())
@@ -49,14 +52,32 @@ SPACED = frozenset("br td th img input".split())
 #: What a start tag ends, and what keeps it from being ended. A p ends before any block.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments
-consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay
-pagination pager paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social
-sponsor sponsored subscribe subscription tags toolbar widget widgets alert complementary contentinfo""".split())
+NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments
+consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal more nav navbar navigation newsletter notice notices overlay
+pagination pager paywall popup promo promoted promotion reactions recommended related replies reply respond share sharing sidebar signup skip social
+sponsor sponsored subscribe subscription tags teaser teasers toolbar widget widgets alert complementary contentinfo""".split())
+ADVERT = frozenset("ad ads advert adverts advertisement advertising promo promoted promotion sponsor sponsored".split())
+LAYOUT = frozenset("""area bar block body bottom box button buttons container content entry footer form global group head holder inline inner item left
+link links list main message outer page panel post posts primary right row secondary section site slot text this top unit wrap wrapper""".split())
 _GAUSS = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
 _CLOSING = re.compile("</(" + "|".join(sorted(SILENT)) + r")(?=[\s/>])", re.IGNORECASE)
 
 
+def _names(attrs: list, words: frozenset) -> bool:
+    """Whether a class, id, role or label consists of ``words``, with words of layout and numbers beside them."""
+    for name, value in attrs:
+        if value and name in ("class", "id", "role", "aria-label"):
+            for token in [value] if name == "aria-label" else value.split():
+                said = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
+                if any(x in words for x in said) and all(x in words or x in LAYOUT for x in said):
+                    return True
+    return False
+
+
+def _hidden(attrs: list) -> bool:
+    return any(n == "hidden" or (n == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v.lower())) for n, v in attrs)
+
+
 class _Lines(HTMLParser):
     """Lines of a page: (text, tags, characters of links, block); blocks: [parent, name, mark, has the page's heading], the page first."""
 
@@ -67,6 +88,7 @@ class _Lines(HTMLParser):
         self.open = [0]
         self.at: dict[str, list[int]] = defaultdict(list)  # where the open blocks of a name stand in ``open``
         self.silent: list[str] = []
+        self.muted: list = ["", 0]  # an inline element that is no text, and how deep it nests in itself
         self.pieces: list[str] = []
         self.tags = self.links = self.linked = 0
         self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
@@ -111,22 +133,25 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
+            self.muted = ["", 0]
             if self.at["p"]:
                 self.end(("p",), ("td", "th", "li", "div", "article", "section", "main"))
         elif tag in SPACED:
             self.pieces.append(" ")
+        if self.muted[1]:
+            self.muted[1] += tag == self.muted[0] and tag not in VOID
+        elif tag not in HOLDS and tag not in VOID and (_hidden(attrs) or _names(attrs, ADVERT)):
+            self.muted = [tag, 1]
         if tag in ENDS:
             self.end(ENDS[tag], FENCES[tag])
         self.tags += 1
         self.links += tag == "a"
         if tag in HOLDS and tag not in VOID:
             mark = 0
-            if tag in FOREIGN or (tag == "header" and not self.at["article"] and not self.at["main"]):
+            if tag in FOREIGN or (tag == "header" and not self.at["article"] and not self.at["main"]) or (tag not in ("html", "body") and _hidden(attrs)):
                 mark = 2
-            elif tag not in ("html", "body", "main"):
-                said = " ".join(v for n, v in attrs if v and n in ("class", "id", "role", "aria-label"))
-                if said and NOT_ARTICLE.intersection(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", said).lower())):
-                    mark = 1
+            elif tag not in ("html", "body", "main") and _names(attrs, NOT_ARTICLE):
+                mark = 1
             if mark:
                 self.flush()
             self.nodes.append([self.open[-1], tag, mark, tag in ("h1", "main")])
@@ -147,8 +172,11 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
+            self.muted = ["", 0]
         elif tag in SPACED:
             self.pieces.append(" ")
+        if self.muted[1] and tag == self.muted[0]:
+            self.muted[1] -= 1
         self.tags += 1
         self.links -= tag == "a" and self.links > 0
         if self.at[tag]:
@@ -162,7 +190,7 @@ class _Lines(HTMLParser):
             return self.parse_bogus_comment(i, 0)
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
+        if not self.silent and not self.muted[1]:
             self.pieces.append(data)
             if self.links:
                 self.linked += len("".join(data.split()))
@@ -204,6 +232,8 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     p = _parsed(html)
+    if not p.lines:
+        return ""
     nodes, n = p.nodes, len(p.nodes)
     for k in range(n - 1, 0, -1):  # a block's number is larger than that of the one it is in
         if nodes[k][3]:
@@ -212,56 +242,74 @@ def extract(html: str | None) -> str:
     foreign = [False] * n
     for k, (parent, tag, mark, holds) in enumerate(nodes):
         foreign[k] = (parent >= 0 and foreign[parent]) or mark == 2 or (mark == 1 and (not holds or tag == "h1"))
-    lines = [x for x in p.lines if not foreign[x[3]]]
-    if not lines:
-        return ""
-    content = clustered([len(t) / max(1, tags) for t, tags, _, _ in lines])
-    chars, depth, own = [0] * n, [0] * n, [-1] * n
-    for (t, _, _, node), yes in zip(lines, content, strict=True):
+    content = clustered([len(t) / max(1, tags) for t, tags, _, _ in p.lines])
+    lines = [(x, yes) for x, yes in zip(p.lines, content, strict=True) if not foreign[x[3]]]
+    chars = [0] * n
+    for (t, _, _, node), yes in lines:
         chars[node] += len(t) if yes else 0
+    heading = [False] * n
     for k in range(n - 1, 0, -1):
+        heading[k] = heading[k] or (nodes[k][1] == "h1" and not foreign[k])
+        heading[nodes[k][0]] |= heading[k]
         chars[nodes[k][0]] += chars[k]
-    for k in range(1, n):
-        parent = nodes[k][0]
-        depth[k] = depth[parent] + 1
-        own[k] = own[parent] if own[parent] >= 0 else k if nodes[k][1] in ("article", "main") else -1
-    most = max((k for k in range(n) if chars[k] >= SHARE * chars[0]), key=lambda k: (depth[k], -k))
-    if own[most] >= 0:
-        region = {own[x[3]] for x, yes in zip(lines, content, strict=True) if yes and own[x[3]] >= 0}
-        return "\n\n".join(x[0] for x in lines if own[x[3]] in region)
-    return "\n\n".join(_selected(p, lines, content, chars, most))
-
-
-def _selected(p: _Lines, lines: list[tuple[str, int, int, int]], content: list[bool], chars: list[int], most: int) -> list[str]:
-    """The lines that belong to the content on a page without article elements."""
-    nodes = p.nodes
-    over = []
-    while most >= 0:
-        over.append(most)
-        most = nodes[most][0]
-    whole = [k for k in over if chars[k] == chars[0] and nodes[k][1] not in PARTS]
-    region = ([k for k in whole if nodes[k][3]] or whole)[0]
-    # the part of the region that each block is in: the child of it, or a line of its own
-    part = [-1] * len(nodes)
+    region = _region(nodes, chars, heading)
+    named = nodes[region][1] in ("article", "main")
+    article = nodes[region][1] == "article"
+    inside = [False] * n
+    for k in range(1, n) if region else range(n):
+        beside = article and nodes[k][1] == "article" and nodes[k][0] == nodes[region][0] and chars[k] > 0  # an article in several parts
+        inside[k] = k == region or beside or (nodes[k][0] >= 0 and inside[nodes[k][0]])
+        if article and inside[k] and nodes[k][1] == "article" and not beside and 2 * chars[k] < chars[region]:
+            inside[k] = False  # what answers the article or points to others
+    lines = [(x, yes) for x, yes in lines if inside[x[3]]]
+    return "\n\n".join(x[0] for x, _ in lines) if named else "\n\n".join(_selected(nodes, lines, region))
+
+
+def _region(nodes: list[list], chars: list[int], heading: list[bool]) -> int:
+    """The block that the content fills."""
+    most = [-1] * len(nodes)
+    for k in range(1, len(nodes)):
+        if chars[k] > 0 and (most[nodes[k][0]] < 0 or chars[k] > chars[most[nodes[k][0]]]):
+            most[nodes[k][0]] = k
+    k = 0
+    while most[k] >= 0 and nodes[k][1] not in ("article", "main"):
+        child = most[k]
+        whole = nodes[child][1] in ("html", "body")
+        named = nodes[child][1] in ("article", "main") and chars[child] >= HEADED * chars[k]
+        alone = heading[child] and chars[child] >= HEADED * chars[k] or not heading[k] and chars[child] >= SHARE * chars[k]
+        if nodes[child][1] in PARTS | HEADS or not (whole or named or alone):
+            break
+        k = child
+    return k
+
+
+def _selected(nodes: list[list], lines: list[tuple[tuple[str, int, int, int], bool]], region: int) -> list[str]:
+    """The lines of a region that has no name."""
+    part = [-1] * len(nodes)  # the child of the region that each block is in
     for k, (parent, *_) in enumerate(nodes[1:], 1):
         part[k] = k if parent == region else part[parent]
-    inside = [i for i, x in enumerate(lines) if x[3] == region or part[x[3]] >= 0]
-    group = lambda i: part[lines[i][3]] if part[lines[i][3]] >= 0 else -2 - i
+    group = lambda i: part[lines[i][0][3]] if part[lines[i][0][3]] >= 0 else -2 - i
+    kind = lambda i: nodes[part[lines[i][0][3]]][1] if part[lines[i][0][3]] >= 0 else ""
     has: dict[int, bool] = defaultdict(bool)
     text: dict[int, int] = defaultdict(int)
     linked: dict[int, int] = defaultdict(int)
-    for i in inside:
-        g = group(i)
-        has[g] |= content[i]
-        text[g] += len("".join(lines[i][0].split()))
-        linked[g] += lines[i][2]
-    inside = [i for i in inside if 2 * linked[group(i)] <= text[group(i)]]
-    held = [i for i in inside if has[group(i)]]
-    first, last = (held[0], held[-1]) if held else (0, -1)
-    heading = lambda i: part[lines[i][3]] >= 0 and (nodes[part[lines[i][3]]][1] in HEADS or nodes[part[lines[i][3]]][3])
-    while inside and first > inside[0] and heading(first - 1):
+    for i, (x, yes) in enumerate(lines):
+        has[group(i)] |= yes
+        text[group(i)] += len("".join(x[0].split()))
+        linked[group(i)] += x[2]
+    own = nodes[region][1] not in ("", "html", "body")
+    kept = [i for i in range(len(lines)) if 2 * linked[group(i)] <= text[group(i)] or own and (kind(i) == "p" or kind(i) in HEADS)]
+    if own:
+        return [lines[i][0][0] for i in kept]
+    held = [k for k, i in enumerate(kept) if has[group(i)]]
+    if not held:
+        return []
+    first, last = held[0], held[-1]
+    while first > 0 and (kind(kept[first - 1]) in HEADS or part[lines[kept[first - 1]][0][3]] >= 0 and nodes[part[lines[kept[first - 1]][0][3]]][3]):
         first -= 1
-    return [lines[i][0] for i in inside if first <= i <= last]
+    while last + 1 < len(kept) and kind(kept[last + 1]) == "p":
+        last += 1
+    return [lines[i][0][0] for i in kept[first : last + 1]]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
