@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out labels, and on awkward tables."""
 
+import binascii
 import hashlib
 import itertools
 import math
@@ -112,6 +113,18 @@ def test_contents_of_the_awkward_table(spark, awkward):
     assert {(0, 0.0), (1, 0.0), (2, 0.0)} <= scores
 
 
+def test_sample_of_labels_is_bounded(spark, monkeypatch):
+    """Many rows of few labelled ids, texts that are too long to learn from, repeated rows: the bound holds, and is met by what is left."""
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 30)
+    ids = [i for i in range(1, 30) if binascii.crc32(str(i).encode()) % 5][:4]
+    rows = [(ids[k % 3], f"text {k // 2}") for k in range(5000)] + [(ids[3], "x" * 10_001)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0), (ids[2], 0), (ids[3], 1)] * 2, "doc_id long, toxic int")
+    got = toxicity._sample(docs, labels)
+    assert sum(y for _, y in got) == 20 and len(got) == 50 and len(set(got)) == 50
+
+
 def test_registry():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 14))
 

@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, learned from labelled documents.
 
 ``learn`` takes at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean labelled rows of at most LONGEST characters (the
-first by a hash of their id; a documented bound, the corpus may be any size) and drops near copies among them. Labels
+first by a hash of id and text; a documented bound, the corpus may be any size) and drops near copies among them. Labels
 are of texts, so those of tokens are latent: a text is toxic if one of its tokens is. ``latent`` fits that likelihood
 (a noisy or over a text's words, each by its features) and a token of a toxic text counts as toxic if its posterior,
 given that the text is, reaches one half. The field has two states, weights for a token's form, beginnings,
@@ -196,11 +196,14 @@ def _scan(m: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The texts and labels to learn from, in a fixed order."""
+    """The texts and labels to learn from, in a fixed order: at most SAMPLE_TOXIC and SAMPLE_CLEAN, whatever repeats."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id", "toxic").distinct()
-    mark = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(mark, "doc_id").limit(SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(mark, "doc_id").limit(SAMPLE_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= LONGEST).orderBy("doc_id", "toxic", "text").collect()  # both bounded by the sample
+    texts = docs.where(F.length("text") <= LONGEST).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    each = texts.select("doc_id", "h").join(known, "doc_id").distinct()  # a row for each text of an id, however often it is there
+    mark = F.xxhash64("doc_id", "h")
+    picked = each.where("toxic = 1").orderBy(mark, "doc_id", "h").limit(SAMPLE_TOXIC).union(each.where("toxic = 0").orderBy(mark, "doc_id", "h").limit(SAMPLE_CLEAN))
+    # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
+    rows = texts.join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id", "toxic", "h").collect()
     return [(r.text, r.toxic) for r in rows]
 
 
