@@ -58,7 +58,7 @@ def test_smoothing_edges(spark):
 def test_sections_ignore_a_heading_in_the_first_row(spark):
     d = spark.createDataFrame([(1, i, t) for i, t in enumerate(["Abstract", "x text", "1. Introduction", "y text", "Introduction", "Results"])], "doc_id int, sent_idx int, sentence string")
     got = [(r.section_id, r.section) for r in D.sections(d, T.heading("sentence")).orderBy("sent_idx").collect()]
-    assert got == [(0, "HEADER"), (0, "HEADER"), (1, "INTRO"), (1, "INTRO"), (1, "INTRO"), (2, "RESULTS")]
+    assert got == [(1, "HEADER"), (1, "HEADER"), (2, "INTRO"), (2, "INTRO"), (2, "INTRO"), (3, "RESULTS")]
 
 
 def test_dedupe_chain(spark):

@@ -182,11 +182,15 @@ def generators_recalled(source) -> Column:
     return F.filter(F.array(*[F.when(holds(n), F.lit(n)) for n in names]), lambda x: x.isNotNull())
 
 
+#: A fixed value: a numbered heading of a name of its own.
+OWN_HEADING = r"^([0-9]+\.?[0-9]*|[IVXLCDM]+\.)\s+[A-Z][a-zA-Z\s]{2,40}"
+
+
 def heading(c, labels: bool = False) -> Column:
     """The category of a heading, or its label; null if the first 80 characters are none."""
     head = strip(F.substring(strip(_c(c)), 1, 80))
     general = F.lit("GENERAL_SECTION") if not labels else strip(F.substring(head, 1, 45))
-    out = F.when(head.rlike(r"^([0-9]+\.?[0-9]*|[IVXLCDM]+\.)\s+[A-Z][a-zA-Z\s]{2,40}"), general)
+    out = F.when(head.rlike(OWN_HEADING), general)
     for category, label, pattern in reversed(HEADINGS):
         out = F.when(head.rlike(f"(?i){pattern}"), F.lit(label if labels else category)).otherwise(out)
     return out

@@ -95,20 +95,39 @@ def references(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "idx", pick(r"^\[(\d+)\]").cast("int").alias("number"), pick(r"^(?:\[\d+\]\s*)?([A-Z][a-zA-Z]+)").alias("author"), pick(r"\b((?:19|20)\d{2})\b").alias("year"), "raw")
 
 
-def matched(markers: DataFrame, refs: DataFrame, key: str = "number") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Markers with their reference (the last of a key), markers without one, references that none cites."""
-    last = refs.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.desc("idx")))).where("_n = 1").drop("_n")
-    on = ["doc_id", key]
-    return markers.join(last, on), markers.join(last.select(*on), on, "left_anti"), last.join(markers.select(*on).distinct(), on, "left_anti")
+def surname(c: str) -> Column:
+    """The key of a name in any case."""
+    return F.lower(F.col(c))
 
 
-def metadata_status(reference: str, title: str, year: str) -> Column:
-    """verified, partial_match or mismatch of a reference text and a resolved title and year."""
-    ref, words = F.lower(F.col(reference)), F.filter(T.words(F.lower(F.col(title))), lambda w: F.length(w) >= 1)
-    share = F.size(F.filter(words, lambda w: F.contains(F.lower(F.col(reference)), w))) / F.greatest(F.size(words), F.lit(1))
-    dated = F.col(year).isNull() | F.contains(F.col(reference), F.col(year))
-    s = F.when(F.contains(ref, F.lower(F.col(title))), F.lit(1.0)).otherwise(share) * F.when(dated, 1.0).otherwise(0.9)
-    return F.when((s >= 0.70) & dated, "verified").when(s >= 0.35, "partial_match").otherwise("mismatch")
+def matched(markers: DataFrame, refs: DataFrame, key: str = "number") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Markers with their reference (the last of a key), markers without one, references that none cites. ``key``: number, or
+    author for styles that cite surnames, which match in any case; of several entries of one surname only the last can
+    be cited, the others count as not referenced."""
+    of = surname if key == "author" else F.col
+    drop = ["author"] if key == "author" else []
+    # the last entry of a document's key: few rows to a key, and no window over a document
+    own = refs.where(F.col(key).isNotNull()).withColumn("_key", of(key))
+    last = own.groupBy("doc_id", "_key").agg(F.max("idx").alias("_idx")).join(own, ["doc_id", "_key"]).where(F.col("idx") == F.col("_idx")).drop("_idx")
+    asked = markers.withColumn("_key", of(key))
+    hit = asked.drop(*drop).join(last.drop(*([] if drop else [key])), ["doc_id", "_key"]).drop("_key")
+    cited = asked.select("doc_id", "_key").distinct().join(last.select("doc_id", "_key", "idx"), ["doc_id", "_key"]).select("doc_id", "idx")
+    left = refs if key == "author" else last.drop("_key")
+    return hit, asked.join(last.select("doc_id", "_key"), ["doc_id", "_key"], "left_anti").drop("_key"), left.join(cited, ["doc_id", "idx"], "left_anti")
+
+
+def metadata_status(reference: str, title: str, year: str, lookup: str | None = None) -> Column:
+    """verified, partial_match or mismatch of a reference text and a resolved title and year. The words of a title are runs of
+    letters, digits and underscores; a title without any is like nothing. ``lookup``: a column that says how the lookup went,
+    of which not_found is doi_not_found and lookup_failed stays."""
+    ref, low = F.lower(F.col(reference)), F.lower(F.coalesce(F.col(title), F.lit("")))
+    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    share = F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(F.lower(F.col(reference)), w))) / F.greatest(F.size(words), F.lit(1))).otherwise(0.0)
+    told = F.coalesce(F.col(year), F.lit(""))
+    dated = (told == "") | F.contains(F.col(reference), told)
+    s = F.when((low != "") & F.contains(ref, low), F.lit(1.0)).otherwise(share) * F.when(dated, 1.0).otherwise(0.9)
+    out = F.when((s >= 0.70) & dated, "verified").when(s >= 0.35, "partial_match").otherwise("mismatch")
+    return out if lookup is None else F.when(F.col(lookup) == "not_found", "doi_not_found").when(F.col(lookup) == "lookup_failed", "lookup_failed").otherwise(out)
 
 
 def title_overlap(a: str, b: str, least: int = 4) -> Column:
@@ -118,12 +137,13 @@ def title_overlap(a: str, b: str, least: int = 4) -> Column:
 
 
 def resolve(refs: DataFrame, known: DataFrame) -> DataFrame:
-    """``refs`` with the metadata of their DOI: distinct DOIs are looked up once, in the table ``known`` (doi,
-    title, year), and joined back."""
+    """``refs`` with the metadata of their DOI: distinct DOIs are looked up once, in the table ``known`` (doi, title, year and,
+    if it tells how lookups went, lookup), and joined back. A DOI that is not in the table is doi_not_found."""
     d = refs.withColumn("doi", T.doi("raw"))
-    looked = d.select("doi").where("doi is not null").distinct().join(known, "doi", "left")
+    told = known if "lookup" in known.columns else known.withColumn("lookup", F.lit("found"))
+    looked = d.select("doi").where("doi is not null").distinct().join(told, "doi", "left").withColumn("lookup", F.coalesce("lookup", F.lit("not_found")))
     j = d.join(looked, "doi", "left")
-    return j.withColumn("status", F.when(F.col("doi").isNull(), "no_doi_present").when(F.col("title").isNull(), "unresolved").otherwise(metadata_status("raw", "title", "year")))
+    return j.withColumn("status", F.when(F.col("doi").isNull(), "no_doi_present").otherwise(metadata_status("raw", "title", "year", "lookup"))).drop("lookup")
 
 
 def health(bad, checked) -> Column:

@@ -39,7 +39,7 @@ def pooled(df: DataFrame, value: str = "score", key: str = "doc_id", order: str
 
 
 def sections(df: DataFrame, category: Column, key: str = "doc_id", order: str = "sent_idx") -> DataFrame:
-    """``df`` with ``section_id`` and ``section``: a heading opens a section if its category is a new one; what
+    """``df`` with ``section_id``, from 1, and ``section``: a heading opens a section if its category is a new one; what
     stands first is in HEADER."""
     w = Window.partitionBy(key).orderBy(order)
     d = df.withColumn("_cat", category).withColumn("_first", F.row_number().over(w) == 1)
@@ -47,7 +47,7 @@ def sections(df: DataFrame, category: Column, key: str = "doc_id", order: str =
     before = F.coalesce(F.last("_cat", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("HEADER"))
     d = d.withColumn("_open", F.when(F.col("_cat").isNotNull() & (F.col("_cat") != before), 1).otherwise(0))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("section_id", F.sum("_open").over(upto).cast("long")).withColumn("section", F.coalesce(F.last("_cat", True).over(upto), F.lit("HEADER")))
+    d = d.withColumn("section_id", 1 + F.sum("_open").over(upto).cast("long")).withColumn("section", F.coalesce(F.last("_cat", True).over(upto), F.lit("HEADER")))
     return d.drop("_cat", "_first", "_open")
 
 

@@ -84,11 +84,41 @@ def j08(spark, d):
     return _three(spark, d)[2].select("doc_id", "number", "author")
 
 
+# styles that cite surnames: the last entry of a surname, in any case, is the one that is cited
+_SUR = rf"""sm AS (SELECT doc_id, regexp_extract(m, '{C.AUTHOR_YEAR}', 1) AS author, regexp_extract(m, '{C.AUTHOR_YEAR}', 2) AS year FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{C.AUTHOR_YEAR}')) AS m FROM papers)),
+sl AS (SELECT *, lower(author) AS k FROM rf WHERE author IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, lower(author) ORDER BY idx DESC) = 1)"""
+
+
+def _by_surname(spark, d):
+    p = papers(spark, d)
+    return C.matched(C.author_markers(p).withColumnRenamed("year", "cited_year"), C.references(p), "author")
+
+
+@query("J06_matched_surnames", f"WITH {SQLP}, {_REF}, {_SUR} SELECT sm.doc_id, sm.year AS cited_year, sl.author, sl.idx FROM sm JOIN sl ON sl.doc_id = sm.doc_id AND sl.k = lower(sm.author)")
+def j06s(spark, d):
+    return _by_surname(spark, d)[0].select("doc_id", "cited_year", "author", "idx")
+
+
+@query("J07_unmatched_surnames", f"WITH {SQLP}, {_REF}, {_SUR} SELECT doc_id, author, year AS cited_year FROM sm WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.doc_id = sm.doc_id AND sl.k = lower(sm.author))")
+def j07s(spark, d):
+    return _by_surname(spark, d)[1].select("doc_id", "author", "cited_year")
+
+
+@query("J08_unreferenced_surnames", f"WITH {SQLP}, {_REF}, {_SUR} SELECT doc_id, idx, author FROM rf WHERE (doc_id, idx) NOT IN (SELECT (sl.doc_id, sl.idx) FROM sl JOIN sm ON sl.doc_id = sm.doc_id AND sl.k = lower(sm.author))")
+def j08s(spark, d):
+    return _by_surname(spark, d)[2].select("doc_id", "idx", "author")
+
+
 _DOI = r"nullif(regexp_replace(regexp_extract(raw, '\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)', 1), '[.,;)\]}]+$', ''), '')"
-_KNOWN = "kn AS (SELECT * FROM (VALUES ('10.1000/abc0', 'Deep Models of Text', '2019'), ('10.1000/abc1', 'Deep Models of Text', '2018'), ('10.1000/xyz0', 'Something Else Entirely Here', '1999'), ('10.1000/xyz1', 'Third Entry', '2011')) t(doi, title, year2))"
-_STATUS = r"""sh AS (SELECT *, CASE WHEN contains(lower(raw), lower(title)) THEN 1.0::DOUBLE ELSE len(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda w: contains(lower(raw), w)))::DOUBLE / greatest(len(regexp_split_to_array(title, '\s+')), 1) END AS base, contains(raw, year2) AS dated FROM j),
-st AS (SELECT *, CASE WHEN doi IS NULL THEN 'no_doi_present' WHEN title IS NULL THEN 'unresolved' WHEN base * CASE WHEN dated THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END >= 0.7 AND dated THEN 'verified' WHEN base * CASE WHEN dated THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END >= 0.35 THEN 'partial_match' ELSE 'mismatch' END AS status FROM sh)"""
-_RESOLVED = f"WITH {SQLP}, {_REF}, {_KNOWN}, dd AS (SELECT *, {_DOI} AS doi FROM rf), j AS (SELECT dd.*, title, year2 FROM dd LEFT JOIN kn USING (doi)), {_STATUS} "
+#: What a registry knows: a year that differs, a title with marks, an empty title, a lookup that failed; two DOIs are not in it.
+_REGISTRY = [("10.1000/abc0", "Deep Models of Text", "2019", "found"), ("10.1000/abc1", "Deep Models of Text", "2018", "found"), ("10.1000/abc2", "Models: text; deep!", None, "found"), ("10.1000/abc3", "", "2019", "found"),
+             ("10.1000/xyz0", "Something Else Entirely Here", "1999", "found"), ("10.1000/xyz1", None, None, "lookup_failed")]
+_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in _REGISTRY)
+_KNOWN = f"kn AS (SELECT * FROM (VALUES {_VALUES}) t(doi, title, year2, lookup))"
+_STATUS = r"""wd AS (SELECT *, regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}_]+') AS tw FROM j),
+sh AS (SELECT *, CASE WHEN title <> '' AND contains(lower(raw), lower(title)) THEN 1.0::DOUBLE WHEN len(tw) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(tw, lambda w: contains(lower(raw), w)))::DOUBLE / len(tw) END AS base, coalesce(year2, '') = '' OR contains(raw, year2) AS dated FROM wd),
+st AS (SELECT *, CASE WHEN doi IS NULL THEN 'no_doi_present' WHEN lookup IS NULL THEN 'doi_not_found' WHEN lookup = 'lookup_failed' THEN lookup WHEN base * CASE WHEN dated THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END >= 0.7 AND dated THEN 'verified' WHEN base * CASE WHEN dated THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END >= 0.35 THEN 'partial_match' ELSE 'mismatch' END AS status FROM sh)"""
+_RESOLVED = f"WITH {SQLP}, {_REF}, {_KNOWN}, dd AS (SELECT *, {_DOI} AS doi FROM rf), j AS (SELECT dd.*, title, year2, lookup FROM dd LEFT JOIN kn USING (doi)), {_STATUS} "
 
 
 @query("T23_doi", f"WITH {SQLP}, {_REF} SELECT doc_id, idx, {_DOI} AS doi FROM rf")
@@ -97,7 +127,7 @@ def t23(spark, d):
 
 
 def _resolved(spark, d):
-    known = spark.createDataFrame([("10.1000/abc0", "Deep Models of Text", "2019"), ("10.1000/abc1", "Deep Models of Text", "2018"), ("10.1000/xyz0", "Something Else Entirely Here", "1999"), ("10.1000/xyz1", "Third Entry", "2011")], "doi string, title string, year string")
+    known = spark.createDataFrame(_REGISTRY, "doi string, title string, year string, lookup string")
     return C.resolve(C.references(papers(spark, d)).drop("year"), known)
 
 
@@ -116,10 +146,10 @@ def t28(spark, d):
     return _resolved(spark, d).select("doc_id", "idx", "status")
 
 
-@query("B27_citation_health", _RESOLVED + "SELECT doc_id, greatest(0, 100 - floor(100 * count(*) FILTER (WHERE status IN ('mismatch', 'unresolved')) / greatest(count(*) FILTER (WHERE doi IS NOT NULL), 1)::DOUBLE))::BIGINT AS health FROM st GROUP BY doc_id")
+@query("B27_citation_health", _RESOLVED + "SELECT doc_id, greatest(0, 100 - floor(100 * count(*) FILTER (WHERE status IN ('mismatch', 'doi_not_found')) / greatest(count(*) FILTER (WHERE doi IS NOT NULL), 1)::DOUBLE))::BIGINT AS health FROM st GROUP BY doc_id")
 def b27(spark, d):
     r = _resolved(spark, d)
-    return r.groupBy("doc_id").agg(C.health(F.count_if(F.col("status").isin("mismatch", "unresolved")), F.count("doi")).alias("health"))
+    return r.groupBy("doc_id").agg(C.health(F.count_if(F.col("status").isin("mismatch", "doi_not_found")), F.count("doi")).alias("health"))
 
 
 _OV = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: length(w) >= {1}))"

@@ -53,26 +53,33 @@ def d08(spark, d):
     return D.pooled(scored(spark, d)).select("doc_id", "sent_idx", "pool_max", F.round("pool_mean", 9).alias("pool_mean"), F.round("pool_top2", 9).alias("pool_top2"))
 
 
-_LEN = "CASE WHEN {0} <= 3 THEN 'METHODOLOGY' WHEN {0} = 4 THEN 'RESULTS' WHEN {0} = 5 THEN 'CONCLUSION' END"
+def heading_sql(c: str) -> str:
+    """``T.heading`` in SQL."""
+    trimmed = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    head = trimmed(f"substr({trimmed(c)}, 1, 80)")
+    quoted = lambda x: x.replace("'", "''")
+    cases = "".join(f" WHEN regexp_matches({head}, '(?i){quoted(p)}') THEN '{quoted(k)}'" for k, _, p in T.HEADINGS)
+    return f"CASE{cases} WHEN regexp_matches({head}, '{quoted(T.OWN_HEADING)}') THEN 'GENERAL_SECTION' END"
 
 
-@query("D10_sections", "WITH " + SCORED + f""", c AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) > 1 THEN {_LEN.format('n_words')} END AS cat FROM scored),
-b AS (SELECT *, coalesce(last_value(cat IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'HEADER') AS before FROM c)
-SELECT doc_id, sent_idx, sum(CASE WHEN cat IS NOT NULL AND cat <> before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_idx)::BIGINT AS section_id,
-coalesce(last_value(cat IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'HEADER') AS section FROM b""")
+#: A section starts at a sentence whose text is a heading of another category than the section's; the first sentence opens none.
+_CUT = "WITH " + SCORED + f""", c AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) > 1 THEN {heading_sql('sentence')} END AS cat FROM scored),
+b AS (SELECT *, coalesce(last_value(cat IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'HEADER') AS before FROM c),
+s AS (SELECT *, 1 + sum(CASE WHEN cat IS NOT NULL AND cat <> before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_idx)::BIGINT AS section_id,
+coalesce(last_value(cat IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'HEADER') AS section FROM b)"""
+
+
+@query("D10_sections", _CUT + " SELECT doc_id, sent_idx, section_id, section FROM s")
 def d10(spark, d):
-    return D.sections(scored(spark, d), F.expr(_LEN.format("n_words"))).select("doc_id", "sent_idx", "section_id", "section")
+    return D.sections(scored(spark, d), T.heading("sentence")).select("doc_id", "sent_idx", "section_id", "section")
 
 
-_SEC = "WITH " + SCORED + f""", c AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) > 1 THEN {_LEN.format('n_words')} END AS cat FROM scored),
-b AS (SELECT *, coalesce(last_value(cat IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'HEADER') AS before FROM c),
-s AS (SELECT *, sum(CASE WHEN cat IS NOT NULL AND cat <> before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_idx)::BIGINT AS section_id FROM b),
-p AS (SELECT doc_id, section_id, sum(n_words)::BIGINT AS words, count(*) AS sentences, round(100 * sum(n_words * score) / nullif(sum(n_words), 0) + 1e-9, 1) AS percent FROM s GROUP BY ALL) """
+_SEC = _CUT + ", p AS (SELECT doc_id, section_id, sum(n_words)::BIGINT AS words, count(*) AS sentences, round(100 * sum(n_words * score) / nullif(sum(n_words), 0) + 1e-9, 1) AS percent FROM s GROUP BY ALL) "
 
 
 @query("B05_section_percent", _SEC + "SELECT *, CASE WHEN percent >= 65 THEN 'HIGH' WHEN percent >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM p")
 def b05(spark, d):
-    s = D.sections(scored(spark, d), F.expr(_LEN.format("n_words")))
+    s = D.sections(scored(spark, d), T.heading("sentence"))
     p = s.groupBy("doc_id", "section_id").agg(F.sum("n_words").alias("words"), F.count("*").alias("sentences"), D.half_up(100 * F.sum(F.col("n_words") * F.col("score")) / F.expr("nullif(sum(n_words), 0)"), 1).alias("percent"))
     return p.withColumn("risk", T.risk("percent"))
 
