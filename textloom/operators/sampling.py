@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +31,50 @@ def hash_split(topic: str | Column, train: int = 80, val: int = 10) -> Column:
     return F.when(b < train, "train").when(b < train + val, "val").otherwise("test")
 
 
-def deficit_split(counts: list[tuple[str, int]], shares: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> list[tuple[str, str]]:
-    """Each topic, in the order given, to the split that lacks most rows; ties go to the earlier split."""
-    total = sum(n for _, n in counts)
-    want = [s * total for s in shares]
-    out = []
-    for name, n in counts:
+def deficit_step(want: list[float]) -> Callable[[int], str]:
+    """Of each topic's rows in turn the split that lacks most rows of ``want`` (train, val, test); ties go to the earlier split."""
+
+    def step(n: int) -> str:
         k = max(range(3), key=lambda i: (round(want[i], 6), -i))
         want[k] -= n
-        out.append((name, ("train", "val", "test")[k]))
-    return out
+        return ("train", "val", "test")[k]
 
+    return step
 
-def topic_split(df: DataFrame, topic: str, seed: str = "42") -> DataFrame:
-    """``df`` with ``split``: a fold over the topics' counts in the order of a hash of their name; rows follow by
-    a join. The fold runs in one task over the table of topics only."""
 
-    counts = df.groupBy(topic).agg(F.count("*").alias("n"))
+def lightest_step(k: int) -> Callable[[int], int]:
+    """Of each topic's rows in turn the fold that has fewest so far, the first of equals."""
+    have = [0] * k
+
+    def step(n: int) -> int:
+        fold = min(range(k), key=lambda i: (have[i], i))
+        have[fold] += n
+        return fold
+
+    return step
+
 
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["h", topic])
-        pairs = deficit_split(list(zip(t[topic], t["n"].astype(int), strict=True)))
-        return pd.DataFrame(pairs, columns=[topic, "split"])
+def folded(counts: DataFrame, key: str, order: list[Column], make: Callable[[], Callable], out: str, kind: str) -> DataFrame:
+    """(key, out): a fold over the rows of ``counts`` (key, n) in an order. They are sorted in ranges over all tasks, and one task
+    streams through the ranges in turn and keeps nothing of them but the step's few numbers, so memory does not
+    grow with the topics; a fold, in which each choice depends on those before it, has no other parallel form."""
+    schema = f"{key} {dict(counts.dtypes)[key]}, {out} {kind}"
+    d = counts.select(key, "n").orderBy(*order)
 
-    kind = dict(df.dtypes)[topic]
-    m = counts.withColumn("h", F.md5(F.concat(F.col(topic), F.lit(seed)))).groupBy(F.lit(0).alias("one")).applyInPandas(fold, f"{topic} {kind}, split string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([step(n) for n in b.column(1).to_pylist()], pa.string() if kind == "string" else pa.int32())], names=[key, out])
+
+    return d.coalesce(1).mapInArrow(run, schema)
+
+
+def topic_split(df: DataFrame, topic: str, seed: str = "42", shares: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
+    """``df`` with ``split``: a fold over the topics' counts in the order of a hash of their name, each to the split that lacks
+    most rows; rows follow by a join."""
+    counts = df.groupBy(topic).agg(F.count("*").alias("n"))
+    total = df.count()
+    m = folded(counts, topic, [F.md5(F.concat(F.col(topic), F.lit(seed))), F.col(topic)], lambda: deficit_step([s * total for s in shares]), "split", "string")
     return df.join(m, topic)
 
 
@@ -76,5 +97,7 @@ def leaks(df: DataFrame, topic: str, split: str = "split") -> DataFrame:
 
 
 def group_folds(df: DataFrame, topic: str, k: int = 5) -> DataFrame:
-    """``df`` with ``fold``, by a hash of the topic."""
-    return df.withColumn("fold", T.bucket(topic, k).cast("int"))
+    """``df`` with ``fold``: topics by the number of their rows, largest first (the last by name of equals), each to the fold
+    with fewest rows so far. So no topic is in two folds and folds are of about one size."""
+    counts = df.groupBy(topic).agg(F.count("*").alias("n"))
+    return df.join(folded(counts, topic, [F.desc("n"), F.desc(topic)], lambda: lightest_step(k), "fold", "int"), topic)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover, VectorAssembler
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import table
 from .sampling import group_folds
 
 
@@ -35,8 +39,9 @@ def _fitted(df: DataFrame, names: list[str]) -> tuple:
 
 
 def out_of_fold(df: DataFrame, names: list[str], topic: str, folds: int = 5) -> DataFrame:
-    """``df`` with ``p``: each row scored by a model that saw no row of its topic's fold."""
-    d = group_folds(df, topic, folds).withColumn("label", F.col("label").cast("double"))
+    """``df`` with ``p``: each row scored by a model that saw no row of its topic's fold; the inputs are written once and
+    read by every fit."""
+    d = table(group_folds(df, topic, folds).withColumn("label", F.col("label").cast("double")), "folds")
     out = None
     for k in range(folds):
         model, means, scales = _fitted(d.where(F.col("fold") != k), names)
@@ -50,11 +55,11 @@ def train_fusion(df: DataFrame, names: list[str], topic: str, folds: int = 5) ->
     first of 0.05 to 0.95 with the best macro-F1, its calibration curve isotonic over the out-of-fold scores."""
     from .metrics import threshold_search
 
-    d = df.withColumn("label", F.col("label").cast("double"))
+    d = table(df.select(topic, *names, F.col("label").cast("double").alias("label")), "inputs")
     model, means, scales = _fitted(d, names)
     scored = model.transform(_scaled(d, names, means, scales)).select("label", vector_to_array("probability")[1].alias("score"))
     threshold = threshold_search(scored, 5, 95).first().threshold
-    oof = out_of_fold(df, names, topic, folds).select(F.col("label").cast("double").alias("label"), "p")
+    oof = out_of_fold(d, names, topic, folds).select(F.col("label").cast("double").alias("label"), "p")
     curve = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="y").fit(oof)
     grid = df.sparkSession.range(101).select("id", (F.col("id") / 100.0).alias("p"))
     y = [min(1.0, max(0.0, r.y)) for r in curve.transform(grid).orderBy("id").collect()]  # 101 rows
@@ -64,6 +69,54 @@ def train_fusion(df: DataFrame, names: list[str], topic: str, folds: int = 5) ->
     }
 
 
+#: The grid of weights of three scores: twentieths that add up to one, by the first and then the second.
+SIMPLEX = [(i, j, 20 - i - j) for i in range(21) for j in range(21 - i)]
+
+
+def gate(df: DataFrame, names: list[str]) -> tuple[list[float], float]:
+    """Weights and intercept of a logistic model of ``names`` as they are, with the weight 1 of a squared penalty on all rows' loss."""
+    d = VectorAssembler(inputCols=names, outputCol="features").transform(df.select(*names, F.col("label").cast("double").alias("label")))
+    m = LogisticRegression(labelCol="label", regParam=1.0 / max(1, df.count()), standardization=False, maxIter=1000, tol=1e-9).fit(d)
+    return [float(c) for c in m.coefficients], float(m.intercept)
+
+
+def simplex_counts(df: DataFrame, triples: dict[str, tuple[str, str, str]], threshold: float = 0.5) -> DataFrame:
+    """(triple, w1, w2, w3, tn, fp, fn, tp) of every weighting in SIMPLEX (in twentieths) of each triple of columns. One pass:
+    a task adds each row to a vector of counts for all weightings at once, and only these are shuffled."""
+    columns = sorted({c for t in triples.values() for c in t})
+    where = {n: [columns.index(c) for c in t] for n, t in triples.items()}
+    grid = np.array(SIMPLEX, np.float64).T / 20.0
+    names = ["triple", "at", "tn", "fp", "fn", "tp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = {n: np.zeros((2, len(SIMPLEX)), np.int64) for n in where}
+        rows = np.zeros(2, np.int64)
+        for b in batches:
+            label = np.asarray(b.column(0), np.int64)
+            x = np.stack([np.asarray(c, np.float64) for c in b.columns[1:]], axis=1)
+            rows += np.bincount(label, minlength=2)
+            for n, at in where.items():
+                hit = np.round(x[:, at] @ grid, 9) >= threshold
+                for k in (0, 1):
+                    hits[n][k] += hit[label == k].sum(axis=0)
+        if rows.any():
+            for n, (fp, tp) in hits.items():
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(SIMPLEX)), pa.array(np.arange(len(SIMPLEX), dtype=np.int32)), pa.array(rows[0] - fp), pa.array(fp), pa.array(rows[1] - tp), pa.array(tp)], names=names)
+
+    d = df.select((F.col("label") == 1).cast("int").alias("label"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    part = d.mapInArrow(run, "triple string, at int, tn long, fp long, fn long, tp long").groupBy("triple", "at").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    of = lambda k: F.get(F.array(*(F.lit(w[k]) for w in SIMPLEX)), F.col("at"))
+    return part.select("triple", *[of(k).alias(f"w{k + 1}") for k in range(3)], *names[2:])
+
+
+def best_simplex(df: DataFrame, triples: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """(triple, w1, w2, w3, macro_f1): the weighting with the best macro F1 at 0.5, the first of equals."""
+    from .metrics import rates
+
+    r = rates(simplex_counts(df, triples))
+    return r.groupBy("triple").agg(F.max_by(F.struct("w1", "w2", "w3"), F.struct(F.round("macro_f1", 12), -F.col("w1"), -F.col("w2"))).alias("w"), F.max("macro_f1").alias("macro_f1")).select("triple", *[(F.col(f"w.w{k}") / 20.0).alias(f"w{k}") for k in (1, 2, 3)], "macro_f1")
+
+
 def platt(df: DataFrame, score: str = "score") -> DataFrame:
     """``df`` with ``calibrated``: a logistic model of the score's logit."""
     d = df.withColumn("_x", T.logit(score)).withColumn("label", F.col("label").cast("double"))

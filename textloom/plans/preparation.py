@@ -85,7 +85,10 @@ def s05(spark, d):
     return r.select("doc_id", F.when(F.col("percent_rank") < 0.85, "train").otherwise("val").alias("split"))
 
 
-@query("S06_group_folds", "SELECT doc_id, (('0x' || substr(md5(source), 1, 8))::BIGINT % 5)::INTEGER AS fold FROM documents")
+@query("S06_group_folds", """WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, source DESC) AS k FROM c),
+f AS (SELECT 0::BIGINT AS k, '' AS source, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS have
+UNION ALL SELECT o.k, o.source, p, list_transform(f.have, lambda x, i: CASE WHEN i = p + 1 THEN x + o.n ELSE x END) FROM f JOIN o ON o.k = f.k + 1, LATERAL (SELECT (list_position(f.have, list_min(f.have)) - 1)::INTEGER AS p))
+SELECT doc_id, fold FROM documents JOIN f USING (source)""")
 def s06(spark, d):
     return S.group_folds(read(spark, d, "documents"), "source").select("doc_id", "fold")
 

@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import document as D
 from ..operators import robustness as B
 from ..operators import scoring as K
 from ..session import shared_dir
 from ..sources import files as A
-from .evaluation import EVAL, frame
+from .evaluation import CONF, EVAL, RATES, frame
 from .registry import SCORED, query, read, scored
 
 
@@ -343,12 +344,18 @@ def _vector(df, names):
     return VectorAssembler(inputCols=names, outputCol="features").transform(df)
 
 
+def _labelled_features(spark, d):
+    """The 13 inputs of every sentence of a labelled document."""
+    f = _features(spark, d).select("doc_id", "sent_idx", "source", *K.FUSION_FEATURES)
+    return f.join(read(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
 @query("D18_fusion_training")
 def d18(spark, d):
-    """Out-of-fold probabilities of a logistic model, five folds by topic."""
+    """Out-of-fold probabilities of a logistic model of the 13 inputs, five folds by topic of about one size."""
     from ..operators.training import out_of_fold
 
-    return out_of_fold(frame(spark, d), ["score", "other"], "source").select("doc_id", F.round("p", 6).alias("p"))
+    return out_of_fold(_labelled_features(spark, d), list(K.FUSION_FEATURES), "source").select("doc_id", "sent_idx", F.round("p", 6).alias("p"))
 
 
 @query("D18_fusion_model")
@@ -356,13 +363,61 @@ def d18m(spark, d):
     """The final model: weights and scaling of each input, threshold and a point of the calibration curve for every hundredth."""
     from ..operators.training import train_fusion
 
-    m = train_fusion(frame(spark, d), ["score", "other"], "source")
+    m = train_fusion(_labelled_features(spark, d), list(K.FUSION_FEATURES), "source")
     rows = [("weight", n, float(c)) for n, c in zip(m["feature_names"], m["coefficients"], strict=True)] + [("mean", n, float(c)) for n, c in zip(m["feature_names"], m["scaler_mean"], strict=True)]
     rows += [("scale", n, float(c)) for n, c in zip(m["feature_names"], m["scaler_scale"], strict=True)] + [("intercept", "", m["intercept"]), ("threshold", "", m["val_threshold"])]
     rows += [("curve", f"{x:.2f}", float(y)) for x, y in zip(m["calibrator_x"], m["calibrator_y"], strict=True)]
     return spark.createDataFrame([(a, b, round(c, 6)) for a, b, c in rows], "part string, name string, value double")
 
 
+#: A stored gate (weights of a score and of a pooled score, intercept), for the query that SQL can follow.
+GATE = (2.0, 1.0, -1.5)
+_POOLS = {"max": "greatest(p, score, x)", "mean": "(p + score + x) / 3.0::DOUBLE", "topk": "(p + score + x - least(p, score, x)) / 2.0::DOUBLE"}
+
+
+def _pooled(spark, d):
+    """(label, mb, max, mean, topk) of every sentence of a labelled document: one score, and three poolings of the other's neighbours."""
+    s = scored(spark, d).withColumn("mb", T.bucket(F.concat(F.lit("b"), "doc_id", F.lit(":"), "sent_idx"), 1000) / F.lit(1000.0))
+    p = D.pooled(s).withColumnsRenamed({"pool_max": "max", "pool_mean": "mean", "pool_top2": "topk"})
+    return p.join(read(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").select("label", "mb", *_POOLS)
+
+
+def _gated(p, gates):
+    return p.withColumns({f"g_{n}": T.sigmoid(F.lit(v1) * F.col("mb") + F.lit(v2) * F.col(n) + F.lit(b)) for n, (v1, v2, b) in gates.items()})
+
+
+def _simplex_sql() -> str:
+    """All weightings over rows of equal scores counted together: the best of each pooling."""
+    v1, v2, b = (f"({x})::DOUBLE" for x in GATE)
+    pools = " UNION ALL ".join(f"SELECT '{n}' AS triple, (quality = 1)::INTEGER AS label, mb, {e} AS pool FROM n JOIN labels l USING (doc_id)" for n, e in _POOLS.items())
+    return f"""WITH {SCORED}, o AS (SELECT *, ((('0x' || substr(md5('b' || doc_id || ':' || sent_idx), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE) AS mb FROM scored),
+n AS (SELECT *, coalesce(lag(score) OVER w, score) AS p, coalesce(lead(score) OVER w, score) AS x FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx)), q AS ({pools}),
+g AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least({v1} * mb + {v2} * pool + {b}, 25), -25))) AS g FROM q),
+w AS (SELECT i.range AS w1, j.range AS w2, 20 - i.range - j.range AS w3 FROM range(21) i, range(21) j WHERE i.range + j.range <= 20),
+s AS (SELECT triple, w1, w2, w3, label, round(w1 / 20.0::DOUBLE * mb + w2 / 20.0::DOUBLE * pool + w3 / 20.0::DOUBLE * g, 9) AS s FROM g, w),
+c AS (SELECT triple, w1, w2, w3, {CONF.format(t='0.5').replace('score', 's')} FROM s GROUP BY ALL), r AS (SELECT triple, w1, w2, w3, {RATES} FROM c)
+SELECT triple, w1 / 20.0::DOUBLE AS w1, w2 / 20.0::DOUBLE AS w2, w3 / 20.0::DOUBLE AS w3, macro_f1 FROM r QUALIFY row_number() OVER (PARTITION BY triple ORDER BY macro_f1 DESC, w1, w2) = 1"""
+
+
+@query("D09_simplex", _simplex_sql())
+def d09s(spark, d):
+    """The best of 231 weightings of a score, a pooled score and a stored gate over both, for three poolings in one pass."""
+    from ..operators.training import best_simplex
+
+    return best_simplex(_gated(_pooled(spark, d), dict.fromkeys(_POOLS, GATE)), {n: ("mb", n, f"g_{n}") for n in _POOLS})
+
+
+@query("D09_gated_ensemble")
+def d09g(spark, d):
+    """The same with a gate that is learned for each pooling."""
+    from ..operators.training import best_simplex, gate
+    from ..tables import table
+
+    p = table(_pooled(spark, d), "pooled")
+    learned = {n: (*w, b) for n, (w, b) in ((n, gate(p, ["mb", n])) for n in _POOLS)}
+    return best_simplex(_gated(p, learned), {n: ("mb", n, f"g_{n}") for n in _POOLS})
+
+
 @query("D19_platt")
 def d19(spark, d):
     from ..operators.training import platt
