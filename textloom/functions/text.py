@@ -31,6 +31,12 @@ TRANSITION_PHRASES = (
 SIGNATURES = dict.fromkeys(("delve", "testament", "tapestry", "pinnacle", "dynamic", "multifaceted", "landscape", "holistic", "furthermore", "moreover"), "Claude") | dict.fromkeys(("crucial", "leverage", "rapidly evolving", "demystify", "game-changer", "transition", "remember", "in summary", "overall"), "GPT")
 #: Strings that give a text away.
 MARKERS = ("large language model", "generated by", "autoencoder", "artificial intelligence", "convolutional", "gpt", "gemini", "claude")
+#: English function words, which tell no topic.
+STOP_WORDS = tuple("""i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did
+doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from
+up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not
+only own same so than too very can will just should now""".split())
 #: Section categories in the order they are tried, their labels and patterns; case does not matter.
 HEADINGS = (
     ("ABSTRACT", "Abstract & Keywords", r"^(?:abstract|executive summary|keywords|index terms)\b"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,6 +83,29 @@ def score_with(df: DataFrame, scorer: Callable[[list[str]], list[float]] | None,
     return df.withColumn("score", run(F.col(text)))
 
 
+def score_in_batches(df: DataFrame, load: Callable[[], Callable[[list[str]], list[float]]], text: str = "sentence", size: int = 64) -> DataFrame:
+    """``df`` with ``score`` and ``padded``. Each task calls ``load`` once for a scorer of a batch of texts and gives it ``size`` at a
+    time, rows of a partition by length, so that texts of a batch are of about one length; ``padded`` is the length to which a
+    text's batch is filled up, the work that a model does. A score belongs to its text and not to its batch. Null texts are empty."""
+
+    @F.pandas_udf("struct<score:double,padded:long>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = load()
+        for s in parts:
+            texts = s.fillna("")
+            length = texts.str.len().to_numpy(dtype="int64")
+            order = length.argsort(kind="stable")
+            score, padded = pd.Series(0.0, index=range(len(texts))), pd.Series(0, index=range(len(texts)), dtype="int64")
+            for i in range(0, len(order), size):
+                batch = order[i : i + size]
+                score.iloc[batch] = [float(x) for x in scorer(texts.iloc[batch].tolist())]
+                padded.iloc[batch] = int(length[batch].max())
+            yield pd.DataFrame({"score": score, "padded": padded})
+
+    d = df.drop("score", "padded").sortWithinPartitions(F.length(text)).withColumn("_scored", run(F.col(text).cast("string")))
+    return d.select("*", "_scored.score", "_scored.padded").drop("_scored")
+
+
 def lexical_score(c) -> Column:
     """A score from transitions and markers alone."""
     return F.round(F.least(F.lit(0.99), F.lit(0.1) + F.when(T.has_transition(c), 0.35).otherwise(0.0) + F.when(T.has_marker(c), 0.5).otherwise(0.0)), 6)

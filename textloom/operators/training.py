@@ -8,15 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
-from ..tables import table
+from ..tables import spread, table
 from .sampling import group_folds
 
 
@@ -130,31 +131,56 @@ def isotonic(df: DataFrame, score: str = "score") -> DataFrame:
     return IsotonicRegression(featuresCol=score, labelCol="label", predictionCol="calibrated").fit(d).transform(d).select(*df.columns, "calibrated")
 
 
-def _grams(docs: DataFrame) -> DataFrame:
-    w = StopWordsRemover(inputCol="_t", outputCol="_w").transform(RegexTokenizer(inputCol="text", outputCol="_t", pattern="\\W+").transform(docs.withColumn("text", F.coalesce("text", F.lit("")))))
-    return NGram(n=2, inputCol="_w", outputCol="_b").transform(w).withColumn("grams", F.concat("_w", "_b")).drop("_t", "_w", "_b")
-
-
-def tfidf(docs: DataFrame, vocabulary: int = 50_000) -> DataFrame:
-    """``docs`` with ``grams``, words and pairs of words, and ``tfidf``, their weights."""
-    g = _grams(docs)
-    c = CountVectorizer(inputCol="grams", outputCol="_n", vocabSize=vocabulary, minDF=2).fit(g).transform(g)
-    c = c.withColumn("_tf", _damped("_n"))
-    c = IDF(inputCol="_tf", outputCol="_w").fit(c).transform(c)
-    return Normalizer(inputCol="_w", outputCol="tfidf", p=2.0).transform(c).drop("_n", "_tf", "_w")
-
-
-@F.udf(VectorUDT())
-def _damped(v):
-    """Counts as 1 + ln(count)."""
-    return Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values)) if v is not None else None
-
-
-def tfidf_baseline(df: DataFrame, vocabulary: int = 50_000) -> DataFrame:
-    """``df`` (text, label) with ``p``: a logistic model of TF-IDF weights with balanced class weights."""
-    f = tfidf(df, vocabulary).withColumn("label", F.col("label").cast("double"))
+#: Terms of a vocabulary at most.
+VOCABULARY = 50_000
+
+
+def grams(c: Column) -> Column:
+    """Words of two letters, digits or underscores or more in lower case, without STOP_WORDS, and pairs of neighbours among them."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    one = F.filter(found, lambda w: ~w.isin(*T.STOP_WORDS))
+    # the words are named in an array of one, so that they are found once
+    return F.element_at(F.transform(F.array(one), lambda w: F.concat(w, pairs(w))), 1)
+
+
+def tfidf(docs: DataFrame, vocabulary: int = VOCABULARY, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(key, indices, weights) of ``docs`` (key, text), and the terms (term, index, df, idf): words and pairs by how often the corpus
+    has them, ``vocabulary`` at most, ties by name, numbered by name.
+
+    A weight is (1 + ln count) * (1 + ln((1 + texts) / (1 + texts with the term))), and a text's weights have length one. All of
+    it is counts and joins: counts are summed before they are shuffled, only the terms are broadcast, and a text
+    ends as two parallel arrays. Texts without terms have empty ones; keys are of one row each.
+    """
+    n = docs.count()
+    counts = table(spread(docs.select(key, "text")).select(key, F.explode(grams(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n")), "terms-of-texts")
+    terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(vocabulary)
+    index = (F.row_number().over(Window.orderBy("term")) - 1).cast("int")  # of at most ``vocabulary`` rows
+    terms = table(terms.select("term", index.alias("index"), "df", (F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1).alias("idf")), "terms")
+    w = counts.join(F.broadcast(terms.select("term", "index", "idf")), "term").select(key, "index", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+    v = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    v = v.select(key, F.transform("v", lambda x: x["index"]).alias("indices"), F.transform("v", lambda x: x["w"] / F.col("size")).alias("weights"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+    return docs.select(key).join(v, key, "left").select(key, none("indices", "int").alias("indices"), none("weights", "double").alias("weights")), terms
+
+
+def as_vectors(df: DataFrame, size: int, indices: str = "indices", weights: str = "weights", out: str = "features") -> DataFrame:
+    """``df`` with its parallel arrays as sparse vectors. A vector is a struct of kind, size, indices and values in a file, so it is
+    written as that and read as a vector, and no Python touches a row."""
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col(indices).alias("indices"), F.col(weights).alias("values"))
+    held = table(df.withColumn(out, parts).drop(indices, weights), "vectors")
+    schema = StructType([StructField(f.name, VectorUDT() if f.name == out else f.dataType) for f in held.schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(held._textloom_path)
+
+
+def tfidf_baseline(df: DataFrame, vocabulary: int = VOCABULARY, key: str = "doc_id") -> DataFrame:
+    """``df`` (key, text, label) with ``p``: a logistic model of TF-IDF weights with balanced class weights, and the weight 1 of a
+    squared penalty on all rows' loss."""
+    vectors, _ = tfidf(df.select(key, "text"), vocabulary, key)
+    f = as_vectors(vectors.join(df.select(key, F.col("label").cast("double").alias("label")), key), vocabulary)
     n = f.groupBy("label").count().collect()  # a row for each class
     total, k = sum(r["count"] for r in n), len(n)
-    w = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(total / (k * r["count"]))) for r in n])
-    m = LogisticRegression(featuresCol="tfidf", weightCol="w", regParam=0.01, maxIter=20).fit(f.withColumn("w", w))
-    return m.transform(f).withColumn("p", vector_to_array("probability")[1]).select(*df.columns, "p")
+    w = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(total / (k * r["count"]))) for r in n], F.lit(1.0))
+    m = LogisticRegression(weightCol="w", regParam=1.0 / max(1, total), standardization=False, maxIter=1000).fit(f.withColumn("w", w))
+    p = m.transform(f).select(key, vector_to_array("probability")[1].alias("p"))
+    return df.drop("p").join(p, key)

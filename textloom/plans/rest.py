@@ -14,7 +14,7 @@ from ..operators import scoring as K
 from ..session import shared_dir
 from ..sources import files as A
 from .evaluation import CONF, EVAL, RATES, frame
-from .registry import SCORED, query, read, scored
+from .registry import SCORED, SENT, WC, query, read, scored
 
 
 def _tmp(spark, name: str) -> str:
@@ -445,11 +445,21 @@ def e19(spark, d):
     return out.withColumn("reduction_percent", F.round(100 * (F.col("uncalibrated") - F.col("isotonic")) / F.expr("nullif(uncalibrated, 0)"), 6))
 
 
-@query("G12_tfidf")
+_STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+
+
+@query("G12_tfidf", rf"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOPS}, w)) AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
+c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL), v AS (SELECT term, sum(n) AS n, count(*) AS df FROM c GROUP BY term ORDER BY n DESC, term LIMIT 50000),
+w AS (SELECT doc_id, (1 + ln(c.n)) * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN v USING (term))
+SELECT d.doc_id, count(w) AS n_terms, round(coalesce(sum(w) / sqrt(sum(w * w)), 0), 6) AS total, round(coalesce(max(w) / sqrt(sum(w * w)), 0), 6) AS most FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""")
 def g12(spark, d):
+    """How many terms each text has, the sum of its weights and the largest."""
     from ..operators.training import tfidf
 
-    return tfidf(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size("grams").alias("n_grams"))
+    v, _ = tfidf(read(spark, d, "documents").select("doc_id", "text"))
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return v.select("doc_id", F.size("weights").cast("long").alias("n_terms"), F.round(total, 6).alias("total"), F.round(F.coalesce(F.array_max("weights"), F.lit(0.0)), 6).alias("most"))
 
 
 @query("D21_tfidf_baseline")
@@ -460,6 +470,20 @@ def d21(spark, d):
     return tfidf_baseline(j).select("doc_id", F.round("p", 4).alias("p"))
 
 
+@query("D01_batched_scorer", "SELECT doc_id, (length(text) % 100) / 100.0::DOUBLE AS score FROM documents")
+def d01b(spark, d):
+    """A scorer that each task loads once and that takes batches of texts of about one length."""
+    return K.score_in_batches(read(spark, d, "documents").select("doc_id", "text"), lambda: lambda texts: [len(t) % 100 / 100.0 for t in texts], "text").select("doc_id", "score")
+
+
+@query("ST2_result_cache", "WITH " + SENT + rf", k AS (SELECT DISTINCT sha256(text) AS content, text FROM documents) SELECT content, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))::BIGINT AS n_sentences, {WC.format('text')}::BIGINT AS n_words FROM k")
+def st2(spark, d):
+    """A stream of documents into a cache of results by content: each text is analysed once, however often it comes."""
+    from ..streaming.documents import cache_stream
+
+    return cache_stream(spark, f"{d}/documents.parquet", _tmp(spark, "cache")).select("content", "n_sentences", "n_words")
+
+
 @query("ST1_stream_documents", "WITH " + SCORED + " SELECT doc_id, count(*) AS n_sentences, round(avg(score), 9) AS mean FROM scored GROUP BY doc_id")
 def st1(spark, d):
     from ..streaming.documents import score_stream
