@@ -197,11 +197,11 @@ def deletions(docs: DataFrame) -> DataFrame:
     first = held.groupBy("h").agg(F.min("doc_id").alias("other"), F.min_by("p", "doc_id").alias("place"), F.max("doc_id").alias("last"), F.count("*").alias("df")).where("other < last").drop("last")
     first = table(first, "holders")  # both sides of the join are then plain exchanges, which adaptive execution splits where a run is hot
     later = held.join(first, "h").where("doc_id > other")
-    # the nearest earlier document with a rare run, if it is not the first: at most RARE documents in a group, dealt out after
-    # the join, so that adaptive execution still splits where a run is hot
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rare = later.where(F.col("df") <= RARE).repartition(parts, "h")
-    before = Window.partitionBy("h").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    # the nearest earlier document with a rare run, if it is not the first: at most RARE documents in a group. The group is
+    # named by another number than the join's key, so its rows are dealt out after the join, which is then free to be split
+    # where a run is hot
+    rare = later.where(F.col("df") <= RARE).withColumn("_group", F.col("h").bitwiseXOR(F.lit(1)))
+    before = Window.partitionBy("_group").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
     near = rare.withColumn("_near", F.max(F.struct("doc_id", (-F.col("p")).alias("back"))).over(before)).where("_near is not null")
     later = later.unionByName(near.select("h", "doc_id", "version", "p", "q", F.col("_near.doc_id").alias("other"), (-F.col("_near.back")).alias("place"), "df"))
     mine = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("p", "q", "h", "other", "place", "df")).alias("shared"))
