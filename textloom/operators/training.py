@@ -21,6 +21,10 @@ from ..tables import spread, table
 from .sampling import group_folds
 
 
+#: Steps of a fit at most.
+ITERATIONS = 100
+
+
 def _scaling(df: DataFrame, names: list[str]) -> tuple[list[float], list[float]]:
     """Means and population deviations, 1 where a column does not vary; one row."""
     r = df.agg(*[F.avg(n).alias(f"m{k}") for k, n in enumerate(names)], *[F.stddev_pop(n).alias(f"s{k}") for k, n in enumerate(names)]).first()
@@ -35,7 +39,7 @@ def _scaled(df: DataFrame, names: list[str], means: list[float], scales: list[fl
 def _fitted(df: DataFrame, names: list[str]) -> tuple:
     """A logistic model of standardised inputs with the weight 1 of a squared penalty on all rows' loss, and the scaling."""
     means, scales = _scaling(df, names)
-    model = LogisticRegression(labelCol="label", regParam=1.0 / max(1, df.count()), standardization=False, maxIter=1000).fit(_scaled(df, names, means, scales))
+    model = LogisticRegression(labelCol="label", regParam=1.0 / max(1, df.count()), standardization=False, maxIter=ITERATIONS).fit(_scaled(df, names, means, scales))
     return model, means, scales
 
 
@@ -176,11 +180,11 @@ def as_vectors(df: DataFrame, size: int, indices: str = "indices", weights: str
 def tfidf_baseline(df: DataFrame, vocabulary: int = VOCABULARY, key: str = "doc_id") -> DataFrame:
     """``df`` (key, text, label) with ``p``: a logistic model of TF-IDF weights with balanced class weights, and the weight 1 of a
     squared penalty on all rows' loss."""
-    vectors, _ = tfidf(df.select(key, "text"), vocabulary, key)
-    f = as_vectors(vectors.join(df.select(key, F.col("label").cast("double").alias("label")), key), vocabulary)
+    vectors, terms = tfidf(df.select(key, "text"), vocabulary, key)
+    f = as_vectors(vectors.join(df.select(key, F.col("label").cast("double").alias("label")), key), max(1, terms.count())).coalesce(df.sparkSession.sparkContext.defaultParallelism)
     n = f.groupBy("label").count().collect()  # a row for each class
     total, k = sum(r["count"] for r in n), len(n)
     w = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(total / (k * r["count"]))) for r in n], F.lit(1.0))
-    m = LogisticRegression(weightCol="w", regParam=1.0 / max(1, total), standardization=False, maxIter=1000).fit(f.withColumn("w", w))
+    m = LogisticRegression(weightCol="w", regParam=1.0 / max(1, total), standardization=False, maxIter=ITERATIONS).fit(f.withColumn("w", w))
     p = m.transform(f).select(key, vector_to_array("probability")[1].alias("p"))
     return df.drop("p").join(p, key)
