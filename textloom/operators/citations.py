@@ -151,9 +151,29 @@ def health(bad, checked) -> Column:
     return F.when(checked == 0, F.lit(100)).otherwise(F.greatest(F.lit(0), F.lit(100) - F.floor(100 * bad / F.greatest(checked, F.lit(1))))).cast("long")
 
 
-def formatted(c_author: str, c_title: str, c_year: str, c_doi: str) -> dict[str, Column]:
-    a, t, y, d = (F.coalesce(F.col(c), F.lit("")) for c in (c_author, c_title, c_year, c_doi))
-    return {"bibtex": F.concat(F.lit("@article{"), F.lower(a), y, F.lit(", author={"), a, F.lit("}, title={"), t, F.lit("}, year={"), y, F.lit("}, doi={"), d, F.lit("}}")),
-            "ris": F.concat(F.lit("TY  - JOUR\nAU  - "), a, F.lit("\nTI  - "), t, F.lit("\nPY  - "), y, F.lit("\nDO  - "), d, F.lit("\nER  - ")),
-            "apa": F.concat(a, F.lit(" ("), y, F.lit("). "), t, F.lit(". https://doi.org/"), d), "ieee": F.concat(a, F.lit(", \""), t, F.lit(",\" "), y, F.lit(".")),
-            "url": F.concat(F.lit("https://scholar.google.com/scholar?q="), F.url_encode(t))}
+def encoded(c: Column) -> Column:
+    """``c`` in the query of an address: letters, digits and - _ . ! ~ * ' ( ) stay, a space is %20."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def formatted(raw: str = "raw", title: str = "title", authors: str = "authors", year: str = "year", doi: str = "doi", arxiv: str = "arxiv", index: Column | int = 1) -> dict[str, Column]:
+    """A parsed reference (see ``parsed_reference``) as BibTeX, RIS, APA and IEEE, and where to search for it. The key of a BibTeX entry is the
+    first author's last name, the year (2024 without one) and ``index``; fields that are not known are left out."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    t, a, y, d, x = (text(c) for c in (title, authors, year, doi, arxiv))
+    n = (F.lit(index) if isinstance(index, int) else index).cast("string")
+    line = lambda before, c, after: F.when(c != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    first = F.lower(F.element_at(F.split(F.get(F.split(a, ","), F.lit(0)), " "), -1))
+    key = F.concat(F.when(first == "", "ref").otherwise(first), F.when(y == "", "2024").otherwise(y), F.lit("_"), n)
+    asked = encoded(F.when(F.length(t) > 10, t).otherwise(text(raw)))
+    return {
+        "bibtex": F.concat(F.lit("@article{"), key, F.lit(",\n  title = {"), t, F.lit("},\n"), line("  author = {", a, "},\n"), line("  year = {", y, "},\n"), line("  doi = {", d, "},\n"), line("  eprint = {", x, "},\n"), F.lit("}")),
+        "ris": F.concat(F.lit("TY  - JOUR\nTI  - "), t, F.lit("\n"), line("AU  - ", a, "\n"), line("PY  - ", y, "\n"), line("DO  - ", d, "\n"), line("UR  - https://arxiv.org/abs/", x, "\n"), F.lit("ER  - \n")),
+        "apa": F.concat(a, F.lit(" "), F.when(y == "", "(n.d.).").otherwise(F.concat(F.lit("("), y, F.lit(")."))), F.lit(" "), t, F.lit("."), line(" https://doi.org/", d, "")),
+        "ieee": F.concat(F.lit("["), n, F.lit("] "), a, F.lit(', "'), t, F.lit('"'), line(", ", y, ""), F.when(d == "", ".").otherwise(F.concat(F.lit(", doi: "), d, F.lit(".")))),
+        "url": F.concat(F.lit("https://scholar.google.com/scholar?q="), asked),
+        "semantic_url": F.concat(F.lit("https://www.semanticscholar.org/search?q="), asked),
+    }

@@ -181,12 +181,23 @@ def t24(spark, d):
     return _parsed(spark, d)
 
 
-@query("T25_citation_formats", f"""WITH {SQLP}, {_REF}, {_PARSED}, x2 AS (SELECT doc_id, idx, authors AS a, coalesce(year, '') AS y, title AS t, coalesce(doi, '') AS d FROM ps)
-SELECT doc_id, idx, '@article{{' || lower(a) || y || ', author={{' || a || '}}, title={{' || t || '}}, year={{' || y || '}}, doi={{' || d || '}}}}' AS bibtex, 'TY  - JOUR' || chr(10) || 'AU  - ' || a || chr(10) || 'TI  - ' || t || chr(10) || 'PY  - ' || y || chr(10) || 'DO  - ' || d || chr(10) || 'ER  - ' AS ris,
-a || ' (' || y || '). ' || t || '. https://doi.org/' || d AS apa, a || ', "' || t || '," ' || y || '.' AS ieee, 'https://scholar.google.com/scholar?q=' || replace(url_encode(t), '%20', '+') AS url FROM x2""")
+def _line(before: str, c: str, after: str) -> str:
+    return f"CASE WHEN {c} <> '' THEN {before} || {c} || {after} ELSE '' END"
+
+
+_N = "chr(10)"
+_ASKED = "replace(replace(replace(replace(replace(url_encode(CASE WHEN length(t) > 10 THEN t ELSE raw END), '%21', '!'), '%2A', '*'), '%27', chr(39)), '%28', '('), '%29', ')')"
+
+
+@query("T25_citation_formats", f"""WITH {SQLP}, {_REF}, {_PARSED}, x2 AS (SELECT ps.doc_id, ps.idx, authors AS a, coalesce(ps.year, '') AS y, title AS t, coalesce(doi, '') AS d, coalesce(arxiv, '') AS x, rf.raw, lower(string_split(string_split(authors, ',')[1], ' ')[-1]) AS first FROM ps JOIN rf ON rf.doc_id = ps.doc_id AND rf.idx = ps.idx)
+SELECT doc_id, idx, '@article{{' || CASE WHEN first = '' THEN 'ref' ELSE first END || CASE WHEN y = '' THEN '2024' ELSE y END || '_' || (idx + 1) || ',' || {_N} || '  title = {{' || t || '}},' || {_N} || {_line("'  author = {'", 'a', "'},' || chr(10)")} || {_line("'  year = {'", 'y', "'},' || chr(10)")} || {_line("'  doi = {'", 'd', "'},' || chr(10)")} || {_line("'  eprint = {'", 'x', "'},' || chr(10)")} || '}}' AS bibtex,
+'TY  - JOUR' || {_N} || 'TI  - ' || t || {_N} || {_line("'AU  - '", 'a', _N)} || {_line("'PY  - '", 'y', _N)} || {_line("'DO  - '", 'd', _N)} || {_line("'UR  - https://arxiv.org/abs/'", 'x', _N)} || 'ER  - ' || {_N} AS ris,
+a || CASE WHEN y = '' THEN ' (n.d.). ' ELSE ' (' || y || '). ' END || t || '.' || {_line("' https://doi.org/'", 'd', "''")} AS apa,
+'[' || (idx + 1) || '] ' || a || ', "' || t || '"' || {_line("', '", 'y', "''")} || CASE WHEN d = '' THEN '.' ELSE ', doi: ' || d || '.' END AS ieee,
+'https://scholar.google.com/scholar?q=' || {_ASKED} AS url, 'https://www.semanticscholar.org/search?q=' || {_ASKED} AS semantic_url FROM x2""")
 def t25(spark, d):
-    f = C.formatted("authors", "title", "year", "doi")
-    return _parsed(spark, d).select("doc_id", "idx", *[f[k].alias(k) for k in ("bibtex", "ris", "apa", "ieee", "url")])
+    r = C.references(papers(spark, d)).select("doc_id", "idx", "raw", *[c.alias(n) for n, c in C.parsed_reference("raw").items()])
+    return r.select("doc_id", "idx", *[c.alias(n) for n, c in C.formatted(index=F.col("idx") + 1).items()])
 
 
 @query("T19_headings", """WITH h AS (SELECT doc_id, doc_id % 6 AS k FROM documents)
