@@ -73,9 +73,20 @@ def percent_mean(score: str = "score") -> Column:
     return half_up(100 * F.avg(F.greatest(F.least(F.col(score), F.lit(1.0)), F.lit(0.0))), 2)
 
 
-def burstiness(df: DataFrame, n: str = "n_words", key: str = "doc_id") -> DataFrame:
-    """Per document: the deviation of sentence lengths, the low-burstiness flag, the coefficient of variation."""
-    out = df.groupBy(key).agg(F.count("*").alias("n_sentences"), F.stddev_pop(n).alias("_s"), F.avg(n).alias("_m"))
+def burstiness(df: DataFrame, n: str = "n_words", key: str = "doc_id", order: str = "sent_idx") -> DataFrame:
+    """Per document: the deviation of sentence lengths, the low-burstiness flag, the coefficient of variation.
+
+    Lengths are added one by one in the order of the sentences, by the update of SQL's stddev_pop: where the deviation is exactly
+    the flag's limit, its last bit decides, which another order or update would give otherwise.
+    """
+    lengths = F.transform(F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct(order, F.col(n).alias("n"))))), lambda x: x["n"].cast("double"))
+
+    def add(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "mean", "squares")))
+    out = df.groupBy(key).agg(F.count("*").alias("n_sentences"), F.aggregate(lengths, zero, add, lambda s: F.when(s["n"] > 0, F.sqrt(s["squares"] / s["n"]))).alias("_s"), F.avg(n).alias("_m"))
     std = F.when(F.col("n_sentences") <= 1, F.lit(10.0)).otherwise(F.col("_s"))
     return out.select(key, "n_sentences", F.round(std, 6).alias("std"), ((F.col("n_sentences") >= 5) & (F.col("_s") < 4)).alias("low"), F.round(F.coalesce(100 * F.col("_s") / F.expr("nullif(_m, 0)"), F.lit(0.0)), 2).alias("cv"))
 
