@@ -23,8 +23,9 @@ def _parts(sentences: DataFrame) -> DataFrame:
 
 def spans(sentences: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, part, start, stop): where the key of each part of a sentence stands in its document's key (doc_id,
-    key). Each is looked for after the one before it, then from the start; what is nowhere, or shorter than LEAST, has no row."""
-    parts = _parts(sentences).where(F.length("key") >= LEAST)
+    key). Each is looked for after the one before it, then from the start; what is nowhere, or shorter than LEAST, has no row.
+    A short one that stands right after the one before it moves the place, so that no later one is found inside it."""
+    parts = _parts(sentences).where(F.length("key") > 0)
     told = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "part", F.col("key").alias("of")))).alias("parts"))  # of one document
     schema = "doc_id long, sent_idx int, part int, start int, stop int"
 
@@ -33,6 +34,9 @@ def spans(sentences: DataFrame, keys: DataFrame) -> DataFrame:
             for k in range(b.num_rows):
                 doc_id, key, at, out = b.column(0)[k].as_py(), b.column(1)[k].as_py(), 0, []
                 for p in b.column(2)[k].as_py():
+                    if len(p["of"]) < LEAST:
+                        at += len(p["of"]) if key.startswith(p["of"], at) else 0
+                        continue
                     found = key.find(p["of"], at)
                     if found < 0:
                         found = key.find(p["of"])
