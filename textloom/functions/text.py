@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,13 +66,8 @@ def _c(c) -> Column:
 
 
 def nfkc(c) -> Column:
-    """Unicode NFKC."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return run(_c(c))
+    """Unicode NFKC. Python takes a hundred texts at a time, however many a task has."""
+    return F.udf(lambda x: None if x is None else unicodedata.normalize("NFKC", x), "string", useArrow=False)(_c(c))
 
 
 def strip_controls(c) -> Column:
@@ -387,13 +381,8 @@ def restore_text(text: str, held: dict[str, str]) -> str:
 
 
 def locked(c, patterns=LOCKS, nested: bool = False) -> Column:
-    """A struct (text, held) of ``lock_text``."""
-
-    @F.pandas_udf("text string, held map<string,string>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([lock_text(x, patterns, nested) for x in s], columns=["text", "held"])
-
-    return run(_c(c))
+    """A struct (text, held) of ``lock_text``. Python takes a hundred texts at a time, however many a task has."""
+    return F.udf(lambda x: lock_text(x, patterns, nested), "text string, held map<string,string>", useArrow=False)(_c(c))
 
 
 def restored(text, held) -> Column:

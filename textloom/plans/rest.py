@@ -213,7 +213,7 @@ def r11(spark, d):
 
 @query("F05_held_out_family")
 def f05(spark, d):
-    return B.attacks(read(spark, d, "documents")).where("is_held_out").select("doc_id", "attack_family", "attacked_text")
+    return B.attacks(read(spark, d, "documents"), families=B.HELD_OUT).select("doc_id", "attack_family", "attacked_text")
 
 
 _TEX = "('item one & two' || chr(10) || 'begin{x} ' || doc_id || '%')"
