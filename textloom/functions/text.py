@@ -193,7 +193,8 @@ def heading(c, labels: bool = False) -> Column:
     out = F.when(head.rlike(OWN_HEADING), general)
     for category, label, pattern in reversed(HEADINGS):
         out = F.when(head.rlike(f"(?i){pattern}"), F.lit(label if labels else category)).otherwise(out)
-    return out
+    # hardly any sentence is a heading: one pattern of all tells that
+    return F.when(head.rlike("(?i)^(?:" + "|".join(p.removeprefix("^") for p in (*(p for _, _, p in HEADINGS), OWN_HEADING)) + ")"), out)
 
 
 def heading_title(c) -> Column:
