@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -141,9 +141,9 @@ VOCABULARY = 50_000
 
 def grams(c: Column) -> Column:
     """Words of two letters, digits or underscores or more in lower case, without STOP_WORDS, and pairs of neighbours among them."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
-    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
     one = F.filter(found, lambda w: ~w.isin(*T.STOP_WORDS))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
     # the words are named in an array of one, so that they are found once
     return F.element_at(F.transform(F.array(one), lambda w: F.concat(w, pairs(w))), 1)
 
@@ -158,45 +158,62 @@ def _counted(g: Column) -> Column:
     return F.element_at(F.transform(F.array(F.sort_array(g)), lambda s: F.when(F.size(s) > 0, runs(s))), 1)
 
 
+def _as_vectors(df: DataFrame, parts: str) -> DataFrame:
+    """``df`` with the struct ``parts`` of a sparse vector's kind, size, indices and values as the vector. In a file a vector is that
+    struct, so it is written as one and read as the other, and no Python touches a row."""
+    held = table(df, "vectors")
+    schema = StructType([StructField(f.name, VectorUDT() if f.name == parts else f.dataType) for f in held.schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(held._textloom_path)
+
+
+def _weighted(docs: DataFrame, vocabulary: int, key: str) -> tuple[DataFrame, DataFrame, bool]:
+    """``docs`` with ``features``, the vector of TF-IDF weights, in place of text; the terms as of ``tfidf``; and whether several rows
+    have one key, whose texts are then counted together."""
+    n = docs.count()
+    words = spread(docs).withColumn("grams", grams(F.col("text"))).drop("text")
+    many = not docs.groupBy(key).count().where("count > 1").isEmpty()
+    if many:
+        words = docs.drop("text").join(words.groupBy(key).agg(F.flatten(F.collect_list("grams")).alias("grams")), key)
+    found = spread(docs).select(F.explode(grams(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    found = found.orderBy(F.desc("n"), "term").limit(vocabulary)
+    names = [r.term for r in found.select("term").orderBy("term").collect()]  # ``vocabulary`` at most
+    count = CountVectorizerModel.from_vocabulary(names or [""], inputCol="grams", outputCol="_counts")
+    part = F.unwrap_udt("_counts")
+    values = F.transform(part["values"], lambda c: 1 + F.log(c))
+    counts = _as_vectors(count.transform(words).select(*[c for c in docs.columns if c != "text"], F.struct(part["type"].alias("type"), part["size"].alias("size"), part["indices"].alias("indices"), values.alias("values")).alias("_tf")), "_tf")
+    each = counts.dropDuplicates([key]) if many else counts
+    df = each.select(F.explode(F.unwrap_udt("_tf")["indices"]).alias("index")).groupBy("index").agg(F.count("*").alias("df"))
+    df = df.withColumn("idf", F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1)
+    terms = table(docs.sparkSession.createDataFrame(list(enumerate(names)), "index int, term string").join(df, "index").select("term", "index", "df", "idf"), "terms")
+    idf = [0.0] * max(1, len(names))
+    for r in terms.select("index", "idf").collect():  # ``vocabulary`` at most
+        idf[r["index"]] = r["idf"]
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_w")
+    out = Normalizer(inputCol="_w", outputCol="features").transform(scale.transform(counts))
+    return out.drop("_tf", "_w"), terms, many
+
+
 def tfidf(docs: DataFrame, vocabulary: int = VOCABULARY, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(key, indices, weights) of ``docs`` (key, text), and the terms (term, index, df, idf): words and pairs by how often the corpus
     has them, ``vocabulary`` at most, ties by name, numbered by name.
 
-    A weight is (1 + ln count) * (1 + ln((1 + texts) / (1 + texts with the term))), and a text's weights have length one. Terms are
-    counted inside a text's row, so only a task's sums of each term, and what is in the vocabulary, are shuffled; texts are read twice,
-    which costs less than writing their terms. Only the terms are broadcast. Texts without terms have empty arrays.
+    A weight is (1 + ln count) * (1 + ln((1 + texts) / (1 + texts with the term))), and a text's weights have length one. Only a task's
+    sums of each term are shuffled. A text's terms in the vocabulary are counted inside its row, and those counts alone are written;
+    texts are read twice, which costs less than writing all their terms. Texts without terms have empty arrays.
     """
-    n = docs.count()
-    counts = spread(docs.select(key, "text")).select(key, F.explode(_counted(grams(F.col("text")))).alias("t")).select(key, "t.term", "t.n")
-    if not docs.groupBy(key).count().where("count > 1").isEmpty():  # several texts of one key are counted together
-        counts = counts.groupBy(key, "term").agg(F.sum("n").alias("n"))
-    terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(vocabulary)
-    index = (F.row_number().over(Window.orderBy("term")) - 1).cast("int")  # of at most ``vocabulary`` rows
-    terms = table(terms.select("term", index.alias("index"), "df", (F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1).alias("idf")), "terms")
-    w = counts.join(F.broadcast(terms.select("term", "index", "idf")), "term").select(key, "index", ((1 + F.log("n")) * F.col("idf")).alias("w"))
-    v = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    v = v.select(key, F.transform("v", lambda x: x["index"]).alias("indices"), F.transform("v", lambda x: x["w"] / F.col("size")).alias("weights"))
-    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
-    return docs.select(key).join(v, key, "left").select(key, none("indices", "int").alias("indices"), none("weights", "double").alias("weights")), terms
-
-
-def as_vectors(df: DataFrame, size: int, indices: str = "indices", weights: str = "weights", out: str = "features") -> DataFrame:
-    """``df`` with its parallel arrays as sparse vectors. A vector is a struct of kind, size, indices and values in a file, so it is
-    written as that and read as a vector, and no Python touches a row."""
-    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col(indices).alias("indices"), F.col(weights).alias("values"))
-    held = table(df.withColumn(out, parts).drop(indices, weights), "vectors")
-    schema = StructType([StructField(f.name, VectorUDT() if f.name == out else f.dataType) for f in held.schema.fields])
-    return df.sparkSession.read.schema(schema).parquet(held._textloom_path)
+    v, terms, _ = _weighted(docs.select(key, "text"), vocabulary, key)
+    part = F.unwrap_udt("features")
+    return v.select(key, part["indices"].alias("indices"), part["values"].alias("weights")), terms
 
 
 def tfidf_baseline(df: DataFrame, vocabulary: int = VOCABULARY, key: str = "doc_id") -> DataFrame:
     """``df`` (key, text, label) with ``p``: a logistic model of TF-IDF weights with balanced class weights, and the weight 1 of a
     squared penalty on all rows' loss."""
-    vectors, terms = tfidf(df.select(key, "text"), vocabulary, key)
-    f = as_vectors(vectors.join(df.select(key, F.col("label").cast("double").alias("label")), key), max(1, terms.count())).coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    f, _, many = _weighted(df.select(key, "text", F.col("label").cast("double").alias("label")), vocabulary, key)
+    f = f.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     n = f.groupBy("label").count().collect()  # a row for each class
     total, k = sum(r["count"] for r in n), len(n)
     w = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(total / (k * r["count"]))) for r in n], F.lit(1.0))
     m = LogisticRegression(weightCol="w", regParam=1.0 / max(1, total), standardization=False, maxIter=ITERATIONS).fit(f.withColumn("w", w))
     p = m.transform(f).select(key, vector_to_array("probability")[1].alias("p"))
-    return df.drop("p").join(p, key)
+    return df.drop("p").join(p.dropDuplicates([key]) if many else p, key)
