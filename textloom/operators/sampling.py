@@ -96,8 +96,9 @@ def leaks(df: DataFrame, topic: str, split: str = "split") -> DataFrame:
     return df.groupBy(topic).agg(F.countDistinct(split).alias("n")).where("n > 1")
 
 
-def group_folds(df: DataFrame, topic: str, k: int = 5) -> DataFrame:
+def group_folds(df: DataFrame, topic: str, k: int = 5, rows: str | None = None) -> DataFrame:
     """``df`` with ``fold``: topics by the number of their rows, largest first (the last by name of equals), each to the fold
-    with fewest rows so far. So no topic is in two folds and folds are of about one size."""
-    counts = df.groupBy(topic).agg(F.count("*").alias("n"))
+    with fewest rows so far. So no topic is in two folds and folds are of about one size. A row of ``df``
+    counts as often as its column ``rows`` says, if that is given."""
+    counts = df.groupBy(topic).agg((F.sum(rows) if rows else F.count("*")).alias("n"))
     return df.join(folded(counts, topic, [F.desc("n"), F.desc(topic)], lambda: lightest_step(k), "fold", "int"), topic)
