@@ -27,7 +27,7 @@ _STD = "SELECT text, (doc_id % 2)::INTEGER AS label, source, source AS topic_id
 @query("A01_csv_scan", _STD)
 def a01(spark, d):
     p = _tmp(spark, "csv")
-    read(spark, d, "documents").select(F.col("text").alias("essay"), (F.col("doc_id") % 2).alias("generated"), F.col("source").alias("prompt_name")).write.csv(p, header=True, escape='"', quoteAll=True)
+    A.write_csv(read(spark, d, "documents").select(F.col("text").alias("essay"), (F.col("doc_id") % 2).alias("generated"), F.col("source").alias("prompt_name")), p)
     return A.read_corpus(spark, p)
 
 

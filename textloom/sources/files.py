@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterable
 from xml.etree import ElementTree
@@ -24,11 +25,20 @@ def discover(df: DataFrame) -> DataFrame:
     for k in ("text", "label"):
         if not found[k]:
             raise ValueError(f"no column for {k} among {df.columns}")
-    return df.select(*[(F.col(f"`{found[f.name]}`") if found[f.name] else F.lit(None)).cast(f.dataType).alias(f.name) for f in CORPUS])
+    of = lambda f: F.col(f"`{found[f.name]}`") if found[f.name] else F.lit(None)
+    whole = lambda f: F.nullif(of(f).cast("string"), F.lit("")) if f.name == "label" else of(f)
+    return df.select(*[whole(f).cast(f.dataType).alias(f.name) for f in CORPUS])
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    """All columns as strings. A field without quotes and characters is null, one with quotes only is empty: what stands for null
+    while Spark reads is drawn anew, so that no text is that."""
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', nullValue=uuid.uuid4().hex)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """``df`` as ``read_csv`` reads it: blanks are kept, empty texts are quoted and nulls are not."""
+    df.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
 
 
 def read_corpus(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
